@@ -25,7 +25,7 @@ def non_empty(c: ColumnOrName) -> Column:
 
 def non_blank(c: ColumnOrName) -> Column:
     """Trimmed text, NULL when nothing is left."""
-    return F.nullif(F.trim(col(c)), F.lit(""))
+    return F.nullif(F.regexp_replace(col(c), r"^\s+|\s+$", ""), F.lit(""))
 
 
 def first_non_empty(*cols: ColumnOrName) -> Column:
