@@ -70,7 +70,7 @@ RELATIONS: dict[str, str] = {
           "ELSE 'external_service' END AS type FROM nation"),
     "E": ("SELECT 'nation-' || c_nationkey AS src, 'nation-' || s_nationkey AS dst, "
           "CASE l_returnflag WHEN 'A' THEN 'http' WHEN 'N' THEN 'publishes' ELSE 'calls' END AS kind, "
-          "o_orderpriority AS detail, o_orderkey * 10 + l_linenumber AS pos "
+          "o_orderpriority || '/' || l_linenumber AS detail, o_orderkey * 10 + l_linenumber AS pos "
           "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "
           "JOIN supplier ON l_suppkey = s_suppkey"),
     # call graph with cycles: halving edges and an affine edge

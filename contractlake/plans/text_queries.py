@@ -122,8 +122,8 @@ def name_relation_links(src: Source):
 @query("name_relation", (
     "SELECT o_orderkey, (contains(a, 'user') AND (contains(b, 'auth') OR contains(b, 'profile'))) OR (contains(b, 'user') AND (contains(a, 'auth') OR contains(a, 'profile'))) "
     "OR (contains(a, 'order') AND contains(b, 'payment')) OR (contains(b, 'order') AND contains(a, 'payment')) AS related FROM ("
-    "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'UserList' WHEN 'O' THEN 'OrderList' ELSE 'Payment' END AS a, "
-    "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'authToken' WHEN '2' THEN 'profile' WHEN '3' THEN 'payments' WHEN '4' THEN 'orders' ELSE 'users' END AS b FROM orders)"))
+    "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'userlist' WHEN 'O' THEN 'orderlist' ELSE 'payment' END AS a, "
+    "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'authtoken' WHEN '2' THEN 'profile' WHEN '3' THEN 'payments' WHEN '4' THEN 'orders' ELSE 'users' END AS b FROM orders)"))
 def name_relation(src: Source):
     a = "CASE o_orderstatus WHEN 'F' THEN 'UserList' WHEN 'O' THEN 'OrderList' ELSE 'Payment' END"
     b = ("CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'authToken' WHEN '2' THEN 'profile' WHEN '3' THEN 'payments' "
@@ -220,9 +220,10 @@ def qa_checklist(src: Source):
 
 @query("template_plan", "SELECT c_custkey, category, pos, test_case FROM customer, (VALUES " + ", ".join(
     f"('{c}', {i}, '{t}')" for c, ts in qa.TEMPLATE_CASES.items() for i, t in enumerate(ts, start=1)) +
-    ") AS t(category, pos, test_case) WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+    ") AS t(category, pos, test_case) WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def template_plan(src: Source):
-    return qa.template_plan(src.table("customer").select("c_custkey"), src.table("orders").selectExpr("o_custkey AS c_custkey"), ["c_custkey"])
+    planned = src.table("orders").where("o_totalprice > 300000").selectExpr("o_custkey AS c_custkey")
+    return qa.template_plan(src.table("customer").select("c_custkey"), planned, ["c_custkey"])
 
 
 @query("recommend_templates", (
