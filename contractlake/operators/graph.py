@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import first_non_empty, keep_first_per_key, non_empty
+from ..session import cut_lineage
 
 # Edge kinds and node types the views tell apart.
 STRUCTURAL_KINDS = ("contains", "injects", "calls")
@@ -154,8 +155,9 @@ def build_graph(model: dict[str, DataFrame], scope: Sequence[str] = ()) -> tuple
         edge(model["scheduled"], F.lit("infra:scheduler"), component_id, "triggers", c("handler"))
 
     all_nodes = keep_first_per_key(reduce(DataFrame.unionByName, nodes), [*scope, "id"], ["_order", "name", "module", "host"]).drop("_order")
-    raw = reduce(DataFrame.unionByName, edges).withColumn("pos", F.lit(0)).where("src <> dst")
+    raw = reduce(DataFrame.unionByName, edges).where("src <> dst").distinct().withColumn("pos", F.lit(0))
     if have("components") is not None:
+        raw = cut_lineage(raw)
         # a component that calls its own module leaves a loop on the module
         raw = raw.unionByName(_module_edges(raw, model["components"], scope))
     return all_nodes, first_details(raw, [*scope, "src", "dst", "kind"], DETAILS_BUILD)
@@ -222,7 +224,7 @@ def _fact_rules(model: dict[str, DataFrame], scope: Sequence[str], node, edge) -
 def _module_edges(raw: DataFrame, components: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Component edges onto modules, repeated from the owning module where it has no such edge itself."""
     owners = components.select(*scope, F.concat(F.lit("component:"), "id").alias("src"), F.concat(F.lit("module:"), "module").alias("_owner"))
-    outward = raw.where(~F.col("kind").isin(*STRUCTURAL_KINDS) & F.col("src").startswith("component:") & F.col("dst").startswith("module:")).distinct()
+    outward = raw.where(~F.col("kind").isin(*STRUCTURAL_KINDS) & F.col("src").startswith("component:") & F.col("dst").startswith("module:"))
     lifted = outward.join(owners, [*scope, "src"]).select(*scope, F.col("_owner").alias("src"), "dst", "kind", "detail", "pos")
     direct = raw.where(F.col("src").startswith("module:")).select(*scope, "src", "dst", "kind").distinct()
     return lifted.join(direct, [*scope, "src", "dst", "kind"], "left_anti")
@@ -304,7 +306,8 @@ def merge_links(edges: DataFrame, nodes: DataFrame, scope: Sequence[str] = (), c
         F.when(flip, F.lit("consumes")).otherwise(F.col("kind")).alias("kind"),
         F.when(flip, F.col("_src_type")).otherwise(F.col("_dst_type")).alias("target_type"), "detail", "pos")
     keys = [*scope, "src", "dst"]
-    kinds = turned.groupBy(*keys).agg(F.collect_set("kind").alias("_kinds"), F.max("target_type").alias("target_type"))
+    # reading `pos` here as well lets both aggregates share one shuffle of the distinct edges
+    kinds = turned.groupBy(*keys).agg(F.collect_set("kind").alias("_kinds"), F.max("target_type").alias("target_type"), F.min("pos").alias("_p")).drop("_p")
     return (kinds.join(first_details(turned, keys, cap), keys)
             .withColumn("category", link_category(F.col("_kinds"), F.col("target_type")))
             .withColumn("kinds", display_kinds(F.col("_kinds"))).drop("_kinds"))
@@ -333,15 +336,18 @@ def system_links(edges: DataFrame, nodes: DataFrame, scope: Sequence[str] = ())
                 .withColumn(end, F.coalesce("_drawn", end)).drop("_drawn"))
     merged = nodes.join(alias, [*scope, "id"]).where("drawn LIKE 'store-tech:%'").withColumn("id", F.col("drawn")).drop("drawn")
     merged = keep_first_per_key(merged, [*scope, "id"], ["technology"]).withColumn("module", F.lit(None).cast("string"))
-    systems = nodes.where("type <> 'component'").unionByName(merged)
+    # one row per system: small, and read again for both ends of every line
+    systems = cut_lineage(nodes.where("type <> 'component'").unionByName(merged))
     infra = nodes.where("type = 'infrastructure'").select(*scope, F.col("id").alias("dst"), F.lit(True).alias("_infra"))
-    rows = rows.where("src <> dst").join(infra, [*scope, "dst"], "left")
+    # lines and platform rows both read the drawn edges, which are far fewer than the recorded ones
+    rows = cut_lineage(rows.where("src <> dst").groupBy(*scope, "src", "dst", "kind", "detail").agg(F.min("pos").alias("pos"))
+                       .join(infra, [*scope, "dst"], "left"))
     names = nodes.select(*scope, F.col("id").alias("src"), "name")
     platform = (rows.where("_infra").select(*scope, "src", "dst", "kind").distinct().join(names, [*scope, "src"], "left")
                 .select(*scope, F.col("dst").alias("platform"),
                         F.coalesce(non_empty("name"), F.regexp_replace("src", "^[^:]*:", "")).alias("used_by"), "kind").distinct())
     inner = F.col("kind").isin("injects", "calls") & ~(F.col("src").startswith("module:") & F.col("dst").startswith("module:"))
-    drawn = rows.where("_infra IS NULL").where(~inner)
+    drawn = rows.where("_infra IS NULL").where(~inner).drop("_infra")
     return systems, merge_links(drawn, systems, scope), platform
 
 
@@ -366,12 +372,13 @@ def bus_brokers(links: DataFrame, nodes: DataFrame, scope: Sequence[str] = ("rep
 
 def system_roles(nodes: DataFrame, links: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Column, group and badges of every drawn node: gateways first, services, then systems."""
-    gateways = links.where(F.array_contains("kinds", "routes")).select(*scope, F.col("src").alias("id"), F.lit(True).alias("_gateway")).distinct()
-    used = links.select(*scope, F.col("src").alias("id")).union(links.select(*scope, F.col("dst").alias("id"))).distinct()
+    ends = links.select(*scope, F.explode(F.array(
+        F.struct(F.col("src").alias("id"), F.array_contains("kinds", "routes").alias("_gateway")),
+        F.struct(F.col("dst").alias("id"), F.lit(False).alias("_gateway")))).alias("e")).select(*scope, "e.*")
+    ends = ends.groupBy(*scope, "id").agg(F.bool_or("_gateway").alias("_gateway"))
     library = (F.col("type") == "module") & ~F.coalesce(F.col("is_app"), F.lit(True)) if "is_app" in nodes.columns else F.lit(False)
-    shown = nodes.where("type = 'module'").unionByName(
-        nodes.where("type NOT IN ('module', 'component', 'infrastructure')").join(used, [*scope, "id"], "left_semi"))
-    rows = shown.join(gateways, [*scope, "id"], "left").withColumn("library", library)
+    rows = (nodes.where("type NOT IN ('component', 'infrastructure')").join(ends, [*scope, "id"], "left")
+            .where("type = 'module' OR _gateway IS NOT NULL").withColumn("library", library))
     gateway = F.coalesce("_gateway", F.lit(False)) & (F.col("type") == "module") & ~F.col("library")
     return rows.select(
         *scope, "id", "type", node_label().alias("label"),
