@@ -76,6 +76,8 @@ RELATIONS: dict[str, str] = {
     # call graph with cycles: halving edges and an affine edge
     "G": ("SELECT p_partkey AS caller, CAST(floor(p_partkey / 2) AS BIGINT) AS callee FROM part UNION "
           "SELECT p_partkey AS caller, (3 * p_partkey + 1) % (SELECT count(*) FROM part) AS callee FROM part"),
+    # the first method of each brand starts every closure
+    "SEEDS": "SELECT p_brand AS origin, min(p_partkey) AS node FROM part GROUP BY p_brand",
     "M": ("SELECT p_partkey AS id, p_brand AS file, 10 * p_partkey AS line_start, 10 * p_partkey + p_size AS line_end FROM part"),
     "H": ("SELECT o_orderkey AS hunk, 'Brand#' || (1 + o_custkey % 25) AS file, o_orderkey AS h_start, o_orderkey + 3 AS h_end "
           "FROM orders"),

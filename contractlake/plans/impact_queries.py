@@ -12,8 +12,6 @@ from .registry import Source, query
 # every brand is a file with one outer type, one nested type per part, one method inside each
 RELATIONS["T"] = ("SELECT 'T' || p_partkey AS type, p_brand AS file, 10 * p_partkey - 2 AS t_start, 10 * p_partkey + p_size + 2 AS t_end, p_brand AS outer_type FROM part "
                   "UNION ALL SELECT p_brand, p_brand, 0, max(10 * p_partkey + 60), NULL FROM part GROUP BY p_brand")
-# the first method of each brand starts every closure
-RELATIONS["SEEDS"] = "SELECT p_brand AS origin, min(p_partkey) AS node FROM part GROUP BY p_brand"
 
 _HT = "SELECT h.hunk, h.file, t.type, t.outer_type FROM H h JOIN T t ON h.file = t.file AND h.h_start <= t.t_end AND t.t_start <= h.h_end"
 _HM = "SELECT h.hunk, 'T' || m.id AS type, m.id FROM H h JOIN M m ON h.file = m.file AND h.h_start <= m.line_end AND m.line_start <= h.h_end"
