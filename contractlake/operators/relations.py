@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import first_non_empty, non_empty
@@ -143,16 +143,23 @@ def consumers(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame, scope: S
 def find_endpoint(wanted: DataFrame, endpoints: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """The endpoint a document name refers to: same handler first, then same method and path, then the first.
 
-    wanted(api, handler, method, path), endpoints(endpoint, doc_name, handler, method, path, pos).
-    A name is looked up through one equality join on all names an endpoint answers to.
+    wanted(api, handler, method, path), endpoints(endpoint, doc_name, handler, method, path, pos). An endpoint
+    answers to its doc name, its handler and the last part of it. Each way of asking is a lookup key that
+    holds one endpoint, so a name that many endpoints share never multiplies.
     """
+    bar = F.lit("|")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    by_handler = F.concat(F.lit("h:"), F.col("api"), bar, text("handler"))
+    by_route = F.concat(F.lit("p:"), F.col("api"), bar, text("method"), bar, text("path"))
+    by_name = F.concat(F.lit("a:"), F.col("api"))
     names = F.array_distinct(F.filter(F.array("doc_name", "handler", F.substring_index("handler", ".", -1)), lambda n: n.isNotNull()))
-    e = endpoints.select(*scope, F.explode(names).alias("api"), "endpoint", F.col("handler").alias("_h"), F.col("method").alias("_m"),
-                         F.col("path").alias("_p"), "pos")
-    rank = (F.when(F.col("_h").eqNullSafe(F.col("handler")), 0)
-            .when(F.col("_m").eqNullSafe(F.col("method")) & F.col("_p").eqNullSafe(F.col("path")), 1).otherwise(2))
-    joined = wanted.join(e, [*scope, "api"]).withColumn("_rank", rank)
-    return joined.groupBy(*scope, "api", "handler", "method", "path").agg(F.min_by("endpoint", F.struct("_rank", "pos", "endpoint")).alias("endpoint"))
+    listed = endpoints.select(*scope, F.explode(names).alias("api"), "endpoint", "handler", "method", "path", "pos")
+    keyed = listed.select(*scope, "endpoint", "pos", F.explode(F.array(by_handler, by_route, by_name)).alias("_key"))
+    first = keyed.groupBy(*scope, "_key").agg(F.min_by("endpoint", F.struct("pos", "endpoint")).alias("endpoint"))
+    asked = wanted.distinct().withColumn("_k", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("rank"), k.alias("key")) for i, k in enumerate((by_handler, by_route, by_name))])))
+    rows = asked.select(*scope, "api", "handler", "method", "path", F.col("_k.rank").alias("_rank"), F.col("_k.key").alias("_key")).join(first, [*scope, "_key"])
+    return rows.groupBy(*scope, "api", "handler", "method", "path").agg(F.min_by("endpoint", "_rank").alias("endpoint"))
 
 
 def module_runtime_lookup(refs: DataFrame, modules: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

@@ -124,8 +124,7 @@ def resolve_calls(src: Source):
     one = relation(src, "CALL").select(F.concat_ws("|", "type", "name", "argc").alias("chain"), F.concat(F.lit("c"), "type").alias("caller"),
                                        F.col("type").alias("root_type"), F.lit(1).alias("step"), "name", "argc")
     two = one.withColumns({"step": F.lit(2), "name": F.lit("m2"), "argc": F.lit(1)})
-    n = src.sql("SELECT count(*) AS n FROM supplier")
-    methods = relation(src, "MET").join(F.broadcast(n)).withColumn("return_type", F.col("owner") % F.col("n")).drop("n")
+    methods = src.sql(oracle("SELECT *, owner % (SELECT count(*) FROM supplier) AS return_type FROM MET"))
     return types.resolve_calls(one.unionByName(two), methods, _supers(src))
 
 
