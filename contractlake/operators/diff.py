@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import is_true, keep_first_per_key, non_empty, shown
-from .snapshots import pair_items, within
+from .snapshots import pair_items, pair_keys, within
 
 KEYS = ("repo", "api")
 NOT_PARAMETERS = ("body", "model")
@@ -36,7 +36,7 @@ def _exploded(df: DataFrame, keys: Sequence[str], candidates: Sequence[tuple[Col
 
 def pair_routes(base: DataFrame, head: DataFrame, keys: Sequence[str] = KEYS,
                 values: Sequence[str] = ("method", "path", "body_type", "response_type")) -> DataFrame:
-    return pair_items(base, head, keys, values)
+    return pair_items(base, head, keys, values, keep_equal=True)
 
 
 def route_changes(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -107,10 +107,24 @@ def _rule_delta(b: Column, h: Column) -> Column:
     return F.map_entries(zipped)
 
 
-def request_field_changes(base: DataFrame, head: DataFrame, both: DataFrame | None = None,
-                          keys: Sequence[str] = KEYS) -> DataFrame:
-    """Added, removed and retyped request fields. Fields: keys, path, type, rules MAP, required."""
-    pairs = within(pair_items(base, head, [*keys, "path"], ["type", "required"]), both, keys)
+def _rules_json(df: DataFrame) -> DataFrame:
+    # maps cannot be aggregated or compared, so the pairing carries them as sorted JSON
+    rules = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("rules", F.create_map().cast("map<string,string>"))))))
+    return df.withColumn("rules_json", rules)
+
+
+def pair_fields(base: DataFrame, head: DataFrame, both: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Request fields that differ. Fields: keys, path, type, rules MAP, required."""
+    return within(pair_items(_rules_json(base), _rules_json(head), [*keys, "path"], ["type", "required", "rules_json"]), both, keys)
+
+
+def request_changes(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Field and validation changes of paired request fields, in one pass over the pairs."""
+    return request_field_changes(pairs, keys).unionByName(validation_changes(pairs, keys))
+
+
+def request_field_changes(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Added, removed and retyped request fields."""
     b, h = lambda c: F.col(f"base.{c}"), lambda c: F.col(f"head.{c}")
     name = F.concat(F.lit("`"), F.col("path"), F.lit("`"))
     now = is_true(h("required"))
@@ -125,17 +139,9 @@ def request_field_changes(base: DataFrame, head: DataFrame, both: DataFrame | No
     ])
 
 
-def _rules_json(df: DataFrame) -> DataFrame:
-    # maps cannot be aggregated or compared, so the pairing carries them as sorted JSON
-    rules = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("rules", F.create_map().cast("map<string,string>"))))))
-    return df.withColumn("rules_json", rules)
-
-
-def validation_changes(base: DataFrame, head: DataFrame, both: DataFrame | None = None,
-                       keys: Sequence[str] = KEYS) -> DataFrame:
+def validation_changes(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """VALIDATION_ADDED / CHANGED / REMOVED on fields that exist on both sides."""
-    pairs = pair_items(_rules_json(base), _rules_json(head), [*keys, "path"], ["rules_json"])
-    pairs = within(pairs.where("in_base AND in_head AND base.rules_json <> head.rules_json"), both, keys)
+    pairs = pairs.where("in_base AND in_head AND base.rules_json <> head.rules_json")
     as_map = lambda c: F.from_json(c, "map<string,string>")
     rows = pairs.select(*keys, "path", F.explode(_rule_delta(as_map(F.col("base.rules_json")), as_map(F.col("head.rules_json")))).alias("r"))
     rule, old, new = F.col("r.key"), F.col("r.value.old"), F.col("r.value.new")
@@ -172,7 +178,7 @@ def response_field_changes(base: DataFrame, head: DataFrame, both: DataFrame | N
 def status_changes(base: DataFrame, head: DataFrame, both: DataFrame | None = None,
                    keys: Sequence[str] = KEYS) -> DataFrame:
     """ERROR_STATUS_ADDED / REMOVED per code, SUCCESS_STATUS_CHANGED per endpoint."""
-    pairs = within(pair_items(base.where("code IS NOT NULL"), head.where("code IS NOT NULL"), [*keys, "code"]), both, keys)
+    pairs = within(pair_keys(base.where("code IS NOT NULL"), head.where("code IS NOT NULL"), [*keys, "code"]), both, keys)
     return error_status_changes(pairs, keys).unionByName(success_status_changes(pairs, keys))
 
 
@@ -231,7 +237,7 @@ def security_fingerprint_changes(base: DataFrame, head: DataFrame, both: DataFra
 def downstream_delta(base: DataFrame, head: DataFrame, both: DataFrame | None = None,
                      keys: Sequence[str] = KEYS) -> DataFrame:
     """Added and removed downstream items, one row per item: keys, grp, item, change."""
-    pairs = within(pair_items(base, head, [*keys, "grp", "item"]).where("NOT (in_base AND in_head)"), both, keys)
+    pairs = within(pair_keys(base, head, [*keys, "grp", "item"]).where("NOT (in_base AND in_head)"), both, keys)
     return pairs.select(*keys, "grp", "item", F.when(F.col("in_head"), "added").otherwise("removed").alias("change"))
 
 
@@ -240,7 +246,7 @@ def dependency_items(base: DataFrame | None, head: DataFrame, keys: Sequence[str
     """Items of the new version marked same or new, and removed ones of the old version."""
     if base is None:
         return head.select(*keys, "grp", "item").distinct().withColumn("status", F.lit("same"))
-    pairs = within(pair_items(base, head, [*keys, "grp", "item"]), both, keys)
+    pairs = within(pair_keys(base, head, [*keys, "grp", "item"]), both, keys)
     status = F.when(~F.col("in_head"), "removed").when(~F.col("in_base"), "new").otherwise("same")
     return pairs.select(*keys, "grp", "item", status.alias("status"))
 
@@ -286,8 +292,7 @@ def unscoped_changes(base: dict[str, DataFrame], head: dict[str, DataFrame], pai
     if have("params"):
         parts.append(param_changes(base["params"], head["params"], None, keys, pos))
     if have("request_fields"):
-        parts.append(request_field_changes(base["request_fields"], head["request_fields"], None, keys))
-        parts.append(validation_changes(base["request_fields"], head["request_fields"], None, keys))
+        parts.append(request_changes(pair_fields(base["request_fields"], head["request_fields"], None, keys), keys))
     if have("response_fields"):
         parts.append(response_field_changes(base["response_fields"], head["response_fields"], None, keys))
     if have("statuses"):

@@ -1,9 +1,10 @@
 """Overlap join of line ranges without comparing all ranges of a file.
 
-Each range lies in at most two bins of the smallest width that holds it and is also listed in
-the bins of all greater widths. Two ranges then meet in the greater of their two widths, in the
-bin that holds the later start: an equality join that yields every overlap exactly once, also
-when one file holds a third of all ranges.
+A range lives in at most two bins of the smallest width that holds it (its own level) and visits
+the bins of greater widths. Two ranges meet in the level of the longer one: residents meet
+residents and visitors, visitors never meet each other. Of two shared bins the one that holds the
+later start counts. So an equality join yields every overlap exactly once and short ranges are
+only compared when they are near, also when one file holds a third of all ranges.
 """
 
 from __future__ import annotations
@@ -13,24 +14,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDTHS = (64, 4_096, 262_144, 16_777_216, 1_073_741_824, 2 ** 40)
+WIDTHS = (64, 1_024, 16_384, 262_144, 16_777_216, 2 ** 40)
 
 
-def _level_bins(level: int, first: Column, last: Column) -> Column:
-    return F.transform(F.sequence(first, last), lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
-
-
-def _binned(df: DataFrame, start: str, end: str, widths: Sequence[int]) -> DataFrame:
+def _own_level(start: str, end: str, widths: Sequence[int]) -> Column:
     length = F.col(end) - F.col(start)
     own = F.lit(len(widths) - 1)
     for i in reversed(range(len(widths))):
         own = F.when(length < widths[i], i).otherwise(own)
-    bins = []
+    return own
+
+
+def _level_bins(level: int, roles: Column, first: Column, last: Column) -> Column:
+    """(level, bin, role) entries of one level."""
+    return F.flatten(F.transform(F.sequence(first, last), lambda b: F.transform(
+        roles, lambda r: F.struct(F.lit(level).alias("level"), b.alias("bin"), r.alias("role")))))
+
+
+def _binned(df: DataFrame, start: str, end: str, widths: Sequence[int], levels: Sequence[int], resident: Column, visitor: Column) -> DataFrame:
+    """Bin entries as a resident of the own level and as a visitor of the greater `levels`."""
+    none = F.array().cast("array<struct<level:int,bin:bigint,role:string>>")
+    parts = []
     for i, w in enumerate(widths):
-        bins.append(F.when(F.col("_own") <= i, _level_bins(i, F.floor(F.col(start) / F.lit(w)), F.floor(F.col(end) / F.lit(w)))))
-    none = F.array().cast("array<struct<level:int,bin:bigint>>")
-    listed = F.concat(*[F.coalesce(b, none) for b in bins])
-    return df.withColumn("_own", own).withColumn("_b", F.explode(listed)).select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin")).drop("_b")
+        first, last = F.floor(F.col(start) / F.lit(w)), F.floor(F.col(end) / F.lit(w))
+        entry = F.when(F.col("_own") == i, _level_bins(i, resident, first, last))
+        if i in levels:
+            entry = entry.when(F.col("_own") < i, _level_bins(i, visitor, first, last))
+        parts.append(F.coalesce(entry, none))
+    rows = df.withColumn("_own", _own_level(start, end, widths)).withColumn("_b", F.explode(F.concat(*parts)))
+    return rows.select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin"), F.col("_b.role").alias("_role")).drop("_b", "_own")
+
+
+def _levels_in(df: DataFrame, start: str, end: str, widths: Sequence[int]) -> list[int]:
+    """The few levels that have residents; at most one number per width reaches the driver."""
+    return [r[0] for r in df.select(_own_level(start, end, widths).alias("l")).distinct().collect()]
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str],
@@ -38,11 +55,11 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_rang
     """Rows whose closed ranges overlap and whose `on` columns are equal. Range columns need distinct names."""
     ls, le = left_range
     rs, re = right_range
-    a = _binned(left, ls, le, widths).withColumnRenamed("_own", "_own_l")
-    b = _binned(right, rs, re, widths).withColumnRenamed("_own", "_own_r")
-    width = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("_level") + 1)
+    role = lambda *names: F.array(*[F.lit(n) for n in names])
+    a = _binned(left, ls, le, widths, _levels_in(right, rs, re, widths), role("both", "left"), role("right"))
+    b = _binned(right, rs, re, widths, _levels_in(left, ls, le, widths), role("both", "right"), role("left"))
+    width = F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), F.col("_level") + 1)
+    joined = a.join(b, [*on, "_level", "_bin", "_role"])
     later = F.floor(F.greatest(ls, rs) / width)
-    joined = a.join(b, [*on, "_level", "_bin"])
-    return (joined.where((F.greatest("_own_l", "_own_r") == F.col("_level")) & (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le))
-                         & (later == F.col("_bin")))
-            .drop("_level", "_bin", "_own_l", "_own_r"))
+    return (joined.where((F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le)) & (later == F.col("_bin")))
+            .drop("_level", "_bin", "_role"))

@@ -75,7 +75,7 @@ def status_sets(statuses: DataFrame, keys: Sequence[str]) -> DataFrame:
 def downstream_entries(routes: DataFrame, keys: Sequence[str], integrations: str = "integrations") -> DataFrame:
     """What an endpoint reaches: keys, grp, item (display key), operation, name, technology; each item once.
 
-    All groups come from one array per route, so the route rows are read once.
+    All groups come from one array per route (one row per route): no shuffle, no join.
     """
     r = routes.withColumn("i", F.from_json(integrations, INTEGRATIONS))
     entry = lambda grp, item, operation, name, technology: F.struct(
@@ -109,11 +109,12 @@ def downstream_entries(routes: DataFrame, keys: Sequence[str], integrations: str
         return make
 
     some = lambda c, f: F.coalesce(F.transform(c, f), none)
-    lists = [F.coalesce(F.flatten(F.transform("i.databases", database)), none), some("i.caches", cache), some("i.messaging", message), some("i.external_apis", http),
-             some("i.events", other("events", "event")), some("i.storage", other("storage", "storage")),
-             some("i.email", other("email", "email")), some("i.search", other("search", "search"))]
-    rows = r.select(*keys, F.explode(F.array_distinct(F.concat(*lists))).alias("e")).select(*keys, "e.*")
-    return rows.dropDuplicates([*keys, "grp", "item"])
+    lists = [F.coalesce(F.flatten(F.transform("i.databases", database)), none), some("i.caches", cache), some("i.messaging", message), some("i.external_apis", http)]
+    rest = F.concat(some("i.events", other("events", "event")), some("i.storage", other("storage", "storage")),
+                    some("i.email", other("email", "email")), some("i.search", other("search", "search")))
+    # only these items can repeat with another technology: the last one stays
+    rest = F.filter(rest, lambda e, i: ~F.exists(F.slice(rest, i + 2, F.size(rest)), lambda later: later["item"] == e["item"]))
+    return r.select(*keys, F.explode(F.array_distinct(F.concat(*lists, rest))).alias("e")).select(*keys, "e.*")
 
 
 # ---------------------------------------------------------------- signatures and names

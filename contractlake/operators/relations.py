@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import first_non_empty, non_empty
-from .verdict import impact_level, recommendations, smallest_per_group
+from .verdict import impact_level, recommendations, smallest_of_distinct, smallest_per_group
 
 # ---------------------------------------------------------------- paths and patterns
 
@@ -185,12 +185,13 @@ def resource_users(usage: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 def shared_resources(usage: DataFrame, scope: Sequence[str] = (), shown: int = 8) -> DataFrame:
     """Per endpoint and shared resource: how many others use it and the first of them by name."""
-    stars = resource_users(usage, scope)
     keys = [*scope, "kind", "name"]
+    distinct = usage.select(*keys, "user").distinct()
+    hubs = distinct.groupBy(*keys).agg(F.count("*").alias("_users")).where("_users > 1")
     # one more than shown, so that the endpoint itself can be left out
-    first = smallest_per_group(stars, keys, "user", shown + 1).withColumnRenamed("user", "_first")
+    first = smallest_of_distinct(distinct, keys, "user", shown + 1).withColumnRenamed("user", "_first")
     others = F.slice(F.filter("_first", lambda u: u != F.col("user")), 1, shown)
-    return stars.join(first, keys).select(*keys, "user", (F.col("users") - 1).alias("others"), others.alias("also_used_by"))
+    return distinct.join(hubs.join(first, keys), keys).select(*keys, "user", (F.col("_users") - 1).alias("others"), others.alias("also_used_by"))
 
 
 def published_topics(publishes: DataFrame, listeners: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

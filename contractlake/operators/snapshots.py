@@ -1,8 +1,9 @@
 """Snapshot pairing: the primitive under every contract diff.
 
-Both sides are tagged, united and grouped by the item key. Grouping treats NULL keys
-as equal, combines map-side, needs one shuffle and spreads a hot endpoint over all its
-items. A full outer join would shuffle both sides whole and put NULL keys apart.
+Both sides are tagged and united, never joined. The first aggregate groups whole items, so what
+is equal on both sides cancels out map-side with plain flags as buffers (a hash aggregate); only
+real differences travel on to be paired by key. Grouping treats NULL keys as equal and spreads a
+hot endpoint over all its items. A full outer join would shuffle and sort both sides whole.
 """
 
 from __future__ import annotations
@@ -12,36 +13,42 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import keep_first_per_key
 
-def pair_items(base: DataFrame, head: DataFrame, keys: Sequence[str], values: Sequence[str] = (),
-               pos: str | None = None) -> DataFrame:
-    """One row per key: keys, in_base, in_head, and base/head structs of the values.
 
-    With `pos`, the row with the highest position wins among duplicates of one side.
-    """
-    def side(df: DataFrame, is_head: bool) -> DataFrame:
-        payload = F.struct(F.lit(1).alias("_set"), *[F.col(v) for v in values])
-        order = F.col(pos) if pos else F.lit(0)
-        return df.select(*keys, F.lit(is_head).alias("_head"), order.alias("_pos"), payload.alias("_row"))
+def _flagged(base: DataFrame, head: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct rows over `cols` with integer flags for the sides that hold them."""
+    side = lambda df, b, h: df.select(*cols, F.lit(b).alias("_b"), F.lit(h).alias("_h"))
+    both = side(base, 1, 0).unionByName(side(head, 0, 1))
+    return both.groupBy(*cols).agg(F.max("_b").alias("_b"), F.max("_h").alias("_h"))
+
 
-    both = side(base, False).unionByName(side(head, True))
+def pair_keys(base: DataFrame, head: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key of either side with in_base and in_head."""
+    return _flagged(base, head, keys).select(*keys, (F.col("_b") == 1).alias("in_base"), (F.col("_h") == 1).alias("in_head"))
 
-    def pick(is_head: bool):
-        mine = F.col("_head") == F.lit(is_head)
-        if pos:
-            return F.max_by(F.when(mine, F.col("_row")), F.when(mine, F.col("_pos")))
-        return F.max(F.when(mine, F.col("_row")))
 
-    paired = both.groupBy(*keys).agg(pick(False).alias("base"), pick(True).alias("head"))
-    return (paired
-            .withColumn("in_base", F.col("base").isNotNull())
-            .withColumn("in_head", F.col("head").isNotNull()))
+def pair_items(base: DataFrame, head: DataFrame, keys: Sequence[str], values: Sequence[str],
+               pos: str | None = None, keep_equal: bool = False) -> DataFrame:
+    """One row per key that differs: keys, in_base, in_head, and base / head structs of the values.
+
+    Keys are unique per side, or `pos` is given and the highest position wins. `keep_equal` also
+    returns the keys whose values are the same on both sides.
+    """
+    if pos:
+        last = lambda df: keep_first_per_key(df.select(*keys, *values, pos), keys, [pos], last=True)
+        base, head = last(base), last(head)
+    rows = _flagged(base, head, [*keys, *values])
+    if not keep_equal:
+        rows = rows.where("_b + _h = 1")
+    payload = F.struct(F.lit(1).alias("_set"), *[F.col(v) for v in values])
+    paired = rows.groupBy(*keys).agg(F.max(F.when(F.col("_b") == 1, payload)).alias("base"), F.max(F.when(F.col("_h") == 1, payload)).alias("head"))
+    return (paired.withColumn("in_base", F.col("base").isNotNull()).withColumn("in_head", F.col("head").isNotNull()))
 
 
 def on_both_sides(base_routes: DataFrame, head_routes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Endpoint keys present in both snapshots."""
-    return (pair_items(base_routes, head_routes, keys)
-            .where("in_base AND in_head").select(*keys))
+    return pair_keys(base_routes, head_routes, keys).where("in_base AND in_head").select(*keys)
 
 
 def within(df: DataFrame, scope: DataFrame | None, keys: Sequence[str]) -> DataFrame:

@@ -226,8 +226,12 @@ def recommendation_inputs(changes: DataFrame, keys: Sequence[str] = KEYS) -> Dat
 
 def smallest_per_group(df: DataFrame, keys: Sequence[str], value: str, k: int) -> DataFrame:
     """The k smallest distinct values per key as a sorted array; rank limits run before the shuffle."""
+    return smallest_of_distinct(df.select(*keys, value).distinct(), keys, value, k)
+
+
+def smallest_of_distinct(df: DataFrame, keys: Sequence[str], value: str, k: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(value)
-    top = df.select(*keys, value).distinct().withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    top = df.select(*keys, value).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     return top.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(value))
 
 

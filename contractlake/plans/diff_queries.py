@@ -125,8 +125,12 @@ _FKEY = "b.api = h.api AND b.path = h.path"
 _F = "'`' || h.path || '`'"
 
 
+def _pairs(src: Source):
+    return diff.pair_fields(fields(src, "base"), fields(src, "head"), _both(src), K)
+
+
 def _req(src: Source):
-    return diff.request_field_changes(fields(src, "base"), fields(src, "head"), _both(src), K)
+    return diff.request_field_changes(_pairs(src), K)
 
 
 def _resp(src: Source):
@@ -135,7 +139,7 @@ def _resp(src: Source):
 
 
 def _rules(src: Source):
-    return diff.validation_changes(fields(src, "base"), fields(src, "head"), _both(src), K)
+    return diff.validation_changes(_pairs(src), K)
 
 
 @query("diff_request_field_added", oracle(

@@ -8,7 +8,7 @@ from ..functions import rules
 from ..operators import facts, types
 from ..operators.closure import reachable
 from .bindings import RELATIONS, oracle, relation
-from .registry import Source, query
+from .registry import ORACLE, Source, query
 
 # ---------------------------------------------------------------- type resolution
 
@@ -322,6 +322,16 @@ def http_facts(src: Source):
     return facts.http_facts(calls, apps, base, feign).select("call", "client", "http_method", "url", blank("host"), blank("target_service"), blank("target_module"))
 
 
+@query("cache_messaging_http_facts", " UNION ALL ".join([
+    f"SELECT call, 'messaging' AS kind, technology, destination AS target FROM ({ORACLE['message_facts']})",
+    f"SELECT call, 'cache', technology, name FROM ({ORACLE['cache_facts']})",
+    f"SELECT call, 'http', client, url FROM ({ORACLE['http_facts']})"]))
+def cache_messaging_http_facts(src: Source):
+    kind = lambda df, k, tech, target: df.select("call", F.lit(k).alias("kind"), F.col(tech).alias("technology"), F.col(target).alias("target"))
+    return (kind(message_facts(src), "messaging", "technology", "destination").unionByName(kind(cache_facts(src), "cache", "technology", "name"))
+            .unionByName(kind(http_facts(src), "http", "client", "url")))
+
+
 @query("url_target", (
     "SELECT page_id, regexp_extract(url, '://([^/:]+)', 1) AS host, CASE WHEN regexp_extract(url, '://([^/:]+)', 1) LIKE 'blog.%' THEN 'blog' ELSE '' END AS target_module FROM pages"))
 def url_target(src: Source):

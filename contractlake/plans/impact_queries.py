@@ -116,8 +116,8 @@ _PY = "SELECT p_brand || CASE WHEN p_type = 'PROMO' THEN '.py' ELSE '.java' END
 _FILES = "SELECT DISTINCT 'Brand#' || (1 + c_nationkey) || '.py' AS file FROM customer WHERE c_acctbal > 9900"
 
 
-@query("changed_functions", f"SELECT DISTINCT function FROM ({_PY}) WHERE file IN (SELECT file FROM ({_FILES}))")
-def changed_functions(src: Source):
+@query("changed_functions_file_level", f"SELECT DISTINCT function FROM ({_PY}) WHERE file IN (SELECT file FROM ({_FILES}))")
+def changed_functions_file_level(src: Source):
     return impact.changed_functions(src.sql(_PY), src.sql(_FILES))
 
 
@@ -146,10 +146,10 @@ def displayable(src: Source):
 _CALLS = "SELECT event_id, event_type, user_id FROM events"
 
 
-@query("service_calls", (
+@query("call_name", (
     "SELECT event_id, CASE WHEN event_type = 'error' THEN 'err' ELSE event_type END || ',load' || user_id AS names, CASE WHEN event_type = 'error' THEN 'err' ELSE event_type END || "
     "',load' || user_id || ',load' || user_id || ',validate_' || event_type AS entries FROM events"))
-def service_calls(src: Source):
+def call_name(src: Source):
     # names: repeated and validating calls vanish; entries: call order, only builtins vanish
     name = F.expr("CASE WHEN event_type = 'error' THEN 'err' ELSE event_type END")
     calls = F.array(F.concat(F.lit("svc.api."), name, F.lit("(a.b(c))")), F.concat(F.lit(" load"), "user_id", F.lit("()")), F.lit("text.strip()"),

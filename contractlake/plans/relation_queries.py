@@ -231,8 +231,8 @@ def impact_graph_nodes(src: Source):
     return _graph(src)[0]
 
 
-@query("impact_graph_links", oracle(
+@query("impact_graph", oracle(
     "SELECT center, 'caller:' || caller AS source, 'endpoint:GET /' || substr(center, 6) AS target, CASE kind WHEN 'service_call' THEN 'calls this API' ELSE 'routes to' END AS kind, detail FROM GCALL UNION ALL "
     "SELECT center, 'endpoint:GET /' || substr(center, 6), 'table:' || name, 'read', '' FROM GUSE UNION ALL SELECT center, 'api:' || other, 'table:' || name, 'shares', '' FROM GNEAR"))
-def impact_graph_links(src: Source):
+def impact_graph(src: Source):
     return _graph(src)[1]

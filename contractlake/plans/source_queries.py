@@ -123,7 +123,7 @@ _ENTRIES = " UNION ".join([
 @query("downstream_entries", _ENTRIES)
 def downstream_entries(src: Source):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return normalize.downstream_entries(src.sql(f"SELECT {', '.join(keys)}, {_INTEGRATIONS} AS integrations FROM lineitem"), keys)
+    return normalize.downstream_entries(src.sql(f"SELECT DISTINCT {', '.join(keys)}, {_INTEGRATIONS} AS integrations FROM lineitem"), keys)
 
 
 @query("contract_signature", "SELECT event_id, true AS order_free, true AS source_free, event_type <> 'view' AS params_count FROM events")

@@ -157,8 +157,8 @@ def current_route(src: Source):
     return versions.version_at(_versions(src), None, K, ["signature"])
 
 
-@query("version_scan", oracle("SELECT DISTINCT repo, api, version, commit_id FROM VT WHERE version = 2"))
-def version_scan(src: Source):
+@query("version_table_scan", oracle("SELECT DISTINCT repo, api, version, commit_id FROM VT WHERE version = 2"))
+def version_table_scan(src: Source):
     return versions.version_at(_versions(src), 2, K, ["commit_id"])
 
 
