@@ -2,7 +2,7 @@
 
 `WITH RECURSIVE` has no distinct union, so cyclic graphs never end there. A frontier loop joins
 only the nodes found last, drops known ones, and writes each round to reliable storage: plans
-stay short and a lost executor costs one round. The driver sees one emptiness flag per round.
+stay short and a lost executor costs one round. The driver sees one row count per round.
 """
 
 from __future__ import annotations
@@ -15,30 +15,45 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+# hops taken per round, and the frontier size from which single hops are cheaper than fewer rounds
+HOPS = 4
+LARGE_FRONTIER = 1_000_000
+
+
+def _hop(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    return nodes.join(links, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False, max_depth: int | None = None) -> DataFrame:
     """(origin, node, depth) of every node reachable from the seeds, at its smallest depth.
 
     edges(src, dst), seeds(origin, node). A seed itself appears only when it lies on a cycle,
-    unless `include_seeds` adds all of them at depth 0.
+    unless `include_seeds` adds all of them at depth 0. Small frontiers take several hops per round:
+    nodes met on the way at several depths keep the smallest, and only the outermost go on.
     """
-    # each round shuffles by node; the distinct edge list is stored clustered for that
     links = cut_lineage(edges.select("src", "dst").distinct().repartition("src"))
     start = seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0))
-    found: list[DataFrame] = []
     frontier = cut_lineage(start)
-    if include_seeds:
-        found.append(frontier)
+    size = frontier.count()
+    found: list[DataFrame] = [frontier] if include_seeds else []
     depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = (frontier.join(links, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct())
+    while size and (max_depth is None or depth < max_depth):
+        hops = HOPS if size < LARGE_FRONTIER else 1
+        if max_depth is not None:
+            hops = min(hops, max_depth - depth)
+        ring, rings = frontier.select("origin", "node"), []
+        for i in range(1, hops + 1):
+            ring = _hop(ring, links)
+            rings.append(ring.withColumn("depth", F.lit(depth + i)))
+        met = reduce(DataFrame.unionByName, rings).groupBy("origin", "node").agg(F.min("depth").alias("depth"))
         if found:
             known = reduce(DataFrame.unionByName, found).select("origin", "node")
-            step = step.join(known, ["origin", "node"], "left_anti")
-        frontier = cut_lineage(step.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        found.append(frontier)
+            met = met.join(known, ["origin", "node"], "left_anti")
+        new = cut_lineage(met)
+        depth += hops
+        found.append(new)
+        frontier = new.where(F.col("depth") == depth)
+        size = frontier.count()
     return reduce(DataFrame.unionByName, found) if found else start.where("false")
 
 
