@@ -370,6 +370,18 @@ def bus_brokers(links: DataFrame, nodes: DataFrame, scope: Sequence[str] = ("rep
     return found.join(modules, list(scope)).where(F.col("bus_links") >= F.col("_modules") * BUS_SHARE).drop("_modules")
 
 
+def diagram_links(links: DataFrame, buses: DataFrame, roles: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Links that are drawn: without those onto a message bus, calls of libraries marked as such."""
+    bus = buses.select(*scope, F.col("id").alias("dst"), F.lit(True).alias("_bus"))
+    library = roles.where("type_label = 'Library'").select(*scope, F.col("id").alias("dst"), F.lit(True).alias("_library"))
+    rows = links.join(bus, [*scope, "dst"], "left").join(library, [*scope, "dst"], "left")
+    plain = (F.size("kinds") == 1) & (F.get("kinds", F.lit(0)) == "connects")
+    used = F.col("_library").isNotNull() & (F.col("category") == "call")
+    return (rows.where(F.col("_bus").isNull() | ~plain)
+            .withColumn("kinds", F.when(used, F.array(F.lit("uses library"))).otherwise(F.col("kinds")))
+            .withColumn("category", F.when(used, "library").otherwise(F.col("category"))).drop("_bus", "_library"))
+
+
 def system_roles(nodes: DataFrame, links: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Column, group and badges of every drawn node: gateways first, services, then systems."""
     ends = links.select(*scope, F.explode(F.array(

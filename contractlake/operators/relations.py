@@ -92,7 +92,9 @@ def match_templates(urls: DataFrame, templates: DataFrame, by: Sequence[str], ur
     shapes = shaped.select(*by, "_n", "_mask").distinct()
     # an empty part fits no variable and one closing slash is allowed, so a double slash never matches
     usable = urls.where(~F.col(url).contains("//")).withColumn("_n", F.size(segments(F.col(url))))
-    masked = usable.join(shapes, [*by, "_n"]).withColumn("_key", masked_key(F.col(url), F.col("_mask")))
+    # the root path is one empty part, which no variable takes
+    masked = (usable.join(shapes, [*by, "_n"]).where((F.col(url) != "/") | (F.col("_mask") != "v"))
+              .withColumn("_key", masked_key(F.col(url), F.col("_mask"))))
     return masked.join(shaped, [*by, "_n", "_mask", "_key"]).drop("_n", "_mask", "_key")
 
 
@@ -105,11 +107,11 @@ def match_patterns(paths: DataFrame, patterns: DataFrame, by: Sequence[str], pat
 
 # ---------------------------------------------------------------- callers
 
-def consumers(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def consumers(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame, scope: Sequence[str] = (), modules: DataFrame | None = None) -> DataFrame:
     """Callers of endpoints: other services over HTTP and gateways that route to them.
 
     edges(src, dst, kind, detail), nodes(id, type, name, module), endpoints(endpoint, method, path, module, context_path).
-    The module-level twin of a component caller is dropped.
+    The module-level twin of a component caller is dropped. With `modules` callers carry the name their module runs under.
     """
     module_id = F.concat(F.lit("module:"), F.col("module"))
     ends = endpoints.withColumn("dst", module_id).withColumn("full_path", F.concat(F.coalesce("context_path", F.lit("")), "path"))
@@ -137,7 +139,13 @@ def consumers(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame, scope: S
     precise = found.where("caller_type = 'component'").select(*keys).distinct()
     twin = (F.col("caller_type") == "module") & (F.col("kind") == "service_call")
     twin = F.coalesce(twin, F.lit(False))
-    return found.where(~twin).unionByName(found.where(twin).join(precise, keys, "left_anti")).distinct()
+    out = found.where(~twin).unionByName(found.where(twin).join(precise, keys, "left_anti")).distinct()
+    if modules is None:
+        return out
+    named = module_runtime_lookup(out.withColumnRenamed("caller_module", "module"), modules, scope)
+    # a gateway is known by its own name
+    shown = F.when(F.col("kind") == "gateway_route", F.col("caller")).otherwise(F.col("module_name"))
+    return named.withColumn("caller_module", shown).select(*out.columns)
 
 
 def find_endpoint(wanted: DataFrame, endpoints: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

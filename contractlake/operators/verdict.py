@@ -54,35 +54,25 @@ def _endpoint_states(base: dict[str, DataFrame], head: dict[str, DataFrame], key
                      complete: bool, pos: str | None) -> DataFrame:
     """Every endpoint of either snapshot with status, counts and verdict.
 
-    Presence travels as marker rows through the same aggregate as the change counts, so no
-    change family has to be joined with the endpoints that exist on both sides.
+    Changes of all families are counted per endpoint first (integers, combined map-side); the counts
+    then meet the paired endpoints, which are already clustered the same way. No family is joined
+    with the endpoints that exist on both sides.
     """
     pairs = diff.pair_routes(base["routes"], head["routes"], keys)
     changes = diff.unscoped_changes(base, head, pairs, keys, pos)
     delta = diff.downstream_delta(base["downstream"], head["downstream"], keys=keys) if "downstream" in base else None
-    none = F.lit(None).cast("string")
     sums = ("breaking", "minor", "additive", "delta")
-    marks = _marks(changes, delta, keys).select(
-        *keys, *sums, F.lit(0).alias("in_base"), F.lit(0).alias("in_head"), none.alias("method"), none.alias("path"))
-    present = pairs.select(
-        *keys, *[F.lit(0).alias(c) for c in sums],
-        F.col("in_base").cast("int").alias("in_base"), F.col("in_head").cast("int").alias("in_head"),
-        F.coalesce("head.method", "base.method").alias("method"), F.coalesce("head.path", "base.path").alias("path"))
-    per_endpoint = marks.unionByName(present).groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in sums], F.max("in_base").alias("in_base"), F.max("in_head").alias("in_head"),
-        F.max("method").alias("method"), F.max("path").alias("path"))
-    known = per_endpoint.where("in_base + in_head > 0")
-    status = F.when(F.col("in_base") == 0, "added").when(F.col("in_head") == 0, "removed").otherwise("changed")
+    counts = _marks(changes, delta, keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    status = F.when(~F.col("in_base"), "added").when(~F.col("in_head"), "removed").otherwise("changed")
+    known = pairs.select(*keys, status.alias("status"), F.coalesce("head.method", "base.method").alias("method"),
+                         F.coalesce("head.path", "base.path").alias("path")).join(counts, list(keys), "left")
     both = F.col("status") == "changed"
-    fixed = {"breaking": F.col("status") == "removed", "minor": F.lit(False), "additive": F.col("status") == "added",
-             "delta": F.lit(False)}
-    known = known.withColumn("status", status)
-    for c in sums:
-        known = known.withColumn(c, F.when(both, F.col(c)).otherwise(fixed[c].cast("long")))
+    # an added or removed endpoint is one change; the items it brought or took along do not count
+    fixed = {"breaking": F.col("status") == "removed", "minor": F.lit(False), "additive": F.col("status") == "added", "delta": F.lit(False)}
+    known = known.withColumns({c: F.when(both, F.coalesce(c, F.lit(0))).otherwise(fixed[c].cast("long")) for c in sums})
     touched = F.when(both, F.col("breaking") + F.col("minor") + F.col("additive") + F.col("delta") > 0)
     touched = touched.when(F.col("status") == "removed", F.lit(complete)).otherwise(F.lit(True))
-    return (known.withColumn("verdict", verdict_of(F.col("breaking"), F.col("minor"), F.col("delta")))
-            .withColumn("touched", touched))
+    return known.withColumns({"verdict": verdict_of(F.col("breaking"), F.col("minor"), F.col("delta")), "touched": touched})
 
 
 def compare_snapshots(base: dict[str, DataFrame], head: dict[str, DataFrame], keys: Sequence[str] = KEYS,

@@ -23,15 +23,15 @@ def _params(side: str) -> str:
     lines, seen = ("l_linenumber <> 5", "true") if side == "base" else ("l_linenumber NOT IN (3, 6)", "l_discount < 0.09")
     return (f"SELECT {API} AS api, {LOC} AS loc, 'p' || l_linenumber AS name, "
             f"'T' || min(CASE WHEN {seen} THEN {TAX} END) AS type, "
-            f"min(CASE WHEN {seen} THEN l_returnflag END) <> 'A' AS required "
+            f"bool_and(CASE WHEN {seen} THEN l_returnflag <> 'A' END) AS required "
             f"FROM lineitem WHERE {lines} GROUP BY l_partkey, l_linenumber")
 
 
 def _fields(side: str) -> str:
     gone, pattern, seen = ("4", "6", "true") if side == "base" else ("7", "5", "l_discount < 0.09")
     return (f"SELECT {API} AS api, 'f' || {TAX} AS path, "
-            f"min(CASE WHEN {seen} THEN l_linestatus END) AS type, "
-            f"min(CASE WHEN {seen} THEN l_returnflag END) = 'R' AS required, "
+            f"'S' || min(CASE WHEN {seen} THEN CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END END) AS type, "
+            f"bool_and(CASE WHEN {seen} THEN l_returnflag = 'R' END) AS required, "
             f"CAST(CAST(min(CASE WHEN {seen} THEN l_quantity END) AS INT) AS VARCHAR(10)) AS rule_min, "
             f"CASE WHEN {TAX} = {pattern} THEN '[a-z]+' END AS rule_pattern "
             f"FROM lineitem WHERE {TAX} <> {gone} GROUP BY l_partkey, {TAX}")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from .bindings import RELATIONS, oracle, relation
-from .registry import Source, query
+from .registry import ORACLE, Source, query
 
 # edges without self loops, each detail with its first position
 RELATIONS["ED"] = "SELECT src, dst, kind, detail, min(pos) AS pos FROM E GROUP BY src, dst, kind, detail"
@@ -155,6 +155,16 @@ def system_roles(src: Source):
     return graph.system_roles(systems, links, ["repo"]).drop("repo")
 
 
+@query("diagram_links", oracle(
+    "SELECT src, dst, CASE WHEN category = 'call' AND dst = (SELECT 'module:region-' || r_regionkey FROM region WHERE r_name = 'ASIA') THEN 'uses library' ELSE kinds END AS kinds, "
+    "CASE WHEN category = 'call' AND dst = (SELECT 'module:region-' || r_regionkey FROM region WHERE r_name = 'ASIA') THEN 'library' ELSE category END AS category "
+    f"FROM ({ORACLE['system_links']}) WHERE NOT (dst IN (SELECT id FROM ({ORACLE['bus_brokers']})) AND kinds = 'connects')"))
+def diagram_links(src: Source):
+    systems, links, _ = _system(src)
+    buses, roles = graph.bus_brokers(links, systems, ["repo"]), graph.system_roles(systems, links, ["repo"])
+    return graph.diagram_links(links, buses, roles, ["repo"]).select("src", "dst", F.array_join("kinds", ",").alias("kinds"), "category")
+
+
 RELATIONS["N3"] = ("SELECT id, type, name, module, technology, host, CASE WHEN type = 'component' THEN CASE WHEN name < 'Supplier#000000020' THEN 'web' "
                    "WHEN name < 'Supplier#000000050' THEN 'service' WHEN name < 'Supplier#000000080' THEN 'data' ELSE 'config' END END AS layer, "
                    "CASE WHEN type = 'component' AND name LIKE '%7' THEN 'controller_advice' WHEN type = 'component' THEN 'service' END AS stereotype FROM N2")

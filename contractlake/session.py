@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # plans are built from many small expressions; recording a stack trace for each costs seconds
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -34,7 +34,7 @@ def parse_reports(df: DataFrame, column: str = "report") -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Report files of a folder: file, report text, parsed `r`, `is_report`. Bad files stay as error rows."""
-    files = spark.read.option("wholetext", True).text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("report"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("report"))
     return parse_reports(files)
 
 
