@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", **{
         # small inputs: two partitions still meet across a shuffle, compiling code would take longer than running it
         "spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
-        "spark.sql.adaptive.enabled": "false", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.adaptive.enabled": "false", "spark.default.parallelism": "1", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     session.sparkContext.setLogLevel("OFF")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
