@@ -225,30 +225,50 @@ def smallest_of_distinct(df: DataFrame, keys: Sequence[str], value: str, k: int)
     return top.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(value))
 
 
+# Downstream groups in the order they are reported.
+DOWNSTREAM_GROUPS = ("databases", "caches", "messaging", "external_apis", "other")
+NAMED_CALLERS = 20
+
+
+def new_dependency_notes(delta: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, new_dependencies, database_delta): one sentence per group with new items, naming the first three.
+
+    There are five groups, so the sentences of an endpoint are few.
+    """
+    group = F.array_position(F.array(*[F.lit(g) for g in DOWNSTREAM_GROUPS]), F.col("grp"))
+    first = smallest_per_group(delta.where("change = 'added'"), [*keys, "grp"], "item", 3)
+    note = F.concat(F.lit("New downstream "), F.replace("grp", F.lit("_"), F.lit(" ")), F.lit(": "), F.array_join("item", ", "),
+                    F.lit(" - check availability, permissions and load"))
+    notes = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(group.alias("o"), note.alias("n")))).alias("_n"))
+    databases = delta.groupBy(*keys).agg(F.bool_or(F.col("grp") == "databases").alias("database_delta"))
+    return databases.join(notes.select(*keys, F.transform("_n", lambda x: x["n"]).alias("new_dependencies")), list(keys), "left")
+
+
 def recommendations(facts: DataFrame) -> DataFrame:
     """Rule-driven sentences, one array per endpoint.
 
-    Reads breaking, stricter_input, response_broken, access_changed, caller_count, callers (first
-    names), shared_users, shared_names (first names) and new_dependencies (first items, by group).
+    Reads breaking, stricter_input, response_broken, access_changed, caller_count, callers (first names),
+    caller_modules (how many names there are), new_dependencies and database_delta (see new_dependency_notes),
+    shared_users and shared_names (first names).
     """
     breaking = F.col("breaking") > 0
-    rules = F.array(
+    more = F.col("caller_modules") - F.size("callers")
+    before = F.array(
         F.when(breaking, F.concat(F.col("breaking").cast("string"), F.lit(
             " breaking change(s): version the endpoint or keep the old contract until clients migrate"))),
         F.when(breaking & (F.col("caller_count") > 0),
-               F.concat(F.lit("Coordinate the release with calling services: "), F.array_join("callers", ", "))),
+               F.concat(F.lit("Coordinate the release with calling services: "), F.array_join("callers", ", "),
+                        F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))),
         F.when(F.col("stricter_input"), F.lit(
             "Stricter input rules: requests that passed before can now fail with 400 - check client payloads")),
         F.when(F.col("response_broken"), F.lit("Response shape changed: update client deserialization and contract tests")),
-        F.when(F.col("access_changed"), F.lit("Access rules changed: verify roles/scopes of every client")),
-        F.when(F.col("new_dependencies").isNotNull(),
-               F.concat(F.lit("New downstream "), F.array_join("new_dependencies", ", "),
-                        F.lit(" - check availability, permissions and load"))),
-        F.when((F.col("shared_users") > 0) & (breaking | F.col("new_dependencies").isNotNull()),
-               F.concat(F.lit("Shares data with "), F.col("shared_users").cast("string"), F.lit(" other endpoint(s) through "),
-                        F.array_join("shared_names", ", "), F.lit(": regression-test them"))),
-    )
-    kept = F.filter(rules, lambda r: r.isNotNull())
+        F.when(F.col("access_changed"), F.lit("Access rules changed: verify roles/scopes of every client")))
+    after = F.array(F.when(
+        (F.col("shared_users") > 0) & (breaking | F.coalesce("database_delta", F.lit(False))),
+        F.concat(F.lit("Shares data with "), F.col("shared_users").cast("string"), F.lit(" other endpoint(s) through "),
+                 F.array_join("shared_names", ", "), F.lit(": regression-test them"))))
+    none = F.array().cast("array<string>")
+    kept = F.filter(F.concat(before, F.coalesce("new_dependencies", none), after), lambda r: r.isNotNull())
     default = F.array(F.lit("No contract change detected between these versions"))
     return facts.withColumn("recommendations", F.when(F.size(kept) > 0, kept).otherwise(default))
 

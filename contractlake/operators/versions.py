@@ -43,7 +43,9 @@ def classify_uploads(uploads: DataFrame, existing: DataFrame | None = None, keys
     if existing is None:
         stored = chunks.withColumn("_stored", F.lit(None).cast("string")).withColumn("_base", F.lit(0).cast("long"))
     else:
-        seed = latest_of(existing, keys, ["signature"]).select(
+        # only the history of uploaded keys is aggregated
+        uploaded = existing.join(uploads.select(*keys).distinct(), list(keys), "left_semi")
+        seed = latest_of(uploaded, keys, ["signature"]).select(
             *keys, F.col("signature").alias("_stored"), F.col("version").cast("long").alias("_base"))
         stored = chunks.join(seed, list(keys), "left").withColumn("_base", F.coalesce("_base", F.lit(0)))
     o = over_chunks(keys)

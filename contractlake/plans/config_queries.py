@@ -96,53 +96,73 @@ def jdbc_target(src: Source):
 
 
 # configuration of one module per part, in the words of real keys
-RELATIONS["APP"] = (
-    "SELECT 'm' || p_partkey AS module, 'default' AS profile, v.key AS key, CASE v.key WHEN 'spring.application.name' THEN 'app-' || p_partkey WHEN 'server.context-path' THEN '/old' "
+_APP_KEYS = (
+    "spring.application.name",
+    "server.context-path",
+    "server.servlet.context-path",
+    "spring.redis.host",
+    "spring.kafka.bootstrap-servers",
+    "spring.config.import",
+    "eureka.client.serviceUrl.defaultZone",
+    "shop.api.url",
+    "spring.cloud.gateway.routes[0].id",
+    "spring.cloud.gateway.routes[0].uri",
+    "spring.cloud.gateway.routes[0].predicates[0]",
+    "spring.cloud.gateway.routes[0].predicates[1]",
+    "spring.cloud.gateway.routes[10].id",
+    "spring.cloud.stream.bindings.out-0.destination",
+    "spring.cloud.stream.bindings.out-0.group",
+    "spring.datasource.url",
+)
+_APP_VALUE = (
+    "CASE key WHEN 'spring.application.name' THEN 'app-' || p_partkey WHEN 'server.context-path' THEN '/old' "
     "WHEN 'server.servlet.context-path' THEN CASE WHEN p_size < 25 THEN '/new' ELSE '' END WHEN 'spring.redis.host' THEN p_brand WHEN 'spring.kafka.bootstrap-servers' THEN 'k:' || p_size "
     "WHEN 'spring.config.import' THEN 'optional:configserver:http://c' || p_size WHEN 'eureka.client.serviceUrl.defaultZone' THEN 'http://e/' "
     "WHEN 'shop.api.url' THEN 'https://me:pw' || p_size || '@shop/x' WHEN 'spring.cloud.gateway.routes[0].id' THEN 'r' || p_partkey WHEN 'spring.cloud.gateway.routes[0].uri' THEN 'lb://svc' "
     "WHEN 'spring.cloud.gateway.routes[0].predicates[0]' THEN 'Path=/a/**' WHEN 'spring.cloud.gateway.routes[0].predicates[1]' THEN 'Path=/b/**' WHEN 'spring.cloud.gateway.routes[10].id' THEN 'ten' "
     "WHEN 'spring.cloud.stream.bindings.out-0.destination' THEN 'topic' || p_size WHEN 'spring.cloud.stream.bindings.out-0.group' THEN p_type "
-    "ELSE 'jdbc:mysql://db' || p_size || ':3306/shop' END AS value FROM part CROSS JOIN (VALUES ('spring.application.name'), ('server.context-path'), ('server.servlet.context-path'), ('spring.redis.host'), "
-    "('spring.kafka.bootstrap-servers'), ('spring.config.import'), ('eureka.client.serviceUrl.defaultZone'), ('shop.api.url'), ('spring.cloud.gateway.routes[0].id'), ('spring.cloud.gateway.routes[0].uri'), "
-    "('spring.cloud.gateway.routes[0].predicates[0]'), ('spring.cloud.gateway.routes[0].predicates[1]'), ('spring.cloud.gateway.routes[10].id'), ('spring.cloud.stream.bindings.out-0.destination'), "
-    "('spring.cloud.stream.bindings.out-0.group'), ('spring.datasource.url')) AS v(key)")
+    "ELSE 'jdbc:mysql://db' || p_size || ':3306/shop' END")
+
+
+def _app(src: Source):
+    rows = src.table("part").withColumn("key", F.explode(F.array(*[F.lit(k) for k in _APP_KEYS])))
+    return rows.select(F.concat(F.lit("m"), "p_partkey").alias("module"), F.lit("default").alias("profile"), "key", F.expr(_APP_VALUE).alias("value"))
 
 
 @query("derive_infrastructure", (
     "SELECT 'm' || p_partkey AS module, 'app-' || p_partkey AS application_name, CASE WHEN p_size < 25 THEN '/new' ELSE '/old' END AS context_path, p_brand AS redis_host, 'k:' || p_size AS kafka, "
     "'http://c' || p_size AS config_server, 'eureka' AS service_discovery, 'http://e/' AS discovery_url FROM part"))
 def derive_infrastructure(src: Source):
-    return config.derive_infrastructure(relation(src, "APP")).select(
+    return config.derive_infrastructure(_app(src)).select(
         "module", "application_name", "context_path", "redis_host", "kafka", "config_server", "service_discovery", "discovery_url")
 
 
 @query("datasources", "SELECT 'm' || p_partkey AS module, 'mysql' AS type, 'db' || p_size AS host, 3306 AS port, 'shop' AS database FROM part")
 def datasources(src: Source):
-    return config.datasources(relation(src, "APP")).select("module", "type", "host", "port", "database")
+    return config.datasources(_app(src)).select("module", "type", "host", "port", "database")
 
 
 @query("external_urls", "SELECT 'm' || p_partkey AS module, 'shop.api.url' AS key, 'https://me:****@shop/x' AS url FROM part")
 def external_urls(src: Source):
-    return config.external_urls(relation(src, "APP"))
+    return config.external_urls(_app(src))
 
 
 @query("stream_bindings", "SELECT 'm' || p_partkey AS module, 'out-0' AS binding, 'topic' || p_size AS destination, p_type AS binding_group FROM part")
 def stream_bindings(src: Source):
-    return config.stream_bindings(relation(src, "APP")).select("module", "binding", "destination", "binding_group")
+    return config.stream_bindings(_app(src)).select("module", "binding", "destination", "binding_group")
 
 
 @query("indexed_groups", (
     "SELECT 'm' || p_partkey AS module, 0 AS idx, 'id=r' || p_partkey || ';predicates[0]=Path=/a/**;predicates[1]=Path=/b/**;uri=lb://svc' AS fields FROM part UNION ALL SELECT 'm' || p_partkey, 10, 'id=ten' FROM part"))
 def indexed_groups(src: Source):
     text = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    return config.indexed_groups(relation(src, "APP"), "spring.cloud.gateway.routes").select("module", "idx", text.alias("fields"))
+    return config.indexed_groups(_app(src), "spring.cloud.gateway.routes").select("module", "idx", text.alias("fields"))
 
 
 @query("gateway_routes", (
     "SELECT 'm' || p_partkey AS module, 'r' || p_partkey AS route_id, 'lb://svc' AS uri, 'Path=/a/**,Path=/b/**' AS predicates FROM part UNION ALL SELECT 'm' || p_partkey, 'ten', '', '' FROM part"))
 def gateway_routes(src: Source):
-    return config.gateway_routes(relation(src, "APP")).select("module", "route_id", F.coalesce("uri", F.lit("")).alias("uri"), F.array_join("predicates", ",").alias("predicates"))
+    return config.gateway_routes(_app(src)).select("module", "route_id", F.coalesce("uri", F.lit("")).alias("uri"), F.array_join("predicates", ",").alias("predicates"))
 
 
 # ---------------------------------------------------------------- build files

@@ -156,18 +156,21 @@ def affected_apis(src: Source):
 # ---------------------------------------------------------------- composed impact
 
 RELATIONS["CALLERS"] = ("SELECT DISTINCT 'part-' || l_partkey AS api, 'cust-' || o_custkey AS caller, CASE WHEN o_orderstatus = 'F' THEN 'mod-' || o_orderpriority ELSE '' END AS caller_module "
-                        "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 48")
+                        "FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 RELATIONS["SHARE"] = ("SELECT 'part-' || l_partkey AS api, CASE WHEN l_returnflag = 'A' THEN 'table' ELSE 'cache' END AS kind, 'sup-' || l_suppkey AS name, CAST(count(*) AS BIGINT) AS others "
-                      "FROM lineitem WHERE l_quantity > 47 GROUP BY l_partkey, CASE WHEN l_returnflag = 'A' THEN 'table' ELSE 'cache' END, l_suppkey")
+                      "FROM lineitem GROUP BY l_partkey, CASE WHEN l_returnflag = 'A' THEN 'table' ELSE 'cache' END, l_suppkey")
 _FLAGS = (f"SELECT api, bool_or(severity = 'breaking' AND (type LIKE 'VALIDATION_ADDED' OR type IN ('VALIDATION_CHANGED', 'PARAM_NOW_REQUIRED', 'REQUEST_FIELD_ADDED'))) AS stricter, "
           f"bool_or(severity = 'breaking' AND type LIKE 'RESPONSE\\_%' ESCAPE '\\') AS response FROM ({ORACLE['compare_changes']}) GROUP BY api")
 _IMPACT = (
     f"SELECT v.api, v.breaking, CASE WHEN breaking > 0 AND (coalesce(c.n, 0) > 0 OR coalesce(s.n, 0) > 0) THEN 'high' WHEN breaking > 0 THEN 'medium' ELSE 'low' END AS impact_level, coalesce(c.n, 0) AS caller_count, "
-    "coalesce(s.n, 0) AS shared_count, coalesce(s.users, 0)::BIGINT AS shared_users, d.items AS new_items, coalesce(f.stricter, false) AS stricter, coalesce(f.response, false) AS response, c.names AS callers, s.names AS shared_names "
+    "coalesce(s.n, 0) AS shared_count, coalesce(s.users, 0)::BIGINT AS shared_users, d.notes AS new_items, coalesce(d.db, false) AS db, coalesce(f.stricter, false) AS stricter, coalesce(f.response, false) AS response, c.names AS callers, s.names AS shared_names "
     f"FROM ({ORACLE['endpoint_verdict']}) v LEFT JOIN ({_FLAGS}) f ON f.api = v.api "
-    "LEFT JOIN (SELECT api, count(*) AS n, array_to_string(list(DISTINCT coalesce(nullif(caller_module, ''), caller) ORDER BY coalesce(nullif(caller_module, ''), caller))[1:20], ', ') AS names FROM CALLERS GROUP BY api) c ON c.api = v.api "
+    "LEFT JOIN (SELECT api, count(*) AS n, array_to_string(list(DISTINCT coalesce(nullif(caller_module, ''), caller) ORDER BY coalesce(nullif(caller_module, ''), caller))[1:20], ', ') || CASE WHEN count(DISTINCT coalesce(nullif(caller_module, ''), caller)) > 20 "
+    "THEN ' and ' || (count(DISTINCT coalesce(nullif(caller_module, ''), caller)) - 20) || ' more' ELSE '' END AS names FROM CALLERS GROUP BY api) c ON c.api = v.api "
     "LEFT JOIN (SELECT api, count(*) AS n, sum(others) FILTER (kind = 'table') AS users, array_to_string(list(DISTINCT name ORDER BY name) FILTER (kind = 'table')[1:3], ', ') AS names FROM SHARE GROUP BY api) s ON s.api = v.api "
-    f"LEFT JOIN (SELECT api, array_to_string(list(DISTINCT grp || ': ' || item ORDER BY grp || ': ' || item)[1:3], ', ') AS items FROM ({ORACLE['diff_downstream']}) WHERE change = 'added' GROUP BY api) d ON d.api = v.api")
+    "LEFT JOIN (SELECT api, string_agg(note, ' | ' ORDER BY CASE grp WHEN 'databases' THEN 1 WHEN 'caches' THEN 2 ELSE 4 END) AS notes, bool_or(grp = 'databases') AS db FROM (SELECT api, grp, "
+    "CASE WHEN count(*) FILTER (change = 'added') > 0 THEN 'New downstream ' || replace(grp, '_', ' ') || ': ' || array_to_string(list(DISTINCT item ORDER BY item) FILTER (change = 'added')[1:3], ', ') || "
+    f"' - check availability, permissions and load' END AS note FROM ({ORACLE['diff_downstream']}) GROUP BY api, grp) GROUP BY api) d ON d.api = v.api")
 
 
 @query("endpoint_impact", oracle(f"SELECT api, impact_level, breaking > 0 AS migration_required, caller_count, shared_count, shared_users FROM ({_IMPACT})"))
@@ -189,8 +192,8 @@ def _impact(src: Source):
     "CASE WHEN breaking > 0 AND caller_count > 0 THEN 'Coordinate the release with calling services: ' || callers END, "
     "CASE WHEN stricter THEN 'Stricter input rules: requests that passed before can now fail with 400 - check client payloads' END, "
     "CASE WHEN response THEN 'Response shape changed: update client deserialization and contract tests' END, "
-    "CASE WHEN new_items IS NOT NULL THEN 'New downstream ' || new_items || ' - check availability, permissions and load' END, "
-    "CASE WHEN shared_users > 0 AND (breaking > 0 OR new_items IS NOT NULL) THEN 'Shares data with ' || shared_users || ' other endpoint(s) through ' || shared_names || ': regression-test them' END), ''), "
+    "new_items, "
+    "CASE WHEN shared_users > 0 AND (breaking > 0 OR db) THEN 'Shares data with ' || shared_users || ' other endpoint(s) through ' || shared_names || ': regression-test them' END), ''), "
     f"'No contract change detected between these versions') AS recommendations FROM ({_IMPACT})"))
 def recommendations(src: Source):
     return _impact(src).select("api", F.array_join("recommendations", " | ").alias("recommendations"))
@@ -215,12 +218,12 @@ def _graph(src: Source):
     near = relations.shared_resources(use.select("kind", "name", F.col("center").alias("user"))).withColumnRenamed("user", "center")
     ends = src.sql("SELECT 'part-' || p_partkey AS center, 'GET /' || p_partkey AS label FROM part")
     callers = src.sql("SELECT DISTINCT 'part-' || l_partkey AS center, 'cust-' || o_custkey AS caller, CASE WHEN o_orderstatus = 'F' THEN 'service_call' ELSE 'gateway_route' END AS kind, 'GET /' || l_partkey AS detail "
-                      "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 48")
+                      "FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
     return relations.impact_graph(ends, callers, use, near)
 
 
 RELATIONS["GCALL"] = ("SELECT DISTINCT 'part-' || l_partkey AS center, 'cust-' || o_custkey AS caller, CASE WHEN o_orderstatus = 'F' THEN 'service_call' ELSE 'gateway_route' END AS kind, 'GET /' || l_partkey AS detail "
-                      "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 48")
+                      "FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 
 
 @query("impact_graph_nodes", oracle(
