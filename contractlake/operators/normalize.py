@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import first_non_empty, non_empty, shown
+from ..functions.core import non_empty, shown
 
 # a producer nests schemas at most four levels deep, the fifth level holds their leaves
 SCHEMA_LEVELS = 5

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import any_of, rule_array
+from ..functions.core import any_of
 from .ordered import CHUNK, previous_values
 from .verdict import smallest_per_group
 

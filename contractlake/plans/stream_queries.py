@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import version_queries  # noqa: F401 - its relations must be registered first
 from ..streaming import uploads
 from .bindings import oracle, snapshot
 from .registry import Source, query
 from .source_queries import _REPORT
-from .version_queries import RELATIONS as _  # noqa: F401 - version relations must be registered first
 from .verdict_queries import _SNAPSHOTS
 
 
