@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality
+from . import fingerprint, language, quality
 from .frames import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op4_language(spark, sf_dir):
     model = language.fit(docs.where(fold("doc_id", 4) != 2))
     return (language.with_language(docs.select("doc_id", "text"), model)
             .select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"))
+
+
+@query
+def op2_fingerprints(spark, sf_dir):
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
