@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, quality
+from . import fingerprint, language, quality, secret_scan
 from .frames import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def op4_language(spark, sf_dir):
 @query
 def op2_fingerprints(spark, sf_dir):
     return fingerprint.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_secrets(spark, sf_dir):
+    found = secret_scan.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
