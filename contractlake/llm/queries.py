@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, quality, secret_scan
+from . import fingerprint, language, packing, quality, secret_scan
 from .frames import fold
 
+# Place of the public vocabulary files; a parameter of the operators that use them.
+TOKENIZERS = "/opt/tokenizers"
+WORD_TOKENIZER = f"{TOKENIZERS}/word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -52,3 +56,9 @@ def op2_fingerprints(spark, sf_dir):
 def op9_secrets(spark, sf_dir):
     found = secret_scan.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query
+def op6_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, WORD_TOKENIZER).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
