@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, packing, quality, secret_scan
+from . import fingerprint, language, packing, quality, secret_scan, vector_join
 from .frames import fold
 
 # Place of the public vocabulary files; a parameter of the operators that use them.
@@ -62,3 +62,8 @@ def op9_secrets(spark, sf_dir):
 def op6_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, WORD_TOKENIZER).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op5_vector_join(spark, sf_dir):
+    return vector_join.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
