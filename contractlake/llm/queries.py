@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, packing, quality, secret_scan, vector_join
+from . import fingerprint, language, packing, quality, secret_scan, shingle_join, vector_join
 from .frames import fold
 
 # Place of the public vocabulary files; a parameter of the operators that use them.
@@ -67,3 +67,8 @@ def op6_packing(spark, sf_dir):
 @query
 def op5_vector_join(spark, sf_dir):
     return vector_join.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@query
+def op8_shingle_join(spark, sf_dir):
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
