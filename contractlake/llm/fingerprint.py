@@ -195,10 +195,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     done = walked.where("kind = 0").drop("part", "kind", "body")
     # one row for each task from here on
     heads = walked.where("kind = 2").select(F.col("part").alias("head"), F.col("body").alias("after"))
-    order = heads.select("head").withColumn("part", F.lag("head").over(Window.orderBy("head")))
-    first = order.where("part is null").select("head")
-    last = order.groupBy().agg(F.max("head").alias("part"))
-    follows = order.where("part is not null").select("part", "head").unionByName(last.crossJoin(first).select("part", "head"))
+    after_it = F.coalesce(F.lead("head").over(Window.orderBy("head")), F.min("head").over(Window.orderBy("head")))
+    follows = heads.select(F.col("head").alias("part"), after_it.alias("head"))
     waiting = walked.where("kind = 1").select("part", "doc_id", "body").join(follows, "part").join(heads, "head")
 
     def finish(batches):

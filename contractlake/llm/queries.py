@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, packing, quality, secret_scan, shingle_join, vector_join
+from . import fingerprint, language, packing, quality, secret_scan, shingle_join, suffix_dedup, vector_join
 from .frames import fold
 
 # Place of the public vocabulary files; a parameter of the operators that use them.
@@ -72,3 +72,9 @@ def op5_vector_join(spark, sf_dir):
 @query
 def op8_shingle_join(spark, sf_dir):
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
