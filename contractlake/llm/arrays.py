@@ -87,15 +87,17 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) ->
 
 
 class Words:
-    """Words of a run of documents: byte starts and ends, document number, 64-bit hash."""
+    """Words of a run of documents: byte starts and ends, document number, 64-bit hash. `gaps`: the bytes between words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE):
         self.n_docs = len(offsets) - 1
+        up, self._down = powers(len(data))
+        self._total = np.zeros(len(data) + 1, U64)
         if not len(data):
             self.start = self.end = self.doc = np.zeros(0, np.int64)
             self.hash = np.zeros(0, U64)
         else:
-            inside = ~SPACE[data]
+            inside = ~gaps[data]
             edge = np.zeros(len(data) + 1, bool)
             edge[offsets] = True
             begins, stops = inside.copy(), inside.copy()
@@ -103,13 +105,15 @@ class Words:
             stops[:-1] &= ~inside[1:] | edge[1:-1]
             self.start, self.end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
             self.doc = np.searchsorted(offsets, self.start, "right") - 1
-            up, down = powers(len(data))
-            total = np.zeros(len(data) + 1, U64)
-            np.cumsum(WORD_BYTES[data] * up[:len(data)], out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+            np.cumsum(WORD_BYTES[data] * up[:len(data)], out=self._total[1:])
+            self.hash = self.spans(self.start, self.end)
         self.counts = np.bincount(self.doc, minlength=self.n_docs)
         self.first = np.cumsum(self.counts) - self.counts
 
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the bytes start:end."""
+        return mix((self._total[end] - self._total[start]) * self._down[start] + (end - start).astype(U64))
+
 
 _STEPS = byte_table(2)
 

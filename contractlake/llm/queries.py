@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, packing, quality, secret_scan, shingle_join, suffix_dedup, vector_join
+from . import fingerprint, language, packing, pieces, quality, secret_scan, shingle_join, suffix_dedup, toxicity, vector_join
 from .frames import fold
 
 # Place of the public vocabulary files; a parameter of the operators that use them.
 TOKENIZERS = "/opt/tokenizers"
 WORD_TOKENIZER = f"{TOKENIZERS}/word_bpe_49k.json"
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +33,14 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality.Machine:
     return quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0, metadata=("n_chars",))
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scale = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 5) != 0)
+    return toxicity.with_severity(docs, scale).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "grade", "severity", "p_toxic",
+                                                      (F.col("p_toxic") >= 0.3).cast("int").alias("toxic"))
+
+
 @query
 def op3_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
@@ -78,3 +87,9 @@ def op8_shingle_join(spark, sf_dir):
 def op7_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op10_pieces(spark, sf_dir):
+    found = pieces.with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
+    return found.select("doc_id", *[name for name, _ in pieces.COLUMNS])
