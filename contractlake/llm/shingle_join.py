@@ -46,7 +46,7 @@ MEMBERS_PER_TASK = 256
 
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of integers, first all lowest bytes, then the next."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def _from_planes(data: memoryview, n: int, kind: str) -> np.ndarray:

@@ -6,8 +6,8 @@
 4. secrets: secrets, also inside encoded layers, are masked.
 5. packing: every document, closed by a separator, gets places in sequences of 2048 tokens. Returns the pieces.
 
-Stages 3 and 4 change `text`, and `n_chars` with it. Documents with a null doc_id pass through stage 2 alone. Rows are kept as they are otherwise,
-repeated ones too, but for the copies that stages 2 and 3 take out. An empty table gives an empty result.
+Stages 3 and 4 change `text`, and `n_chars` with it. Documents with a null doc_id pass through stage 2 alone. Rows that repeat a doc_id are one document. Rows are kept as they are otherwise,
+repeated ones too. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are near duplicates the one with the smallest doc_id; of rows with that doc_id one."""
+    """Of documents that are near duplicates the one with the smallest doc_id. Rows that repeat a doc_id are one document: they stay or go together."""
     groups = shingle_join.near_duplicates(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
