@@ -177,7 +177,8 @@ def test_removal_by_brute_force(spark, monkeypatch, least, hot, block):
 
 
 def test_removal_replaces_text(spark):
-    passage = "".join(random.Random(4).choice("abcdef") for _ in range(150))
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdef") for _ in range(150))
     docs = spark.createDataFrame([(1, passage), (2, "é" + passage + "ü"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(docs, replace=True).collect()}
     assert got == {1: passage, 2: "éü", 3: None}
