@@ -29,6 +29,7 @@ from .frames import components
 BLOCK = 8
 TILE_ROWS = 8192
 SLACK = 1e-9
+SIFT = 1e-5
 # Forward half of the neighbouring cells; the vector itself is at home in (0, 0).
 _VISITS = ((0, 1), (1, -1), (1, 0), (1, 1))
 
@@ -148,21 +149,31 @@ def links(reps: DataFrame, cosine: float, kind: str = "<f4", tile_rows: int = TI
         y = (_unit(vectors) @ rotation(size))[:, block]
         square = (y * y).sum(axis=1)
         length = np.linalg.norm(vectors, axis=1)
-        left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+        # one product gives squared distances; single precision only sifts, with room for its error
+        ones = np.ones(len(y))
+        near = np.column_stack([-2 * y, square, ones]).astype(np.float32)
+        far = np.column_stack([y, ones, square]).astype(np.float32)
+        # both sides in order of the third coordinate, so that only rows within the radius of it are multiplied
+        third = y[:, 2] if y.shape[1] > 2 else np.zeros(len(y))
+        left, right = (side[np.argsort(third[side])] for side in (np.flatnonzero(tile == low), np.flatnonzero(tile == high)))
+        radius, order, far = np.sqrt(most) + SLACK, third[right], far[right].T
         found = []
-        for k in range(0, len(left), 512):
-            i = left[k:k + 512]
-            distance = square[i, None] + square[None, right] - 2 * (y[i] @ y[right].T)
-            p, q = np.nonzero(distance <= most + SLACK)
-            p, q = i[p], right[q]
-            some = (home[p] | home[q]) & (ids[p] != ids[q])
-            if low == high:
-                some &= p < q
-            p, q = p[some], q[some]
-            for c in range(0, len(p), 4096):
-                a, b = p[c:c + 4096], q[c:c + 4096]
-                same = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (length[a] * length[b]) >= cosine
-                found.append((a[same], b[same]))
+        for k in range(0, len(left), 128):
+            i = left[k:k + 128]
+            start, stop = np.searchsorted(order, third[i[0]] - radius), np.searchsorted(order, third[i[-1]] + radius, "right")
+            for at in range(start, stop, 4096):
+                to = min(at + 4096, stop)
+                close = (near[i] @ far[:, at:to]) <= np.float32(most + SIFT)
+                p, q = np.divmod(np.flatnonzero(close), to - at)
+                p, q = i[p], right[at + q]
+                some = (home[p] | home[q]) & (ids[p] != ids[q])
+                if low == high:
+                    some &= p < q
+                p, q = p[some], q[some]
+                for c in range(0, len(p), 4096):
+                    a, b = p[c:c + 4096], q[c:c + 4096]
+                    same = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (length[a] * length[b]) >= cosine
+                    found.append((a[same], b[same]))
         p, q = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in (0, 1))
         swap = ids[p] > ids[q]
         p, q = np.where(swap, q, p), np.where(swap, p, q)
