@@ -101,7 +101,7 @@ def snake_case(name: Column) -> Column:
 
 
 def decapitalized(name: Column) -> Column:
-    return F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, 2, 10_000))
+    return F.concat(F.lower(F.substring(name, 1, 1)), F.substr(name, F.lit(2)))
 
 
 def default_table(name: Column, store: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import first_non_empty, non_empty
-from .verdict import NAMED_CALLERS, impact_level, new_dependency_notes, recommendations, smallest_of_distinct, smallest_per_group
+from .verdict import impact_level, new_dependency_notes, recommendations, smallest_of_distinct, smallest_per_group
 
 # ---------------------------------------------------------------- paths and patterns
 
@@ -191,8 +191,17 @@ def resource_users(usage: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     return distinct.join(hubs, [*scope, "kind", "name"])
 
 
-def shared_resources(usage: DataFrame, scope: Sequence[str] = (), shown: int = 8) -> DataFrame:
-    """Per endpoint and shared resource: how many others use it and the first of them by name."""
+def shared_resources(usage: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Per endpoint and shared resource, (kind, name, user, others): how many others use it.
+
+    The others are the rows of the same resource (star form), all of them.
+    """
+    found = resource_users(usage, scope)
+    return found.select(*scope, "kind", "name", "user", (F.col("users") - 1).alias("others"))
+
+
+def first_sharers(usage: DataFrame, scope: Sequence[str] = (), shown: int = 8) -> DataFrame:
+    """Per endpoint and shared resource: how many others use it and the first `shown` of them by name, for display."""
     keys = [*scope, "kind", "name"]
     distinct = usage.select(*keys, "user").distinct()
     hubs = distinct.groupBy(*keys).agg(F.count("*").alias("_users")).where("_users > 1")
@@ -232,18 +241,15 @@ def endpoint_impact(verdicts: DataFrame, inputs: DataFrame, callers: DataFrame,
     shared: key, kind, name, others; delta: key, grp, item, change.
     """
     keys = [*scope, key]
-    who = callers.select(*keys, F.coalesce(non_empty("caller_module"), "caller").alias("callers")).distinct()
     caller_counts = callers.distinct().groupBy(*keys).agg(F.count("*").alias("caller_count"))
-    caller_modules = who.groupBy(*keys).agg(F.count("*").alias("caller_modules"))
-    caller_names = smallest_of_distinct(who, keys, "callers", NAMED_CALLERS)
     shared_counts = shared.groupBy(*keys).agg(
         F.count("*").alias("shared_count"), F.sum(F.when(F.col("kind") == "table", F.col("others")).otherwise(0)).alias("shared_users"))
     shared_names = smallest_per_group(shared.where("kind = 'table'").select(*keys, F.col("name").alias("shared_names")), keys, "shared_names", 3)
     flags = inputs.drop("changes", "breaking")
     out = verdicts
-    for part in (flags, caller_counts, caller_modules, caller_names, shared_counts, shared_names, new_dependency_notes(delta, keys)):
+    for part in (flags, caller_counts, shared_counts, shared_names, new_dependency_notes(delta, keys)):
         out = out.join(part, keys, "left")
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("caller_count", "caller_modules", "shared_count", "shared_users")})
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("caller_count", "shared_count", "shared_users")})
     out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("stricter_input", "response_broken", "access_changed")})
     total = F.col("breaking") + F.col("minor") + F.col("additive")
     level = impact_level(F.col("breaking"), total, F.col("caller_count"), F.col("shared_count"), F.col("delta"))

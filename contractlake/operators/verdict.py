@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import plural, rule_array, severity_rank, verdict_name, verdict_rank
+from ..functions.core import non_empty, plural, rule_array, severity_rank, verdict_name, verdict_rank
 from . import diff
 from .snapshots import on_both_sides
 
@@ -227,7 +227,7 @@ def smallest_of_distinct(df: DataFrame, keys: Sequence[str], value: str, k: int)
 
 # Downstream groups in the order they are reported.
 DOWNSTREAM_GROUPS = ("databases", "caches", "messaging", "external_apis", "other")
-NAMED_CALLERS = 20
+COORDINATE = "Coordinate the release with calling services"
 
 
 def new_dependency_notes(delta: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -247,18 +247,15 @@ def new_dependency_notes(delta: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
 def recommendations(facts: DataFrame) -> DataFrame:
     """Rule-driven sentences, one array per endpoint.
 
-    Reads breaking, stricter_input, response_broken, access_changed, caller_count, callers (first names),
-    caller_modules (how many names there are), new_dependencies and database_delta (see new_dependency_notes),
-    shared_users and shared_names (first names).
+    Reads breaking, stricter_input, response_broken, access_changed, caller_count, new_dependencies and
+    database_delta (see new_dependency_notes), shared_users and shared_names (first names). The sentence `COORDINATE`
+    concerns every calling service; `recommendation_rows` names them, one row each.
     """
     breaking = F.col("breaking") > 0
-    more = F.col("caller_modules") - F.size("callers")
     before = F.array(
         F.when(breaking, F.concat(F.col("breaking").cast("string"), F.lit(
             " breaking change(s): version the endpoint or keep the old contract until clients migrate"))),
-        F.when(breaking & (F.col("caller_count") > 0),
-               F.concat(F.lit("Coordinate the release with calling services: "), F.array_join("callers", ", "),
-                        F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))),
+        F.when(breaking & (F.col("caller_count") > 0), F.lit(COORDINATE)),
         F.when(F.col("stricter_input"), F.lit(
             "Stricter input rules: requests that passed before can now fail with 400 - check client payloads")),
         F.when(F.col("response_broken"), F.lit("Response shape changed: update client deserialization and contract tests")),
@@ -273,6 +270,17 @@ def recommendations(facts: DataFrame) -> DataFrame:
     return facts.withColumn("recommendations", F.when(F.size(kept) > 0, kept).otherwise(default))
 
 
+def recommendation_rows(found: DataFrame, callers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, recommendation, name): one row per sentence, and for `COORDINATE` one per calling service, however many there are.
+
+    found: result of recommendations; callers: keys, caller, caller_module.
+    """
+    rows = found.select(*keys, F.explode("recommendations").alias("recommendation"))
+    names = callers.select(*keys, F.coalesce(non_empty("caller_module"), "caller").alias("name")).distinct()
+    alone = rows.where(F.col("recommendation") != COORDINATE).withColumn("name", F.lit(None).cast("string"))
+    return alone.unionByName(rows.where(F.col("recommendation") == COORDINATE).join(names, list(keys)))
+
+
 def impact_facts(counts: DataFrame, scanner_based: bool = True) -> DataFrame:
     """Verdict text and fact sentences from counts: changes, breaking, minor, callers, sharers, added, removed."""
     if scanner_based:

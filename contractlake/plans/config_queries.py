@@ -23,7 +23,7 @@ def parse_properties(src: Source):
     "WHEN 'objs[0].q' THEN event_type ELSE 'True' END AS value FROM events, (VALUES ('a.b'), ('list'), ('list[0]'), ('list[1]'), ('list[2]'), ('objs[0].q'), ('objs[1].r.s')) AS v(key)"))
 def flatten_config(src: Source):
     doc = ("'{\"a\":{\"b\":' || get_json_object(props, '$.k') || '},\"list\":[\"x\",null,' || user_id || '],\"objs\":[{\"q\":\"' || event_type || '\"},{\"r\":{\"s\":true}}]}'")
-    return config.flatten_config(src.sql(f"SELECT event_id, {doc} AS content FROM events"), ["event_id"]).drop("doc")
+    return config.flatten_config(src.sql(f"SELECT event_id, {doc} AS content FROM events"), ["event_id"]).select("event_id", "key", "value")
 
 
 RELATIONS["CFG"] = ("SELECT 'm' || user_id AS module, CASE event_type WHEN 'click' THEN '' WHEN 'view' THEN 'default' ELSE event_type END AS profile, "
@@ -43,15 +43,16 @@ def effective_values(src: Source):
 
 
 @query("apply_central", (
-    "WITH m AS (SELECT 'm' || p_partkey AS module, CASE WHEN p_size < 25 THEN 'svc-' || p_partkey ELSE 'svc' || p_partkey END AS app, p_type = 'PROMO' AS client FROM part) "
-    "SELECT module, '' AS profile, 'shared' AS key, 'all' AS value FROM m WHERE client UNION ALL SELECT module, 'dev', 'shared', 'dev' FROM m WHERE client UNION ALL "
-    "SELECT module, 'prod', 'own', app FROM m"))
+    "WITH m AS (SELECT p_brand AS repo, 'm' || p_partkey AS module, CASE WHEN p_size < 25 THEN 'svc-' || p_partkey ELSE 'svc' || p_partkey END AS app, p_type = 'PROMO' AS client FROM part) "
+    "SELECT repo, module, '' AS profile, 'shared' AS key, 'all-' || repo AS value, 0 AS \"order\" FROM m WHERE client UNION ALL SELECT repo, module, 'dev', 'shared', 'dev', 0 FROM m WHERE client UNION ALL "
+    "SELECT repo, module, 'prod', 'own', app, 0 FROM m UNION ALL SELECT repo, module, 'default', p_name, p_name, 1 FROM m JOIN part ON module = 'm' || p_partkey"))
 def apply_central(src: Source):
-    modules = src.sql("SELECT 'm' || p_partkey AS module, CASE WHEN p_size < 25 THEN 'svc-' || p_partkey ELSE 'svc' || p_partkey END AS app_name, p_type = 'PROMO' AS is_client FROM part")
-    shared = src.sql("SELECT DISTINCT CASE WHEN r_regionkey < 3 THEN 'application' ELSE 'application-dev' END AS stem, 'shared' AS key, CASE WHEN r_regionkey < 3 THEN 'all' ELSE 'dev' END AS value FROM region")
-    own = modules.select(F.concat("app_name", F.lit("-prod")).alias("stem"), F.lit("own").alias("key"), F.col("app_name").alias("value"))
-    none = src.sql("SELECT CAST(NULL AS STRING) AS module, CAST(NULL AS STRING) AS profile, p_name AS key, p_name AS value, CAST(1 AS BIGINT) AS source_order FROM part").where("module IS NOT NULL")
-    return config.apply_central(none, shared.unionByName(own), modules).drop("source_order")
+    modules = src.sql("SELECT p_brand AS repo, 'm' || p_partkey AS module, CASE WHEN p_size < 25 THEN 'svc-' || p_partkey ELSE 'svc' || p_partkey END AS app_name, p_type = 'PROMO' AS is_client FROM part")
+    shared = src.sql("SELECT DISTINCT p_brand AS repo, s AS stem, 'shared' AS key, CASE s WHEN 'application' THEN 'all-' || p_brand ELSE 'dev' END AS value FROM part LATERAL VIEW explode(array('application', 'application-dev')) AS s")
+    own = modules.select("repo", F.concat("app_name", F.lit("-prod")).alias("stem"), F.lit("own").alias("key"), F.col("app_name").alias("value"))
+    local = src.sql("SELECT p_brand AS repo, 'm' || p_partkey AS module, 'default' AS profile, p_name AS key, p_name AS value, CAST(1 AS BIGINT) AS source_order FROM part")
+    found = config.apply_central(local, shared.unionByName(own), modules)
+    return found.select("repo", "module", "profile", "key", "value", F.when(F.col("source_order") < config.CENTRAL_ORDER, 1).otherwise(0).alias("order"))
 
 
 _HOLDERS = "SELECT 'm' || p_partkey AS module, 'default' AS profile, v.key, CASE v.key WHEN 'url' THEN 'http://${host}:${port:80}/${miss}/${zone:eu}' WHEN 'host' THEN '${name}.local' WHEN 'name' THEN p_name ELSE p_brand END AS value FROM part, (VALUES ('url'), ('host'), ('name'), ('plain')) AS v(key)"

@@ -124,13 +124,16 @@ def resource_users(src: Source):
     return relations.resource_users(_usage(src))
 
 
-_SHARED = ("SELECT u.kind, u.name, u.\"user\", h.users - 1 AS others, list_filter(t.first, lambda x: x <> u.\"user\")[1:8] AS near FROM USE u JOIN HUB h ON u.name = h.name JOIN "
-           "(SELECT name, list(\"user\" ORDER BY \"user\")[1:9] AS first FROM USE GROUP BY name) t ON t.name = u.name")
+@query("shared_resources", oracle("SELECT u.kind, u.name, u.\"user\", h.users - 1 AS others FROM USE u JOIN HUB h ON u.name = h.name"))
+def shared_resources(src: Source):
+    return relations.shared_resources(_usage(src))
 
 
-@query("shared_resources", oracle(f"SELECT kind, name, \"user\", others, array_to_string(near, ',') AS also_used_by FROM ({_SHARED})"))
-def shared_resources(src: Source):
-    return relations.shared_resources(_usage(src)).select("kind", "name", "user", "others", F.array_join("also_used_by", ",").alias("also_used_by"))
+@query("first_sharers", oracle(
+    "SELECT u.kind, u.name, u.\"user\", h.users - 1 AS others, array_to_string(list_filter(t.first, lambda x: x <> u.\"user\")[1:8], ',') AS also_used_by FROM USE u JOIN HUB h ON u.name = h.name JOIN "
+    "(SELECT name, list(\"user\" ORDER BY \"user\")[1:9] AS first FROM USE GROUP BY name) t ON t.name = u.name"))
+def first_sharers(src: Source):
+    return relations.first_sharers(_usage(src)).select("kind", "name", "user", "others", F.array_join("also_used_by", ",").alias("also_used_by"))
 
 
 @query("published_topics", (
@@ -163,14 +166,13 @@ _FLAGS = (f"SELECT api, bool_or(severity = 'breaking' AND (type LIKE 'VALIDATION
           f"bool_or(severity = 'breaking' AND type LIKE 'RESPONSE\\_%' ESCAPE '\\') AS response FROM ({ORACLE['compare_changes']}) GROUP BY api")
 _IMPACT = (
     f"SELECT v.api, v.breaking, CASE WHEN breaking > 0 AND (coalesce(c.n, 0) > 0 OR coalesce(s.n, 0) > 0) THEN 'high' WHEN breaking > 0 THEN 'medium' ELSE 'low' END AS impact_level, coalesce(c.n, 0) AS caller_count, "
-    "coalesce(s.n, 0) AS shared_count, coalesce(s.users, 0)::BIGINT AS shared_users, d.notes AS new_items, coalesce(d.db, false) AS db, coalesce(f.stricter, false) AS stricter, coalesce(f.response, false) AS response, c.names AS callers, s.names AS shared_names "
+    "coalesce(s.n, 0) AS shared_count, coalesce(s.users, 0)::BIGINT AS shared_users, coalesce(d.db, false) AS db, coalesce(f.stricter, false) AS stricter, coalesce(f.response, false) AS response, s.names AS shared_names "
     f"FROM ({ORACLE['endpoint_verdict']}) v LEFT JOIN ({_FLAGS}) f ON f.api = v.api "
-    "LEFT JOIN (SELECT api, count(*) AS n, array_to_string(list(DISTINCT coalesce(nullif(caller_module, ''), caller) ORDER BY coalesce(nullif(caller_module, ''), caller))[1:20], ', ') || CASE WHEN count(DISTINCT coalesce(nullif(caller_module, ''), caller)) > 20 "
-    "THEN ' and ' || (count(DISTINCT coalesce(nullif(caller_module, ''), caller)) - 20) || ' more' ELSE '' END AS names FROM CALLERS GROUP BY api) c ON c.api = v.api "
+    "LEFT JOIN (SELECT api, count(*) AS n FROM CALLERS GROUP BY api) c ON c.api = v.api "
     "LEFT JOIN (SELECT api, count(*) AS n, sum(others) FILTER (kind = 'table') AS users, array_to_string(list(DISTINCT name ORDER BY name) FILTER (kind = 'table')[1:3], ', ') AS names FROM SHARE GROUP BY api) s ON s.api = v.api "
-    "LEFT JOIN (SELECT api, string_agg(note, ' | ' ORDER BY CASE grp WHEN 'databases' THEN 1 WHEN 'caches' THEN 2 ELSE 4 END) AS notes, bool_or(grp = 'databases') AS db FROM (SELECT api, grp, "
-    "CASE WHEN count(*) FILTER (change = 'added') > 0 THEN 'New downstream ' || replace(grp, '_', ' ') || ': ' || array_to_string(list(DISTINCT item ORDER BY item) FILTER (change = 'added')[1:3], ', ') || "
-    f"' - check availability, permissions and load' END AS note FROM ({ORACLE['diff_downstream']}) GROUP BY api, grp) GROUP BY api) d ON d.api = v.api")
+    f"LEFT JOIN (SELECT api, bool_or(grp = 'databases') AS db FROM ({ORACLE['diff_downstream']}) GROUP BY api) d ON d.api = v.api")
+_NOTES = ("SELECT api, 'New downstream ' || replace(grp, '_', ' ') || ': ' || array_to_string(list(DISTINCT item ORDER BY item)[1:3], ', ') || ' - check availability, permissions and load' AS note "
+          f"FROM ({ORACLE['diff_downstream']}) WHERE change = 'added' GROUP BY api, grp")
 
 
 @query("endpoint_impact", oracle(f"SELECT api, impact_level, breaking > 0 AS migration_required, caller_count, shared_count, shared_users FROM ({_IMPACT})"))
@@ -187,16 +189,19 @@ def _impact(src: Source):
                                      relation(src, "CALLERS"), relation(src, "SHARE"), delta)
 
 
+_NO_NAME = "CAST(NULL AS VARCHAR) AS name"
+
+
 @query("recommendations", oracle(
-    "SELECT api, coalesce(nullif(concat_ws(' | ', CASE WHEN breaking > 0 THEN breaking || ' breaking change(s): version the endpoint or keep the old contract until clients migrate' END, "
-    "CASE WHEN breaking > 0 AND caller_count > 0 THEN 'Coordinate the release with calling services: ' || callers END, "
-    "CASE WHEN stricter THEN 'Stricter input rules: requests that passed before can now fail with 400 - check client payloads' END, "
-    "CASE WHEN response THEN 'Response shape changed: update client deserialization and contract tests' END, "
-    "new_items, "
-    "CASE WHEN shared_users > 0 AND (breaking > 0 OR db) THEN 'Shares data with ' || shared_users || ' other endpoint(s) through ' || shared_names || ': regression-test them' END), ''), "
-    f"'No contract change detected between these versions') AS recommendations FROM ({_IMPACT})"))
+    f"SELECT * FROM (WITH i AS MATERIALIZED ({_IMPACT}), r AS (SELECT api, breaking || ' breaking change(s): version the endpoint or keep the old contract until clients migrate' AS recommendation, {_NO_NAME} FROM i WHERE breaking > 0 UNION ALL "
+    "SELECT i.api, 'Coordinate the release with calling services', c.name FROM i JOIN (SELECT DISTINCT api, coalesce(nullif(caller_module, ''), caller) AS name FROM CALLERS) c ON c.api = i.api WHERE breaking > 0 UNION ALL "
+    "SELECT api, 'Stricter input rules: requests that passed before can now fail with 400 - check client payloads', NULL FROM i WHERE stricter UNION ALL "
+    "SELECT api, 'Response shape changed: update client deserialization and contract tests', NULL FROM i WHERE response UNION ALL "
+    f"SELECT i.api, n.note, NULL FROM i JOIN ({_NOTES}) n ON n.api = i.api UNION ALL "
+    "SELECT api, 'Shares data with ' || shared_users || ' other endpoint(s) through ' || shared_names || ': regression-test them', NULL FROM i WHERE shared_users > 0 AND (breaking > 0 OR db)) "
+    "SELECT * FROM r UNION ALL SELECT api, 'No contract change detected between these versions', NULL FROM i WHERE api NOT IN (SELECT api FROM r))"))
 def recommendations(src: Source):
-    return _impact(src).select("api", F.array_join("recommendations", " | ").alias("recommendations"))
+    return verdict.recommendation_rows(_impact(src), relation(src, "CALLERS"), K)
 
 
 @query("stored_change_severity", oracle(
@@ -215,7 +220,7 @@ RELATIONS["GNEAR"] = ("SELECT u.center, u.name, unnest(list_filter(t.first, lamb
 
 def _graph(src: Source):
     use = src.sql("SELECT DISTINCT 'part-' || l_partkey AS center, 'table' AS kind, 'sup-' || l_suppkey AS name, 'READ' AS operation FROM lineitem WHERE l_returnflag = 'A'")
-    near = relations.shared_resources(use.select("kind", "name", F.col("center").alias("user"))).withColumnRenamed("user", "center")
+    near = relations.first_sharers(use.select("kind", "name", F.col("center").alias("user"))).withColumnRenamed("user", "center")
     ends = src.sql("SELECT 'part-' || p_partkey AS center, 'GET /' || p_partkey AS label FROM part")
     callers = src.sql("SELECT DISTINCT 'part-' || l_partkey AS center, 'cust-' || o_custkey AS caller, CASE WHEN o_orderstatus = 'F' THEN 'service_call' ELSE 'gateway_route' END AS kind, 'GET /' || l_partkey AS detail "
                       "FROM lineitem JOIN orders ON l_orderkey = o_orderkey")

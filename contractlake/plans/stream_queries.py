@@ -48,15 +48,31 @@ def _hits(events):
     return events.select("event_type", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6 * 60)).alias("at"))
 
 
-@query("rate_audit")
+def _limiter(hits: str, order: str) -> str:
+    """SQL: decisions on hits(account, id, at), one after the other along each account; `live` are the admitted hits of the last minute."""
+    return ("WITH RECURSIVE h AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY account ORDER BY " + order + f") AS n FROM ({hits})), "
+            "r AS (SELECT account, id, \"at\", n, 0 AS wait, [\"at\"] AS kept FROM h WHERE n = 1 UNION ALL "
+            "SELECT account, id, \"at\", n, CASE WHEN len(live) >= 5 THEN greatest(1, CAST(floor(live[1] + 60 - \"at\") AS INT) + 1) ELSE 0 END, "
+            "CASE WHEN len(live) >= 5 THEN live ELSE list_append(live, \"at\") END "
+            "FROM (SELECT h.*, list_filter(r.kept, lambda x: x > h.\"at\" - 60) AS live FROM r JOIN h ON h.account = r.account AND h.n = r.n + 1))")
+
+
+@query("rate_audit", _limiter("SELECT event_type AS account, event_id AS id, epoch_us(ts) / 60000000.0::DOUBLE AS \"at\" FROM events", "id") +
+       " SELECT account AS event_type, id AS event_id, \"at\", wait FROM r")
 def rate_audit(src: Source):
     return uploads.rate_audit(_hits(src.table("events")), ["event_type"], "event_id", "at", 5)
 
 
-@query("stream_rate_audit")
+# the same hits as a stream; a hit is decided once the watermark, ten minutes behind the last one, has passed it
+_SQUEEZED = "CAST(floor(epoch_us(ts) / 60) AS BIGINT)"
+
+
+@query("stream_rate_audit", _limiter(f"SELECT event_type AS account, event_id AS id, {_SQUEEZED} / 1e6::DOUBLE AS \"at\", {_SQUEEZED} AS us FROM events", "us, id").replace(
+    "h.*", "h.* EXCLUDE (us)") + f" SELECT r.account AS event_type, h.us, r.wait FROM r JOIN h ON h.account = r.account AND h.n = r.n WHERE h.us < (SELECT (max({_SQUEEZED}) // 1000 - 600000) * 1000 FROM events)")
 def stream_rate_audit(src: Source):
-    rows = uploads.stream_rate_audit(_hits(_stream(src, "events")), "event_type", "at", 5)
-    return uploads.run_available(rows, uploads.scratch_folder(src.spark, "limits"))
+    events = _stream(src, "events").select("event_type", F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60)).alias("at"))
+    rows = uploads.stream_rate_audit(events, "event_type", "at", 5)
+    return uploads.run_available(rows, uploads.scratch_folder(src.spark, "limits")).select("event_type", F.unix_micros("at").alias("us"), "wait")
 
 
 @query("stream_gate", oracle(f"SELECT api, status, verdict, verdict = 'hold' AS failed FROM ({_SNAPSHOTS}) WHERE status <> 'removed'"))

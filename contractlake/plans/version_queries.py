@@ -193,7 +193,13 @@ def qa_plan_index(src: Source):
     return versions.qa_plan_index(plans, K)
 
 
-@query("doc_line_diff")
+@query("doc_line_diff", (
+    "WITH p AS (SELECT conv_id, turn AS v2, \"text\" AS new, lag(turn) OVER w AS v1, lag(\"text\") OVER w AS old FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), "
+    "l AS (SELECT conv_id, v1, v2, unnest(string_split(old, chr(10))) AS line, generate_subscripts(string_split(old, chr(10)), 1) AS pos FROM p WHERE v1 IS NOT NULL), "
+    "r AS (SELECT conv_id, v1, v2, unnest(string_split(new, chr(10))) AS line, generate_subscripts(string_split(new, chr(10)), 1) AS pos FROM p WHERE v1 IS NOT NULL), "
+    "ln AS (SELECT *, row_number() OVER (PARTITION BY conv_id, v1, v2, line ORDER BY pos) AS n FROM l), rn AS (SELECT *, row_number() OVER (PARTITION BY conv_id, v1, v2, line ORDER BY pos) AS n FROM r) "
+    "SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.v1, b.v1) AS v1, coalesce(a.v2, b.v2) AS v2, CASE WHEN a.pos IS NULL THEN 'add' WHEN b.pos IS NULL THEN 'remove' ELSE 'same' END AS status, "
+    "coalesce(a.line, b.line) AS \"text\", a.pos AS left_line, b.pos AS right_line FROM ln a FULL JOIN rn b ON a.conv_id = b.conv_id AND a.v1 = b.v1 AND a.v2 = b.v2 AND a.line = b.line AND a.n = b.n"))
 def doc_line_diff(src: Source):
     turns = src.table("conversations").select("conv_id", F.col("turn").alias("version"), "text")
     pairs = versions.version_pairs(turns, ["conv_id"], "text")

@@ -80,7 +80,7 @@ def parse_diff_hunks(diffs: DataFrame, keys: Sequence[str], text: str = "diff")
     sections = F.split(F.concat(F.lit("\n"), F.col(text)), r"\r?\n\+\+\+ ")
     rows = diffs.select(*keys, F.explode(F.slice(sections, 2, F.size(sections))).alias("s"))
     name = F.regexp_replace(F.regexp_extract("s", r"^([^\r\n]*)", 1), r"\s+$", "")
-    files = rows.withColumn("file", name).where(F.col("file").startswith("b/")).withColumn("file", F.substring("file", 3, 100_000))
+    files = rows.withColumn("file", name).where(F.col("file").startswith("b/")).withColumn("file", F.substr(F.col("file"), F.lit(3)))
     hunk = r"(?m)^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
     zipped = F.arrays_zip(F.regexp_extract_all("s", F.lit(hunk), F.lit(1)).alias("a"), F.regexp_extract_all("s", F.lit(hunk), F.lit(2)).alias("n"))
     hunks = files.select(*keys, "file", F.explode(zipped).alias("h"))

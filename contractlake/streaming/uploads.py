@@ -7,8 +7,8 @@ batch operators, so a replayed batch writes the same rows again.
 from __future__ import annotations
 
 import uuid
-from collections import deque
-from collections.abc import Callable, Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -89,14 +89,22 @@ def read_versions(spark: SparkSession, path: str, before: int | None = None) ->
 
 # ---------------------------------------------------------------- rate limits
 
-def _allow(hits: deque, now: float, limit: int) -> int:
-    """Seconds to wait, 0 when allowed. Only allowed hits are remembered, so the deque holds at most `limit`."""
-    while hits and hits[0] <= now - WINDOW_SECONDS:
-        hits.popleft()
-    if len(hits) >= limit:
-        return max(1, int(hits[0] + WINDOW_SECONDS - now) + 1)
-    hits.append(now)
-    return 0
+def waits(times: Iterable[float], limit: int, admitted: list[float]) -> list[int]:
+    """Seconds each hit has to wait, 0 when it is admitted, under `limit` admitted hits in any minute.
+
+    A hit is admitted when the limit-th last admitted one is at least a minute old. `admitted` holds the last `limit` of them, oldest first, and is
+    brought up to date. Denied hits leave no trace; they are told the whole seconds until a place is free, rounded up past it.
+    """
+    out = []
+    for now in times:
+        left = admitted[-limit] + WINDOW_SECONDS - now if len(admitted) >= limit else 0.0
+        if left > 0:
+            out.append(max(1, int(left) + 1))
+            continue
+        admitted.append(now)
+        del admitted[:-limit]
+        out.append(0)
+    return out
 
 
 def rate_sessions(hits: DataFrame, keys: Sequence[str], pos: str, seconds: str, size: int = CHUNK) -> DataFrame:
@@ -131,32 +139,53 @@ def rate_audit(hits: DataFrame, keys: Sequence[str], pos: str, seconds: str, lim
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields) + ", wait int"
 
     def audit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, times = None, deque()
+        current, admitted = None, []
         for batch in batches:
-            waits = []
+            found = []
             for group, now in zip(zip(*[batch[c] for c in [*keys, "session"]]), batch[seconds]):
                 if group != current:
-                    current, times = group, deque()
-                waits.append(_allow(times, float(now), limit))
-            yield batch[columns].assign(wait=waits)
+                    current, admitted = group, []
+                found += waits([float(now)], limit, admitted)
+            yield batch[columns].assign(wait=found)
 
     return ordered.mapInPandas(audit, out_schema).drop("session")
 
 
-def stream_rate_audit(hits: DataFrame, key: str, seconds: str, limit: int) -> DataFrame:
-    """The limiter over a stream: the remembered times of an account are its state."""
-    key_type = dict(hits.dtypes)[key]
+def stream_rate_audit(hits: DataFrame, key: str, ts: str, limit: int, delay: str = "10 minutes") -> DataFrame:
+    """The limiter over a stream: (key, ts, wait) of every hit, once it is older than the watermark.
+
+    Hits may arrive up to `delay` late and in any order: they wait in the account's state until the watermark has passed them, and are judged by
+    event time. The state holds the waiting hits and the last `limit` admitted ones, and expires a minute after the last.
+    Later hits are dropped, as with any watermark. An account's decisions depend on each other, so one account is one task at a time.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
+    window = int(WINDOW_SECONDS * 1000)
 
     def audit(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = deque(state.get[0]) if state.exists else deque()
+        waiting, admitted = (list(x) for x in state.get) if state.exists else ([], [])
         for batch in batches:
-            ordered = batch.sort_values(seconds, kind="stable")
-            waits = [_allow(times, float(now), limit) for now in ordered[seconds]]
-            yield pd.DataFrame({key: [group[0]] * len(waits), seconds: ordered[seconds].to_numpy(), "wait": waits})
-        state.update((list(times),))
+            waiting += batch["_us"].tolist()
+        mark = state.getCurrentWatermarkMs()
+        waiting.sort()
+        ready = waiting[:bisect_left(waiting, mark * 1000)]
+        waiting = waiting[len(ready):]
+        seconds = [t / 1e6 for t in admitted]
+        found = waits([t / 1e6 for t in ready], limit, seconds)
+        admitted = (admitted + [t for t, w in zip(ready, found) if not w])[-limit:]
+        last = waiting[0] // 1000 if waiting else admitted[-1] // 1000 + window if admitted else 0
+        if last <= mark and not waiting:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((waiting, admitted))
+            state.setTimeoutTimestamp(max(last, mark) + 1)
+        yield pd.DataFrame({key: [group[0]] * len(ready), ts: pd.to_datetime(ready, unit="us", utc=True), "wait": found})
 
-    return hits.groupBy(key).applyInPandasWithState(
-        audit, f"`{key}` {key_type}, `{seconds}` double, wait int", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    if limit <= 0:
+        return hits.select(key, ts, F.lit(0).alias("wait"))
+    timed = hits.select(key, ts, F.unix_micros(ts).alias("_us")).withWatermark(ts, delay)
+    return timed.groupBy(key).applyInPandasWithState(
+        audit, f"`{key}` {fields[key]}, `{ts}` timestamp, wait int", "waiting array<long>, admitted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- gate

@@ -186,7 +186,8 @@ def test_dispatch_and_chains(spark):
 
 def test_shared_resources_star(spark):
     use = spark.createDataFrame([("table", "orders", u) for u in "abcdefghijkl"] + [("table", "solo", "a"), ("cache", "orders", "b")], "kind string, name string, user string")
-    found = {r.user: (r.others, r.also_used_by) for r in relations.shared_resources(use).collect()}
+    assert rows(relations.shared_resources(use), "user", "others") == [(u, 11) for u in "abcdefghijkl"]
+    found = {r.user: (r.others, r.also_used_by) for r in relations.first_sharers(use).collect()}
     assert set(found) == set("abcdefghijkl") and found["a"] == (11, list("bcdefghi")) and found["l"] == (11, list("abcdefgh"))
 
 

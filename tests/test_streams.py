@@ -28,12 +28,24 @@ def test_versions_over_several_files(spark, tmp_path):
 
 
 def test_streamed_limits_equal_batch(spark, tmp_path):
-    times = [0.0, 1.0, 2.0, 30.0, 61.5, 62.0, 62.5, 130.0]
-    hits = spark.createDataFrame([("k", i, t) for i, t in enumerate(times)], "key string, pos long, at double")
-    hits.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(hits.schema).parquet(str(tmp_path / "in"))
-    out = uploads.run_available(uploads.stream_rate_audit(stream, "key", "at", 3), str(tmp_path / "run"))
-    assert rows(out, "at", "wait") == rows(uploads.rate_audit(hits, ["key"], "pos", "at", 3), "at", "wait")
+    """Hits in any order, in several micro-batches, more than an Arrow batch of them for one account; the last ten minutes stay undecided."""
+    rnd, now, hits = random.Random(3), 0, []
+    for _ in range(1500):
+        now += rnd.choice([0, 500, 3000, 11_000, 59_000, 60_000])
+        hits.append((rnd.choice("kkkj"), now))
+    late = sorted(range(len(hits)), key=lambda i: hits[i][1] + rnd.random() * 500_000)
+    for part in range(3):
+        some = [hits[i] for i in late[part * 500:(part + 1) * 500]]
+        spark.createDataFrame(some, "key string, ms long").select("key", F.timestamp_millis("ms").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        out = rows(uploads.run_available(uploads.stream_rate_audit(stream, "key", "ts", 3), str(tmp_path / "run")).select("key", F.unix_millis("ts"), "wait"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    frame = spark.createDataFrame([(k, i, ms / 1000) for i, (k, ms) in enumerate(hits)], "key string, pos long, at double")
+    decided = uploads.rate_audit(frame, ["key"], "pos", "at", 3).where(F.col("at") * 1000 < now - 600_000)
+    assert out == rows(decided.select("key", (F.col("at") * 1000).cast("long"), "wait"))
 
 
 def test_duplicates_count_once(spark, tmp_path):

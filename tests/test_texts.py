@@ -69,12 +69,20 @@ def test_masking_and_urls(spark):
     assert value(spark, config.jdbc_target(F.col("u")), u="jdbc:h2:mem:test").in_memory
 
 
-def test_yaml_documents(spark):
-    pytest.importorskip("yaml")
-    doc = "server:\n  port: 80\nlist: [a, b]\n---\nspring: {name: x, items: [{id: 1}]}\n"
-    found = config.flatten_config(spark.createDataFrame([("f", doc)], "file string, content string"), fmt="yaml")
-    assert rows(found, "doc", "key", "value") == [(0, "list", "a,b"), (0, "list[0]", "a"), (0, "list[1]", "b"), (0, "server.port", "80"),
-                                                 (1, "spring.items[0].id", "1"), (1, "spring.name", "x")]
+def test_nested_documents(spark):
+    docs = [("f", '{"server": {"port": 80}, "list": ["a", null, true], "deep": [{"id": 1.5}, [{"x": "y"}]], "none": null, "no": [], "empty": {}}'), ("bad", "{oops"), ("list", "[1]"), ("blank", " "), ("null", None)]
+    found = config.flatten_config(spark.createDataFrame(docs, "file string, content string"))
+    assert rows(found) == sorted([("f", "server.port", "80", False), ("f", "list", "a,,True", False), ("f", "list[0]", "a", False), ("f", "list[1]", "", False), ("f", "list[2]", "True", False),
+                                  ("f", "deep[0].id", "1.5", False), ("f", "deep[1][0].x", "y", False), ("f", "none", "", False), ("f", "no", "", False), ("bad", None, None, True)], key=repr)
+    assert config.flatten_config(spark.createDataFrame([], "file string, content string")).count() == 0
+
+
+def test_central_files_stay_in_their_repository(spark):
+    modules = spark.createDataFrame([("r1", "m", "svc", True), ("r2", "m", "svc", True)], "repo string, module string, app_name string, is_client boolean")
+    central = spark.createDataFrame([("r1", "application-" + "p" * 300, "k", "1"), ("r2", "svc-prod", "k", "2"), ("r2", "application", "s", "3")], "repo string, stem string, key string, value string")
+    local = spark.createDataFrame([("r1", "m", "", "k", "0", 1)], "repo string, module string, profile string, key string, value string, source_order long")
+    found = config.apply_central(local, central, modules)
+    assert rows(found, "repo", "module", "profile", "value") == sorted([("r1", "m", "", "0"), ("r1", "m", "p" * 300, "1"), ("r2", "m", "", "3"), ("r2", "m", "prod", "2")], key=repr)
 
 
 def test_placeholder_cycles_end(spark):
@@ -110,5 +118,9 @@ def test_mapper_and_files(spark):
     xml = '<mapper namespace="n"><sql id="c">a, b</sql><select id="s">SELECT <include refid="c"/>\n FROM t</select></mapper>'
     found = builds.mapper_statements(spark.createDataFrame([("f", xml), ("g", "<broken mapper namespace")], "file string, content string"), ["file"])
     assert rows(found, "id", "operation", "sql") == [("s", "READ", "SELECT a, b FROM t")]
+    xml = ('<?xml version="1.0"?><!-- <select id="x">no</select> --><mapper namespace="n.s"><resultMap id="r"/><resultMap id="q" type="T"><id column="i"/></resultMap><sql id="w">WHERE a &lt; $1</sql>'
+           "<insert id='i'>INSERT <![CDATA[ INTO t VALUES (a < b && c) ]]></insert><update\n id=\"u\" x='a>b'>UPDATE t <if test=\"a > 1\">SET a=#{a}</if><include refid=\"w\"></include></update><delete>x</delete><select id=\"e\"/></mapper>")
+    found = builds.mapper_statements(spark.createDataFrame([("f", xml)], "file string, content string"), ["file"])
+    assert rows(found, "namespace", "entity", "id", "operation", "sql") == [("n.s", "T", "i", "WRITE", "INSERT INTO t VALUES (a < b && c)"), ("n.s", "T", "u", "WRITE", "UPDATE t SET a=#{a}WHERE a < $1")]
     paths = spark.createDataFrame([("src/main/A.java",), ("src/test/java/A.java",), ("build/A.java",), ("a/src/it/x.java",), ("a/source/test/x.java",), ("A.kt",)], "path string")
     assert rows(files.source_files(paths, ".java")) == [("a/source/test/x.java",), ("src/main/A.java",)]
