@@ -9,52 +9,40 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..session import cut_lineage
-
-
-# hops taken per round, and the frontier size from which single hops are cheaper than fewer rounds
-HOPS = 4
-LARGE_FRONTIER = 1_000_000
-
-
-def _hop(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    return nodes.join(links, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
+from ..session import cut_lineage, release, scratch_path, write_scratch
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False, max_depth: int | None = None) -> DataFrame:
     """(origin, node, depth) of every node reachable from the seeds, at its smallest depth.
 
     edges(src, dst), seeds(origin, node). A seed itself appears only when it lies on a cycle,
-    unless `include_seeds` adds all of them at depth 0. Small frontiers take several hops per round:
-    nodes met on the way at several depths keep the smallest, and only the outermost go on.
+    unless `include_seeds` adds all of them at depth 0. Each round takes one hop from the nodes found last, drops
+    those known before, and adds the rest to one table by depth; the number of rows it wrote ends the loop.
     """
-    links = cut_lineage(edges.select("src", "dst").distinct())
-    start = seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0))
-    frontier = cut_lineage(start)
-    size = frontier.count()
-    found: list[DataFrame] = [frontier] if include_seeds else []
-    depth = 0
+    spark = edges.sparkSession
+    links, links_path = write_scratch(edges.select("src", "dst").distinct())
+    path = scratch_path(spark, "closure")
+    schema = StructType([*seeds.select("origin", "node").schema, StructField("depth", IntegerType())])
+
+    def add(rows: DataFrame, depth: int) -> int:
+        written = Observation()
+        rows.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/depth={depth}")
+        return written.get["n"]
+
+    known = lambda: spark.read.schema(schema).parquet(path)
+    size, depth = add(seeds.select("origin", "node").distinct(), 0), 0
+    first = 0 if include_seeds else 1
     while size and (max_depth is None or depth < max_depth):
-        hops = HOPS if size < LARGE_FRONTIER else 1
-        if max_depth is not None:
-            hops = min(hops, max_depth - depth)
-        ring, rings = frontier.select("origin", "node"), []
-        for i in range(1, hops + 1):
-            ring = _hop(ring, links)
-            rings.append(ring.withColumn("depth", F.lit(depth + i)))
-        met = reduce(DataFrame.unionByName, rings).groupBy("origin", "node").agg(F.min("depth").alias("depth"))
-        if found:
-            known = reduce(DataFrame.unionByName, found).select("origin", "node")
-            met = met.join(known, ["origin", "node"], "left_anti")
-        new = cut_lineage(met)
-        depth += hops
-        found.append(new)
-        frontier = new.where(F.col("depth") == depth)
-        size = frontier.count()
-    return reduce(DataFrame.unionByName, found) if found else start.where("false")
+        frontier = spark.read.schema(StructType(schema[:2])).parquet(f"{path}/depth={depth}")
+        ring = frontier.join(links, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
+        depth += 1
+        size = add(ring.join(known().where(F.col("depth") >= first).select("origin", "node"), ["origin", "node"], "left_anti"), depth)
+    release(spark, links_path)
+    return known().where(F.col("depth") >= first)
 
 
 def call_tree(edges: DataFrame, roots: DataFrame, max_depth: int = 6) -> DataFrame:

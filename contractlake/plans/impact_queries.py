@@ -56,10 +56,10 @@ def reachable_methods(src: Source):
 
 @query("call_tree", oracle(
     "SELECT * FROM (WITH RECURSIVE t AS (SELECT node AS root, [node] AS path, node, 0 AS depth FROM SEEDS UNION ALL "
-    "SELECT t.root, list_append(t.path, g.callee), g.callee, t.depth + 1 FROM t JOIN G g ON g.caller = t.node WHERE t.depth < 4 "
+    "SELECT t.root, list_append(t.path, g.callee), g.callee, t.depth + 1 FROM t JOIN G g ON g.caller = t.node WHERE t.depth < 6 "
     "AND NOT list_contains(t.path[1:t.depth], t.node)) SELECT root, array_to_string(path, '>') AS path, depth FROM t WHERE depth > 0)"))
 def call_tree_paths(src: Source):
-    tree = call_tree(_edges(src), relation(src, "SEEDS"), max_depth=4)
+    tree = call_tree(_edges(src), relation(src, "SEEDS"))
     return tree.select("root", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "depth")
 
 
