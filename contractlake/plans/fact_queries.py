@@ -74,7 +74,7 @@ def is_subtype(src: Source):
     return types.is_subtype(ty, refs, _supers(src), "T3")
 
 
-RELATIONS["FLD"] = ("SELECT l_partkey AS owner, 'f' || l_linenumber AS name, min(l_returnflag) AS field_type FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey, l_linenumber")
+RELATIONS["FLD"] = ("SELECT l_partkey AS owner, 'f' || l_linenumber AS name, min(l_returnflag) AS field_type FROM lineitem GROUP BY l_partkey, l_linenumber")
 RELATIONS["SC"] = "SELECT p_partkey AS type, p_partkey AS scope, 0 AS scope_depth FROM part UNION ALL SELECT p_partkey, (3 * p_partkey + 1) % (SELECT count(*) FROM part), 1 FROM part"
 RELATIONS["FREF"] = "SELECT DISTINCT l_suppkey AS type, 'f' || l_linenumber AS name FROM lineitem"
 

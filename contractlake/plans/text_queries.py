@@ -71,13 +71,17 @@ def doc_dependency_graph(src: Source):
 
 
 _NEAR = ("SELECT m.page_id AS target, t.page_id AS neighbour, t.token FROM TOK m JOIN TOK t ON m.token = t.token AND m.page_id <> t.page_id "
-         "WHERE m.page_id = (SELECT max(page_id) FROM pages)")
+         "WHERE m.page_id % 100 = 0")
+
+
+def _wanted(src: Source):
+    # the pages asked for; they are compared with all pages
+    return src.sql("SELECT page_id FROM pages WHERE page_id % 100 = 0")
 
 
 def _neighbours(src: Source):
     tokens = text.extract_endpoints(src.table("pages"), ["page_id"], "html")
-    newest = src.sql("SELECT max(page_id) AS page_id FROM pages")
-    return text.related_documents(tokens, newest, "page_id")
+    return text.related_documents(tokens, _wanted(src), "page_id")
 
 
 @query("related_documents", oracle(
@@ -88,16 +92,15 @@ def related_documents(src: Source):
 
 
 @query("doc_impact", oracle(
-    "SELECT l.page_id, impact_level, CASE WHEN l.page_id = (SELECT max(page_id) FROM pages) THEN "
-    f"(SELECT count(DISTINCT neighbour) FROM ({_NEAR})) ELSE 0 END AS affected, CASE impact_level WHEN 'high' THEN 3 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 "
-    f"ELSE 0 END + CASE WHEN removed > 0 THEN 1 ELSE 0 END + CASE WHEN l.page_id = (SELECT max(page_id) FROM pages) AND "
-    f"(SELECT count(*) FROM ({_NEAR})) > 0 THEN 1 ELSE 0 END AS advice FROM (SELECT *, {_LEVEL} AS impact_level FROM LEVELS) l"))
+    "SELECT l.page_id, impact_level, coalesce(n.affected, 0) AS affected, CASE impact_level WHEN 'high' THEN 3 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 "
+    f"ELSE 0 END + CASE WHEN removed > 0 THEN 1 ELSE 0 END + CASE WHEN n.affected > 0 THEN 1 ELSE 0 END AS advice FROM (SELECT *, {_LEVEL} AS impact_level FROM LEVELS) l "
+    f"LEFT JOIN (SELECT target, count(DISTINCT neighbour) AS affected FROM ({_NEAR}) GROUP BY target) n ON n.target = l.page_id WHERE l.page_id % 100 = 0"))
 def doc_impact(src: Source):
     near = _neighbours(src)
     counts = near.groupBy(F.col("target").alias("page_id")).agg(F.count("*").alias("affected"))
     first = text.smallest_per_group(near.select(F.col("target").alias("page_id"), F.col("neighbour").cast("string").alias("names")),
                                     ["page_id"], "names", 3)
-    d = _delta(src).join(counts, "page_id", "left").join(first, "page_id", "left")
+    d = _delta(src).join(_wanted(src), "page_id", "left_semi").join(counts, "page_id", "left").join(first, "page_id", "left")
     affected = F.coalesce("affected", F.lit(0))
     advice = text.doc_recommendations(F.col("impact_level"), affected, F.coalesce("names", F.array().cast("array<string>")), F.size("removed"))
     return d.select("page_id", "impact_level", affected.alias("affected"), F.size(advice).alias("advice"))
