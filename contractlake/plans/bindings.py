@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .registry import Source, with_relations
 
 API = "'part-' || l_partkey"
@@ -55,11 +56,13 @@ RELATIONS: dict[str, str] = {
                "ELSE 'external_apis' END AS grp, 'sys-' || l_suppkey AS item FROM lineitem WHERE l_linestatus = 'F'"),
     "D_head": (f"SELECT DISTINCT {API} AS api, CASE l_returnflag WHEN 'A' THEN 'databases' WHEN 'N' THEN 'caches' "
                "ELSE 'external_apis' END AS grp, 'sys-' || l_suppkey AS item FROM lineitem WHERE l_linestatus = 'O'"),
-    # access rows: one endpoint per nation, one annotation per supplier
-    "A_base": ("SELECT 'nation-' || s_nationkey AS api, 'PreAuthorize' AS annotation, s_name AS expression "
-               "FROM supplier WHERE s_acctbal >= 0"),
-    "A_head": ("SELECT 'nation-' || s_nationkey AS api, 'PreAuthorize' AS annotation, s_name AS expression "
-               "FROM supplier WHERE s_acctbal < 9000"),
+    # access rows: one annotation per part, some parts without
+    "A_base": "SELECT 'part-' || p_partkey AS api, 'PreAuthorize' AS annotation, 'role-' || p_size AS expression FROM part WHERE p_size <> 31",
+    "A_head": ("SELECT 'part-' || p_partkey AS api, 'PreAuthorize' AS annotation, CASE WHEN p_size = 23 THEN 'admin' ELSE 'role-' || p_size END AS expression "
+               "FROM part WHERE p_size <> 37"),
+    # response fields, one per order line that is a parameter too
+    "O_base": "SELECT api, 'r' || substr(name, 2, 9) AS path, type FROM P_base",
+    "O_head": "SELECT api, 'r' || substr(name, 2, 9) AS path, type FROM P_head",
     # version events: a signature per upload
     "V": ("SELECT 'repo-' || substr(event_type, 1, 1) AS repo, 'user-' || user_id AS api, "
           "CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'mid' ELSE 'high' END AS signature, "
@@ -94,7 +97,10 @@ def oracle(body: str) -> str:
 
 def fields(src: Source, side: str) -> DataFrame:
     """F relation with its rules as a map."""
-    df = relation(src, f"F_{side}")
+    return with_rules(relation(src, f"F_{side}"))
+
+
+def with_rules(df: DataFrame) -> DataFrame:
     rules = F.map_filter(F.create_map(F.lit("min"), F.col("rule_min"), F.lit("pattern"), F.col("rule_pattern")),
                          lambda k, v: v.isNotNull())
     return df.select("api", "path", "type", "required", rules.alias("rules"))
@@ -107,10 +113,13 @@ def access(src: Source, side: str) -> DataFrame:
 
 
 def snapshot(src: Source, side: str) -> dict[str, DataFrame]:
-    """Everything `compare_snapshots` reads, keyed by `api`."""
-    f = fields(src, side)
+    """Everything `compare_snapshots` reads, keyed by `api`.
+
+    Each family that comes from order lines is worked out and written once; the comparison reads it several times.
+    """
+    params, f = cut_lineage(relation(src, f"P_{side}")), cut_lineage(relation(src, f"F_{side}"))
     return {
-        "routes": relation(src, f"R_{side}"), "params": relation(src, f"P_{side}"), "request_fields": f,
-        "response_fields": f.select("api", "path", "type"), "statuses": relation(src, f"S_{side}"),
-        "downstream": relation(src, f"D_{side}"),
+        "routes": relation(src, f"R_{side}"), "params": params, "request_fields": with_rules(f),
+        "response_fields": params.selectExpr("api", "'r' || substr(name, 2, 9) AS path", "type"),
+        "statuses": relation(src, f"S_{side}"), "security": access(src, side), "downstream": relation(src, f"D_{side}"),
     }

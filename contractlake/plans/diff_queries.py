@@ -134,8 +134,7 @@ def _req(src: Source):
 
 
 def _resp(src: Source):
-    pick = lambda side: fields(src, side).select("api", "path", "type")
-    return diff.response_field_changes(pick("base"), pick("head"), _both(src), K)
+    return diff.response_field_changes(relation(src, "O_base"), relation(src, "O_head"), _both(src), K)
 
 
 def _rules(src: Source):
@@ -193,7 +192,7 @@ def diff_validation_removed(src: Source):
 
 @query("diff_response_field_removed", oracle(
     f"SELECT h.api, 'breaking' AS severity, h.path AS item, {_F} || ' is no longer returned' AS detail "
-    f"FROM F_base h {B} AND NOT EXISTS (SELECT 1 FROM F_head b WHERE {_FKEY})"))
+    f"FROM O_base h {B} AND NOT EXISTS (SELECT 1 FROM O_head b WHERE {_FKEY})"))
 def diff_response_field_removed(src: Source):
     return _kind(_resp(src), "RESPONSE_FIELD_REMOVED")
 
@@ -201,14 +200,14 @@ def diff_response_field_removed(src: Source):
 @query("diff_response_field_type_changed", oracle(
     f"SELECT h.api, 'breaking' AS severity, h.path AS item, "
     f"{_F} || ': ' || coalesce(b.type, 'None') || ' → ' || coalesce(h.type, 'None') AS detail "
-    f"FROM F_head h JOIN F_base b ON {_FKEY} {B} AND b.type IS DISTINCT FROM h.type"))
+    f"FROM O_head h JOIN O_base b ON {_FKEY} {B} AND b.type IS DISTINCT FROM h.type"))
 def diff_response_field_type_changed(src: Source):
     return _kind(_resp(src), "RESPONSE_FIELD_TYPE_CHANGED")
 
 
 @query("diff_response_field_added", oracle(
     f"SELECT h.api, 'additive' AS severity, h.path AS item, {_F} || ' (' || coalesce(h.type, 'None') || ')' AS detail "
-    f"FROM F_head h {B} AND NOT EXISTS (SELECT 1 FROM F_base b WHERE {_FKEY})"))
+    f"FROM O_head h {B} AND NOT EXISTS (SELECT 1 FROM O_base b WHERE {_FKEY})"))
 def diff_response_field_added(src: Source):
     return _kind(_resp(src), "RESPONSE_FIELD_ADDED")
 
@@ -248,9 +247,9 @@ _SEC = "(SELECT api, string_agg(annotation || ':' || expression, ', ' ORDER BY a
 @query("diff_security_changed", oracle(
     "SELECT coalesce(b.api, h.api) AS api, 'breaking' AS severity, '' AS item, 'access rules changed' AS detail, "
     "b.f AS \"old\", h.f AS \"new\" FROM " + _SEC.format("A_base") + " b FULL JOIN " + _SEC.format("A_head") +
-    " h ON b.api = h.api WHERE b.f IS DISTINCT FROM h.f"))
+    " h ON b.api = h.api WHERE b.f IS DISTINCT FROM h.f AND coalesce(b.api, h.api) IN (SELECT api FROM R_both)"))
 def diff_security_changed(src: Source):
-    return _kind(diff.security_changes(access(src, "base"), access(src, "head"), None, K), "SECURITY_CHANGED")
+    return _kind(diff.security_changes(access(src, "base"), access(src, "head"), _both(src), K), "SECURITY_CHANGED")
 
 
 @query("diff_downstream", oracle(

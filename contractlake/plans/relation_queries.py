@@ -164,10 +164,10 @@ RELATIONS["CALLERS"] = ("SELECT DISTINCT 'part-' || l_partkey AS api, 'cust-' ||
 RELATIONS["SHARE"] = ("SELECT 'part-' || l_partkey AS api, CASE WHEN l_returnflag = 'A' THEN 'table' ELSE 'cache' END AS kind, 'sup-' || l_suppkey AS name, CAST(count(*) AS BIGINT) AS others "
                       "FROM lineitem GROUP BY l_partkey, CASE WHEN l_returnflag = 'A' THEN 'table' ELSE 'cache' END, l_suppkey")
 _FLAGS = (f"SELECT api, bool_or(severity = 'breaking' AND (type LIKE 'VALIDATION_ADDED' OR type IN ('VALIDATION_CHANGED', 'PARAM_NOW_REQUIRED', 'REQUEST_FIELD_ADDED'))) AS stricter, "
-          f"bool_or(severity = 'breaking' AND type LIKE 'RESPONSE\\_%' ESCAPE '\\') AS response FROM ({ORACLE['compare_changes']}) GROUP BY api")
+          f"bool_or(severity = 'breaking' AND type LIKE 'RESPONSE\\_%' ESCAPE '\\') AS response, bool_or(type = 'SECURITY_CHANGED') AS access FROM ({ORACLE['compare_changes']}) GROUP BY api")
 _IMPACT = (
     f"SELECT v.api, v.breaking, CASE WHEN breaking > 0 AND (coalesce(c.n, 0) > 0 OR coalesce(s.n, 0) > 0) THEN 'high' WHEN breaking > 0 THEN 'medium' ELSE 'low' END AS impact_level, coalesce(c.n, 0) AS caller_count, "
-    "coalesce(s.n, 0) AS shared_count, coalesce(s.users, 0)::BIGINT AS shared_users, coalesce(d.db, false) AS db, coalesce(f.stricter, false) AS stricter, coalesce(f.response, false) AS response, s.names AS shared_names "
+    "coalesce(s.n, 0) AS shared_count, coalesce(s.users, 0)::BIGINT AS shared_users, coalesce(d.db, false) AS db, coalesce(f.stricter, false) AS stricter, coalesce(f.response, false) AS response, coalesce(f.access, false) AS access, s.names AS shared_names "
     f"FROM ({ORACLE['endpoint_verdict']}) v LEFT JOIN ({_FLAGS}) f ON f.api = v.api "
     "LEFT JOIN (SELECT api, count(*) AS n FROM CALLERS GROUP BY api) c ON c.api = v.api "
     "LEFT JOIN (SELECT api, count(*) AS n, sum(others) FILTER (kind = 'table') AS users, array_to_string(list(DISTINCT name ORDER BY name) FILTER (kind = 'table')[1:3], ', ') AS names FROM SHARE GROUP BY api) s ON s.api = v.api "
@@ -198,6 +198,7 @@ _NO_NAME = "CAST(NULL AS VARCHAR) AS name"
     "SELECT i.api, 'Coordinate the release with calling services', c.name FROM i JOIN (SELECT DISTINCT api, coalesce(nullif(caller_module, ''), caller) AS name FROM CALLERS) c ON c.api = i.api WHERE breaking > 0 UNION ALL "
     "SELECT api, 'Stricter input rules: requests that passed before can now fail with 400 - check client payloads', NULL FROM i WHERE stricter UNION ALL "
     "SELECT api, 'Response shape changed: update client deserialization and contract tests', NULL FROM i WHERE response UNION ALL "
+    "SELECT api, 'Access rules changed: verify roles/scopes of every client', NULL FROM i WHERE access UNION ALL "
     f"SELECT i.api, n.note, NULL FROM i JOIN ({_NOTES}) n ON n.api = i.api UNION ALL "
     "SELECT api, 'Shares data with ' || shared_users || ' other endpoint(s) through ' || shared_names || ': regression-test them', NULL FROM i WHERE shared_users > 0 AND (breaking > 0 OR db)) "
     "SELECT * FROM r UNION ALL SELECT api, 'No contract change detected between these versions', NULL FROM i WHERE api NOT IN (SELECT api FROM r))"))

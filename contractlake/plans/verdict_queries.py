@@ -15,7 +15,7 @@ K = ("api",)
 _KINDS = ("endpoint_changed", "request_body_changed", "response_type_changed", "param_added", "param_type_changed",
           "param_now_required", "param_removed", "request_field_added", "request_field_type_changed", "request_field_removed",
           "validation_added", "validation_changed", "validation_removed", "response_field_removed", "response_field_type_changed",
-          "response_field_added", "success_status_changed", "error_status_added", "error_status_removed")
+          "response_field_added", "success_status_changed", "error_status_added", "error_status_removed", "security_changed")
 
 
 def _body(key: str) -> str:
@@ -78,7 +78,7 @@ def gate(src: Source):
 
 @query("change_area", (
     "SELECT type, area, count(*) AS n FROM (SELECT type, CASE WHEN starts_with(type, 'ENDPOINT') THEN 'Endpoint' WHEN starts_with(type, 'REQUEST') THEN 'Request body' "
-    "WHEN starts_with(type, 'RESPONSE') THEN 'Response' WHEN starts_with(type, 'PARAM') THEN 'Parameters' WHEN starts_with(type, 'VALIDATION') THEN 'Validation' "
+    "WHEN starts_with(type, 'RESPONSE') THEN 'Response' WHEN starts_with(type, 'PARAM') THEN 'Parameters' WHEN starts_with(type, 'VALIDATION') THEN 'Validation' WHEN starts_with(type, 'SECURITY') THEN 'Security' "
     f"ELSE 'Status codes' END AS area FROM ({_changes_sql()} UNION ALL {_changes_sql(('endpoint_added', 'endpoint_removed'))})) GROUP BY ALL"))
 def change_area(src: Source):
     rows = verdict.compare_changes(*_both_sides(src), keys=K)
