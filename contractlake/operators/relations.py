@@ -98,11 +98,21 @@ def match_templates(urls: DataFrame, templates: DataFrame, by: Sequence[str], ur
     return masked.join(shaped, [*by, "_n", "_mask", "_key"]).drop("_n", "_mask", "_key")
 
 
+# shares of the paths that meet patterns without a literal part
+SALTS = 16
+
+
 def match_patterns(paths: DataFrame, patterns: DataFrame, by: Sequence[str], path: str, pattern: str, regex: str) -> DataFrame:
-    """Paths joined with wildcard patterns: equality on a literal prefix first, the regex only on what meets."""
-    left = paths.withColumn("_prefix", F.explode(path_prefixes(F.col(path))))
-    right = patterns.withColumn("_prefix", literal_prefix(F.col(pattern)))
-    return left.join(right, [*by, "_prefix"]).where(F.expr(f"`{path}` RLIKE `{regex}`")).drop("_prefix")
+    """Paths joined with wildcard patterns: equality on a literal prefix first, the regex only on what meets.
+
+    Every path has the prefixes '' and '/', so for these two the paths are dealt out over `SALTS` shares, each with all the patterns.
+    """
+    short = F.length("_prefix") <= 1
+    left = (paths.withColumn("_prefix", F.explode(path_prefixes(F.col(path))))
+            .withColumn("_salt", F.when(short, F.pmod(F.xxhash64(path), F.lit(SALTS))).otherwise(0).cast("int")))
+    right = (patterns.withColumn("_prefix", literal_prefix(F.col(pattern)))
+             .withColumn("_salt", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))))
+    return left.join(right, [*by, "_prefix", "_salt"]).where(F.expr(f"`{path}` RLIKE `{regex}`")).drop("_prefix", "_salt")
 
 
 # ---------------------------------------------------------------- callers

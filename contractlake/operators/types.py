@@ -33,14 +33,15 @@ def _lookup(types: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("k.key").alias("key")).agg(F.min_by("type", F.struct("pos", "type")).alias("type"))
 
 
-def resolve_type(refs: DataFrame, contexts: DataFrame, types: DataFrame, keys: Sequence[str] = ("ref",)) -> DataFrame:
+def resolve_type(refs: DataFrame, contexts: DataFrame, types: DataFrame, imports: DataFrame, keys: Sequence[str] = ("ref",)) -> DataFrame:
     """Adds `resolved`: the type a simple or dotted name means, seen from its context.
 
-    refs(keys, name, context), contexts(context, package, module, scopes ARRAY nearest first, imports MAP, wildcards ARRAY),
+    refs(keys, name, context), contexts(context, package, module, scopes ARRAY nearest first, wildcards ARRAY), imports(context, name, qualified),
     types(type, name, package, outer, module, pos). Each reference lists the lookup keys it may mean with
-    their rank, meets them in one equality join and keeps the best.
+    their rank, meets them in one equality join and keeps the best. Imports are a long table that is met by context and name.
     """
-    r = refs.join(contexts, "context", "left").withColumn("_simple", F.substring_index("name", ".", -1))
+    imported = imports.groupBy("context", F.col("name").alias("_simple")).agg(F.min("qualified").alias("_imported"))
+    r = (refs.join(contexts, "context", "left").withColumn("_simple", F.substring_index("name", ".", -1)).join(imported, ["context", "_simple"], "left"))
     simple = F.col("_simple")
     entry = lambda rank, sub, key: F.struct(F.lit(rank).alias("rank"), sub.alias("sub"), key.alias("key"))
     zero = F.lit(0)
@@ -49,7 +50,7 @@ def resolve_type(refs: DataFrame, contexts: DataFrame, types: DataFrame, keys: S
     wild = F.transform(F.col("wildcards"), lambda p, i: entry(WILDCARD, i, F.concat(F.lit("q:"), p, F.lit("."), simple)))
     single = F.array(
         F.when(F.col("name").contains("."), entry(-1, zero, F.concat(F.lit("q:"), "name"))),
-        F.when(F.try_element_at("imports", simple).isNotNull(), entry(IMPORTED, zero, F.concat(F.lit("q:"), F.try_element_at("imports", simple)))),
+        F.when(F.col("_imported").isNotNull(), entry(IMPORTED, zero, F.concat(F.lit("q:"), "_imported"))),
         F.when(F.col("package").isNotNull(), entry(SAME_PACKAGE, zero, F.concat(F.lit("p:"), "package", F.lit("."), simple))),
         F.when(F.col("module").isNotNull(), entry(SAME_MODULE, zero, F.concat(F.lit("m:"), "module", F.lit("/"), simple))),
         entry(ANYWHERE, zero, F.concat(F.lit("s:"), simple)))
@@ -116,9 +117,16 @@ def virtual_dispatch(calls: DataFrame, methods: DataFrame, supers: DataFrame, ke
 
     calls(keys, type, name, argc NULL when unknown), methods(method, owner, name, n_params, varargs, abstract, pos), supers(type, ancestor, depth).
     The nearest owner with the name counts; when there is none, or only abstract ones, concrete
-    overrides of the subtypes join in.
+    overrides of the subtypes join in. Each distinct (type, name, argc) is worked out once, so a hot base type is met once per
+    signature, not once per call.
     """
-    keys = list(keys)
+    unknown = F.coalesce(F.col("argc").cast("string"), F.lit("?"))
+    signed = calls.withColumn("_signature", F.concat_ws("\u0001", F.col("type").cast("string"), "name", unknown))
+    found = _dispatch(signed.select("_signature", "type", "name", "argc").distinct(), methods, supers, ["_signature"])
+    return signed.select(*keys, "_signature").join(found, "_signature").drop("_signature")
+
+
+def _dispatch(calls: DataFrame, methods: DataFrame, supers: DataFrame, keys: list[str]) -> DataFrame:
     fit = F.coalesce(_fits(F.col("argc")), F.lit(True))
     own_line = calls.select(*keys, "type", "name", "argc", F.col("type").alias("owner"), F.lit(0).alias("depth")).unionByName(
         calls.join(supers, "type").select(*keys, "type", "name", "argc", F.col("ancestor").alias("owner"), "depth"))

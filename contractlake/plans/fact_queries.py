@@ -34,17 +34,16 @@ _FIRST = "(SELECT {k} AS k, min_by(type, pos) AS t FROM TY WHERE {w} GROUP BY {k
     "LEFT JOIN (SELECT module || '/' || name AS k, min_by(type, pos) AS t FROM TY GROUP BY module || '/' || name) m ON m.k = c.module || '/' || r.name "
     f"LEFT JOIN {_FIRST.format(k='name', w='true')} s ON s.k = r.name"))
 def resolve_type(src: Source):
-    red = src.sql(f"SELECT DISTINCT {_NAME} AS n FROM part WHERE p_name LIKE 'red%'").select(
-        F.lit("SMALL").alias("package"), F.map_from_arrays(F.array("n"), F.array(F.concat(F.lit("PROMO."), "n"))).alias("m"))
-    # an import map per package: names of red parts, seen from SMALL
-    entries = red.select("package", F.explode("m").alias("k", "v")).groupBy("package").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("imports"))
-    cx = relation(src, "CX").join(entries, "package", "left")
+    cx = relation(src, "CX")
+    # the names of red parts are imported wherever the package is SMALL
+    red = src.sql(f"SELECT DISTINCT 'SMALL' AS package, {_NAME} AS name FROM part WHERE p_name LIKE 'red%'")
+    imports = cx.select("context", "package").join(red, "package").select("context", "name", F.concat(F.lit("PROMO."), "name").alias("qualified"))
     none = F.array().cast("array<string>")
-    cx = cx.select("context", "package", "module", "imports",
+    cx = cx.select("context", "package", "module",
                    F.when(F.col("scoped"), F.array(F.concat("package", F.lit(".Outer")))).otherwise(none).alias("scopes"),
                    F.when(F.col("wild"), F.array(F.lit("LARGE"), F.lit("ECONOMY"))).otherwise(none).alias("wildcards"))
     ty = relation(src, "TY").withColumnRenamed("outer_type", "outer")
-    return types.resolve_type(relation(src, "RF"), cx, ty, ["l_partkey", "l_suppkey"]).select("l_partkey", "l_suppkey", "resolved")
+    return types.resolve_type(relation(src, "RF"), cx, ty, imports, ["l_partkey", "l_suppkey"]).select("l_partkey", "l_suppkey", "resolved")
 
 
 # every part extends the part of half its number
@@ -91,7 +90,7 @@ def find_field(src: Source):
 
 RELATIONS["MET"] = ("SELECT l_partkey || '.m' || l_linenumber || '/' || (CAST(round(l_discount * 100) AS INT) % 3) AS method, l_partkey AS owner, 'm' || l_linenumber AS name, "
                     "CAST(round(l_discount * 100) AS INT) % 3 AS n_params, min(l_returnflag) = 'R' AND CAST(round(l_discount * 100) AS INT) % 3 > 0 AS varargs, "
-                    "min(l_linestatus) = 'F' AS abstract, CAST(round(l_discount * 100) AS INT) % 3 AS pos FROM lineitem WHERE l_quantity > 30 "
+                    "min(l_linestatus) = 'F' AS abstract, CAST(round(l_discount * 100) AS INT) % 3 AS pos FROM lineitem "
                     "GROUP BY l_partkey, l_linenumber, CAST(round(l_discount * 100) AS INT) % 3")
 RELATIONS["CALL"] = "SELECT DISTINCT l_suppkey AS type, 'm' || l_linenumber AS name, CAST(round(l_tax * 100) AS INT) % 3 AS argc FROM lineitem"
 RELATIONS["OWN"] = ("SELECT c.type, c.name, c.argc, m.method, m.abstract, m.n_params = c.argc OR (m.varargs AND c.argc >= m.n_params - 1) AS fit FROM CALL c JOIN "
