@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import first_non_empty, keep_first_per_key, non_empty
+from ..functions.core import first_non_empty, keep_first_per_key, non_empty, plural
 from ..session import cut_lineage
 
 # Edge kinds and node types the views tell apart.
@@ -275,6 +275,27 @@ def node_label() -> Column:
             .otherwise(base))
 
 
+def node_facts(nodes: DataFrame) -> DataFrame:
+    """nodes with what a diagram shows beside the label: `type_label`, `meta` and `badges` (short arrays), and the label of unresolved targets.
+
+    Modules: name they run under, port, number of endpoints, whether a library. Others: technology unless the label says it, database.
+    Missing columns (application_name, port, endpoint_count, is_app, database) count as null.
+    """
+    has = lambda name, kind: F.col(name) if name in nodes.columns else F.lit(None).cast(kind)
+    module, unresolved = F.col("type") == "module", F.col("id") == "external:unresolved"
+    count, port = has("endpoint_count", "long"), non_empty(has("port", "string").cast("string"))
+    label = F.when(unresolved, "Unresolved URLs").when(module, F.coalesce(non_empty(has("application_name", "string")), non_empty("name"), node_label())).otherwise(node_label())
+    technology = non_empty("technology")
+    meta = F.filter(F.array(
+        F.when(module & port.isNotNull(), F.concat(F.lit("port "), port)),
+        F.when(module & (count > 0), plural(count, "endpoint")),
+        F.when(~module & (technology != F.substring_index(node_label(), " @ ", 1)), technology),
+        F.when(~module & non_empty(has("database", "string")).isNotNull(), F.concat(F.lit("db "), has("database", "string"))),
+        F.when(~module & unresolved, F.lit("URL built at runtime"))), lambda m: m.isNotNull())
+    badges = F.when(module & ~F.coalesce(has("is_app", "boolean"), F.lit(True)), F.array(F.lit("library"))).otherwise(F.array().cast("array<string>"))
+    return nodes.withColumns({"label": label, "type_label": lookup(TYPE_LABELS, F.col("type"), F.col("type")), "meta": meta, "badges": badges})
+
+
 # ---------------------------------------------------------------- layered diagrams
 
 def link_category(kinds: Column, target_type: Column) -> Column:
@@ -383,7 +404,7 @@ def diagram_links(links: DataFrame, buses: DataFrame, roles: DataFrame, scope: S
 
 
 def system_roles(nodes: DataFrame, links: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Column, group and badges of every drawn node: gateways first, services, then systems."""
+    """Column and group of every drawn node: gateways first, services, then systems. `node_facts` gives meta and badges."""
     ends = links.select(*scope, F.explode(F.array(
         F.struct(F.col("src").alias("id"), F.array_contains("kinds", "routes").alias("_gateway")),
         F.struct(F.col("dst").alias("id"), F.lit(False).alias("_gateway")))).alias("e")).select(*scope, "e.*")

@@ -26,6 +26,14 @@ VERDICT_TITLES = {
     "review": "Review before merging",
     "clear": "Clear to merge",
 }
+# What a verdict means on the impact page, in a sentence.
+IMPACT_EXPLANATIONS = {
+    "hold": "Breaking changes: existing clients fail until they are updated.",
+    "review": "Changes clients may notice, such as new error codes or new downstream systems.",
+    "clear": "No change existing clients could notice.",
+}
+NOTHING_CHANGED = "Nothing in the API contract or its dependencies changed."
+NO_CALLERS = " No callers were found in the scanned code; external clients may still exist."
 # Verdict of analyses that only know an impact level.
 LEVEL_VERDICTS = {"high": "hold", "medium": "hold", "low": "review", "none": "clear"}
 
@@ -282,7 +290,10 @@ def recommendation_rows(found: DataFrame, callers: DataFrame, keys: Sequence[str
 
 
 def impact_facts(counts: DataFrame, scanner_based: bool = True) -> DataFrame:
-    """Verdict text and fact sentences from counts: changes, breaking, minor, callers, sharers, added, removed."""
+    """Verdict, title, explanation and fact sentences from counts: changes, breaking, minor, callers, sharers, added, removed.
+
+    `affected_rows` lists who is affected, `diff.dependency_items` the dependencies by group, as long tables.
+    """
     if scanner_based:
         verdict = verdict_of(F.col("breaking"), F.col("minor"), F.col("added") + F.col("removed"))
     else:
@@ -290,6 +301,10 @@ def impact_facts(counts: DataFrame, scanner_based: bool = True) -> DataFrame:
         verdict = F.coalesce(F.get(F.filter(levels, lambda r: r["level"] == F.col("level")), F.lit(0))["verdict"], F.lit("clear"))
     titles = F.create_map(*[F.lit(x) for pair in VERDICT_TITLES.items() for x in pair])
     n_deps = F.col("added") + F.col("removed")
+    meaning = F.create_map(*[F.lit(x) for pair in IMPACT_EXPLANATIONS.items() for x in pair])
+    alone = (F.col("callers") == 0) & (F.col("sharers") == 0) & F.lit(scanner_based)
+    nothing = (verdict == "clear") & (F.col("changes") == 0) & (n_deps == 0)
+    explanation = F.when(nothing, F.lit(NOTHING_CHANGED)).otherwise(F.concat(meaning[verdict], F.when((verdict == "hold") & alone, F.lit(NO_CALLERS)).otherwise("")))
     dep_text = F.concat_ws(", ", F.when(F.col("added") > 0, F.concat(F.col("added").cast("string"), F.lit(" new"))),
                            F.when(F.col("removed") > 0, F.concat(F.col("removed").cast("string"), F.lit(" removed"))))
     facts = F.filter(F.array(
@@ -299,5 +314,25 @@ def impact_facts(counts: DataFrame, scanner_based: bool = True) -> DataFrame:
         F.when(F.col("sharers") > 0, F.concat(plural("sharers", "endpoint"), F.lit(" sharing data"))),
         F.when(n_deps > 0, F.concat(dep_text, F.lit(" dependenc"), F.when(n_deps == 1, "y").otherwise("ies"))),
     ), lambda f: f.isNotNull())
-    return (counts.withColumn("verdict", verdict).withColumn("title", titles[F.col("verdict")])
+    return (counts.withColumn("explanation", explanation).withColumn("verdict", verdict).withColumn("title", titles[F.col("verdict")])
             .withColumn("facts", facts))
+
+
+def affected_rows(targets: DataFrame, callers: DataFrame, usage: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, kind, name, module, how, detail): who is affected by a change of each target endpoint, one row per reason.
+
+    targets(keys), callers(keys, caller, caller_module, kind, detail), usage(kind, resource, user): endpoints by the resources they use, where
+    the last of `keys` is the user and the others scope it. A sharer is written `name (handler)` and has a row for each resource it shares.
+    """
+    keys = list(keys)
+    *scope, own = keys
+    calling = callers.join(targets.select(*keys), keys, "left_semi").select(
+        *keys, F.lit("caller").alias("kind"), F.col("caller").alias("name"), F.col("caller_module").alias("module"),
+        F.when(F.col("kind") == "gateway_route", "Routes requests to this API").otherwise("Calls this API").alias("how"), F.col("detail"))
+    mine = usage.select(*scope, F.col("kind").alias("_kind"), F.col("resource").alias("_resource"), F.col("user").alias(own)).join(targets.select(*keys), keys, "left_semi").distinct()
+    others = usage.select(*scope, F.col("kind").alias("_kind"), F.col("resource").alias("_resource"), F.col("user").alias("_user")).distinct()
+    handler = F.when(F.col("_user").contains(" ("), F.regexp_replace(F.expr("substring(_user, instr(_user, ' (') + 2)"), r"\)+$", "")).otherwise("")
+    sharing = mine.join(others, [*scope, "_kind", "_resource"]).where(F.col("_user") != F.col(own)).select(
+        *keys, F.lit("shares").alias("kind"), F.substring_index("_user", " (", 1).alias("name"), handler.alias("module"),
+        F.concat(F.lit("Shares "), "_kind", F.lit(" "), "_resource").alias("how"), F.lit("").alias("detail"))
+    return calling.unionByName(sharing)

@@ -61,6 +61,22 @@ def node_label(src: Source):
     return relation(src, "NL").select("id", graph.node_label().alias("label"))
 
 
+@query("node_facts", oracle(
+    "SELECT id, label, meta, CASE WHEN type = 'module' AND NOT is_app THEN 'library' ELSE '' END AS badges FROM (SELECT *, CASE WHEN type = 'module' THEN coalesce(nullif(application_name, ''), nullif(name, ''), base) ELSE base END AS label, "
+    "concat_ws(' | ', CASE WHEN type = 'module' AND port IS NOT NULL THEN 'port ' || port END, CASE WHEN type = 'module' AND endpoint_count > 0 THEN endpoint_count || ' endpoint' || CASE WHEN endpoint_count = 1 THEN '' ELSE 's' END END, "
+    "CASE WHEN type <> 'module' AND technology <> split_part(base, ' @ ', 1) THEN technology END, CASE WHEN type <> 'module' AND database <> '' THEN 'db ' || database END) AS meta FROM ("
+    "SELECT *, CASE WHEN type = 'datastore' AND host IS NOT NULL THEN coalesce(technology, 'None') || ' @ ' || host WHEN type IN ('cache', 'broker') AND technology IS NOT NULL THEN technology || coalesce(' @ ' || host, '') "
+    "ELSE coalesce(nullif(name, ''), technology, substr(id, 3)) END AS base FROM NF))"))
+def node_facts(src: Source):
+    return graph.node_facts(relation(src, "NF")).select("id", "label", F.array_join("meta", " | ").alias("meta"), F.array_join("badges", " | ").alias("badges"))
+
+
+# the same customers, those of one segment as modules with a port and endpoints
+RELATIONS["NF"] = (
+    "SELECT id, CASE type WHEN 'component' THEN 'module' ELSE type END AS type, name, technology, host, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'app-' || c_custkey END AS application_name, "
+    "CASE WHEN c_custkey % 2 = 0 THEN 8000 + c_nationkey END AS port, c_custkey % 4 AS endpoint_count, c_custkey % 5 > 0 AS is_app, CASE WHEN c_custkey % 7 = 0 THEN 'd' || c_custkey ELSE '' END AS database "
+    "FROM NL JOIN customer ON id = 'x:' || c_custkey")
+
 _TYPED = ("SELECT e.*, s.type AS st, d.type AS dt, s.type = 'broker' AND d.type = 'component' AS flip FROM ED e "
           "JOIN N s ON e.src = s.id JOIN N d ON e.dst = d.id WHERE src <> dst")
 _TURNED = ("SELECT CASE WHEN flip THEN dst ELSE src END AS src, CASE WHEN flip THEN src ELSE dst END AS dst, CASE WHEN flip THEN 'consumes' ELSE kind END AS kind, "

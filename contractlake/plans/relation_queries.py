@@ -157,6 +157,16 @@ def affected_apis(src: Source):
     return relations.affected_apis(src.sql(_TARGET.format("user")), callers, _usage(src))
 
 
+@query("affected_rows", oracle(
+    "SELECT 'order-' || o_orderkey AS api, 'caller' AS kind, 'cust-' || o_custkey AS name, 'mod-' || o_custkey AS module, CASE o_orderstatus WHEN 'F' THEN 'Routes requests to this API' ELSE 'Calls this API' END AS how, "
+    "'GET /' || o_orderkey AS detail FROM orders WHERE o_orderkey % 100 = 0 UNION ALL "
+    "SELECT m.\"user\", 'shares', v.\"user\", '', 'Shares table ' || m.name, '' FROM USE m JOIN USE v ON m.name = v.name AND m.\"user\" <> v.\"user\" WHERE m.\"user\" IN (SELECT 'order-' || o_orderkey FROM orders WHERE o_orderkey % 100 = 0)"))
+def affected_rows(src: Source):
+    callers = src.sql("SELECT 'order-' || o_orderkey AS api, 'cust-' || o_custkey AS caller, 'mod-' || o_custkey AS caller_module, CASE o_orderstatus WHEN 'F' THEN 'gateway_route' ELSE 'service_call' END AS kind, "
+                      "'GET /' || o_orderkey AS detail FROM orders")
+    return verdict.affected_rows(src.sql(_TARGET.format("api")), callers, _usage(src).withColumnRenamed("name", "resource"), K)
+
+
 # ---------------------------------------------------------------- composed impact
 
 RELATIONS["CALLERS"] = ("SELECT DISTINCT 'part-' || l_partkey AS api, 'cust-' || o_custkey AS caller, CASE WHEN o_orderstatus = 'F' THEN 'mod-' || o_orderpriority ELSE '' END AS caller_module "

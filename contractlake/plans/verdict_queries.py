@@ -127,6 +127,8 @@ _PL = "CASE WHEN {0} = 1 THEN '' ELSE 's' END"
 
 @query("impact_facts", (
     "SELECT o_custkey, verdict, CASE verdict WHEN 'hold' THEN 'Hold before merging' WHEN 'review' THEN 'Review before merging' ELSE 'Clear to merge' END AS title, "
+    "CASE verdict WHEN 'hold' THEN 'Breaking changes: existing clients fail until they are updated.' || CASE WHEN callers + sharers = 0 THEN ' No callers were found in the scanned code; external clients may still exist.' ELSE '' END "
+    "WHEN 'review' THEN 'Changes clients may notice, such as new error codes or new downstream systems.' ELSE 'No change existing clients could notice.' END AS explanation, "
     f"concat_ws(' | ', breaking || ' breaking change' || {_PL.format('breaking')} || CASE WHEN breaking <> changes THEN ' of ' || changes ELSE '' END, "
     f"CASE WHEN callers > 0 THEN callers || ' caller' || {_PL.format('callers')} || ' in the scanned code' END, "
     f"CASE WHEN sharers > 0 THEN sharers || ' endpoint' || {_PL.format('sharers')} || ' sharing data' END, "
@@ -134,4 +136,4 @@ _PL = "CASE WHEN {0} = 1 THEN '' ELSE 's' END"
     "CASE WHEN added + removed = 1 THEN 'y' ELSE 'ies' END END) AS facts FROM (SELECT *, CASE WHEN breaking > 0 THEN 'hold' WHEN minor > 0 OR added + removed > 0 THEN 'review' ELSE 'clear' END AS verdict "
     f"FROM ({_COUNTS_SQL}))"))
 def impact_facts(src: Source):
-    return verdict.impact_facts(_counts(src)).select("o_custkey", "verdict", "title", F.array_join("facts", " | ").alias("facts"))
+    return verdict.impact_facts(_counts(src)).select("o_custkey", "verdict", "title", "explanation", F.array_join("facts", " | ").alias("facts"))
