@@ -44,7 +44,7 @@ _POWERS = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Base and inverse-base powers 0..n modulo 2^64."""
     if len(_POWERS["up"]) <= n:
-        size = 1 << int(n).bit_length()
+        size = (int(n) >> 18) + 1 << 18
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size + 1, base, U64)
             steps[0] = 1

@@ -9,11 +9,14 @@ A document's set holds its distinct runs of five words (a shorter text: one run
 2. A set can only link when 75 % of its hashes occur in other sets too; all others leave here. The rest keep their shared hashes in
    global order, rarest first, and index the prefix of it that any linked set must meet (n - ceil(0.75 n) + 1 places, those without
    partner counted).
-3. Each set is compared with its best hub: of the first set in each bucket it is in, the one it meets most often.
-   Twice, by two orders; then all pairs of a bucket that are still in different components are compared. So large groups of near
-   copies cost a few comparisons a member, and no link that could join two components is left out.
-4. Vertical cut for comparing: the hashes of the sets to compare are cut into ranges of the hash order; partial overlaps are counted
-   range by range, and summed up per pair.
+3. Each set is compared with its best hub: of the first set in each bucket it is in (the one with the fewest hashes of its own), the one
+   it meets most often. The linked ones make components.
+4. Buckets that still hold several components are compared in full, but without listing their pairs: sets tied by such buckets make a region;
+   within it every set outside the largest component is compared, in tiles of bounded size, with all others of the region. Only links
+   between components leave a tile. So large groups of near copies cost one comparison with the hub for most members, and
+   no link that could join two components is left out.
+5. Vertical cut for comparing, in 3 and in 4: the hashes of the sets are cut into ranges of the hash order; partial overlaps are counted range by range,
+   and summed up per pair.
 
 A hash collision could miscount one run; with 48 bits that has a chance of about 1e-9 for a pair of sets of 500 runs.
 Null or empty texts and texts without words have the empty set and link with nothing; a null doc_id too, and its component is null. Repeated rows link
@@ -36,12 +39,14 @@ from .frames import components
 SIZE = 5
 PERCENT = 75
 BITS = 48
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
 BLOCK_DOCS = 60_000
 # Tokens that one counting task gathers, on average.
 RANGE_TOKENS = 1_000_000
 FRAGMENTS = 4
 MEMBERS_PER_TASK = 256
+# Sets on either side of a tile.
+TILE_ASKED, TILE_INDEXED = 1000, 4000
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -210,14 +215,15 @@ def _tokens(body: bytes) -> np.ndarray:
 
 def _prefixes(percent: int):
     def run(batches):
-        """(token, node, n): the shared hashes in each set's prefix."""
+        """(token, node, alone): the shared hashes in each set's prefix; alone: how many of its hashes no other set has."""
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
                 nodes, sizes, bodies = (c.to_pylist() for c in part.columns)
                 own = [_tokens(b[:6 * max(0, len(b) // 6 - int(_least_overlap(n, percent)) + 1)]) for b, n in zip(bodies, sizes)]
                 counts = [len(x) for x in own]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int64), counts))], names=["token", "node", "n"])
+                alone = np.array(sizes, np.int64) - np.array([len(b) // 6 for b in bodies], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(alone, counts))], names=["token", "node", "alone"])
     return run
 
 
@@ -239,26 +245,57 @@ def _hubs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(met)], names=["a", "hub", "met"])
 
 
-def _crossing(percent: int):
+def _tile(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between components from the asked sets of a tile to its indexed ones; rows of (asked, node, component, n, tokens)."""
+    sides = [{r[1]: r for r in rows if r[0] == asked} for asked in (False, True)]
+    index, asked = (list(side.values()) for side in sides)
+    if not index or not asked:
+        return []
+    tokens = [_tokens(r[4]) for r in index]
+    which = np.repeat(np.arange(len(index)), [len(t) for t in tokens])
+    every = np.concatenate(tokens)
+    order = np.argsort(every, kind="stable")
+    every, which = every[order], which[order]
+    sizes, parts = np.array([r[3] for r in index]), np.array([r[2] for r in index])
+    bounds = np.arange(FRAGMENTS + 1) << (BITS - (FRAGMENTS - 1).bit_length())
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while joined.get(c, c) != c:
+            c = joined[c]
+        return c
+
+    out = []
+    for _, node, component, n, body in asked:
+        own = np.sort(_tokens(body))
+        both = np.zeros(len(index), np.int64)
+        for f in range(FRAGMENTS):  # partial overlaps with all indexed sets, one range of the hash order after the other
+            some = own[np.searchsorted(own, bounds[f]):np.searchsorted(own, bounds[f + 1])]
+            low, high = np.searchsorted(every, some), np.searchsorted(every, some, "right")
+            times = high - low
+            both += np.bincount(which[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())], minlength=len(index))
+        for y in np.flatnonzero((parts != component) & (100 * both >= percent * (sizes + n - both))):
+            a, b = root(component), root(int(parts[y]))
+            if a != b:
+                joined[max(a, b)] = min(a, b)
+                out.append((max(node, index[y][1]), min(node, index[y][1])))
+    return out
+
+
+def _tiles(percent: int):
     def run(batches):
-        """(a, hub) of all pairs in a bucket that are in different components and near enough in size; rows sorted by token."""
-        def pairs(rows: list[tuple[int, int, int]]):
-            for i, (x, nx, cx) in enumerate(rows):
-                for y, ny, cy in rows[:i]:
-                    if cx != cy and 100 * min(nx, ny) >= percent * max(nx, ny):
-                        yield (max(x, y), min(x, y))
-        token, held, found = None, [], set()
+        """(a, hub) links of tiles; rows sorted by tile."""
+        key, held = None, []
         for batch in batches:
-            for t, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if t != token:
-                    if len({c for _, _, c in held}) > 1:
-                        found.update(pairs(held))
-                    token, held = t, []
+            out = []
+            for region, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (region, x, y):
+                    out += _tile(held, percent)
+                    key, held = (region, x, y), []
                 held.append(tuple(row))
-        if len({c for _, _, c in held}) > 1:
-            found.update(pairs(held))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "hub"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "hub"])
+        out = _tile(held, percent)
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "hub"])
     return run
 
 
@@ -325,6 +362,25 @@ def _best_hub(buckets: DataFrame, rank: Column) -> DataFrame:
     return met.groupBy("a").agg(F.max(F.struct("met", "hub")).alias("best")).select("a", F.col("best.hub").alias("hub"))
 
 
+def _compare_regions(sets: DataFrame, buckets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, hub) between components of sets that share a bucket."""
+    named = buckets.select("token", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("hub")).where("low <> high").select("token", "hub")
+    tied = cut_lineage(named.select("token", "node").join(mixed, "token").select("node", "hub").where("node <> hub").distinct())
+    regions = components(tied, "node", "hub").withColumnRenamed("component", "region")
+    members = cut_lineage(regions.join(groups, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component")))
+    sizes = members.groupBy("region", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("region").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("indexed"), F.max("n").alias("most"))
+    plan = largest.select("region", "largest", F.ceil((F.col("indexed") - F.col("most")) / TILE_ASKED).alias("xs"), F.ceil(F.col("indexed") / TILE_INDEXED).alias("ys"))
+    placed = members.join(plan, "region").withColumns({"x": F.pmod(F.xxhash64("node"), "xs"), "y": F.pmod(F.xxhash64("node", F.lit(1)), "ys")})
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = placed.where("component <> largest").select("region", "x", each("ys").alias("y"), F.lit(True).alias("asked"), "node", "component")
+    indexed = placed.select("region", each("xs").alias("x"), "y", F.lit(False).alias("asked"), "node", "component")
+    rows = asked.unionByName(indexed).join(sets, "node").select("region", "x", "y", "asked", "node", "component", "n", "tokens")
+    dealt = rows.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "asked", "node")
+    return dealt.mapInArrow(_tiles(percent), "a long, hub long")
+
+
 def _range_bits(docs: DataFrame) -> int:
     """Ranges so that each gets about `RANGE_TOKENS`; a word with its space is taken as 6 bytes."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -339,25 +395,12 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     known = cut_lineage(counted.groupBy("block").applyInArrow(_gather(percent), "doc_id long, node long, n long, tokens binary"))
     sets = known.where("tokens is not null").select("node", "n", "tokens")
 
-    buckets = cut_lineage(sets.mapInArrow(_prefixes(percent), "token long, node long, n long").distinct())
-    first = cut_lineage(_compare(sets, _best_hub(buckets, F.col("n")), percent))
+    buckets = cut_lineage(sets.mapInArrow(_prefixes(percent), "token long, node long, alone long"))
+    first = cut_lineage(_compare(sets, _best_hub(buckets, F.col("alone")), percent))
     groups = cut_lineage(components(first, "a", "hub"))
-
-    def labelled(groups: DataFrame) -> DataFrame:
-        """Buckets with their sets' components; those of one component are left out."""
-        named = buckets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", "node", "n", "component")
-        mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        return cut_lineage(named.join(mixed, "token"))
-
-    mixed = labelled(groups)
-    again = _best_hub(mixed, F.xxhash64("component", "node")).join(groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(
-        groups.select(F.col("node").alias("hub"), F.col("component").alias("ch")), "hub", "left").where(F.coalesce("ca", "a") != F.coalesce("ch", "hub")).select("a", "hub")
-    found = cut_lineage(first.unionByName(_compare(sets, again, percent)))
-    groups = cut_lineage(components(found, "a", "hub"))
-    crossing = cut_lineage(labelled(groups).repartition("token").sortWithinPartitions("token").mapInArrow(_crossing(percent), "a long, hub long").distinct())
-    late = cut_lineage(_compare(sets, crossing, percent))
+    late = cut_lineage(_compare_regions(sets, buckets, groups, percent))
     if late.limit(1).count():
-        groups = cut_lineage(components(found.unionByName(late), "a", "hub"))
+        groups = cut_lineage(components(first.unionByName(late), "a", "hub"))
 
     docs_known = known.select("doc_id", "node", "n")
     named = docs_known.where("n > 0 and doc_id is not null").select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("least"))
