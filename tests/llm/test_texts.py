@@ -228,7 +228,7 @@ def every_segmentation(vocabulary, text):
     return out
 
 
-@pytest.mark.parametrize("text", ["abc", "abcabc", "a  b", "aéc", "abcab cabca", "", "▁a"])
+@pytest.mark.parametrize("text", ["abc", "abcabc", "a  b", "aéc", "abcab cabca", "", "▁a", "ab c", "🎉ab", "abcabcab" * 2])
 def test_nbest_by_brute_force(text):
     vocabulary = small_pieces()
     want = sorted((s for s, _ in every_segmentation(vocabulary, " " + text)), reverse=True)[:4] if text else [0.0]
@@ -237,7 +237,22 @@ def test_nbest_by_brute_force(text):
     assert len({tuple(ids) for _, ids in got}) == len(got)
     for score, ids in got:
         assert vocabulary.decode(ids) == text
-    assert np.frombuffer(vocabulary.encode(text)[0], "<u4").tolist() == got[0][1]
+    ids, _ = vocabulary.encode(text)
+    assert vocabulary.decode(ids.tolist()) == text == vocabulary.text_bytes(ids).decode() if text else not len(ids)
+    score = {i: s for i, s in vocabulary.edges.values()}
+    assert sum(score.get(i, vocabulary.byte_score) for i in ids.tolist()) == pytest.approx(want[0])
+
+
+@needs_files
+def test_arrays_give_what_the_search_gives():
+    vocabulary = pieces.Pieces.load(PIECE_MODEL)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aeinorst  .,ABé7\n日") for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["a" * 200, "  " * 30]
+    for text, (ids, scores) in zip(texts, vocabulary.encode_all(texts)):
+        want = vocabulary.nbest_ids(text)
+        assert scores == pytest.approx([s for s, _ in want]) and vocabulary.decode(ids.tolist()) == text
+    alone = [vocabulary.encode(t) for t in texts]
+    assert all((a[0] == b[0]).all() for a, b in zip(alone, vocabulary.encode_all(texts)))
 
 
 @needs_files
