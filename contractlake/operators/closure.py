@@ -16,31 +16,41 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..session import cut_lineage, release, scratch_path, write_scratch
 
 
+# hops in a round, the same at every size: fewer rounds against nodes met again within one
+HOPS = 3
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False, max_depth: int | None = None) -> DataFrame:
     """(origin, node, depth) of every node reachable from the seeds, at its smallest depth.
 
     edges(src, dst), seeds(origin, node). A seed itself appears only when it lies on a cycle,
-    unless `include_seeds` adds all of them at depth 0. Each round takes one hop from the nodes found last, drops
-    those known before, and adds the rest to one table by depth; the number of rows it wrote ends the loop.
+    unless `include_seeds` adds all of them at depth 0. Each round takes `HOPS` hops from the outermost nodes, keeps the
+    smallest depth of what it meets, drops what was known before, and adds the rest to one table; the number of rows it wrote ends the loop.
     """
     spark = edges.sparkSession
     links, links_path = write_scratch(edges.select("src", "dst").distinct())
     path = scratch_path(spark, "closure")
     schema = StructType([*seeds.select("origin", "node").schema, StructField("depth", IntegerType())])
 
-    def add(rows: DataFrame, depth: int) -> int:
+    def add(rows: DataFrame, number: int) -> int:
         written = Observation()
-        rows.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/depth={depth}")
+        rows.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/round={number}")
         return written.get["n"]
 
-    known = lambda: spark.read.schema(schema).parquet(path)
-    size, depth = add(seeds.select("origin", "node").distinct(), 0), 0
+    known = lambda: spark.read.schema(schema).parquet(path).drop("round")
+    hop = lambda ring: ring.join(links, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
+    size, number, depth = add(seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0)), 0), 0, 0
     first = 0 if include_seeds else 1
     while size and (max_depth is None or depth < max_depth):
-        frontier = spark.read.schema(StructType(schema[:2])).parquet(f"{path}/depth={depth}")
-        ring = frontier.join(links, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
-        depth += 1
-        size = add(ring.join(known().where(F.col("depth") >= first).select("origin", "node"), ["origin", "node"], "left_anti"), depth)
+        hops = HOPS if max_depth is None else min(HOPS, max_depth - depth)
+        ring, rings = spark.read.schema(schema).parquet(f"{path}/round={number}").where(F.col("depth") == depth).select("origin", "node"), []
+        for k in range(1, hops + 1):
+            ring = hop(ring)
+            rings.append(ring.withColumn("depth", F.lit(depth + k)))
+        met = reduce(DataFrame.unionByName, rings).groupBy("origin", "node").agg(F.min("depth").alias("depth"))
+        new = met.join(known().where(F.col("depth") >= first).select("origin", "node"), ["origin", "node"], "left_anti")
+        number, depth = number + 1, depth + hops
+        size = add(new, number)
     release(spark, links_path)
     return known().where(F.col("depth") >= first)
 
