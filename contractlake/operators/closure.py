@@ -7,6 +7,7 @@ stay short and a lost executor costs one round. The driver sees one row count pe
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
@@ -20,17 +21,18 @@ from ..session import cut_lineage, release, scratch_path, write_scratch
 HOPS = 3
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False, max_depth: int | None = None) -> DataFrame:
-    """(origin, node, depth) of every node reachable from the seeds, at its smallest depth.
+def reachable(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False, max_depth: int | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope, origin, node, depth) of every node reachable from the seeds, at its smallest depth.
 
-    edges(src, dst), seeds(origin, node). A seed itself appears only when it lies on a cycle,
-    unless `include_seeds` adds all of them at depth 0. Each round takes `HOPS` hops from the outermost nodes, keeps the
-    smallest depth of what it meets, drops what was known before, and adds the rest to one table; the number of rows it wrote ends the loop.
+    edges(scope, src, dst), seeds(scope, origin, node); equal names in different scopes (say, repositories) are different nodes. A seed itself
+    appears only when it lies on a cycle, unless `include_seeds` adds all of them at depth 0. Each round takes `HOPS` hops from the
+    outermost nodes, keeps the smallest depth of what it meets, drops what was known before, and adds the rest to one table; the number of
+    rows it wrote ends the loop.
     """
-    spark = edges.sparkSession
-    links, links_path = write_scratch(edges.select("src", "dst").distinct())
+    spark, keys = edges.sparkSession, [*scope, "origin", "node"]
+    links, links_path = write_scratch(edges.select(*scope, F.col("src").alias("node"), "dst").distinct())
     path = scratch_path(spark, "closure")
-    schema = StructType([*seeds.select("origin", "node").schema, StructField("depth", IntegerType())])
+    schema = StructType([*seeds.select(*keys).schema, StructField("depth", IntegerType())])
 
     def add(rows: DataFrame, number: int) -> int:
         written = Observation()
@@ -38,34 +40,34 @@ def reachable(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False, m
         return written.get["n"]
 
     known = lambda: spark.read.schema(schema).parquet(path).drop("round")
-    hop = lambda ring: ring.join(links, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
-    size, number, depth = add(seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0)), 0), 0, 0
+    hop = lambda ring: ring.join(links, [*scope, "node"]).select(*scope, "origin", F.col("dst").alias("node")).distinct()
+    size, number, depth = add(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)), 0), 0, 0
     first = 0 if include_seeds else 1
     while size and (max_depth is None or depth < max_depth):
         hops = HOPS if max_depth is None else min(HOPS, max_depth - depth)
-        ring, rings = spark.read.schema(schema).parquet(f"{path}/round={number}").where(F.col("depth") == depth).select("origin", "node"), []
+        ring, rings = spark.read.schema(schema).parquet(f"{path}/round={number}").where(F.col("depth") == depth).select(*keys), []
         for k in range(1, hops + 1):
             ring = hop(ring)
             rings.append(ring.withColumn("depth", F.lit(depth + k)))
-        met = reduce(DataFrame.unionByName, rings).groupBy("origin", "node").agg(F.min("depth").alias("depth"))
-        new = met.join(known().where(F.col("depth") >= first).select("origin", "node"), ["origin", "node"], "left_anti")
+        met = reduce(DataFrame.unionByName, rings).groupBy(*keys).agg(F.min("depth").alias("depth"))
+        new = met.join(known().where(F.col("depth") >= first).select(*keys), keys, "left_anti")
         number, depth = number + 1, depth + hops
         size = add(new, number)
     release(spark, links_path)
     return known().where(F.col("depth") >= first)
 
 
-def call_tree(edges: DataFrame, roots: DataFrame, max_depth: int = 6) -> DataFrame:
-    """Call paths down to `max_depth`: (root, path, node, depth). A node already on its path is shown, not expanded.
+def call_tree(edges: DataFrame, roots: DataFrame, max_depth: int = 6, scope: Sequence[str] = ()) -> DataFrame:
+    """Call paths down to `max_depth`: (scope, root, path, node, depth). A node already on its path is shown, not expanded.
 
-    edges(src, dst), roots(node). The depth bound is part of the feature; paths to it are all kept.
+    edges(scope, src, dst), roots(scope, node). The depth bound is part of the feature; paths to it are all kept.
     """
-    links = cut_lineage(edges.select("src", "dst").distinct())
-    level = roots.select(F.col("node").alias("root"), F.array("node").alias("path"), "node").distinct()
+    links = cut_lineage(edges.select(*scope, F.col("src").alias("node"), "dst").distinct())
+    level = roots.select(*scope, F.col("node").alias("root"), F.array("node").alias("path"), "node").distinct()
     levels = []
     for depth in range(1, max_depth + 1):
         open_paths = level if depth == 1 else level.where(~F.array_contains(F.slice("path", 1, depth - 1), F.col("node")))
-        level = cut_lineage(open_paths.join(links, F.col("node") == F.col("src"))
-                            .select("root", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node")))
+        level = cut_lineage(open_paths.join(links, [*scope, "node"])
+                            .select(*scope, "root", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node")))
         levels.append(level.withColumn("depth", F.lit(depth)))
     return reduce(DataFrame.unionByName, levels)

@@ -46,48 +46,48 @@ def repo_usage_reasons(facts: DataFrame, repositories: DataFrame, changed_types:
             .select(*scope, "method", reason.alias("reason")).distinct())
 
 
-def propagate_reasons(calls: DataFrame, reasons: DataFrame) -> DataFrame:
-    """Reasons of changed methods carried to every direct or indirect caller: (method, reason), distinct.
+def propagate_reasons(calls: DataFrame, reasons: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Reasons of changed methods carried to every direct or indirect caller: (scope, method, reason), distinct.
 
-    calls(caller, callee), reasons(method, reason). Kept long: a method's reasons are as many as
+    calls(scope, caller, callee), reasons(scope, method, reason). Kept long: a method's reasons are as many as
     the changes below it, so they are never gathered into one row.
     """
-    upward = calls.select(F.col("callee").alias("src"), F.col("caller").alias("dst"))
-    seeds = reasons.select(F.col("reason").alias("origin"), F.col("method").alias("node"))
+    upward = calls.select(*scope, F.col("callee").alias("src"), F.col("caller").alias("dst"))
+    seeds = reasons.select(*scope, F.col("reason").alias("origin"), F.col("method").alias("node"))
     # a seed on a cycle is found again below depth 0
-    return reachable(upward, seeds, include_seeds=True).select(F.col("node").alias("method"), F.col("origin").alias("reason")).distinct()
+    return reachable(upward, seeds, include_seeds=True, scope=scope).select(*scope, F.col("node").alias("method"), F.col("origin").alias("reason")).distinct()
 
 
-def impacted_endpoints(reached: DataFrame, endpoints: DataFrame, references: DataFrame, changed_types: DataFrame) -> DataFrame:
-    """(endpoint, reason): the handler is reached, or a referenced model type changed.
+def impacted_endpoints(reached: DataFrame, endpoints: DataFrame, references: DataFrame, changed_types: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope, endpoint, reason): the handler is reached, or a referenced model type changed.
 
-    reached(method, reason), endpoints(endpoint, handler), references(endpoint, type), changed_types(type).
+    reached(scope, method, reason), endpoints(scope, endpoint, handler), references(scope, endpoint, type), changed_types(scope, type).
     """
-    by_call = reached.join(endpoints.select("endpoint", F.col("handler").alias("method")), "method").select("endpoint", "reason")
+    by_call = reached.join(endpoints.select(*scope, "endpoint", F.col("handler").alias("method")), [*scope, "method"]).select(*scope, "endpoint", "reason")
     short = F.substring_index("type", ".", -1)
-    by_model = (references.join(changed_types, "type", "left_semi")
-                .select("endpoint", F.concat(F.lit("changed model: "), short).alias("reason")))
+    by_model = (references.join(changed_types, [*scope, "type"], "left_semi")
+                .select(*scope, "endpoint", F.concat(F.lit("changed model: "), short).alias("reason")))
     return by_call.unionByName(by_model).distinct()
 
 
-def endpoint_model_changes(impacted: DataFrame, references: DataFrame, model_changes: DataFrame) -> DataFrame:
+def endpoint_model_changes(impacted: DataFrame, references: DataFrame, model_changes: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Field changes of the model types an impacted endpoint refers to, each once."""
-    ends = impacted.select("endpoint").distinct()
-    return (references.select("endpoint", F.col("type").alias("dto")).join(ends, "endpoint", "left_semi")
-            .join(model_changes.withColumnRenamed("type", "change"), "dto").distinct())
+    ends = impacted.select(*scope, "endpoint").distinct()
+    return (references.select(*scope, "endpoint", F.col("type").alias("dto")).join(ends, [*scope, "endpoint"], "left_semi")
+            .join(model_changes.withColumnRenamed("type", "change"), [*scope, "dto"]).distinct())
 
 
-def changed_functions(routes: DataFrame, changed_files: DataFrame, extension: str = ".py") -> DataFrame:
+def changed_functions(routes: DataFrame, changed_files: DataFrame, extension: str = ".py", scope: Sequence[str] = ()) -> DataFrame:
     """File-level variant: every route of a changed source file counts as changed. routes(file, function)."""
-    files = changed_files.where(F.col("file").endswith(extension)).select("file").distinct()
-    return routes.join(files, "file", "left_semi").select("function").distinct()
+    files = changed_files.where(F.col("file").endswith(extension)).select(*scope, "file").distinct()
+    return routes.join(files, [*scope, "file"], "left_semi").select(*scope, "function").distinct()
 
 
-def function_impact(routes: DataFrame, changed: DataFrame) -> DataFrame:
-    """Callees by simple name that each changed function reaches: (function, callee). routes(function, calls ARRAY)."""
-    edges = routes.select(F.col("function").alias("src"), F.explode(F.transform("calls", call_name)).alias("dst")).where("dst <> ''")
-    seeds = changed.select(F.col("function").alias("origin"), F.col("function").alias("node"))
-    return reachable(edges, seeds).where("origin <> node").select(F.col("origin").alias("function"), F.col("node").alias("callee"))
+def function_impact(routes: DataFrame, changed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Callees by simple name that each changed function reaches: (scope, function, callee). routes(scope, function, calls ARRAY)."""
+    edges = routes.select(*scope, F.col("function").alias("src"), F.explode(F.transform("calls", call_name)).alias("dst")).where("dst <> ''")
+    seeds = changed.select(*scope, F.col("function").alias("origin"), F.col("function").alias("node"))
+    return reachable(edges, seeds, scope=scope).where("origin <> node").select(*scope, F.col("origin").alias("function"), F.col("node").alias("callee"))
 
 
 def displayable(listed: DataFrame, methods: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -60,17 +60,17 @@ def resolve_type(refs: DataFrame, contexts: DataFrame, types: DataFrame, imports
     return refs.join(best, list(keys), "left")
 
 
-def supertypes(parents: DataFrame, types: DataFrame | None = None) -> DataFrame:
-    """(type, ancestor, depth) over extends / implements edges (type, parent), nearest depth."""
-    seeds = (types if types is not None else parents).select(F.col("type").alias("origin"), F.col("type").alias("node")).distinct()
-    closed = reachable(parents.selectExpr("type AS src", "parent AS dst"), seeds)
-    return closed.where("origin <> node").selectExpr("origin AS type", "node AS ancestor", "depth")
+def supertypes(parents: DataFrame, types: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope, type, ancestor, depth) over extends / implements edges (scope, type, parent), nearest depth."""
+    seeds = (types if types is not None else parents).select(*scope, F.col("type").alias("origin"), F.col("type").alias("node")).distinct()
+    closed = reachable(parents.select(*scope, F.col("type").alias("src"), F.col("parent").alias("dst")), seeds, scope=scope)
+    return closed.where("origin <> node").select(*scope, F.col("origin").alias("type"), F.col("node").alias("ancestor"), "depth")
 
 
-def subtypes(parents: DataFrame, types: DataFrame | None = None) -> DataFrame:
-    """(type, subtype, depth), the same closure read downwards."""
-    down = supertypes(parents, None if types is None else types)
-    return down.selectExpr("ancestor AS type", "type AS subtype", "depth")
+def subtypes(parents: DataFrame, types: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope, type, subtype, depth), the same closure read downwards."""
+    down = supertypes(parents, None if types is None else types, scope)
+    return down.select(*scope, F.col("ancestor").alias("type"), F.col("type").alias("subtype"), "depth")
 
 
 def is_subtype(types: DataFrame, references: DataFrame, supers: DataFrame, name: str) -> DataFrame:

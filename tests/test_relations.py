@@ -201,3 +201,16 @@ def test_nodes_keep_their_first_rule(spark):
     assert rows(nodes, "id", "name") == [("broker:kafka", None), ("component:Svc", "Svc"), ("module:orders", "order-service")]
     assert ("module:orders", "module:orders", "http", ["GET /self"]) in rows(edges, "src", "dst", "kind", "details")
     assert ("component:Svc", "broker:kafka", "publishes", ["paid"]) in rows(edges, "src", "dst", "kind", "details")
+
+
+def test_equal_names_in_two_repositories_stay_apart(spark):
+    calls = spark.createDataFrame([("r1", "a", "b"), ("r1", "b", "c"), ("r2", "x", "c"), ("r2", "a", "x")], "repo string, caller string, callee string")
+    reasons = spark.createDataFrame([("r1", "c", "changed: c")], "repo string, method string, reason string")
+    reached = impact.propagate_reasons(calls, reasons, ["repo"])
+    assert rows(reached, "repo", "method") == [("r1", "a"), ("r1", "b"), ("r1", "c")]
+    ends = spark.createDataFrame([("r1", "e", "a"), ("r2", "e", "a")], "repo string, endpoint string, handler string")
+    refs = spark.createDataFrame([("r2", "e", "p.T"), ("r1", "f", "p.T")], "repo string, endpoint string, type string")
+    changed = spark.createDataFrame([("r2", "p.T")], "repo string, type string")
+    assert rows(impact.impacted_endpoints(reached, ends, refs, changed, ["repo"])) == [("r1", "e", "changed: c"), ("r2", "e", "changed model: T")]
+    parents = spark.createDataFrame([("r1", "A", "B"), ("r2", "B", "C")], "repo string, type string, parent string")
+    assert rows(types.subtypes(parents, scope=["repo"]), "repo", "type", "subtype") == [("r1", "B", "A"), ("r2", "C", "B")]
