@@ -18,6 +18,7 @@ from contractlake.session import build_session
 HEADLINE = (
     "compare_snapshots", "append_if_changed", "reachable", "shared_resources", "consumers", "doc_dependency_graph", "extract_endpoints",
     "diff_param_added", "diff_downstream", "changed_symbols", "merge_edges", "downstream_entries", "latest_versions", "endpoint_impact",
+    "resolve_calls", "impacted_endpoints",
 )
 
 
