@@ -38,10 +38,12 @@ from .shingle_join import _packed, _unpacked
 LEAST = 100
 GRAM = 32
 NAME_BITS = 48
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 # Bytes of input for each range of names.
 RANGE_BYTES = 2 << 20
 HOT_RUNS = 50_000
+# Bytes whose names are worked out at once.
+STRETCH = 1 << 17
 _BYTES = byte_table(7)
 NO_ID = np.iinfo(np.int64).min
 WIDTH = 8
@@ -64,7 +66,7 @@ def _blocks(names: list[str]):
             return pa.RecordBatch.from_arrays([pa.array([base + count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "blob"])
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=BLOCK_BYTES // 2):
                 held.append(part)
                 size += len(text_bytes(part.column(names.index("text")))[0])
                 if size >= BLOCK_BYTES:
@@ -96,42 +98,70 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class Names:
-    """Window names of a block's texts. window[i] is the name of the window that starts at byte i, 0 where none fits into its document."""
+    """Window names of a block's texts. window[i] is the name of the window that starts at byte i, 0 where none fits into its document.
+
+    anchors: the names of the grams that name a window, as often as they stand in the block; so repeats inside a run count too.
+    The bytes are gone through in stretches, so that only the names themselves are held for the whole block.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int):
-        self.total = np.zeros(len(data) + 1, U64)
-        up, self.down = powers(len(data))
-        np.cumsum(_BYTES[data] * up[:len(data)], out=self.total[1:])
+        self.data, self.offsets, self.least = data, offsets, least
         gram = min(GRAM, least)
         width = least - gram + 1
-        if len(data) < least:
-            self.window, self.anchors = np.zeros(0, U64), np.zeros(0, U64)
-            return
-        grams = (self.hash(np.arange(len(data) - gram + 1), gram) >> U64(64 - NAME_BITS)) | U64(1)
-        window = _slide(grams, width, np.minimum)
-        doc = np.searchsorted(offsets, np.arange(len(window)), "right") - 1
-        window[np.arange(len(window)) + least > offsets[doc + 1]] = 0
-        self.window, self.doc = window, doc
-        # grams that name a window; a name is counted once for each of them, so repeats inside a run count too
-        padded = np.concatenate([np.zeros(width - 1, U64), window, np.zeros(width - 1, U64)])
-        named = _slide(padded, width, np.maximum)
-        self.anchors = grams[(named == grams) & (named > 0)]
-
-    def hash(self, starts: np.ndarray, length) -> np.ndarray:
-        return mix((self.total[starts + length] - self.total[starts]) * self.down[starts])
+        n = max(0, len(data) - least + 1)
+        self.window = np.zeros(n, U64)
+        ends = np.repeat(offsets[1:], np.diff(offsets))
+        anchors = [np.zeros(0, U64)]
+        for a in range(0, n + width - 1, STRETCH):
+            low, high = max(0, a - width + 1), min(len(data), a + STRETCH + width + gram - 2)
+            if high - low < least:
+                continue
+            total, down = _sums(data[low:high])
+            grams = (mix((total[gram:] - total[:-gram]) * down[:high - low - gram + 1]) >> U64(64 - NAME_BITS)) | U64(1)
+            window = _slide(grams, width, np.minimum)
+            window[np.arange(low + least, low + least + len(window)) > ends[low:low + len(window)]] = 0
+            self.window[low:low + len(window)] = window
+            # the grams from a on; windows before the first or behind the last one name nothing
+            padded = np.concatenate([np.zeros(width - 1 - (a - low), U64), window, np.zeros(max(0, len(grams) - len(window)), U64)])
+            named = _slide(padded, width, np.maximum)[:STRETCH]
+            own = grams[a - low:a - low + len(named)]
+            named = named[:len(own)]
+            anchors.append(own[(named == own) & (named > 0)])
+        self.anchors = _spread(np.concatenate(anchors))
+
+    def hash(self, starts: np.ndarray, length: int) -> np.ndarray:
+        total, down = _sums(self.data)
+        return mix((total[starts + length] - total[starts]) * down[starts])
 
     def runs(self, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(name, first start, number of starts) of the runs, longer ones cut."""
-        if not len(self.window):
+        n = len(self.window)
+        if not n:
             return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new = np.ones(len(self.window), bool)
-        new[1:] = (self.window[1:] != self.window[:-1]) | (self.doc[1:] != self.doc[:-1])
+        new = np.ones(n, bool)
+        new[1:] = self.window[1:] != self.window[:-1]
+        new[self.offsets[self.offsets < n]] = True
         first = np.flatnonzero(new)
-        since = np.arange(len(self.window)) - np.repeat(first, np.diff(np.append(first, len(self.window))))
-        first = np.flatnonzero(new | (since % longest == 0))
-        counts = np.diff(np.append(first, len(self.window)))
+        counts = np.diff(np.append(first, n))
         some = self.window[first] > 0
-        return self.window[first][some], first[some], counts[some]
+        first, counts = first[some], counts[some]
+        parts = -(-counts // longest)
+        number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, counts = np.repeat(first, parts) + number * longest, np.minimum(np.repeat(counts, parts) - number * longest, longest)
+        return _spread(self.window[first]), first, counts
+
+
+def _spread(names: np.ndarray) -> np.ndarray:
+    """Names dealt evenly over their range: as smallest hashes they crowd at its low end."""
+    return (mix(names) >> U64(64 - NAME_BITS)) | U64(1)
+
+
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running hash of the bytes, with a 0 before it, and inverse powers."""
+    up, down = powers(len(data))
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTES[data] * up[:len(data)], out=total[1:])
+    return total, down
 
 
 def _ask(least: int, range_bits: int):
@@ -196,7 +226,7 @@ def _documents(least: int, range_bits: int):
             first, counts, part = np.concatenate([first[~split], starts]), np.concatenate([counts[~split], np.ones(len(starts), np.int64)]), np.concatenate([part[~split], own])
         order = np.argsort(part, kind="stable")
         first, counts, part = first[order], counts[order], part[order]
-        row = names.doc[first]
+        row = np.searchsorted(offsets, first, "right") - 1
         raw = data.tobytes()
         parts, out = [], []
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
