@@ -7,7 +7,8 @@ removed. Strings are judged on the input and never cross documents.
    names wherever they stand. Consecutive windows of one name make a run. Runs whose name turns up once in the whole input repeat nothing
    and are left out; names are counted by hash range, block by block.
 2. The text below the remaining runs goes, as short documents, to the task of their name. Equal ones are one document with all its places.
-3. Each task sorts the suffixes of its documents: round by round one symbol of every document, from the right, is inserted into
+   A document whose name no other one has repeats nothing either, unless its name stands in it twice.
+3. Each task sorts the suffixes of its other documents: round by round one symbol of every document, from the right, is inserted into
    the Burrows-Wheeler transform of the collection, and the array of common prefixes is updated with it. Both lie in files
    that a round reads and writes front to back. In the end a stretch of common prefixes of `least` or more is a class of equal windows;
    all but the earliest of a class are marked.
@@ -421,6 +422,21 @@ class Columns:
         self.lcp.file.close()
 
 
+def _may_repeat(texts: list[bytes], least: int) -> np.ndarray:
+    """Which of different texts may have a window in common with another one or with themselves.
+
+    Equal windows have equal names, and two in one run have its gram twice. So a text whose name no other text has, and which has
+    that gram once, has none.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    names = Names(data, offsets, least)
+    own = _spread(names.window[offsets[:-1]])
+    _, where, texts_of = np.unique(own, return_inverse=True, return_counts=True)
+    anchors, times = np.unique(names.anchors, return_counts=True)
+    return np.flatnonzero((texts_of[where] > 1) | (times[np.searchsorted(anchors, own)] > 1))
+
+
 def _mark(least: int):
     def run(table: pa.Table) -> pa.Table:
         """For each block the (row, start, number of starts) of windows that also stand earlier."""
@@ -442,15 +458,20 @@ def _mark(least: int):
         head = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         lead_doc, lead_start = doc[head], start[head]
         texts = list(of)
-        with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-            columns = Columns(texts, least, folder)
-            columns.build()
-            document, offset, stretch = columns.classes()
-            columns.close()
+        some = _may_repeat(texts, least)
+        document = offset = stretch = np.zeros(0, np.int64)
+        if len(some):
+            with tempfile.TemporaryDirectory(prefix="columns-") as folder:
+                columns = Columns([texts[k] for k in some], least, folder)
+                columns.build()
+                document, offset, stretch = columns.classes()
+                columns.close()
+            document = some[document]
         at = lead_start[document] + offset
         order = np.lexsort((at, lead_doc[document], stretch))
         document, offset, stretch, at = document[order], offset[order], stretch[order], at[order]
-        new = np.concatenate([[True], stretch[1:] != stretch[:-1]])
+        new = np.ones(len(stretch), bool)
+        new[1:] = stretch[1:] != stretch[:-1]
         best = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (lead_doc[document] != lead_doc[document[best]]) | (at != at[best])
         document, offset = document[later], offset[later]
