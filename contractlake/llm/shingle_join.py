@@ -39,7 +39,7 @@ from .frames import components
 SIZE = 5
 PERCENT = 75
 BITS = 48
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 800_000
 BLOCK_DOCS = 60_000
 # Tokens that one counting task gathers, on average.
 RANGE_TOKENS = 1_000_000
