@@ -329,7 +329,7 @@ class Pieces:
         for k in range(len(texts)):
             low, high = int(part_bounds[k]), int(part_bounds[k + 1])
             own = loss[code[low:high]]
-            few = np.argsort(own, kind="stable")[:self.nbest - 1] if high - low <= 64 else np.argpartition(own, self.nbest)[:self.nbest - 1]
+            few = np.argsort(own, kind="stable")[:self.nbest - 1]
             few = few[np.isfinite(own[few])]
             losses = [0.0]
             for p in sorted(few.tolist()):

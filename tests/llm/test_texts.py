@@ -255,6 +255,21 @@ def test_arrays_give_what_the_search_gives():
     assert all((a[0] == b[0]).all() for a, b in zip(alone, vocabulary.encode_all(texts)))
 
 
+@pytest.mark.parametrize("nbest", [1, 2, 3, 5])
+def test_nbest_of_many_different_parts(monkeypatch, nbest):
+    def partitioned(values, kth):  # numpy promises no order before the kth place, so another one must do as well
+        order = np.argsort(values, kind="stable")
+        return np.concatenate([order[:kth][::-1], order[kth:]])
+    monkeypatch.setattr(np, "argpartition", partitioned)
+    rng = random.Random(nbest)
+    pairs = [(chr(0x4E00 + 2 * k), chr(0x4E01 + 2 * k)) for k in range(400)]
+    names = ["▁", *[p for a, b in pairs for p in (a, b, a + b)]]
+    vocabulary = pieces.Pieces([*[f"<0x{b:02X}>" for b in range(256)], *names], [0.0] * 256 + [-rng.uniform(1, 9) for _ in names], nbest)
+    for n in (64, 65, 66, 400):
+        text = "".join(a + b for a, b in rng.sample(pairs, n))
+        assert vocabulary.encode(text)[1] == pytest.approx([s for s, _ in vocabulary.nbest_ids(text)])
+
+
 @needs_files
 def test_pieces_rows_and_round_trip(spark):
     texts = ["Hello  wörld\n x", None, "", "▁ literal ▁", "\x00\x7f 日本語 🎉", "long " * 20_000, "zq" * 400, "Hello  wörld\n x"]
