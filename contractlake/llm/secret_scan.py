@@ -1,7 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
 Three kinds of secrets are looked for in every text and in every layer that can be unwrapped from it: percent-encoded (URL) and
-escaped (Unicode) characters, base64 runs, and gzip or zlib data inside those. A layer that was unwrapped goes on the worklist and is
+escaped (Unicode) characters, base64 runs, also over several lines or behind other characters of their class, and gzip or zlib data
+inside those. Bytes that are no text become U+FFFD, the rest is read. A layer that was unwrapped goes on the worklist and is
 scanned and unwrapped in turn, until no new layer turns up; a layer that repeats one seen before in the same document ends its
 branch, so cycles end too. Each character of a layer knows the span of the original text that it came from; a match in a layer is
 given as the span of the original characters it rests on. Spans count code points, end exclusive.
@@ -35,9 +36,17 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
 _ESCAPE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#x([0-9A-Fa-f]+);|&#([0-9]+);")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST_RUN = 16
+_BREAK = r"(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*"
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_SEAM = re.compile(_BREAK)
+_LINE_END = re.compile(rf"=|[ \t]*(?:{_BREAK}|$)|[\"'`<]")
 _URL_SAFE = str.maketrans("-_", "+/")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+_BROKEN = re.compile("[\udc80-\udcff]")
+# The shortest secret, or layer that holds one, is a longer stretch of such bytes.
+_READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
+_PACK = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _PACKED = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 # Compressed data that unpacks to more is left packed: a guard against bombs, far above any document.
 MOST_UNPACKED = 64 << 20
@@ -63,30 +72,41 @@ class Layer:
     ends: np.ndarray
 
 
-def _unpack(data: bytes) -> bytes | None:
+def _unpack(data: bytes) -> tuple[bytes, int] | None:
+    """What gzip or zlib data unpacks to, up to the first broken byte, and how many bytes of it were read."""
     try:
         reader = zlib.decompressobj(47)  # gzip or zlib, by its header
         out = reader.decompress(data, MOST_UNPACKED)
-        return out if reader.eof or not reader.unconsumed_tail else None
+        return (out, len(data) - len(reader.unused_data)) if out and (reader.eof or not reader.unconsumed_tail) else None
     except zlib.error:
-        return None
-
-
-def _plain(data: bytes) -> tuple[str | None, bool]:
-    """(text of the bytes or None, whether they were compressed)."""
-    packed = data.startswith(_PACKED)
-    if packed:
-        data = _unpack(data) or b"\xff"
+        pass
+    reader, parts, size = zlib.decompressobj(47), [], 0
+    for k in range(len(data)):  # byte by byte, so that what comes before the broken one is kept
+        try:
+            parts.append(reader.decompress(data[k:k + 1]))
+        except zlib.error:
+            break
+        size += len(parts[-1])
+        if size > MOST_UNPACKED:
+            return None
+    return (b"".join(parts), len(data)) if size else None
+
+
+def _text(data: bytes) -> tuple[str, np.ndarray]:
+    """Text of the bytes with U+FFFD for each byte that is not UTF-8, and how many bytes each character takes."""
+    text = data.decode(errors="surrogateescape")
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    broken = (points >= 0xDC80) & (points <= 0xDCFF)
+    if broken.any():
+        text = _BROKEN.sub("\ufffd", text)
+    return text, np.where(broken, 1, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
+
+
+def _clean(data: bytes) -> bool:
     try:
-        text = data.decode()
+        return bool(data) and not _CONTROL.search(data.decode())
     except UnicodeDecodeError:
-        return None, packed
-    return (None if not text or _CONTROL.search(text) else text), packed
-
-
-def _bytes_per_char(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        return False
 
 
 def _replaced(layer: Layer, parts: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
@@ -109,13 +129,11 @@ def _percent(layer: Layer) -> list[Layer]:
     parts, out = [], []
     for m in _PERCENT.finditer(layer.text):
         data = binascii.unhexlify(m[0].replace("%", ""))
-        text, packed = _plain(data)
-        if text is None:
-            continue
-        if packed:
-            out.append(_whole(layer, m.start(), m.end(), text))
+        if data.startswith(_PACKED) and (found := _unpack(data)):
+            out.append(_whole(layer, m.start(), m.end(), _text(found[0])[0]))
             continue
-        high = m.start() + 3 * np.cumsum(_bytes_per_char(text))
+        text, sizes = _text(data)
+        high = m.start() + 3 * np.cumsum(sizes)
         parts.append((m.start(), m.end(), text, np.append(m.start(), high[:-1]), high))
     return out + [_replaced(layer, parts)] if parts else out
 
@@ -134,36 +152,96 @@ def _escapes(layer: Layer) -> list[Layer]:
             chars.append(value if value < 0x110000 else 0xFFFD)
             low.append(m.start() + one.start())
             high.append(m.start() + one.end())
-        if all(c < 256 for c in chars) and bytes(chars).startswith(_PACKED):
-            text, _ = _plain(bytes(chars))
-            if text is not None:
-                out.append(_whole(layer, m.start(), m.end(), text))
-                continue
+        if all(c < 256 for c in chars) and bytes(chars).startswith(_PACKED) and (found := _unpack(bytes(chars))):
+            out.append(_whole(layer, m.start(), m.end(), _text(found[0])[0]))
+            continue
         text = "".join(chr(c if not 0xD800 <= c < 0xE000 else 0xFFFD) for c in chars)
         parts.append((m.start(), m.end(), text, np.array(low), np.array(high)))
     return out + [_replaced(layer, parts)] if parts else out
 
 
+def _blocks(text: str, m: re.Match) -> list[list[tuple[int, int]]]:
+    """The runs of a match, as blocks of those that are lines of one wrapped run.
+
+    Lines of one run are equally long, the last one may be shorter and has nothing behind it; the first one may begin inside its line.
+    """
+    stop, at, runs = m.start() + len(m[0].rstrip("=")), m.start(), []
+    for seam in _SEAM.finditer(text, at, stop):
+        runs.append((at, seam.start()))
+        at = seam.end()
+    runs.append((at, stop))
+    blocks, k = [], 0
+    while k < len(runs):
+        block, size = [runs[k]], runs[k][1] - runs[k][0]
+        inside = k == 0 and m.start() > 0 and text[m.start() - 1] not in "\r\n"
+        k += 1
+        while k < len(runs):
+            own = runs[k][1] - runs[k][0]
+            if inside and len(block) == 1 and own >= LEAST_RUN:
+                size = own
+            if own > size or own < size and not _LINE_END.match(text, runs[k][1]):
+                break
+            block.append(runs[k])
+            k += 1
+            if own < size:
+                break
+        blocks.append(block)
+    return blocks
+
+
 def _base64(layer: Layer) -> list[Layer]:
     out = []
     for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run.translate(_URL_SAFE) + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        text, packed = _plain(data)
-        if text is None:
-            continue
-        if packed:
-            out.append(_whole(layer, m.start(), m.end(), text))
+        blocks = _blocks(layer.text, m)
+        for block in blocks:
+            out += _decoded(layer, block, m.end() if block is blocks[-1] else block[-1][1])
+    return out
+
+
+def _decoded(layer: Layer, block: list[tuple[int, int]], end: int) -> list[Layer]:
+    """Layers of a run that may stand in several lines.
+
+    A run that is readable as a whole is one layer. In any other one a layer may begin behind characters that don't belong to it, so it is decoded from
+    each of the first four places, and what can be read of that, or be unpacked, is kept. A short last line with unreadable bytes is text below the run.
+    """
+    run = "".join(layer.text[a:b] for a, b in block).translate(_URL_SAFE)
+    if len(run) < LEAST_RUN:
+        return []
+    place = np.concatenate([np.arange(a, b) for a, b in block])
+    last = block[-1][1] - block[-1][0]
+    out: list[Layer] = []
+    for phase in range(4):
+        own = run[phase:]
+        own = own[:len(own) - (len(own) % 4 == 1)]
+        data = base64.b64decode(own + "=" * (-len(own) % 4))
+        if len(block) > 1 and last < LEAST_RUN and not _PACK.search(data) and not _clean(data[-(-(len(run) - last - phase) * 3 // 4):]):
+            # the last line is no part of it
+            own = run[phase:len(run) - last]
+            own = own[:len(own) - (len(own) % 4 == 1)]
+            data = base64.b64decode(own + "=" * (-len(own) % 4))
+        readable = not data.startswith(_PACKED) and _clean(data)
+        if not readable and not _READABLE.search(data) and not _PACK.search(data):
             continue
-        after = np.cumsum(_bytes_per_char(text))
-        low = m.start() + np.append(0, after[:-1]) * 4 // 3
-        high = np.minimum(m.start() - (-after * 4 // 3), m.start() + len(run))
-        out.append(Layer(text, layer.starts[low], layer.ends[high - 1]))
+        at = place[phase:phase + len(own)]
+        whole, k = False, 0
+        while found := _PACK.search(data, k):
+            k = found.start() + 1
+            if readable or (unpacked := _unpack(data[found.start():])) is None:
+                continue
+            text = _text(unpacked[0])[0]
+            low, used = found.start(), found.start() + unpacked[1]
+            if text and (low == 0 or _READABLE.search(unpacked[0])):
+                high = end if used == len(data) and len(own) == len(run) - phase else int(at[min(-(-used * 4 // 3), len(at)) - 1]) + 1
+                out.append(_whole(layer, int(at[low * 4 // 3]), high, text))
+                k, whole = max(k, used), whole or low == phase == 0
+        if not whole and (readable or _READABLE.search(data)):
+            text, sizes = _text(data)
+            after = np.cumsum(sizes)
+            low = np.append(0, after[:-1]) * 4 // 3
+            high = np.minimum(-(-after * 4 // 3), len(at))
+            out.append(Layer(text, layer.starts[at[low]], layer.ends[at[high - 1]]))
+        if phase == 0 and (readable and len(own) == len(run) or whole):
+            break
     return out
 
 

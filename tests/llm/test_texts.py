@@ -135,6 +135,57 @@ def test_cycles_and_bad_layers_end():
     assert spans(once) == []
 
 
+def lines(t, width, seam="\n"):
+    return seam.join(t[k:k + width] for k in range(0, len(t), width))
+
+
+@pytest.mark.parametrize("seam", ["\n", "\r\n", "\n  ", "\\n", "\\r\\n"])
+@pytest.mark.parametrize("width", [20, 64, 76])
+@pytest.mark.parametrize("packed", [False, True])
+def test_wrapped_base64_is_one_layer(seam, width, packed):
+    rng = random.Random(width)
+    noise = "".join(rng.choice("ghijklmnop 123") for _ in range(400))
+    for at in range(40, 60):
+        plain = f"{noise[:at]} {SECRET} {noise[at:]}"
+        layer = lines((wrap_packed if packed else wrap_base64)(plain), width, seam)
+        for before in ("", "data: ", f"a line{seam}"):
+            found = spans(before + layer + seam + "then prose")
+            assert len(found) == 1, (at, before)
+            a, _, b = found[0]
+            if packed:
+                assert (a, b) == (len(before), len(before + layer))
+            else:
+                own = (before + layer)[a:b].replace(seam, "")
+                assert len(wrap_base64(SECRET).rstrip("=")) <= len(own) <= len(wrap_base64(SECRET)) + 4
+    assert spans(f"see {wrap_base64(SECRET * 3)}\nThen prose") == spans(f"see {wrap_base64(SECRET * 3)}")
+
+
+@pytest.mark.parametrize("glue", ["path/", "a-", "ab_", "abc/", "\\n", "0/1/2/3/"])
+@pytest.mark.parametrize("wrap", [wrap_base64, wrap_packed])
+def test_base64_behind_other_characters(glue, wrap):
+    layer = wrap(SECRET)
+    found = spans(f"at {glue}{layer} after")
+    assert [(a, k) for a, k, _ in found] == [(3 + len(glue), 0)] and found[0][2] >= 3 + len(glue) + len(layer.rstrip("="))
+
+
+@pytest.mark.parametrize("bad", [b"\x1b[0m", b"\x00", b"\xff", b"\xe9t\xe9"])
+@pytest.mark.parametrize("where", [0, 1])
+def test_layers_with_unreadable_bytes(bad, where):
+    data = [b"log " + bad + b" " + SECRET.encode() + b" end", SECRET.encode() + b" " + bad + b" end"][where]
+    for layer in (base64.b64encode(data).decode(), base64.b64encode(gzip.compress(data, mtime=0)).decode(), urllib.parse.quote(data, safe="")):
+        found = spans(f"x {layer} y")
+        assert len(found) == 1 and "hunter" not in secret_scan.masked(layer, found)
+    quoted = "".join(f"%{b:02x}" for b in data)
+    assert [b - a for a, _, b in spans(f"x {quoted} y")] == [3 * len(SECRET)]
+
+
+def test_unpacked_up_to_a_broken_byte():
+    rng = random.Random(3)
+    data = bytearray(zlib.compress((SECRET + " " + "".join(rng.choice("ghijklm ") for _ in range(3000))).encode()))
+    data[-300:-200] = bytes(100)
+    assert len(spans(base64.b64encode(bytes(data)).decode())) == 1
+
+
 def test_with_spans_rows(spark):
     texts = [SECRET, None, "", "clean " * 20_000, wrap_base64(SECRET), SECRET]
     docs = made(spark, texts).withColumn("spans", F.lit(1)).withColumn("other", F.lit("kept"))
