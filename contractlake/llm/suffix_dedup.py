@@ -14,7 +14,9 @@ removed. Strings are judged on the input and never cross documents.
    all but the earliest of a class are marked.
 4. Marked windows return to their blocks and are cut out.
 
-A name with very many runs is split: its windows go one by one to the task of their own hash.
+A name with very many runs is split: its windows go one by one to the task of their own hash, from each block only the earliest place of each distinct
+window. They are different or equal as a whole, so they need no sorting: the task answers whether that place repeats an earlier one, and the block
+looks up the window's other places in its own texts.
 Null text: empty, nothing removed; texts shorter than `least` lose nothing. A null doc_id comes before all others. Rows that repeat a doc_id stand at the
 same places, so neither counts as earlier than the other.
 """
@@ -198,9 +200,20 @@ def _answer(hot_runs: int):
 
 # -- short documents
 
+def _earliest(raw: bytes, starts: np.ndarray, numbers: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(byte where the earliest place of each distinct window begins, whether it has more places) of windows that begin at starts."""
+    of: dict[bytes, int] = {}
+    window = np.array([of.setdefault(raw[s:s + least], len(of)) for s in starts.tolist()], np.int64)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    order = np.lexsort((starts - offsets[row], numbers[row], window))
+    head = np.flatnonzero(np.diff(window[order], prepend=-1))
+    return starts[order[head]], np.diff(np.append(head, len(order))) > 1
+
+
 def _documents(least: int, range_bits: int):
     def run(table: pa.Table) -> pa.Table:
-        """Short documents of one block, by task: texts, and (document, doc_id, row, start) of their places."""
+        """Short documents of one block, by task: texts, and (document, doc_id, row, start) of their places; split windows, and (doc_id, row, start, whether
+        there are more) of their earliest places."""
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         block = table.column("block")[0].as_py()
         answers = [_unpacked(b, "<u8", "u1") for k, b in zip(kinds, blobs) if k == 1]
@@ -221,22 +234,29 @@ def _documents(least: int, range_bits: int):
         some = known[at] == name
         name, first, counts, split = name[some], first[some], counts[some], hot[at[some]] > 0
         part = (name >> U64(NAME_BITS - range_bits)).astype(np.int64)
-        if split.any():  # hot names: each window goes to the task of its own hash
-            starts = np.repeat(first[split], counts[split]) + np.arange(counts[split].sum()) - np.repeat(np.cumsum(counts[split]) - counts[split], counts[split])
-            own = (names.hash(starts, least) >> U64(64 - range_bits)).astype(np.int64)
-            first, counts, part = np.concatenate([first[~split], starts]), np.concatenate([counts[~split], np.ones(len(starts), np.int64)]), np.concatenate([part[~split], own])
+        starts = np.repeat(first[split], counts[split]) + np.arange(counts[split].sum()) - np.repeat(np.cumsum(counts[split]) - counts[split], counts[split])
+        first, counts, part = first[~split], counts[~split], part[~split]
         order = np.argsort(part, kind="stable")
         first, counts, part = first[order], counts[order], part[order]
         row = np.searchsorted(offsets, first, "right") - 1
         raw = data.tobytes()
-        parts, out = [], []
-        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        # hot names: each distinct window goes to the task of its own hash, with its earliest place
+        single, several = _earliest(raw, starts, numbers, offsets, least)
+        single_part = (names.hash(single, least) >> U64(64 - range_bits)).astype(np.int64) if len(single) else np.zeros(0, np.int64)
+        order = np.argsort(single_part, kind="stable")
+        single, several, single_part = single[order], several[order], single_part[order]
+        single_row = np.searchsorted(offsets, single, "right") - 1
+        parts, out = np.union1d(part, single_part).tolist(), []
+        for p in parts:
+            a, b = np.searchsorted(part, p), np.searchsorted(part, p, "right")
             of: dict[bytes, int] = {}
             which = [of.setdefault(raw[s:s + c + least - 1], len(of)) for s, c in zip(first[a:b].tolist(), counts[a:b].tolist())]
-            parts.append(int(part[a]))
+            c, d = np.searchsorted(single_part, p), np.searchsorted(single_part, p, "right")
+            windows = b"".join(raw[s:s + least] for s in single[c:d].tolist())
             out.append(_packed(np.array([len(t) for t in of], "<u4"), np.frombuffer(b"".join(of), "u1"), np.array(which, "<u4"), numbers[row[a:b]].astype("<i8"),
-                               row[a:b].astype("<u4"), (first[a:b] - offsets[row[a:b]]).astype("<u4")))
+                               row[a:b].astype("<u4"), (first[a:b] - offsets[row[a:b]]).astype("<u4"),
+                               np.frombuffer(windows, "u1"), numbers[single_row[c:d]].astype("<i8"), single_row[c:d].astype("<u4"),
+                               (single[c:d] - offsets[single_row[c:d]]).astype("<u4"), several[c:d].astype("u1")))
         return pa.table({"part": pa.array(parts, pa.int64()), "block": pa.array([block] * len(parts), pa.int64()), "blob": pa.array(out, pa.binary())})
     return run
 
@@ -439,12 +459,17 @@ def _may_repeat(texts: list[bytes], least: int) -> np.ndarray:
 
 def _mark(least: int):
     def run(table: pa.Table) -> pa.Table:
-        """For each block the (row, start, number of starts) of windows that also stand earlier."""
+        """For each block the (row, start, number of starts) of windows that also stand earlier, and (row, start, whether it also stands earlier) of split windows."""
         blocks = table.column("block").to_pylist()
         of: dict[bytes, int] = {}
         text, doc, row, start, block = [], [], [], [], []
+        window_of: dict[bytes, int] = {}
+        singles = []
         for k, blob in enumerate(table.column("blob").to_pylist()):
-            sizes, data, which, numbers, rows, starts = _unpacked(blob, "<u4", "u1", "<u4", "<i8", "<u4", "<u4")
+            sizes, data, which, numbers, rows, starts, windows, *places = _unpacked(blob, "<u4", "u1", "<u4", "<i8", "<u4", "<u4", "u1", "<i8", "<u4", "<u4", "u1")
+            windows = windows.tobytes()
+            window = [window_of.setdefault(windows[s:s + least], len(window_of)) for s in range(0, len(windows), least)]
+            singles.append((np.array(window, np.int64), *places, np.full(len(window), k)))
             raw, ends = data.tobytes(), np.cumsum(sizes.astype(np.int64)).tolist()
             number = np.array([of.setdefault(raw[e - s:e], len(of)) for s, e in zip(sizes.tolist(), ends)], np.int64)
             text.append(number[which])
@@ -455,10 +480,10 @@ def _mark(least: int):
         text, doc, row, start, block = (np.concatenate(x) for x in (text, doc, row, start, block))
         order = np.lexsort((start, doc, text))
         text, doc, row, start, block = text[order], doc[order], row[order], start[order], block[order]
-        head = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        head = np.flatnonzero(np.diff(text, prepend=-1))
         lead_doc, lead_start = doc[head], start[head]
         texts = list(of)
-        some = _may_repeat(texts, least)
+        some = _may_repeat(texts, least) if texts else np.zeros(0, np.int64)
         document = offset = stretch = np.zeros(0, np.int64)
         if len(some):
             with tempfile.TemporaryDirectory(prefix="columns-") as folder:
@@ -492,11 +517,24 @@ def _mark(least: int):
         out_start.append(np.repeat(start[leads], times) + span_from[spans])
         out_n.append(span_n[spans])
         out_block, out_row, out_start, out_n = (np.concatenate(x) for x in (out_block, out_row, out_start, out_n))
+        window, doc, row, start, several, block = (np.concatenate(x) for x in zip(*singles))
+        order = np.lexsort((start, doc, window))
+        window, doc, row, start, several, block = window[order], doc[order], row[order], start[order], several[order], block[order]
+        head = np.flatnonzero(np.diff(window, prepend=-1))
+        later = (doc != doc[head][window]) | (start != start[head][window])
+        told = later | (several > 0)
+        row, start, later, block = row[told], start[told], later[told], block[told]
+        order = np.argsort(out_block, kind="stable")
+        out_block, out_row, out_start, out_n = out_block[order], out_row[order], out_start[order], out_n[order]
+        order = np.argsort(block, kind="stable")
+        row, start, later, block = row[order], start[order], later[order], block[order]
         keys, blobs = [], []
-        for k in np.unique(out_block).tolist():
-            own = out_block == k
+        for k in np.union1d(out_block, block).tolist():
+            own = slice(*np.searchsorted(out_block, [k, k + 1]).tolist())
+            single = slice(*np.searchsorted(block, [k, k + 1]).tolist())
             keys.append(blocks[k])
-            blobs.append(_packed(out_row[own].astype("<u4"), out_start[own].astype("<u4"), out_n[own].astype("<u4")))
+            blobs.append(_packed(out_row[own].astype("<u4"), out_start[own].astype("<u4"), out_n[own].astype("<u4"),
+                                 row[single].astype("<u4"), start[single].astype("<u4"), later[single].astype("u1")))
         return pa.table({"block": pa.array(keys, pa.int64()), "blob": pa.array(blobs, pa.binary())})
     return run
 
@@ -511,14 +549,38 @@ def _merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first[new], last[np.append(np.flatnonzero(new)[1:] - 1, len(last) - 1)]
 
 
+def _singles(data: np.ndarray, offsets: np.ndarray, numbers: np.ndarray, row: np.ndarray, start: np.ndarray, later: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of every repeated place of split windows, of which the block's earliest places are given and whether those repeat an earlier one."""
+    raw = data.tobytes()
+    lead = offsets[row] + start
+    known = {raw[s:s + least]: k for k, s in enumerate(lead.tolist())}
+    total, down = _sums(data)
+    hashes = mix((total[least:] - total[:-least]) * down[:len(data) - least + 1])
+    near = np.zeros(1 << 20, bool)  # which beginnings of hashes are asked for
+    near[hashes[lead] >> U64(44)] = True
+    places = np.flatnonzero(near[hashes >> U64(44)])
+    places = places[np.isin(hashes[places], hashes[lead])]
+    of = np.searchsorted(offsets, places, "right") - 1
+    inside = places + least <= offsets[of + 1]
+    places, of = places[inside], of[inside]
+    window = np.array([known.get(raw[s:s + least], -1) for s in places.tolist()], np.int64)
+    places, of, window = places[window >= 0], of[window >= 0], window[window >= 0]
+    starts = places - offsets[of]
+    repeated = (later[window] > 0) | (numbers[of] != numbers[row[window]]) | (starts != start[window])
+    return of[repeated], starts[repeated]
+
+
 def _remove(least: int, names: list[str], replace: bool):
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         rows = _rows(next(b for k, b in zip(kinds, blobs) if k == 0))
         texts = rows.column(rows.schema.get_field_index("text"))
         data, offsets = text_bytes(texts)
-        marks = [_unpacked(b, "<u4", "<u4", "<u4") for k, b in zip(kinds, blobs) if k == 1]
-        at, start, n = (np.concatenate([m[k] for m in marks]).astype(np.int64) if marks else np.zeros(0, np.int64) for k in range(3))
+        marks = [_unpacked(b, "<u4", "<u4", "<u4", "<u4", "<u4", "u1") for k, b in zip(kinds, blobs) if k == 1]
+        at, start, n, *singles = (np.concatenate([m[k] for m in marks]).astype(np.int64) if marks else np.zeros(0, np.int64) for k in range(6))
+        if len(singles[0]):
+            more_at, more_start = _singles(data, offsets, _numbers(rows), *singles, least)
+            at, start, n = np.concatenate([at, more_at]), np.concatenate([start, more_start]), np.concatenate([n, np.ones(len(more_at), np.int64)])
         order = np.argsort(at, kind="stable")
         at, start, n = at[order], start[order], n[order]
         low, high = np.searchsorted(at, np.arange(rows.num_rows)), np.searchsorted(at, np.arange(rows.num_rows), "right")

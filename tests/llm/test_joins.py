@@ -8,6 +8,8 @@ import re
 import tempfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +178,38 @@ def test_removal_by_brute_force(spark, monkeypatch, least, hot, block):
     assert sorted(map(tuple, found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=repr) == plain_removal(rows, least)
 
 
+@pytest.mark.parametrize("block", [300, 2000, 8 << 20])
+def test_split_names_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    rng = random.Random(block)
+    prose = lambda n: "".join(rng.choice("abcdefghé ") for _ in range(n))
+    passage = prose(90)
+    texts = [passage] * 6 + [prose(20) + passage[rng.randint(0, 20):] + prose(rng.randint(0, 60)) for _ in range(20)]
+    texts += ["", None, "=" * 300, "=" * 41, "a" + "=" * 39, passage * 3, "ab" * 100, prose(80) + passage + "=" * 60]
+    ids = [rng.randint(0, 25) if k % 2 else 100 + k for k in range(len(texts))]
+    ids[0], ids[7], ids[9] = None, None, ids[10]
+    rows = list(zip(ids, texts))
+    found = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 40, hot_runs=1)
+    assert sorted(map(tuple, found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=repr) == plain_removal(rows, 40)
+
+
+def test_split_windows_leave_a_block_once():
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+
+    def sent(copies):
+        docs = pa.table({"doc_id": [rng.randrange(1 << 60) for _ in range(copies)], "text": pa.array([passage] * copies, pa.large_string())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema) as writer:
+            writer.write_table(docs)
+        blob = sink.getvalue().to_pybytes()
+        asked = pa.Table.from_batches(suffix_dedup._ask(100, 3)([pa.RecordBatch.from_arrays([pa.array([5]), pa.array([blob])], names=["block", "blob"])]))
+        answers = [suffix_dedup._answer(1)(asked.filter(pc.equal(asked["part"], p)))["blob"][0].as_py() for p in asked["part"].to_pylist()]
+        whole = pa.table({"block": [5] * (1 + len(answers)), "kind": [0] + [1] * len(answers), "blob": [blob, *answers]})
+        return sum(len(b) for b in suffix_dedup._documents(100, 3)(whole)["blob"].to_pylist())
+    assert sent(2000) < 2 * sent(20)
+
+
 def test_removal_replaces_text(spark):
     rng = random.Random(4)
     passage = "".join(rng.choice("abcdef") for _ in range(150))
