@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, packing, pieces, quality, secret_scan, shingle_join, suffix_dedup, toxicity, vector_join
+from ..session import scratch_path
+from . import fingerprint, language, packing, pieces, quality, secret_scan, shingle_join, suffix_dedup, toxicity, vector_join, warc
 from .frames import fold
 
 # Place of the public vocabulary files; a parameter of the operators that use them.
@@ -93,3 +94,11 @@ def op7_suffix_dedup(spark, sf_dir):
 def op10_pieces(spark, sf_dir):
     found = pieces.with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
     return found.select("doc_id", *[name for name, _ in pieces.COLUMNS])
+
+
+@query
+def op12_warc(spark, sf_dir):
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"), least=0)
+    read = warc.records(warc.located(archives))
+    return read.select(warc.page_key("record_id", "long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       warc.page_key("refers_to", "long").alias("refers_to"), "error")
