@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import fingerprint, language, packing, pieces, quality, secret_scan, shingle_join, suffix_dedup, toxicity, vector_join, warc
+from . import fingerprint, language, packing, pieces, quality, repair, secret_scan, shingle_join, suffix_dedup, toxicity, vector_join, warc
 from .frames import fold
 
 # Place of the public vocabulary files; a parameter of the operators that use them.
@@ -102,3 +102,9 @@ def op12_warc(spark, sf_dir):
     read = warc.records(warc.located(archives))
     return read.select(warc.page_key("record_id", "long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        warc.page_key("refers_to", "long").alias("refers_to"), "error")
+
+
+@query
+def op13_repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return repair.with_all(repair.repair(repair.damaged(turns)), turns)
