@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import fingerprint, language, packing, pieces, quality, repair, secret_scan, shingle_join, suffix_dedup, toxicity, vector_join, warc
+from . import fingerprint, language, packing, pieces, prefix_trie, quality, repair, secret_scan, shingle_join, suffix_dedup, toxicity, vector_join, warc
 from .frames import fold
 
 # Place of the public vocabulary files; a parameter of the operators that use them.
@@ -108,3 +108,8 @@ def op12_warc(spark, sf_dir):
 def op13_repair(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     return repair.with_all(repair.repair(repair.damaged(turns)), turns)
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), group=5)

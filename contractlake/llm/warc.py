@@ -74,11 +74,11 @@ def _record(record_id: str, url: str | None, payload: bytes, refers_to: str | No
 class _Package:
     """A ZIP package under construction: at most a member and the index are held in memory."""
 
-    def __init__(self, folder: str, zip64: bool):
+    def __init__(self, folder: str, zip64: bool, member_bytes: int):
         system, base = _place(folder)
         name = f"part-{uuid.uuid4().hex}.wacz"
         system.create_dir(base)
-        self.path, self.zip64 = f"{folder}/{name}", zip64
+        self.path, self.zip64, self.member_bytes = f"{folder}/{name}", zip64, member_bytes
         self.sink = system.open_output_stream(f"{base}/{name}")
         self.zip = zipfile.ZipFile(self.sink, "w", zipfile.ZIP_STORED)
         self.member, self.lines = bytearray(), []
@@ -89,7 +89,7 @@ class _Package:
             out.write(data)
 
     def add(self, data: bytes, entry: dict) -> None:
-        if self.member and len(self.member) + len(data) > MEMBER_BYTES:
+        if self.member and len(self.member) + len(data) > self.member_bytes:
             self.close_member()
         entry |= {"filename": f"{self.members}.warc.gz", "offset": str(len(self.member)), "length": str(len(data))}
         self.lines.append(json.dumps(entry))
@@ -112,7 +112,7 @@ class _Package:
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                   date: str = "2000-01-01T00:00:00Z", zip64: bool = False) -> DataFrame:
+                   date: str = "2000-01-01T00:00:00Z", zip64: bool = False, member_bytes: int = MEMBER_BYTES, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """(path, n_records, n_bytes) of the packages written below `folder`, a record for each page."""
     keyed = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order"),
                          F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
@@ -128,9 +128,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
             for row in range(batch.num_rows):
                 number, key, url, payload, lead, lead_row = (column[row].as_py() for column in batch.columns)
                 if package is None:
-                    package = _Package(folder, zip64)
+                    package = _Package(folder, zip64, member_bytes)
                 package.add(*_record(_record_id(key, number), url, payload.encode(), None if lead_row is None else _record_id(lead, lead_row), date))
-                if package.bytes >= PACKAGE_BYTES:
+                if package.bytes >= package_bytes:
                     done.append(package.close())
                     package = None
         if package:
@@ -365,7 +365,7 @@ def _parse(path: str, data: bytes) -> tuple:
     return path, *(fields.get(x, "").strip("<>") or None for x in ("warc-record-id",)), kind, fields.get("warc-target-uri"), fields.get("warc-refers-to", "").strip("<>") or None, payload, size, digest or None, error
 
 
-def records(ranges: DataFrame) -> DataFrame:
+def records(ranges: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Every record of `located` ranges, columns RECORDS. Neighbouring records are read together."""
     def read(batches):
         f, now, start, buffer = None, None, 0, b""
@@ -384,7 +384,7 @@ def records(ranges: DataFrame) -> DataFrame:
                     if not start <= at <= at + length <= start + len(buffer):
                         end = at + length
                         for other, o_at, o_length, _ in places[k + 1:]:
-                            if other != path or o_at != end or end + o_length - at > RANGE_BYTES:
+                            if other != path or o_at != end or end + o_length - at > range_bytes:
                                 break
                             end += o_length
                         start, buffer = at, f.read_at(end - at, at)
@@ -400,7 +400,7 @@ def records(ranges: DataFrame) -> DataFrame:
         if rows:
             yield _batch(rows)
 
-    spread = ranges.select("path", "at", "length", "error").repartition("path", F.floor(F.col("at") / RANGE_BYTES)).sortWithinPartitions("path", "at")
+    spread = ranges.select("path", "at", "length", "error").repartition("path", F.floor(F.col("at") / range_bytes)).sortWithinPartitions("path", "at")
     return spread.mapInArrow(read, RECORDS)
 
 

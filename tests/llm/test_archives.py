@@ -73,17 +73,14 @@ def plain(pages, least):
 
 
 @pytest.mark.parametrize(("least", "zip64", "size"), [(0, False, 8 << 20), (0, True, 300), (5, False, 40)])
-def test_round_trip(spark, tmp_path, monkeypatch, least, zip64, size):
-    monkeypatch.setattr(warc, "MEMBER_BYTES", size)
-    monkeypatch.setattr(warc, "PACKAGE_BYTES", 4 * size)
-    monkeypatch.setattr(warc, "RANGE_BYTES", 2 * size)
+def test_round_trip(spark, tmp_path, least, zip64, size):
     rng = random.Random(size)
     pages = [(k, f"http://x/{k}", rng.choice(["", None, "same", "a copied page é€", f"own {k}"])) for k in range(80)]
     pages += [(None, None, None), (None, "u", "null id"), (5, "twice", "same"), (5, "twice", "same"), (200, "a b\r\nWARC-Type: x", "x" * 300_000), (201, "z", "WARC/1.1\r\n\r\n" * 3)]
     rng.shuffle(pages)
     spark.createDataFrame([(*p, 1, "r") for p in pages], "page_id long, url string, html string, row int, payload string").repartition(5).write.parquet(f"{tmp_path}/in")
-    archives = warc.write_archives(spark.read.parquet(f"{tmp_path}/in"), f"file://{tmp_path}/out", least, zip64=zip64)
-    read = warc.records(warc.located(archives))
+    archives = warc.write_archives(spark.read.parquet(f"{tmp_path}/in"), f"file://{tmp_path}/out", least, zip64=zip64, member_bytes=size, package_bytes=4 * size)
+    read = warc.records(warc.located(archives), 2 * size)
     got = read.select(warc.page_key("record_id", "long").alias("id"), "payload_bytes", "payload_digest", "record_type", warc.page_key("refers_to", "long").alias("to"), "error").collect()
     assert all(r["error"] is None for r in got)
     assert sorted((tuple(r)[:5] for r in got), key=repr) == plain(pages, least)
