@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import any_of
+from ..session import cut_lineage
 from .ordered import CHUNK, previous_values
-from .verdict import smallest_per_group
+from .verdict import smallest_of_distinct, smallest_per_group
 
 # What counts as an endpoint token in a document.
 PATH_TOKEN = r"/[a-zA-Z0-9/_\-{}]+"
@@ -131,6 +132,53 @@ def name_relation_links(apis: DataFrame, name: str, keys: Sequence[str], relatio
     return rows.join(live.select(*scope, "relation"), [*scope, "relation"], "left_semi")
 
 
+def document_stars(docs: DataFrame, key: str, text: str, name: str, relations=NAME_RELATIONS, scope: Sequence[str] = ()) -> DataFrame:
+    """The document graph in star form: (scope, hub, side, document, members).
+
+    Documents that share an endpoint token hang on it with side `shared`. A name relation has the sides `holder` and `related`; its links run from every holder
+    to every related document, `members` counts those on the other side.
+    """
+    tokens = token_links(extract_endpoints(docs, [*scope, key], text), [key], scope)
+    shared = tokens.select(*scope, F.col("token").alias("hub"), F.lit("shared").alias("side"), key, "members")
+    names = name_relation_links(docs, name, [key], relations, scope)
+    other = F.when(F.col("side") == "holder", "related").otherwise("holder")
+    counts = names.select(*scope, "relation", other.alias("side")).groupBy(*scope, "relation", "side").agg(F.count("*").alias("members"))
+    related = names.join(counts, [*scope, "relation", "side"]).select(*scope, F.col("relation").alias("hub"), "side", key, "members")
+    return shared.unionByName(related)
+
+
+def neighbour_counts(stars: DataFrame, key: str, scope: Sequence[str] = (), shown: int = 3) -> DataFrame:
+    """(scope, document, affected, names): how many different documents each document is linked with, and the first of them by name.
+
+    Exact, without listing pairs of documents. Documents with the same hubs are one class. A class counts the members of its largest hub at once; what its other
+    hubs add are classes outside that hub, which are looked up once for each (largest hub, other hub) that occurs. Hubs that lie within a larger one add nothing.
+    """
+    scope = list(scope)
+    opposite = F.when(F.col("side") == "holder", "related").when(F.col("side") == "related", "holder").otherwise(F.col("side"))
+    rows = stars.select(*scope, key, F.concat_ws(":", "side", "hub").alias("own"), F.concat_ws(":", opposite, "hub").alias("near"))
+    sets = (rows.groupBy(*scope, key).agg(F.array_sort(F.collect_set("own")).alias("own"), F.array_sort(F.collect_set("near")).alias("near"))
+            .withColumn("class", F.md5(F.concat_ws("\u0001", "own", F.lit("\u0002"), "near"))))
+    sets = cut_lineage(sets)
+    sizes = sets.groupBy(*scope, "class").agg(F.count("*").alias("n"), F.min(key).alias(key))
+    classes = cut_lineage(sizes.join(sets, [*scope, "class", key]).dropDuplicates([*scope, "class"]).select(*scope, "class", "n", "own", "near"))
+    members = classes.select(*scope, F.explode("own").alias("hub"), "class", "n")
+    asked = classes.select(*scope, "class", F.explode("near").alias("hub")).join(members.groupBy(*scope, "hub").agg(F.sum("n").alias("weight")), [*scope, "hub"])
+    largest = asked.groupBy(*scope, "class").agg(F.max_by("hub", F.struct("weight", "hub")).alias("top"), F.max("weight").alias("weight"))
+    asked = cut_lineage(asked.drop("weight").join(largest, [*scope, "class"]))
+    others = asked.where("hub <> top").select(*scope, "class", "top", "hub")
+    outside = (others.select(*scope, "top", "hub").distinct().join(members.withColumnRenamed("class", "other"), [*scope, "hub"])
+               .join(members.select(*scope, F.col("hub").alias("top"), F.col("class").alias("other")), [*scope, "top", "other"], "left_anti"))
+    more = others.join(outside, [*scope, "top", "hub"]).select(*scope, "class", "other", "n").distinct().groupBy(*scope, "class").agg(F.sum("n").alias("more"))
+    # the first neighbours lie among the first members of the hubs, one more as the document itself may be among them
+    first = smallest_of_distinct(sets.select(*scope, F.explode("own").alias("hub"), F.col(key).cast("string").alias("names")), [*scope, "hub"], "names", shown + 1)
+    names = smallest_per_group(asked.join(first, [*scope, "hub"]).select(*scope, "class", F.explode("names").alias("names")), [*scope, "class"], "names", shown + 1)
+    found = largest.drop("top").join(more, [*scope, "class"], "left").join(names, [*scope, "class"], "left")
+    itself = F.arrays_overlap("own", "near").cast("long")
+    return (sets.join(found, [*scope, "class"])
+            .select(*scope, key, (F.col("weight") + F.coalesce("more", F.lit(0)) - itself).alias("affected"),
+                    F.slice(F.array_except(F.coalesce("names", F.array().cast("array<string>")), F.array(F.col(key).cast("string"))), 1, shown).alias("names")))
+
+
 def doc_recommendations(level: Column, affected: Column, names: Column, removed: Column) -> Column:
     advice = F.array().cast("array<string>")
     for name, lines in LEVEL_ADVICE.items():

@@ -63,11 +63,27 @@ def doc_impact_level(src: Source):
     return _delta(src).select("page_id", "migration_required", "impact_level")
 
 
-@query("doc_dependency_graph", oracle(
-    "SELECT t.token, t.page_id, c.members FROM TOK t JOIN (SELECT token, count(*) AS members FROM TOK GROUP BY token HAVING count(*) > 1) c "
-    "ON t.token = c.token"))
+# keyword groups over the words that hosts and paths of the pages use
+PAGE_RELATIONS = (("blog", ("cheap", "/de/")), ("example.net/fr", ("example.org", "//m.")), ("pills", ("blog",)))
+RELATIONS["SIDES"] = " UNION ALL ".join(
+    f"SELECT page_id, '{key}' AS hub, '{side}' AS side FROM pages WHERE " + " OR ".join(f"contains(lower(url), '{w}')" for w in words)
+    for key, related in PAGE_RELATIONS for side, words in (("holder", (key,)), ("related", related)))
+RELATIONS["STARS"] = (
+    "SELECT t.page_id, t.token AS hub, 'shared' AS side, c.members FROM TOK t JOIN (SELECT token, count(*) AS members FROM TOK GROUP BY token HAVING count(*) > 1) c ON t.token = c.token "
+    "UNION ALL SELECT s.page_id, s.hub, s.side, c.members FROM SIDES s JOIN (SELECT hub, CASE side WHEN 'holder' THEN 'related' ELSE 'holder' END AS side, count(*) AS members "
+    "FROM SIDES GROUP BY ALL) c ON c.hub = s.hub AND c.side = s.side")
+RELATIONS["LINKED"] = (
+    "SELECT DISTINCT a.page_id AS target, b.page_id AS neighbour FROM STARS a JOIN STARS b ON a.hub = b.hub AND a.page_id <> b.page_id "
+    "AND b.side = CASE a.side WHEN 'holder' THEN 'related' WHEN 'related' THEN 'holder' ELSE a.side END")
+
+
+def _stars(src: Source):
+    return text.document_stars(src.table("pages"), "page_id", "html", "url", PAGE_RELATIONS)
+
+
+@query("doc_dependency_graph", oracle("SELECT hub, side, page_id, members FROM STARS"))
 def doc_dependency_graph(src: Source):
-    return text.token_links(text.extract_endpoints(src.table("pages"), ["page_id"], "html"), ["page_id"])
+    return _stars(src)
 
 
 _NEAR = ("SELECT m.page_id AS target, t.page_id AS neighbour, t.token FROM TOK m JOIN TOK t ON m.token = t.token AND m.page_id <> t.page_id "
@@ -92,18 +108,17 @@ def related_documents(src: Source):
 
 
 @query("doc_impact", oracle(
-    "SELECT l.page_id, impact_level, coalesce(n.affected, 0) AS affected, CASE impact_level WHEN 'high' THEN 3 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 "
-    f"ELSE 0 END + CASE WHEN removed > 0 THEN 1 ELSE 0 END + CASE WHEN n.affected > 0 THEN 1 ELSE 0 END AS advice FROM (SELECT *, {_LEVEL} AS impact_level FROM LEVELS) l "
-    f"LEFT JOIN (SELECT target, count(DISTINCT neighbour) AS affected FROM ({_NEAR}) GROUP BY target) n ON n.target = l.page_id WHERE l.page_id % 100 = 0"))
+    "SELECT p.page_id, coalesce(l.impact_level, 'none') AS impact_level, coalesce(n.affected, 0) AS affected, coalesce(n.names, '') AS names, CASE impact_level WHEN 'high' THEN 3 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 "
+    f"ELSE 0 END + CASE WHEN removed > 0 THEN 1 ELSE 0 END + CASE WHEN n.affected > 0 THEN 1 ELSE 0 END AS advice FROM pages p LEFT JOIN (SELECT *, {_LEVEL} AS impact_level FROM LEVELS) l ON l.page_id = p.page_id "
+    "LEFT JOIN (SELECT target, max(n) AS affected, string_agg(neighbour, ', ' ORDER BY neighbour) FILTER (rn <= 3) AS names FROM (SELECT target, neighbour::VARCHAR AS neighbour, "
+    "count(*) OVER (PARTITION BY target) AS n, row_number() OVER (PARTITION BY target ORDER BY neighbour::VARCHAR) AS rn FROM LINKED) GROUP BY target) n ON n.target = p.page_id"))
 def doc_impact(src: Source):
-    near = _neighbours(src)
-    counts = near.groupBy(F.col("target").alias("page_id")).agg(F.count("*").alias("affected"))
-    first = text.smallest_per_group(near.select(F.col("target").alias("page_id"), F.col("neighbour").cast("string").alias("names")),
-                                    ["page_id"], "names", 3)
-    d = _delta(src).join(_wanted(src), "page_id", "left_semi").join(counts, "page_id", "left").join(first, "page_id", "left")
-    affected = F.coalesce("affected", F.lit(0))
-    advice = text.doc_recommendations(F.col("impact_level"), affected, F.coalesce("names", F.array().cast("array<string>")), F.size("removed"))
-    return d.select("page_id", "impact_level", affected.alias("affected"), F.size(advice).alias("advice"))
+    near = text.neighbour_counts(_stars(src), "page_id")
+    d = src.table("pages").select("page_id").join(_delta(src), "page_id", "left").join(near, "page_id", "left")
+    level, removed = F.coalesce("impact_level", F.lit("none")), F.coalesce(F.size("removed"), F.lit(0))
+    affected, names = F.coalesce("affected", F.lit(0)).cast("long"), F.coalesce("names", F.array().cast("array<string>"))
+    advice = text.doc_recommendations(level, affected, names, removed)
+    return d.select("page_id", level.alias("impact_level"), affected.alias("affected"), F.array_join(names, ", ").alias("names"), F.size(advice).alias("advice"))
 
 
 # keyword groups over the words the part names use

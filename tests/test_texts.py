@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +127,28 @@ def test_mapper_and_files(spark):
     assert rows(found, "namespace", "entity", "id", "operation", "sql") == [("n.s", "T", "i", "WRITE", "INSERT INTO t VALUES (a < b && c)"), ("n.s", "T", "u", "WRITE", "UPDATE t SET a=#{a}WHERE a < $1")]
     paths = spark.createDataFrame([("src/main/A.java",), ("src/test/java/A.java",), ("build/A.java",), ("a/src/it/x.java",), ("a/source/test/x.java",), ("A.kt",)], "path string")
     assert rows(files.source_files(paths, ".java")) == [("a/source/test/x.java",), ("src/main/A.java",)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_neighbour_counts_by_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    words = [f"/t{k}" for k in range(3 + 9 * (seed % 2))] + ["GET", "no token", "PUT"]
+    names = ["user list", "profile", "auth user", "order", "plain", "payment order", "Token"]
+    docs = [(rng.choice(["a", "b"]), k, " ".join(rng.choices(words, k=rng.randint(0, 4))), rng.choice(names)) for k in range(60)]
+    docs += [("a", 100, None, None), ("b", 101, "", ""), ("c", 102, "/alone", "user")]
+    frame = spark.createDataFrame(docs, "repo string, doc long, content string, api string").repartition(3)
+
+    def tokens(x):
+        return set(re.findall(text.PATH_TOKEN, x or "") + re.findall(text.VERB_TOKEN, x or ""))
+
+    def related(x, y):
+        return any(a in x and any(w in y for w in words) or a in y and any(w in x for w in words) for a, words in text.NAME_RELATIONS)
+
+    want = set()
+    for repo, k, content, name in docs:
+        near = sorted(str(j) for other, j, c, n in docs if other == repo and j != k and (tokens(content) & tokens(c) or name and n and related(name.lower(), n.lower())))
+        if near:
+            want.add((repo, k, len(near), tuple(near[:3])))
+    stars = text.document_stars(frame, "doc", "content", "api", scope=["repo"])
+    got = {(r["repo"], r["doc"], r["affected"], tuple(r["names"])) for r in text.neighbour_counts(stars, "doc", ["repo"]).collect() if r["affected"]}
+    assert got == want
