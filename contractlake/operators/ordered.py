@@ -84,3 +84,17 @@ def nearest_marks(df: DataFrame, keys: Sequence[str], pos: str, mark: Column, si
             .withColumn("next_mark", F.coalesce("_next", "_cnext"))
             .withColumnRenamed("_last", "last_pos")
             .drop("_prev", "_next", "_cprev", "_cnext", "_at", "_chunk"))
+
+
+def running(df: DataFrame, keys: Sequence[str], pos: str, totals: dict[str, tuple[Column, str]], size: int = CHUNK) -> DataFrame:
+    """Running totals per key by position: name -> (value, `sum`, `max`, or `max before` for the rows before only)."""
+    make = {"sum": F.sum, "max": F.max, "max before": F.max}
+    w = in_chunk(keys, pos)
+    rows = with_chunk(df, pos, size).withColumns({f"_v_{n}": value for n, (value, _) in totals.items()})
+    rows = rows.withColumns({n: make[kind](f"_v_{n}").over(w.rowsBetween(Window.unboundedPreceding, -1 if kind == "max before" else 0)) for n, (_, kind) in totals.items()})
+    chunks = rows.groupBy(*keys, "_chunk").agg(*[make[kind](f"_v_{n}").alias(f"_t_{n}") for n, (_, kind) in totals.items()])
+    before = over_chunks(keys).rowsBetween(Window.unboundedPreceding, -1)
+    edges = chunks.select(*keys, "_chunk", *[make[kind](f"_t_{n}").over(before).alias(f"_b_{n}") for n, (_, kind) in totals.items()])
+    out = attach(rows, edges, keys, [f"_b_{n}" for n in totals])
+    joined = {n: F.coalesce(f"_b_{n}", F.lit(0)) + F.col(n) if kind == "sum" else F.greatest(f"_b_{n}", n) for n, (_, kind) in totals.items()}
+    return out.withColumns(joined).drop("_chunk", *[f"{x}_{n}" for n in totals for x in ("_v", "_b")])

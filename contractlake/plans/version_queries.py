@@ -193,17 +193,59 @@ def qa_plan_index(src: Source):
     return versions.qa_plan_index(plans, K)
 
 
-@query("doc_line_diff", (
-    "WITH p AS (SELECT conv_id, turn AS v2, \"text\" AS new, lag(turn) OVER w AS v1, lag(\"text\") OVER w AS old FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), "
-    "l AS (SELECT conv_id, v1, v2, unnest(string_split(old, chr(10))) AS line, generate_subscripts(string_split(old, chr(10)), 1) AS pos FROM p WHERE v1 IS NOT NULL), "
-    "r AS (SELECT conv_id, v1, v2, unnest(string_split(new, chr(10))) AS line, generate_subscripts(string_split(new, chr(10)), 1) AS pos FROM p WHERE v1 IS NOT NULL), "
-    "ln AS (SELECT *, row_number() OVER (PARTITION BY conv_id, v1, v2, line ORDER BY pos) AS n FROM l), rn AS (SELECT *, row_number() OVER (PARTITION BY conv_id, v1, v2, line ORDER BY pos) AS n FROM r) "
-    "SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.v1, b.v1) AS v1, coalesce(a.v2, b.v2) AS v2, CASE WHEN a.pos IS NULL THEN 'add' WHEN b.pos IS NULL THEN 'remove' ELSE 'same' END AS status, "
-    "coalesce(a.line, b.line) AS \"text\", a.pos AS left_line, b.pos AS right_line FROM ln a FULL JOIN rn b ON a.conv_id = b.conv_id AND a.v1 = b.v1 AND a.v2 = b.v2 AND a.line = b.line AND a.n = b.n"))
+def _increasing(rows: str, name: str) -> dict[str, str]:
+    """Relations that keep a longest increasing run of `rows` (pair, seg, l, r): chain lengths, then the way back from the last longest chain."""
+    return {
+        f"{name}_n": f"SELECT pair, seg, l, r, 1 AS n FROM {rows} UNION SELECT b.pair, b.seg, b.l, b.r, a.n + 1 FROM {name}_n a JOIN {rows} b ON a.pair = b.pair AND a.seg = b.seg AND a.l < b.l AND a.r < b.r",
+        f"{name}_x": f"SELECT pair, seg, l, r, max(n) AS n FROM {name}_n GROUP BY pair, seg, l, r",
+        name: (f"SELECT pair, seg, max(l) AS l, n FROM {name}_x WHERE (pair, seg, n) IN (SELECT pair, seg, max(n) FROM {name}_x GROUP BY pair, seg) GROUP BY pair, seg, n "
+               f"UNION ALL SELECT pair, seg, l, n FROM (SELECT b.pair, b.seg, b.l, b.n, row_number() OVER (PARTITION BY b.pair, b.seg ORDER BY b.l DESC) AS k FROM {name} a JOIN {name}_x b "
+               "ON a.pair = b.pair AND a.seg = b.seg AND b.n = a.n - 1 AND b.l < a.l) WHERE k = 1")}
+
+
+def _diff_oracle(table: str, key: str, order: str) -> str:
+    """Two rounds of anchors, enough for these tables: lines that occur once on both sides, then the n-th of equal lines between them."""
+    relations = {
+        "p": f"SELECT row_number() OVER () AS pair, * FROM (SELECT {key}, {order} AS v2, \"text\" AS new, lag({order}) OVER w AS v1, lag(\"text\") OVER w AS old FROM {table} "
+             f"WINDOW w AS (PARTITION BY {key} ORDER BY {order})) WHERE v1 IS NOT NULL",
+        "ln": "SELECT pair, 0 AS side, unnest(string_split(old, chr(10))) AS line, generate_subscripts(string_split(old, chr(10)), 1) AS pos FROM p UNION ALL "
+              "SELECT pair, 1, unnest(string_split(new, chr(10))), generate_subscripts(string_split(new, chr(10)), 1) FROM p",
+        "u": "SELECT pair, 0 AS seg, min(CASE side WHEN 0 THEN pos END) AS l, min(CASE side WHEN 1 THEN pos END) AS r FROM ln GROUP BY pair, line HAVING count(*) FILTER (side = 0) = 1 AND count(*) FILTER (side = 1) = 1",
+        **_increasing("u", "c1"),
+        "s1": "SELECT c1.pair, c1.l, u.r FROM c1 JOIN u ON c1.pair = u.pair AND c1.l = u.l",
+        "g1": "SELECT ln.*, (SELECT count(*) FROM s1 WHERE s1.pair = ln.pair AND CASE ln.side WHEN 0 THEN s1.l ELSE s1.r END < ln.pos) AS seg FROM ln "
+              "WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.pair = ln.pair AND CASE ln.side WHEN 0 THEN s1.l ELSE s1.r END = ln.pos)",
+        "o": "SELECT *, row_number() OVER (PARTITION BY pair, seg, side, line ORDER BY pos) AS k FROM g1",
+        "w": "SELECT a.pair, a.seg, a.pos AS l, b.pos AS r FROM o a JOIN o b ON a.pair = b.pair AND a.seg = b.seg AND a.line = b.line AND a.k = b.k AND a.side = 0 AND b.side = 1",
+        **_increasing("w", "c2"),
+        "s": "SELECT * FROM s1 UNION ALL SELECT c2.pair, c2.l, w.r FROM c2 JOIN w ON c2.pair = w.pair AND c2.l = w.l",
+        "d": "SELECT ln.*, (SELECT count(*) FROM s WHERE s.pair = ln.pair AND CASE ln.side WHEN 0 THEN s.l ELSE s.r END < ln.pos) AS gap FROM ln "
+             "WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.pair = ln.pair AND CASE ln.side WHEN 0 THEN s.l ELSE s.r END = ln.pos)",
+        # the queue: x counts the lines that wait less those that found none
+        "e": "SELECT *, row_number() OVER (PARTITION BY pair, side ORDER BY pos) AS k, sum(2 * side - 1) OVER (PARTITION BY pair ORDER BY gap, side, pos) AS x, row_number() OVER (PARTITION BY pair ORDER BY gap, side, pos) AS t FROM d",
+        "f": "SELECT *, coalesce(greatest(max(x) OVER (PARTITION BY pair ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS most FROM e",
+        "q": "SELECT *, CASE WHEN side = 1 AND x <= most THEN k - most END AS takes FROM f",
+        "tk": "SELECT pair, coalesce(max(takes), 0) AS taken, (SELECT count(*) FROM ln WHERE ln.pair = q.pair AND side = 1) AS n_right FROM q GROUP BY pair",
+        "ed": "SELECT pair, r AS idx, 'same' AS status, l AS left_line, r AS right_line FROM s UNION ALL "
+              "SELECT a.pair, a.pos, CASE WHEN a.takes IS NULL THEN 'add' ELSE 'change' END, b.pos, a.pos FROM q a LEFT JOIN q b ON a.pair = b.pair AND b.side = 0 AND b.k = a.takes WHERE a.side = 1 UNION ALL "
+              "SELECT q.pair, n_right + k - taken, 'remove', pos, NULL FROM q JOIN tk ON q.pair = tk.pair WHERE side = 0 AND k > taken",
+    }
+    head = ", ".join(f"{n} AS ({body})" for n, body in relations.items())
+    return (f"WITH RECURSIVE {head} SELECT {key}, v1, v2, idx, status, left_line, a.line AS left_text, right_line, b.line AS right_text FROM ed JOIN p ON ed.pair = p.pair "
+            "LEFT JOIN ln a ON a.pair = ed.pair AND a.side = 0 AND a.pos = left_line LEFT JOIN ln b ON b.pair = ed.pair AND b.side = 1 AND b.pos = right_line")
+
+
+@query("doc_line_diff", _diff_oracle("conversations", "conv_id", "turn"))
 def doc_line_diff(src: Source):
     turns = src.table("conversations").select("conv_id", F.col("turn").alias("version"), "text")
-    pairs = versions.version_pairs(turns, ["conv_id"], "text")
-    return documents.doc_line_diff(pairs, ["conv_id"])
+    return documents.doc_line_diff(versions.version_pairs(turns, ["conv_id"], "text"), ["conv_id"])
+
+
+# documents of a source and language follow each other like versions; they share licence lines and repeat lines
+@query("doc_line_diff_documents", _diff_oracle("documents", "source, lang", "doc_id"))
+def doc_line_diff_documents(src: Source):
+    docs = src.table("documents").select("source", "lang", F.col("doc_id").alias("version"), "text")
+    return documents.doc_line_diff(versions.version_pairs(docs, ["source", "lang"], "text"), ["source", "lang"])
 
 
 @query("collapse_unchanged", oracle(

@@ -160,7 +160,7 @@ def test_pairs_and_latest(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "api string, version long, content string")
     assert rows(versions.version_pairs(df, ["api"])) == [("a", 1, 2, "x", "y")]
     assert rows(versions.default_version_pair(df, ["api"])) == [("a", 1, 2), ("b", None, 1)]
-    assert rows(documents.doc_line_diff(versions.version_pairs(df, ["api"]), ["api"]), "status", "text", "left_line", "right_line") == [("add", "y", None, 1), ("remove", "x", 1, None)]
+    assert rows(documents.doc_line_diff(versions.version_pairs(df, ["api"]), ["api"]), "idx", "status", "left_text", "right_text") == [(1, "change", "x", "y")]
     two = spark.createDataFrame([("a", 1, 2, "p\nq\np\n", "q\np\nr"), ("b", 1, 2, None, "")], "api string, v1 long, v2 long, old string, new string")
-    assert rows(documents.doc_line_diff(two, ["api"]), "api", "status", "text", "left_line", "right_line") == [
-        ("a", "add", "r", None, 3), ("a", "remove", "", 4, None), ("a", "remove", "p", 3, None), ("a", "same", "p", 1, 2), ("a", "same", "q", 2, 1), ("b", "add", "", None, 1)]
+    assert rows(documents.doc_line_diff(two, ["api"]), "api", "idx", "status", "left_line", "left_text", "right_line", "right_text") == [
+        ("a", 1, "same", 2, "q", 1, "q"), ("a", 2, "same", 3, "p", 2, "p"), ("a", 3, "change", 1, "p", 3, "r"), ("a", 4, "remove", 4, "", None, None), ("b", 1, "add", None, None, 1, "")]
