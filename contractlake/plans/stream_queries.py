@@ -38,9 +38,8 @@ def stream_append_if_changed(src: Source):
     v = e.select(F.expr("'repo-' || substr(event_type, 1, 1)").alias("repo"), F.expr("'user-' || user_id").alias("api"),
                  F.expr("CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'mid' ELSE 'high' END").alias("signature"),
                  F.expr("'c' || event_id").alias("commit_id"), F.col("event_id").alias("pos"), "ts")
-    folder = uploads.scratch_folder(src.spark, "versions")
-    uploads.run_available(v, folder, uploads.version_writer(f"{folder}/table"))
-    return uploads.read_versions(src.spark, f"{folder}/table").select("repo", "api", "version", "signature", "commit_id")
+    rows = uploads.run_available(uploads.stream_versions(v), uploads.scratch_folder(src.spark, "versions"))
+    return rows.select("repo", "api", "version", "signature", "commit_id")
 
 
 def _hits(events):
@@ -63,30 +62,30 @@ def rate_audit(src: Source):
     return uploads.rate_audit(_hits(src.table("events")), ["event_type"], "event_id", "at", 5)
 
 
-# the same hits as a stream; a hit is decided once the watermark, ten minutes behind the last one, has passed it
+# the same hits as a stream, closed by a row of its own after the last hit, so that every hit is judged
 _SQUEEZED = "CAST(floor(epoch_us(ts) / 60) AS BIGINT)"
 
 
 @query("stream_rate_audit", _limiter(f"SELECT event_type AS account, event_id AS id, {_SQUEEZED} / 1e6::DOUBLE AS \"at\", {_SQUEEZED} AS us FROM events", "us, id").replace(
-    "h.*", "h.* EXCLUDE (us)") + f" SELECT r.account AS event_type, h.us, r.wait FROM r JOIN h ON h.account = r.account AND h.n = r.n WHERE h.us < (SELECT (max({_SQUEEZED}) // 1000 - 600000) * 1000 FROM events)")
+    "h.*", "h.* EXCLUDE (us)") + " SELECT r.account AS event_type, h.us, r.wait FROM r JOIN h ON h.account = r.account AND h.n = r.n")
 def stream_rate_audit(src: Source):
-    events = _stream(src, "events").select("event_type", F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60)).alias("at"))
-    rows = uploads.stream_rate_audit(events, "event_type", "at", 5)
-    return uploads.run_available(rows, uploads.scratch_folder(src.spark, "limits")).select("event_type", F.unix_micros("at").alias("us"), "wait")
+    def squeezed(events):
+        return events.select("event_type", F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60)).alias("at"), F.lit(False).alias("closing"))
+
+    folder = uploads.scratch_folder(src.spark, "limits")
+    closing = uploads.closing_row(src.spark, folder, squeezed(src.table("events")), "event_type", "at", "closing")
+    rows = uploads.stream_rate_audit(squeezed(_stream(src, "events")).unionByName(closing), "event_type", "at", 5, closing="closing")
+    return uploads.run_available(rows, folder).select("event_type", F.unix_micros("at").alias("us"), "wait")
 
 
 @query("stream_gate", oracle(f"SELECT api, status, verdict, verdict = 'hold' AS failed FROM ({_SNAPSHOTS}) WHERE status <> 'removed'"))
 def stream_gate(src: Source):
     stored, head = snapshot(src, "base"), snapshot(src, "head")
-    rest = {k: v for k, v in head.items() if k != "routes"}
-
-    def build(batch):
-        routes = batch.selectExpr(
-            "'part-' || p_partkey AS api", "CASE WHEN p_size = 13 THEN 'X' ELSE p_type END AS method", "'/' || p_brand || '/' || p_partkey AS path",
-            "CASE WHEN p_size = 17 THEN p_brand || '2' ELSE p_brand END AS body_type", "CASE WHEN p_size = 19 THEN NULL ELSE p_name END AS response_type")
-        return {"routes": routes, **rest}
-
-    parts = _stream(src, "part").where("p_brand <> 'Brand#11'")
     folder = uploads.scratch_folder(src.spark, "gate")
-    uploads.run_available(parts, folder, uploads.gate_writer(f"{folder}/table", stored, build, ("api",)))
+    # the head's endpoints arrive as uploads, in three batches
+    arriving = uploads.endpoint_bodies(head, ["api"]).withColumn("pos", F.lit(1).cast("long"))
+    arriving.repartition(3, "api").write.parquet(f"{folder}/uploads")
+    stream = src.spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/uploads")
+    rows = uploads.stream_bodies(stream, ["api"], "pos", uploads.endpoint_bodies(stored, ["api"]))
+    uploads.run_available(rows, folder, uploads.gate_writer(f"{folder}/table", head, ["api"]))
     return src.spark.read.parquet(f"{folder}/table").select("api", "status", "verdict", "failed")

@@ -1,26 +1,28 @@
 """Continuous ingest of uploads: routes, duplicates, new versions, rate limits and the merge gate.
 
-Streams end in `foreachBatch` or a file sink, keep their progress in a checkpoint, and reuse the
-batch operators, so a replayed batch writes the same rows again.
+Streams end in `foreachBatch` or a file sink and keep their progress in a checkpoint. What an API or an account was last is keyed state in the state store,
+so a batch reads and writes only the keys that arrive, however long the history is, and a batch that runs again starts from the same state.
 """
 
 from __future__ import annotations
 
 import uuid
-from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import ArrayType
 
 from ..operators import versions
 from ..operators.ordered import CHUNK, attach, in_chunk, over_chunks, previous_values, with_chunk
 from ..operators.verdict import compare_snapshots, gate
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 WINDOW_SECONDS = 60.0
+# state of keyed operators lives in this store: on local disk, with change logs in the checkpoint folder
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -31,6 +33,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 def run_available(stream: DataFrame, folder: str, batch: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> DataFrame | None:
     """Process everything that has arrived, then stop. Without `batch` the rows go to a Parquet sink and come back."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
     if batch is not None:
         writer.foreachBatch(batch).start().awaitTermination()
@@ -64,57 +67,42 @@ def stream_dedupe_uploads(uploads: DataFrame, ts: str, kind: Column, payload: Co
 
 # ---------------------------------------------------------------- versions
 
-# shares of the keys; a batch reads the shares it touches
-BUCKETS = 256
+class _Versions(StatefulProcessor):
+    """Keeps the last signature and version of a key."""
 
+    def __init__(self, pos: str):
+        self.pos = pos
 
-def _bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket")
+    def init(self, handle) -> None:
+        self.latest = handle.getValueState("latest", "signature string, version long")
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        signature, version = self.latest.get() if self.latest.exists() else (None, 0)
+        for row in sorted(rows, key=lambda r: r[self.pos]):
+            if not version or row["signature"] != signature:
+                signature, version = row["signature"], version + 1
+                yield Row(**row.asDict(), version=version)
+        self.latest.update((signature, version))
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders below a path, none where it doesn't exist."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [x.getPath().getName() for x in system.listStatus(folder) if x.isDirectory()] if system.exists(folder) else []
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.latest.update((initialState["signature"], initialState["version"]))
 
+    def close(self) -> None:
+        pass
 
-def version_writer(path: str, keys: Sequence[str] = versions.KEYS, pos: str = "pos") -> Callable[[DataFrame, int], None]:
-    """Batch function that appends the uploads which make new versions to the table at `path`.
 
-    Beside the table, `path/_latest` keeps the last version of every key, in shares of the keys by hash. A batch reads only the
-    shares of its own keys, never the history, and writes these shares anew under its number; the two newest states of a share stay. Each
-    batch owns its folders and looks at earlier ones only, so a replay after a failure overwrites its own rows. Keys share no lock:
-    a batch numbers all its uploads at once.
-    """
-    keys = list(keys)
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        touched = [r[0] for r in batch.select(_bucket(keys)).distinct().collect()]  # at most BUCKETS numbers
-        parts, old = [], []
-        for b in touched:
-            states = sorted(int(n.removeprefix("batch=")) for n in _folders(spark, f"{path}/_latest/bucket={b}"))
-            before = [n for n in states if n < number]
-            parts += [f"{path}/_latest/bucket={b}/batch={n}" for n in before[-1:]]
-            old += [f"{path}/_latest/bucket={b}/batch={n}" for n in before[:-1]]
-        stored = spark.read.parquet(*parts) if parts else None
-        new = versions.append_if_changed(batch, stored, keys, pos)
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        own = spark.read.schema(new.schema).parquet(f"{path}/batch={number}").select(*keys, "signature", "version")
-        known = own if stored is None else own.unionByName(stored)
-        latest = versions.latest_of(known, keys, ["signature"]).select(*keys, "signature", "version", _bucket(keys), F.lit(number).alias("batch"))
-        (latest.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket", "batch").parquet(f"{path}/_latest"))
-        for folder in old:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    return write
 
+def stream_versions(uploads: DataFrame, keys: Sequence[str] = versions.KEYS, pos: str = "pos", stored: DataFrame | None = None) -> DataFrame:
+    """The uploads of a stream that make new versions, with `version`; `stored` holds the last signature and version of keys from before the stream.
 
-def read_versions(spark: SparkSession, path: str) -> DataFrame | None:
-    """The version table; None while there is none."""
-    return spark.read.parquet(path).drop("batch") if any(n.startswith("batch=") for n in _folders(spark, path)) else None
+    A key's uploads of one batch are taken in the order of `pos`; uploads of later batches come after. A null signature is a signature. A task holds one key's
+    uploads of one batch.
+    """
+    initial = stored.select(*keys, "signature", F.col("version").cast("long")).groupBy(*keys) if stored is not None else None
+    return uploads.groupBy(*keys).transformWithState(_Versions(pos), f"{_ddl(uploads)}, version long", "Append", "None", initialState=initial)
 
 
 # ---------------------------------------------------------------- rate limits
@@ -163,71 +151,202 @@ def rate_audit(hits: DataFrame, keys: Sequence[str], pos: str, seconds: str, lim
     if limit <= 0:
         return hits.withColumn("wait", F.lit(0))
     keys = list(keys)
-    ordered = (rate_sessions(hits, keys, pos, seconds, size).repartition(*keys, "session")
-               .sortWithinPartitions(*keys, "session", pos))
-    columns = ordered.columns
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields) + ", wait int"
+    rows = with_chunk(rate_sessions(hits, keys, pos, seconds, size), pos, size)
+    rows = cut_lineage(rows.withColumn("_line", F.to_json(F.struct(*keys, "session"))))
+    starts = _window_starts(rows, pos, seconds, limit)
+    ordered = (rows.join(starts, ["_line", "_chunk"], "left").repartition("_line", "_chunk").sortWithinPartitions("_line", "_chunk", pos))
+    columns = [c for c in ordered.columns if c not in ("_line", "_chunk", "session", "_start")]
 
     def audit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, admitted = None, []
         for batch in batches:
             found = []
-            for group, now in zip(zip(*[batch[c] for c in [*keys, "session"]]), batch[seconds]):
-                if group != current:
-                    current, admitted = group, []
+            for line, chunk, start, now in zip(batch["_line"], batch["_chunk"], batch["_start"], batch[seconds]):
+                if (line, chunk) != current:
+                    current, admitted = (line, chunk), [] if start is None else [float(x) for x in start]
                 found += waits([float(now)], limit, admitted)
             yield batch[columns].assign(wait=found)
 
-    return ordered.mapInPandas(audit, out_schema).drop("session")
+    return ordered.mapInPandas(audit, _ddl(ordered.select(*columns)) + ", wait int")
 
 
-def stream_rate_audit(hits: DataFrame, key: str, ts: str, limit: int, delay: str = "10 minutes") -> DataFrame:
-    """The limiter over a stream: (key, ts, wait) of every hit, once it is older than the watermark.
+def _window_starts(rows: DataFrame, pos: str, seconds: str, limit: int) -> DataFrame:
+    """(_line, _chunk, _start): the admitted hits of the last minute before each chunk of a session, where there are any.
 
-    Hits may arrive up to `delay` late and in any order: they wait in the account's state until the watermark has passed them, and are judged by
-    event time. The state holds the waiting hits and the last `limit` admitted ones, and expires a minute after the last.
-    Later hits are dropped, as with any watermark. An account's decisions depend on each other, so one account is one task at a time.
+    Speculative: every chunk runs from the window it is thought to start with, at first an empty one, and hands on the window it ends with. Only chunks that turn out to
+    start otherwise run again, until none does. A session that is one chunk never waits for another.
+    """
+    def ends(todo: DataFrame) -> DataFrame:
+        ordered = rows.select("_line", "_chunk", pos, seconds).join(todo, ["_line", "_chunk"]).repartition("_line", "_chunk").sortWithinPartitions("_line", "_chunk", pos)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            current, admitted = None, []
+            for batch in batches:
+                done = []
+                for line, chunk, start, now in zip(batch["_line"], batch["_chunk"], batch["_start"], batch[seconds]):
+                    if (line, chunk) != current:
+                        if current:
+                            done.append((*current, admitted))
+                        current, admitted = (line, chunk), [float(x) for x in start]
+                    waits([float(now)], limit, admitted)
+                yield pd.DataFrame(done, columns=["_line", "_chunk", "_end"])
+            if current:
+                yield pd.DataFrame([(*current, admitted)], columns=["_line", "_chunk", "_end"])
+
+        return ordered.select("_line", "_chunk", "_start", seconds).mapInPandas(run, "_line string, _chunk long, _end array<double>")
+
+    along = Window.partitionBy("_line").orderBy("_chunk")
+    units = rows.groupBy("_line", "_chunk").agg(F.min(seconds).cast("double").alias("_first"))
+    units = units.withColumns({"_n": F.count("*").over(Window.partitionBy("_line")), "_next": F.lead("_chunk").over(along)}).where("_n > 1")
+    none = F.array().cast("array<double>")
+    state = cut_lineage(units.select("_line", "_chunk", "_first", "_next", none.alias("_start"), none.alias("_end"), F.col("_next").isNotNull().alias("_again")))
+    while not state.where("_again").isEmpty():
+        fresh = ends(state.where("_again").select("_line", "_chunk", "_start")).withColumnRenamed("_end", "_fresh")
+        known = state.join(fresh, ["_line", "_chunk"], "left").withColumn("_end", F.coalesce("_fresh", "_end"))
+        handed = F.filter(F.coalesce(F.lag("_end").over(along), none), lambda t: t > F.col("_first") - WINDOW_SECONDS)
+        moved = known.withColumn("_handed", handed)
+        state = cut_lineage(moved.select("_line", "_chunk", "_first", "_next", F.col("_handed").alias("_start"), "_end",
+                                         ((F.col("_handed") != F.col("_start")) & F.col("_next").isNotNull()).alias("_again")))
+    return state.where(F.size("_start") > 0).select("_line", "_chunk", "_start")
+
+
+class _Limiter(StatefulProcessor):
+    """Hits wait by the minute until the watermark has passed it; the last admitted ones are kept for a minute."""
+
+    def __init__(self, limit: int, key: str, ts: str):
+        self.limit, self.key, self.ts = limit, key, ts
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "minute long", "hits array<long>")
+        self.admitted = handle.getValueState("admitted", "hits array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new: dict[int, list[int]] = {}
+        for row in rows:
+            if row["_closing"] or row["_us"] is None:
+                continue
+            new.setdefault(row["_us"] // 60_000_000, []).append(row["_us"])
+        for minute, hits in new.items():
+            if self.waiting.containsKey((minute,)):
+                hits = [*self.waiting.getValue((minute,))[0], *hits]
+            else:
+                self.handle.registerTimer((minute + 1) * 60_000)
+            self.waiting.updateValue((minute,), (hits,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        ripe = sorted(m for (m,) in self.waiting.keys() if (m + 1) * 60_000 <= mark)
+        admitted = list(self.admitted.get()[0]) if self.admitted.exists() else []
+        for minute in ripe:
+            hits = sorted(self.waiting.getValue((minute,))[0])
+            self.waiting.removeKey((minute,))
+            seconds = [t / 1e6 for t in admitted]
+            found = waits([t / 1e6 for t in hits], self.limit, seconds)
+            admitted = (admitted + [t for t, w in zip(hits, found) if not w])[-self.limit:]
+            for us, wait in zip(hits, found):
+                yield Row(**{self.key: key[0], "_us": us, "wait": wait})
+        if ripe:
+            # once a minute has passed after the last admitted hit, nothing of it counts any more
+            self.admitted.update((admitted,))
+            self.handle.registerTimer(admitted[-1] // 1000 + 120_000)
+        elif admitted and admitted[-1] // 1000 + 60_000 <= mark and not any(True for _ in self.waiting.keys()):
+            self.admitted.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rate_audit(hits: DataFrame, key: str, ts: str, limit: int, delay: str = "10 minutes", closing: str | None = None) -> DataFrame:
+    """The limiter over a stream: (key, ts, wait) of every hit, once its minute is older than the watermark.
+
+    Hits may arrive up to `delay` late and in any order: they wait in the account's state, each minute for itself, until the watermark has passed them, and are judged by
+    event time. The state holds the waiting hits and the last `limit` admitted ones, and expires after the last. Rows whose `closing` column is true are no hits: they
+    only move the watermark, so one of them, `delay` and a minute after the last hit, has everything judged. Later hits are dropped, as with any
+    watermark, and hits without a time can't be judged. An account's decisions depend on each other, so one account is one task at a time.
     """
-    fields = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
-    window = int(WINDOW_SECONDS * 1000)
+    mark = F.lit(False) if closing is None else F.coalesce(F.col(closing), F.lit(False))
+    if limit <= 0:
+        return hits.where(~mark & F.col(ts).isNotNull()).select(key, ts, F.lit(0).alias("wait"))
+    kind = hits.schema[key].dataType.simpleString()
+    # closing rows go on to the operator: a filter would be pushed below the watermark
+    timed = hits.withWatermark(ts, delay).select(key, ts, F.unix_micros(ts).alias("_us"), mark.alias("_closing"))
+    found = timed.groupBy(key).transformWithState(_Limiter(limit, key, ts), f"`{key}` {kind}, _us long, wait int", "Append", "EventTime")
+    return found.select(key, F.timestamp_micros("_us").alias(ts), "wait")
 
-    def audit(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, admitted = (list(x) for x in state.get) if state.exists else ([], [])
-        for batch in batches:
-            waiting += batch["_us"].tolist()
-        mark = state.getCurrentWatermarkMs()
-        waiting.sort()
-        ready = waiting[:bisect_left(waiting, mark * 1000)]
-        waiting = waiting[len(ready):]
-        seconds = [t / 1e6 for t in admitted]
-        found = waits([t / 1e6 for t in ready], limit, seconds)
-        admitted = (admitted + [t for t, w in zip(ready, found) if not w])[-limit:]
-        last = waiting[0] // 1000 if waiting else admitted[-1] // 1000 + window if admitted else 0
-        if last <= mark and not waiting:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((waiting, admitted))
-            state.setTimeoutTimestamp(max(last, mark) + 1)
-        yield pd.DataFrame({key: [group[0]] * len(ready), ts: pd.to_datetime(ready, unit="us", utc=True), "wait": found})
 
-    if limit <= 0:
-        return hits.select(key, ts, F.lit(0).alias("wait"))
-    timed = hits.select(key, ts, F.unix_micros(ts).alias("_us")).withWatermark(ts, delay)
-    return timed.groupBy(key).applyInPandasWithState(
-        audit, f"`{key}` {fields[key]}, `{ts}` timestamp, wait int", "waiting array<long>, admitted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+def closing_row(spark: SparkSession, folder: str, hits: DataFrame, key: str, ts: str, closing: str, seconds: float = 720) -> DataFrame:
+    """A stream of one row, `seconds` after the last of the given hits, that closes `stream_rate_audit`; unite it with the stream of hits."""
+    row = hits.agg(F.max(ts).alias("last")).select(
+        F.lit(None).cast(hits.schema[key].dataType).alias(key), F.timestamp_micros(F.unix_micros("last") + int(seconds * 1e6)).alias(ts), F.lit(True).alias(closing))
+    row.write.mode("overwrite").parquet(f"{folder}/closing")
+    return spark.readStream.schema(row.schema).parquet(f"{folder}/closing")
 
 
 # ---------------------------------------------------------------- gate
 
-def gate_writer(path: str, stored: dict[str, DataFrame], build: Callable[[DataFrame], dict[str, DataFrame]],
-                keys: Sequence[str] = ("repo", "api"), threshold: str = "hold") -> Callable[[DataFrame, int], None]:
-    """Batch function that compares each arriving snapshot with the stored one and writes the gate's verdicts.
+class _Bodies(StatefulProcessor):
+    """Keeps the last body of a key and gives every upload the one before it."""
+
+    def __init__(self, pos: str, names: Sequence[str]):
+        self.pos, self.names = pos, tuple(names)
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "body string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.last.get()[0] if self.last.exists() else None
+        for row in sorted(rows, key=lambda r: r[self.pos]):
+            yield Row(**dict(zip(self.names, key)), **{self.pos: row[self.pos]}, before=before, body=row["body"])
+            before = row["body"]
+        self.last.update((before,))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.last.update((initialState["body"],))
+
+    def close(self) -> None:
+        pass
+
+
+def endpoint_bodies(snapshot: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """(keys, body) of every endpoint with a route: all its items by family, as one text. The items of an endpoint are one upload."""
+    parts = None
+    for family, rows in snapshot.items():
+        items = F.struct(*[c for c in rows.columns if c not in keys])
+        own = rows.groupBy(*keys).agg(F.to_json(F.collect_list(items)).alias("items")).select(*keys, F.lit(family).alias("family"), "items")
+        parts = own if parts is None else parts.unionByName(own)
+    body = F.to_json(F.map_from_entries(F.collect_list(F.struct("family", "items"))))
+    return parts.groupBy(*keys).agg(body.alias("body"), F.bool_or(F.col("family") == "routes").alias("_has")).where("_has").drop("_has")
+
+
+def _families(rows: DataFrame, body: str, like: dict[str, DataFrame], keys: Sequence[str]) -> dict[str, DataFrame]:
+    parsed = rows.where(F.col(body).isNotNull()).withColumn("_families", F.from_json(body, "map<string,string>"))
+    out = {}
+    for family, model in like.items():
+        columns = [f for f in model.schema.fields if f.name not in keys]
+        kind = ArrayType(model.select(*[f.name for f in columns]).schema).simpleString()
+        items = parsed.select(*keys, F.explode(F.from_json(F.col("_families")[family], kind)).alias("x"))
+        out[family] = items.select(*keys, *[F.col("x")[f.name].alias(f.name) for f in columns])
+    return out
+
+
+def stream_bodies(uploads: DataFrame, keys: Sequence[str], pos: str, stored: DataFrame | None = None) -> DataFrame:
+    """(keys, pos, before, body) of a stream of (keys, pos, body): each upload beside the body its endpoint had before, `stored` ones (keys, body) first."""
+    kinds = {f.name: f.dataType.simpleString() for f in uploads.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, pos]) + ", before string, body string"
+    initial = stored.select(*keys, "body").groupBy(*keys) if stored is not None else None
+    return uploads.groupBy(*keys).transformWithState(_Bodies(pos, keys), schema, "Append", "None", initialState=initial)
+
+
+def gate_writer(path: str, like: dict[str, DataFrame], keys: Sequence[str] = ("repo", "api"), pos: str = "pos", threshold: str = "hold") -> Callable[[DataFrame, int], None]:
+    """Batch function that compares the uploads of `stream_bodies` with what was there before and writes the gate's verdicts.
 
-    An upload lists what its commit touched, so absent endpoints are no removals.
+    A batch reads its own rows only. `like` has the families' columns. An upload lists what its commit touched, so absent endpoints are no removals; an
+    endpoint without a body before is added.
     """
     def write(batch: DataFrame, number: int) -> None:
-        head = build(batch)
-        verdicts = compare_snapshots(stored, head, keys, complete=False, ordered=False)
+        own = cut_lineage(batch)
+        verdicts = compare_snapshots(_families(own, "before", like, [*keys, pos]), _families(own, "body", like, [*keys, pos]), [*keys, pos], complete=False, ordered=False)
         gate(verdicts, threshold).write.mode("overwrite").parquet(f"{path}/batch={number}")
     return write

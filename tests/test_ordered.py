@@ -156,6 +156,18 @@ def test_limiter_sessions_match_a_plain_pass(spark, size):
     assert [r.wait for r in found] == plain_limiter(times, 4)
 
 
+@pytest.mark.parametrize(("limit", "size"), [(1, 7), (4, 7), (30, 25)])
+def test_one_busy_account_runs_in_chunks(spark, limit, size):
+    """No pause of a minute, so the whole account is one session."""
+    rnd, now, times = random.Random(size + limit), 0.0, []
+    for _ in range(400):
+        now += rnd.choice([0.0, 0.25, 1.0, 7.0, 31.0])
+        times.append(now)
+    hits = spark.createDataFrame([("k", i, t) for i, t in enumerate(times)] + [(None, i, t) for i, t in enumerate(times[:50])], "key string, pos long, at double")
+    found = uploads.rate_audit(hits, ["key"], "pos", "at", limit, size).orderBy("key", "pos").collect()
+    assert [r.wait for r in found if r.key] == plain_limiter(times, limit) and [r.wait for r in found if not r.key] == plain_limiter(times[:50], limit)
+
+
 def test_pairs_and_latest(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "api string, version long, content string")
     assert rows(versions.version_pairs(df, ["api"])) == [("a", 1, 2, "x", "y")]

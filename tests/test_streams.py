@@ -18,34 +18,50 @@ def test_versions_over_several_files(spark, tmp_path):
     for i in range(4):
         spark.createDataFrame(data[i * 50:(i + 1) * 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    write = uploads.version_writer(str(tmp_path / "table"))
-    uploads.run_available(stream, str(tmp_path / "run"), write)
-    got = rows(uploads.read_versions(spark, str(tmp_path / "table")), "api", "pos", "version")
+    out = uploads.run_available(uploads.stream_versions(stream), str(tmp_path / "run"))
+    got = rows(out, "api", "pos", "version")
     assert got == rows(versions.append_if_changed(spark.createDataFrame(data, schema)), "api", "pos", "version")
-    # a batch that runs again after a failure writes the same rows
-    write(spark.createDataFrame(data[150:], schema), 3)
-    assert rows(uploads.read_versions(spark, str(tmp_path / "table")), "api", "pos", "version") == got
+    # numbering goes on from what was stored before the stream
+    stored = versions.latest_of(versions.append_if_changed(spark.createDataFrame(data[:50], schema)))
+    for i in range(1, 4):
+        spark.createDataFrame(data[i * 50:(i + 1) * 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "rest"))
+    rest = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rest"))
+    out = uploads.run_available(uploads.stream_versions(rest, stored=stored), str(tmp_path / "again"))
+    assert rows(out, "api", "pos", "version") == [r for r in got if r[1] >= 50]
+
+
+def test_uploads_meet_the_body_before(spark, tmp_path):
+    schema = "api string, pos long, body string"
+    for part in ([("a", 2, "a2"), ("a", 1, "a1"), ("b", 1, "b1")], [("a", 3, "a3"), ("c", 1, None)], [("c", 2, "c2"), ("b", 2, "b1")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stored = spark.createDataFrame([("b", "b0"), ("z", "z0")], "api string, body string")
+    out = uploads.run_available(uploads.stream_bodies(stream, ["api"], "pos", stored), str(tmp_path / "run"))
+    assert rows(out, "api", "pos", "before", "body") == sorted([
+        ("a", 1, None, "a1"), ("a", 2, "a1", "a2"), ("a", 3, "a2", "a3"), ("b", 1, "b0", "b1"), ("b", 2, "b1", "b1"), ("c", 1, None, None), ("c", 2, None, "c2")], key=repr)
 
 
 def test_streamed_limits_equal_batch(spark, tmp_path):
-    """Hits in any order, in several micro-batches, more than an Arrow batch of them for one account; the last ten minutes stay undecided."""
+    """Hits in any order, in several micro-batches; a closing row has all of them judged."""
     rnd, now, hits = random.Random(3), 0, []
     for _ in range(1500):
         now += rnd.choice([0, 500, 3000, 11_000, 59_000, 60_000])
         hits.append((rnd.choice("kkkj"), now))
     late = sorted(range(len(hits)), key=lambda i: hits[i][1] + rnd.random() * 500_000)
+    schema = "key string, ts timestamp, closing boolean"
     for part in range(3):
         some = [hits[i] for i in late[part * 500:(part + 1) * 500]]
-        spark.createDataFrame(some, "key string, ms long").select("key", F.timestamp_millis("ms").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
-    try:
-        out = rows(uploads.run_available(uploads.stream_rate_audit(stream, "key", "ts", 3), str(tmp_path / "run")).select("key", F.unix_millis("ts"), "wait"))
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        (spark.createDataFrame(some, "key string, ms long").select("key", F.timestamp_millis("ms").alias("ts"), F.lit(False).alias("closing")).coalesce(1)
+         .write.mode("append").parquet(str(tmp_path / "in")))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    closing = uploads.closing_row(spark, str(tmp_path), spark.read.schema(schema).parquet(str(tmp_path / "in")), "key", "ts", "closing")
+    # the closing row arrives with the last files
+    closing_file = next(p for p in (tmp_path / "closing").iterdir() if p.suffix == ".parquet")
+    (tmp_path / "in" / "z-closing.parquet").write_bytes(closing_file.read_bytes())
+    assert closing.isStreaming
+    out = rows(uploads.run_available(uploads.stream_rate_audit(stream, "key", "ts", 3, closing="closing"), str(tmp_path / "run")).select("key", F.unix_millis("ts"), "wait"))
     frame = spark.createDataFrame([(k, i, ms / 1000) for i, (k, ms) in enumerate(hits)], "key string, pos long, at double")
-    decided = uploads.rate_audit(frame, ["key"], "pos", "at", 3).where(F.col("at") * 1000 < now - 600_000)
-    assert out == rows(decided.select("key", (F.col("at") * 1000).cast("long"), "wait"))
+    assert out == rows(uploads.rate_audit(frame, ["key"], "pos", "at", 3).select("key", (F.col("at") * 1000).cast("long"), "wait"))
 
 
 def test_duplicates_count_once(spark, tmp_path):
