@@ -3,12 +3,13 @@
 1. Every document is tokenised and closed with a separator id; only documents longer than the capacity are cut.
 2. The histogram of piece lengths (as many numbers as the capacity) goes to the driver. Patterns of two or three lengths that fill a
    sequence exactly are enumerated; their repeat counts are fitted to the histogram by non-negative least squares and rounded,
-   never beyond what the histogram still holds. What is left is packed by best fit, longest first, over counts of equal bins.
-   Work and memory of the plan depend on the capacity, not on the number of documents.
+   never beyond what the histogram still holds. What is left is packed by best fit, longest first, over counts of equal bins. Of the plans with all or a
+   share of the fitted counts the shortest is taken. Work and memory of the plan depend on the capacity, not on the number of documents.
 3. Pieces of one length are numbered (in salted groups, so a length that a third of all pieces share is not one task) and take the
    plan's places of that length in turn.
 
-A null text is empty: its one piece is the separator alone. Repeated rows are packed each.
+A null text is empty: its one piece is the separator alone. Repeated rows are packed each. Texts of any length are tokenised whole, a long one as a slice of its own. Of the input only
+`doc_id` and `text` are read, so other columns may have any name. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -203,16 +204,31 @@ def fitted_patterns(histogram: np.ndarray, capacity: int, stride: int = 16, roun
     return [(patterns[k], float(x[k])) for k in order if x[k] > 0]
 
 
+# Shares of the fitted repeat counts that plans are made with; what a plan leaves is packed by best fit.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.0)
+
+
 def plan(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, how often) that use up histogram[length] exactly."""
+    """(lengths, how often) that use up histogram[length] exactly.
+
+    The fitted counts say nothing about how well the rest packs, so plans with all of them (rounded to the nearest, and down) and with shares of them are made. The one with
+    the fewest sequences is taken, of equal ones the one with the most patterns; with none of them it is best fit alone, so no plan is worse than that.
+    """
     left = histogram.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    for pattern, times in fitted_patterns(left, capacity):
+    full: list[tuple[tuple[int, ...], int]] = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    fitted = fitted_patterns(left, capacity)
+    plans = [_with_patterns(left, capacity, [(p, round(x)) for p, x in fitted])]
+    plans += [_with_patterns(left, capacity, [(p, int(share * x)) for p, x in fitted]) for share in SHARES]
+    return full + min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _with_patterns(histogram: np.ndarray, capacity: int, patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns as often as wanted, never beyond what the histogram still holds, and best fit of the rest."""
+    left, out = histogram.copy(), []
+    for pattern, times in patterns:
         lengths, needs = np.unique(pattern, return_counts=True)
-        use = int(min(round(times), (left[lengths] // needs).min()))
+        use = int(min(times, (left[lengths] // needs).min()))
         if use > 0:
             left[lengths] -= needs * use
             out.append((pattern, use))
@@ -269,11 +285,12 @@ def place(found: DataFrame, capacity: int = 2048, group_rows: int = 100_000) ->
     # as many rows as the plan has places of equal sequences, whatever the number of documents
     sent = found.sparkSession.sparkContext.broadcast(slots)
 
+    # rows are dealt by their number in the written table, so repeated rows spread like any others
     salts = int(histogram.sum() // group_rows) + 1
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = found.withColumn("row", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1
     numbered = salted.withColumn("rank", rank).join(before, ["length", "salt"]).select(*found.columns, (F.col("rank") + F.col("before")).alias("rank"))
     names = [*found.columns, "sequence_id", "offset"]
 

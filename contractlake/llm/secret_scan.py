@@ -7,7 +7,12 @@ scanned and unwrapped in turn, until no new layer turns up; a layer that repeats
 branch, so cycles end too. Each character of a layer knows the span of the original text that it came from; a match in a layer is
 given as the span of the original characters it rests on. Spans count code points, end exclusive.
 
-Null text: empty, no spans. One span found on several ways counts once.
+Compressed data of any size is inflated in stretches of some megabytes that overlap; each stretch is a layer whose characters all rest on the whole of the packed data, so it
+holds one span and not one for each character. A stretch begins where the base64 run that reaches into it begins, up to 16 MB before it; runs of 1,024 spaces and more count as one
+space there. All members of concatenated gzip data are read, behind whatever bytes they stand, in each kind of run.
+
+Null text: empty, no spans. Texts of any length are read whole. One span found on several ways counts once. Repeated rows give equal results each; equal spans are ordered by kind.
+Input columns that carry the name of a new column are replaced, all others are kept, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,8 +54,13 @@ _BROKEN = re.compile("[\udc80-\udcff]")
 _READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
 _PACK = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _PACKED = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
-# Compressed data that unpacks to more is left packed: a guard against bombs, far above any document.
-MOST_UNPACKED = 64 << 20
+_GAP = re.compile(" {1024,}")
+_RUN_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
+# Bytes of inflated data in a stretch, characters that a stretch shares with the one before, at least and for a base64 run.
+STRETCH = 8 << 20
+OVERLAP = 1 << 16
+RUN_OVERLAP = 16 << 20
+_BLOCK, _PIECE = 1 << 16, 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -72,24 +83,83 @@ class Layer:
     ends: np.ndarray
 
 
-def _unpack(data: bytes) -> tuple[bytes, int] | None:
-    """What gzip or zlib data unpacks to, up to the first broken byte, and how many bytes of it were read."""
-    try:
-        reader = zlib.decompressobj(47)  # gzip or zlib, by its header
-        out = reader.decompress(data, MOST_UNPACKED)
-        return (out, len(data) - len(reader.unused_data)) if out and (reader.eof or not reader.unconsumed_tail) else None
-    except zlib.error:
-        pass
-    reader, parts, size = zlib.decompressobj(47), [], 0
-    for k in range(len(data)):  # byte by byte, so that what comes before the broken one is kept
-        try:
-            parts.append(reader.decompress(data[k:k + 1]))
-        except zlib.error:
-            break
-        size += len(parts[-1])
-        if size > MOST_UNPACKED:
-            return None
-    return (b"".join(parts), len(data)) if size else None
+class _Inflated:
+    """Pieces of what gzip or zlib data unpacks to, up to the first broken byte; `used` is the place behind the data once all pieces are read."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.used = data, at
+
+    def __iter__(self) -> Iterator[bytes]:
+        reader, data = zlib.decompressobj(47), memoryview(self.data)  # gzip or zlib, by its header
+        while self.used < len(data) and not reader.eof:
+            block, before = data[self.used:self.used + _BLOCK], reader.copy()
+            done = 0
+            try:
+                for piece in self._feed(reader, block):
+                    done += len(piece)
+                    yield piece
+            except zlib.error:  # byte by byte, so that what comes before the broken one is kept
+                reader = before
+                yield from self._up_to_the_broken_byte(reader, block, done)
+                self.used = len(data)
+                return
+            self.used += len(block) - len(reader.unused_data)
+
+    @staticmethod
+    def _feed(reader, block) -> Iterator[bytes]:
+        while True:
+            piece = reader.decompress(block, _PIECE)
+            if piece:
+                yield piece
+            block = reader.unconsumed_tail
+            if reader.eof or not block and len(piece) < _PIECE:
+                return
+
+    def _up_to_the_broken_byte(self, reader, block, given: int) -> Iterator[bytes]:
+        for k in range(len(block)):
+            try:
+                for piece in self._feed(reader, block[k:k + 1]):
+                    yield piece[given:]
+                    given = max(0, given - len(piece))
+            except zlib.error:
+                return
+
+
+def _packs(data: bytes) -> Iterator[tuple[int, int]]:
+    """Places from:to of compressed data among the bytes; such that begins them, or that holds readable text."""
+    at = 0
+    while found := _PACK.search(data, at):
+        at, inflated, readable, size, tail = found.start() + 1, _Inflated(data, found.start()), False, 0, b""
+        for piece in inflated:
+            readable = readable or bool(_READABLE.search(tail + piece))
+            size, tail = size + len(piece), piece[-16:]
+        if size and (readable or not found.start()):
+            yield found.start(), inflated.used
+            at = max(at, inflated.used)
+
+
+def _stretches(pieces) -> Iterator[str]:
+    """The text of inflated pieces in overlapping parts."""
+    carry, held, size = "", [], 0
+
+    def text_of(data: bytes) -> str:
+        nonlocal carry
+        text = _GAP.sub(" ", carry + _text(data)[0])
+        keep = max(OVERLAP, min(len(text) - len(text.rstrip(_RUN_CHARACTERS)), RUN_OVERLAP))
+        carry = text[-keep:]
+        return text
+
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size >= STRETCH:
+            data = b"".join(held)
+            # a character that is not complete waits for its other bytes
+            cut = next((k for k in range(1, 4) if data[-k] >= 0xC0), 0)
+            yield text_of(data[:len(data) - cut])
+            held, size = [data[len(data) - cut:]], cut
+    if size:
+        yield text_of(b"".join(held))
 
 
 def _text(data: bytes) -> tuple[str, np.ndarray]:
@@ -112,34 +182,47 @@ def _clean(data: bytes) -> bool:
 def _replaced(layer: Layer, parts: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
     """The layer with the ranges from:to replaced by texts; of each new character the range of the layer's characters is given."""
     texts, starts, ends, at = [], [], [], 0
+    one = layer.starts.strides == (0,)
     for a, b, text, low, high in parts:
         texts += [layer.text[at:a], text]
-        starts += [layer.starts[at:a], layer.starts[low]]
-        ends += [layer.ends[at:a], layer.ends[high - 1]]
+        if not one:
+            starts += [layer.starts[at:a], layer.starts[low]]
+            ends += [layer.ends[at:a], layer.ends[high - 1]]
         at = b
-    return Layer("".join([*texts, layer.text[at:]]), np.concatenate([*starts, layer.starts[at:]]), np.concatenate([*ends, layer.ends[at:]]))
+    whole = "".join([*texts, layer.text[at:]])
+    if one:
+        return _whole(layer, 0, 1, whole)
+    return Layer(whole, np.concatenate([*starts, layer.starts[at:]]), np.concatenate([*ends, layer.ends[at:]]))
 
 
 def _whole(layer: Layer, a: int, b: int, text: str) -> Layer:
-    """A text that rests on all of the layer's range a:b."""
-    return Layer(text, np.full(len(text), layer.starts[a]), np.full(len(text), layer.ends[b - 1]))
+    """A text that rests on all of the layer's range a:b: one span, seen from every character."""
+    return Layer(text, np.broadcast_to(layer.starts[a], len(text)), np.broadcast_to(layer.ends[b - 1], len(text)))
 
 
-def _percent(layer: Layer) -> list[Layer]:
-    parts, out = [], []
+def _unpacked(layer: Layer, a: int, b: int, data: bytes, at: int) -> Iterator[Layer]:
+    """Layers of compressed data at a place of the bytes that the layer's range a:b holds."""
+    return (_whole(layer, a, b, text) for text in _stretches(_Inflated(data, at)))
+
+
+def _percent(layer: Layer) -> Iterator[Layer]:
+    parts = []
     for m in _PERCENT.finditer(layer.text):
         data = binascii.unhexlify(m[0].replace("%", ""))
-        if data.startswith(_PACKED) and (found := _unpack(data)):
-            out.append(_whole(layer, m.start(), m.end(), _text(found[0])[0]))
-            continue
-        text, sizes = _text(data)
-        high = m.start() + 3 * np.cumsum(sizes)
-        parts.append((m.start(), m.end(), text, np.append(m.start(), high[:-1]), high))
-    return out + [_replaced(layer, parts)] if parts else out
+        whole = False
+        for low, used in _packs(data):
+            whole = whole or (low, used) == (0, len(data))
+            yield from _unpacked(layer, m.start() + 3 * low, m.start() + 3 * used, data, low)
+        if not whole:
+            text, sizes = _text(data)
+            high = m.start() + 3 * np.cumsum(sizes)
+            parts.append((m.start(), m.end(), text, np.append(m.start(), high[:-1]), high))
+    if parts:
+        yield _replaced(layer, parts)
 
 
-def _escapes(layer: Layer) -> list[Layer]:
-    parts, out = [], []
+def _escapes(layer: Layer) -> Iterator[Layer]:
+    parts = []
     for m in _ESCAPE.finditer(layer.text):
         chars, low, high = [], [], []
         for one in _ESCAPE_ONE.finditer(m[0]):
@@ -152,12 +235,17 @@ def _escapes(layer: Layer) -> list[Layer]:
             chars.append(value if value < 0x110000 else 0xFFFD)
             low.append(m.start() + one.start())
             high.append(m.start() + one.end())
-        if all(c < 256 for c in chars) and bytes(chars).startswith(_PACKED) and (found := _unpack(bytes(chars))):
-            out.append(_whole(layer, m.start(), m.end(), _text(found[0])[0]))
-            continue
-        text = "".join(chr(c if not 0xD800 <= c < 0xE000 else 0xFFFD) for c in chars)
-        parts.append((m.start(), m.end(), text, np.array(low), np.array(high)))
-    return out + [_replaced(layer, parts)] if parts else out
+        whole = False
+        if all(c < 256 for c in chars):
+            data = bytes(chars)
+            for first, used in _packs(data):
+                whole = whole or (first, used) == (0, len(data))
+                yield from _unpacked(layer, low[first], high[used - 1], data, first)
+        if not whole:
+            text = "".join(chr(c if not 0xD800 <= c < 0xE000 else 0xFFFD) for c in chars)
+            parts.append((m.start(), m.end(), text, np.array(low), np.array(high)))
+    if parts:
+        yield _replaced(layer, parts)
 
 
 def _blocks(text: str, m: re.Match) -> list[list[tuple[int, int]]]:
@@ -189,16 +277,14 @@ def _blocks(text: str, m: re.Match) -> list[list[tuple[int, int]]]:
     return blocks
 
 
-def _base64(layer: Layer) -> list[Layer]:
-    out = []
+def _base64(layer: Layer) -> Iterator[Layer]:
     for m in _BASE64.finditer(layer.text):
         blocks = _blocks(layer.text, m)
         for block in blocks:
-            out += _decoded(layer, block, m.end() if block is blocks[-1] else block[-1][1])
-    return out
+            yield from _decoded(layer, block, m.end() if block is blocks[-1] else block[-1][1])
 
 
-def _decoded(layer: Layer, block: list[tuple[int, int]], end: int) -> list[Layer]:
+def _decoded(layer: Layer, block: list[tuple[int, int]], end: int) -> Iterator[Layer]:
     """Layers of a run that may stand in several lines.
 
     A run that is readable as a whole is one layer. In any other one a layer may begin behind characters that don't belong to it, so it is decoded from
@@ -206,10 +292,9 @@ def _decoded(layer: Layer, block: list[tuple[int, int]], end: int) -> list[Layer
     """
     run = "".join(layer.text[a:b] for a, b in block).translate(_URL_SAFE)
     if len(run) < LEAST_RUN:
-        return []
+        return
     place = np.concatenate([np.arange(a, b) for a, b in block])
     last = block[-1][1] - block[-1][0]
-    out: list[Layer] = []
     for phase in range(4):
         own = run[phase:]
         own = own[:len(own) - (len(own) % 4 == 1)]
@@ -223,51 +308,48 @@ def _decoded(layer: Layer, block: list[tuple[int, int]], end: int) -> list[Layer
         if not readable and not _READABLE.search(data) and not _PACK.search(data):
             continue
         at = place[phase:phase + len(own)]
-        whole, k = False, 0
-        while found := _PACK.search(data, k):
-            k = found.start() + 1
-            if readable or (unpacked := _unpack(data[found.start():])) is None:
-                continue
-            text = _text(unpacked[0])[0]
-            low, used = found.start(), found.start() + unpacked[1]
-            if text and (low == 0 or _READABLE.search(unpacked[0])):
-                high = end if used == len(data) and len(own) == len(run) - phase else int(at[min(-(-used * 4 // 3), len(at)) - 1]) + 1
-                out.append(_whole(layer, int(at[low * 4 // 3]), high, text))
-                k, whole = max(k, used), whole or low == phase == 0
+        whole = False
+        for low, used in () if readable else _packs(data):
+            high = end if used == len(data) and len(own) == len(run) - phase else int(at[min(-(-used * 4 // 3), len(at)) - 1]) + 1
+            yield from _unpacked(layer, int(at[low * 4 // 3]), high, data, low)
+            whole = whole or low == phase == 0
         if not whole and (readable or _READABLE.search(data)):
             text, sizes = _text(data)
             after = np.cumsum(sizes)
             low = np.append(0, after[:-1]) * 4 // 3
             high = np.minimum(-(-after * 4 // 3), len(at))
-            out.append(Layer(text, layer.starts[at[low]], layer.ends[at[high - 1]]))
+            yield Layer(text, layer.starts[at[low]], layer.ends[at[high - 1]])
         if phase == 0 and (readable and len(own) == len(run) or whole):
             break
-    return out
 
 
-def _opened(layer: Layer) -> list[Layer]:
+def _opened(layer: Layer) -> Iterator[Layer]:
     text = layer.text
-    out = _percent(layer) if "%" in text else []
+    if "%" in text:
+        yield from _percent(layer)
     if "\\" in text or "&#" in text:
-        out += _escapes(layer)
-    return out + _base64(layer)
+        yield from _escapes(layer)
+    yield from _base64(layer)
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans and those found in unwrapped layers, in order."""
     places = np.arange(len(text) + 1)
-    work = _opened(Layer(text, places[:-1], places[1:]))
-    if not work:
-        return base
-    seen, spans = {text}, set(base)
-    while work:
-        layer = work.pop()
-        key = (layer.text, int(layer.starts[0]), int(layer.ends[-1]))
-        if layer.text == text or key in seen:
+    work = [_opened(Layer(text, places[:-1], places[1:]))]
+    seen, spans = set(), set(base)
+    while work:  # one layer of each depth is held
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if layer.text == text or not layer.text:
+            continue
+        key = (hashlib.blake2b(layer.text.encode(errors="surrogatepass"), digest_size=16).digest(), int(layer.starts[0]), int(layer.ends[-1]))
+        if key in seen:
             continue
         seen.add(key)
         spans.update((int(layer.starts[a]), kind, int(layer.ends[b - 1])) for a, kind, b in base_spans(layer.text))
-        work += _opened(layer)
+        work.append(_opened(layer))
     return sorted(spans)
 
 
@@ -306,5 +388,6 @@ def with_spans(docs: DataFrame, mask: bool = False) -> DataFrame:
                 out.append(pa.array([t if t is None else masked(t, s) for t, s in zip(texts, full)], pa.string()))
             return out
         return work
-    found = arrow_columns(docs, [*COLUMNS, *([("_masked", "string")] if mask else [])], setup)
-    return found.withColumn("text", found["_masked"]).drop("_masked") if mask else found
+    held = "_" * max(len(c) for c in docs.columns) + "_masked"  # longer than any name of an input column
+    found = arrow_columns(docs, [*COLUMNS, *([(held, "string")] if mask else [])], setup)
+    return found.withColumn("text", found[held]).drop(held) if mask else found

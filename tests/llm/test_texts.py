@@ -197,8 +197,67 @@ def test_with_spans_rows(spark):
     assert secret_scan.with_spans(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [1 << 10, 1 << 16, 8 << 20])
+def test_layers_of_any_size_are_read_in_stretches(monkeypatch, stretch):
+    monkeypatch.setattr(secret_scan, "STRETCH", stretch)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 9)
+    noise = random.Random(stretch)
+    long = "".join(noise.choice(["é word ", "line\n", "x. "]) for _ in range(60_000))
+    secret = "password=hunter2hunter"
+    for body in (long + secret, secret + long, long + secret + long, long + base64.b64encode(f"and {secret} here".encode()).decode() + "\n" + long, "password" + " " * 5000 + "=  hunter2hunter" + long):
+        run = base64.b64encode(gzip.compress(body.encode())).decode()
+        assert spans(f"a {run} b") == [(2, 0, 2 + len(run))]
+
+
+@pytest.mark.parametrize("write", [lambda d: "".join(f"%{b:02X}" for b in d), lambda d: "".join(f"\\x{b:02x}" for b in d), lambda d: base64.b64encode(d).decode()])
+@pytest.mark.parametrize("before", [b"", b"!", b"ab", b"abc"])
+def test_every_member_behind_any_bytes(write, before):
+    one, two = gzip.compress(b"nothing to see in this one"), gzip.compress(b"the password=hunter2hunter is it")
+    for data in (before + two, before + one + two, before + two + one, before + one + one + two + b"tail"):
+        run = write(data)
+        found = spans(f"x {run} y")
+        assert found and {kind for _, kind, _ in found} == {0} and all(2 <= a and b <= 2 + len(run) for a, _, b in found)
+
+
+def test_broken_data_is_read_up_to_the_broken_byte():
+    data = bytearray(gzip.compress(("the password=hunter2hunter is " + "".join(random.Random(1).choices("abcdefghijklm ", k=3000))).encode()))
+    data[-400] ^= 0xFF
+    assert spans(f"x {base64.b64encode(bytes(data)).decode()} y")
+
+
+def test_a_masked_column_of_the_input_stays(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh", "mine")], "doc_id long, text string, _masked string")
+    assert tuple(secret_scan.with_spans(docs, mask=True).select("text", "_masked").first()) == ("[SECRET]", "mine")
+
+
 # -- packing
 
+@pytest.mark.parametrize("lengths", ["uniform", "long", "exponential", "middle", "few", "hot"])
+@pytest.mark.parametrize("n", [1, 30, 1000, 20_000])
+def test_a_plan_is_never_longer_than_best_fit(lengths, n):
+    rng = np.random.default_rng(n)
+    drawn = {"uniform": lambda: rng.integers(1, 2049, n), "long": lambda: rng.integers(400, 2049, n), "exponential": lambda: np.clip(rng.exponential(300, n).astype(int) + 1, 1, 2048),
+             "middle": lambda: rng.integers(600, 800, n), "few": lambda: rng.choice([300, 700, 900, 1500], n),
+             "hot": lambda: np.where(rng.random(n) < 0.4, 777, rng.integers(1, 2049, n))}[lengths]()
+    histogram = np.bincount(drawn, minlength=2049)
+    found = packing.plan(histogram, 2048)
+    used = np.zeros(2049, np.int64)
+    for bins, times in found:
+        assert sum(bins) <= 2048 and times > 0
+        np.add.at(used, list(bins), times)
+    assert (used == histogram).all()
+    assert sum(times for _, times in found) <= sum(times for _, times in packing.best_fit(histogram, 2048))
+
+
+@needs_files
+def test_repeated_rows_spread_over_the_groups(spark):
+    """A table of one repeated row: its pieces still have places of their own."""
+    docs = made(spark, ["the same text "] * 300, [7] * 300)
+    packed = packing.place(packing.pieces(docs, WORD_TOKENIZER, 64).checkpoint(), 64, group_rows=20).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in packed}
+    assert len(places) == len(packed) == 300 and all(r["offset"] % packed[0]["length"] == 0 for r in packed)
+
+
 ODD = ["It's 5's l'été ''s !'s don't áb x<|endoftext|>y <|ENDOFTEXT|> 12ab3 Σας İx ﬁ ½ \x01 a\x01 日本語 é́ K5⃣ 'll'veX it''s", "", None, "  \n\t ", "A" * 300, "can't've 'S 'T we'RE ʼs _a_b_ a1b2 ²x", "the cat " * 3000]
 
 
