@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +12,9 @@ from ..session import scratch_path
 from . import fingerprint, language, packing, pieces, prefix_trie, quality, repair, secret_scan, shingle_join, suffix_dedup, toxicity, vector_join, warc
 from .frames import fold
 
-# Place of the public vocabulary files; a parameter of the operators that use them.
-TOKENIZERS = "/opt/tokenizers"
-WORD_TOKENIZER = f"{TOKENIZERS}/word_bpe_49k.json"
-PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+# Places of the public vocabulary files; parameters of the operators that use them.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

@@ -131,7 +131,8 @@ class _Block:
         part = (token >> U64(BITS - range_bits)).astype(np.int64)
         cuts = np.searchsorted(part, np.arange((1 << range_bits) + 1))
         ends = np.append(first, len(doc))
-        parts, blobs = [self.key % (1 << range_bits)], [b"\x00" + head]
+        # heads are dealt by a hash: the key itself counts from the same number in every task
+        parts, blobs = [int(mix(np.array([self.key], U64))[0] >> U64(64 - range_bits))], [b"\x00" + head]
         for p in np.unique(part).tolist():
             a, b = cuts[p], cuts[p + 1]
             blob = _packed(np.diff(token[a:b], prepend=U64(0)).astype("<u8"), times[a:b].astype("<u2"), doc[ends[a]:ends[b]])
