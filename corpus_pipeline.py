@@ -12,14 +12,12 @@ repeated ones too. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractlake.llm import packing, quality, secret_scan, shingle_join, suffix_dedup
 from contractlake.llm.queries import WORD_TOKENIZER, quality_model
-from contractlake.session import ensure_checkpoint_dir
+from contractlake.session import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
@@ -60,8 +58,7 @@ STAGES = [("quality", keep_quality), ("near_duplicates", keep_one_of_each_group)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "pipeline")  # deleted when the program ends
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
