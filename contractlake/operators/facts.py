@@ -228,7 +228,7 @@ def http_facts(calls: DataFrame, apps: DataFrame, base_urls: DataFrame, feign: D
 def client_base(base_urls: DataFrame, calls: DataFrame) -> DataFrame:
     """Base URL of a call's client: by bean name, else the only one of its module and client."""
     only = base_urls.groupBy("module", "client").agg(F.count("*").alias("_n"), F.min("base_url").alias("_only")).where("_n = 1")
-    by_bean = base_urls.select("module", "client", F.lower("bean").alias("_bean"), F.col("base_url").alias("_named")).dropDuplicates(["module", "client", "_bean"])
+    by_bean = base_urls.groupBy("module", "client", F.lower("bean").alias("_bean")).agg(F.min("base_url").alias("_named"))  # of several the least, so that reruns agree
     rows = calls.select("call", "module", "client", F.lower("bean").alias("_bean"))
     return (rows.join(by_bean, ["module", "client", "_bean"], "left").join(only, ["module", "client"], "left")
             .select("call", F.coalesce("_named", "_only").alias("base_url")))
@@ -245,7 +245,7 @@ def url_target(df: DataFrame, url: str, apps: DataFrame) -> DataFrame:
     """
     scheme = non_empty(F.regexp_extract(url, URL_TARGET, 1))
     host = F.when(scheme.isNotNull(), F.regexp_extract(url, URL_TARGET, 2))
-    known = apps.select(F.col("app").alias("host"), F.col("module").alias("target_module")).dropDuplicates(["host"])
+    known = apps.groupBy(F.col("app").alias("host")).agg(F.min("module").alias("target_module"))
     out = df.withColumn("host", host).withColumn("_scheme", scheme).join(known, "host", "left")
     service = F.when(F.col("target_module").isNotNull() | (F.col("_scheme") == "lb"), F.col("host"))
     return out.withColumn("target_service", service).drop("_scheme")
@@ -437,7 +437,7 @@ def feign_operations(clients: DataFrame, methods: DataFrame, apps: DataFrame) ->
     path = F.when(F.col("annotation").isNotNull(), F.coalesce("path", F.lit(""))).otherwise(F.regexp_extract(line, "^[^ ]+ (.*)$", 1))
     base = F.concat(F.coalesce("base_path", F.lit("")), F.coalesce("mapping_path", F.lit("")))
     rows = methods.join(clients, "client").withColumn("http_method", verb).where("http_method IS NOT NULL")
-    known = apps.select(F.col("app").alias("service"), F.col("module").alias("target_module")).dropDuplicates(["service"])
+    known = apps.groupBy(F.col("app").alias("service")).agg(F.min("module").alias("target_module"))
     return rows.select("client", "name", "http_method", F.concat(base, path).alias("path"), "service").join(known, "service", "left")
 
 

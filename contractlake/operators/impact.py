@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .closure import reachable
 from .intervals import overlap_join
 
@@ -20,8 +21,10 @@ def changed_symbols(hunks: DataFrame, types: DataFrame, methods: DataFrame, scop
     and all its methods; so do `whole_files` (file), used when there is no parent commit.
     """
     on = [*scope, "file"]
-    in_types = overlap_join(hunks, types, on, ("h_start", "h_end"), ("t_start", "t_end")).select(*on, "hunk", "type", "outer")
-    in_methods = overlap_join(hunks, methods.select(*on, "method", F.col("type"), "m_start", "m_end"), on, ("h_start", "h_end"), ("m_start", "m_end"))
+    # each overlap is read twice below
+    in_types = cut_lineage(overlap_join(hunks, types, on, ("h_start", "h_end"), ("t_start", "t_end")).select(*on, "hunk", "type", "outer"))
+    in_methods = cut_lineage(overlap_join(hunks, methods.select(*on, "method", F.col("type"), "m_start", "m_end"), on, ("h_start", "h_end"), ("m_start", "m_end"))
+                             .select(*on, "hunk", "type", "method"))
     covered = (in_methods.select(*on, "hunk", "type")
                .unionByName(in_types.where("outer IS NOT NULL").select(*on, "hunk", F.col("outer").alias("type"))).distinct())
     whole = in_types.join(covered, [*on, "hunk", "type"], "left_anti").select(*scope, "type")

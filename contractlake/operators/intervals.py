@@ -31,23 +31,23 @@ def _level_bins(level: int, roles: Column, first: Column, last: Column) -> Colum
         roles, lambda r: F.struct(F.lit(level).alias("level"), b.alias("bin"), r.alias("role")))))
 
 
-def _binned(df: DataFrame, start: str, end: str, widths: Sequence[int], levels: Sequence[int], resident: Column, visitor: Column) -> DataFrame:
-    """Bin entries as a resident of the own level and as a visitor of the greater `levels`."""
+def _binned(df: DataFrame, start: str, end: str, widths: Sequence[int], homes: DataFrame, resident: Column, visitor: Column) -> DataFrame:
+    """Bin entries as a resident of the own level and as a visitor of those greater ones among `homes`, where the other side has residents."""
     none = F.array().cast("array<struct<level:int,bin:bigint,role:string>>")
     parts = []
     for i, w in enumerate(widths):
         first, last = F.floor(F.col(start) / F.lit(w)), F.floor(F.col(end) / F.lit(w))
-        entry = F.when(F.col("_own") == i, _level_bins(i, resident, first, last))
-        if i in levels:
-            entry = entry.when(F.col("_own") < i, _level_bins(i, visitor, first, last))
+        entry = F.when(F.col("_own") == i, _level_bins(i, resident, first, last)).when(F.col("_own") < i, _level_bins(i, visitor, first, last))
         parts.append(F.coalesce(entry, none))
     rows = df.withColumn("_own", _own_level(start, end, widths)).withColumn("_b", F.explode(F.concat(*parts)))
-    return rows.select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin"), F.col("_b.role").alias("_role")).drop("_b", "_own")
+    rows = rows.select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin"), F.col("_b.role").alias("_role")).drop("_b")
+    # one row for each width at most
+    met = rows.join(F.broadcast(homes.withColumn("_met", F.lit(True))), "_level", "left").where("_level = _own OR _met")
+    return met.drop("_own", "_met")
 
 
-def _levels_in(df: DataFrame, start: str, end: str, widths: Sequence[int]) -> list[int]:
-    """The few levels that have residents; at most one number per width reaches the driver."""
-    return [r[0] for r in df.select(_own_level(start, end, widths).alias("l")).distinct().collect()]
+def _homes(df: DataFrame, start: str, end: str, widths: Sequence[int]) -> DataFrame:
+    return df.select(_own_level(start, end, widths).alias("_level")).distinct()
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str],
@@ -56,8 +56,8 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_rang
     ls, le = left_range
     rs, re = right_range
     role = lambda *names: F.array(*[F.lit(n) for n in names])
-    a = _binned(left, ls, le, widths, _levels_in(right, rs, re, widths), role("both", "left"), role("right"))
-    b = _binned(right, rs, re, widths, _levels_in(left, ls, le, widths), role("both", "right"), role("left"))
+    a = _binned(left, ls, le, widths, _homes(right, rs, re, widths), role("both", "left"), role("right"))
+    b = _binned(right, rs, re, widths, _homes(left, ls, le, widths), role("both", "right"), role("left"))
     width = F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), F.col("_level") + 1)
     joined = a.join(b, [*on, "_level", "_bin", "_role"])
     later = F.floor(F.greatest(ls, rs) / width)

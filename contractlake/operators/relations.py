@@ -275,12 +275,19 @@ def stored_change_severity(kind: Column, required: Column) -> Column:
     return F.when(kind.isin(*BREAKING_MODEL_TYPES) | F.coalesce(required, F.lit(False)), "breaking").otherwise("minor")
 
 
-def impact_graph(endpoints: DataFrame, callers: DataFrame, usage: DataFrame, shared: DataFrame, scope: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def impact_graph(endpoints: DataFrame, callers: DataFrame, usage: DataFrame, shared: DataFrame, scope: Sequence[str] = (),
+                 declared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) around each endpoint: callers in, resources out, up to eight sharers per resource.
 
-    endpoints(center, label), callers(center, caller, kind, detail), usage(center, kind, name, operation),
-    shared(center, kind, name, also_used_by).
+    endpoints(center, label, has_route), callers(center, caller, kind, detail), usage(center, kind, name, operation, detail) from the endpoint's route: the detail is the
+    call that reaches a table, the technology of a cache or topic, verb and URL of a service. An endpoint without a route shows what its model
+    declares(center, kind, name) instead, without details. shared(center, kind, name, also_used_by).
     """
+    routed = endpoints.where("has_route").select(*scope, "center") if "has_route" in endpoints.columns else endpoints.select(*scope, "center")
+    usage = usage.join(routed, [*scope, "center"], "left_semi").select(*scope, "center", "kind", "name", "operation", F.coalesce("detail", F.lit("")).alias("detail"))
+    if declared is not None:
+        operation = F.when(F.col("kind") == "topic", "publish").when(F.col("kind") == "service", "http").otherwise("uses")
+        usage = usage.unionByName(declared.join(routed, [*scope, "center"], "left_anti").select(*scope, "center", "kind", "name", operation.alias("operation"), F.lit("").alias("detail")))
     c = F.col
     center = F.concat(F.lit("endpoint:"), "label")
     own = endpoints.select(*scope, "center", center.alias("id"), "label", F.lit("endpoint").alias("type"), F.lit(0).alias("_o"))
@@ -288,20 +295,20 @@ def impact_graph(endpoints: DataFrame, callers: DataFrame, usage: DataFrame, sha
     call = callers.select(*scope, "center", F.concat(F.lit("caller:"), "caller").alias("id"), c("caller").alias("label"), c("kind").alias("type"),
                           F.lit(1).alias("_o"), "detail")
     res = usage.select(*scope, "center", F.concat("kind", F.lit(":"), "name").alias("id"), c("name").alias("label"), c("kind").alias("type"),
-                       F.lit(2).alias("_o"), "operation")
+                       F.lit(2).alias("_o"), "operation", "detail")
     near = shared.select(*scope, "center", F.concat("kind", F.lit(":"), "name").alias("resource"), c("name"), c("kind"),
                          F.explode("also_used_by").alias("other"))
     shared_nodes = near.select(*scope, "center", c("resource").alias("id"), c("name").alias("label"), c("kind").alias("type"), F.lit(3).alias("_o")).distinct()
     sharers = near.select(*scope, "center", F.concat(F.lit("api:"), "other").alias("id"), F.substring_index("other", " (", 1).alias("label"),
                           F.lit("related_endpoint").alias("type"), F.lit(4).alias("_o")).distinct()
-    parts = [own, call.drop("detail"), res.drop("operation"), shared_nodes, sharers]
+    parts = [own, call.drop("detail"), res.drop("operation", "detail"), shared_nodes, sharers]
     nodes = (reduce(DataFrame.unionByName, parts).groupBy(*scope, "center", "id")
              .agg(F.min_by(F.struct("label", "type"), F.struct("_o", "label", "type")).alias("_n")).select(*scope, "center", "id", "_n.label", "_n.type"))
     into = F.when(c("type") == "service_call", "calls this API").otherwise("routes to")
     links = [
         call.join(ids, [*scope, "center"]).select(*scope, "center", c("id").alias("source"), c("_id").alias("target"), into.alias("kind"), "detail"),
         res.join(ids, [*scope, "center"]).select(*scope, "center", c("_id").alias("source"), c("id").alias("target"),
-                                                 F.lower(F.coalesce("operation", F.lit("uses"))).alias("kind"), F.lit("").alias("detail")),
+                                                 F.lower(F.coalesce("operation", F.lit("uses"))).alias("kind"), "detail"),
         near.select(*scope, "center", F.concat(F.lit("api:"), "other").alias("source"), c("resource").alias("target"), F.lit("shares").alias("kind"),
                     F.lit("").alias("detail")),
     ]

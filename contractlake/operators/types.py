@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -95,9 +95,12 @@ def owner_chain(types: DataFrame, supers: DataFrame, scopes: DataFrame) -> DataF
     return scopes.join(every, "scope").select("type", "owner", "scope_depth", "ancestor_depth")
 
 
-def find_field(refs: DataFrame, fields: DataFrame, owners: DataFrame, keys: Sequence[str] = ("ref",)) -> DataFrame:
-    """First field of a name in the type, its ancestors, then the enclosing types. refs(keys, type, name), fields(owner, name, field_type)."""
-    found = refs.join(owners, "type").join(fields, ["owner", "name"])
+def find_field(refs: DataFrame, fields: DataFrame, owners: DataFrame, keys: Sequence[str] = ("ref",), scope: Sequence[str] = ()) -> DataFrame:
+    """First field of a name in the type, its ancestors, then the enclosing types. refs(keys, type, name), fields(owner, name, field_type).
+
+    With a `scope`, such as the repository, all tables carry it, and only names of one scope meet; `keys` then tell refs of several scopes apart.
+    """
+    found = refs.join(owners, [*scope, "type"]).join(fields, [*scope, "owner", "name"])
     best = found.groupBy(*keys).agg(F.min_by(F.struct("owner", "field_type"), F.struct("scope_depth", "ancestor_depth", "owner")).alias("f"))
     return best.select(*keys, "f.owner", "f.field_type")
 
@@ -106,72 +109,80 @@ def _fits(argc: Column) -> Column:
     return (F.col("n_params") == argc) | (F.col("varargs") & (argc >= F.col("n_params") - 1))
 
 
-def _prefer_exact(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Per group keep the methods that fit the argument count, or all when none does."""
-    any_fit = rows.groupBy(*group).agg(F.bool_or("_fit").alias("_any"))
-    return rows.join(any_fit, list(group)).where(F.col("_fit") | ~F.col("_any")).drop("_any")
-
-
-def virtual_dispatch(calls: DataFrame, methods: DataFrame, supers: DataFrame, keys: Sequence[str] = ("call",)) -> DataFrame:
+def virtual_dispatch(calls: DataFrame, methods: DataFrame, supers: DataFrame, keys: Sequence[str] = ("call",), scope: Sequence[str] = ()) -> DataFrame:
     """(keys, method, inherited): methods a call may run.
 
-    calls(keys, type, name, argc NULL when unknown), methods(method, owner, name, n_params, varargs, abstract, pos), supers(type, ancestor, depth).
-    The nearest owner with the name counts; when there is none, or only abstract ones, concrete
-    overrides of the subtypes join in. Each distinct (type, name, argc) is worked out once, so a hot base type is met once per
+    calls(keys, type, name, argc NULL when unknown), methods(method, owner, name, n_params, varargs, abstract, pos), supers(type, ancestor, depth); with a
+    `scope`, such as the repository, all three carry it, and only names of one scope meet. The nearest owner with the name counts; when there is none, or only
+    abstract ones, concrete overrides of the subtypes join in. Each distinct (type, name, argc) is worked out once, so a hot base type is met once per
     signature, not once per call.
     """
-    unknown = F.coalesce(F.col("argc").cast("string"), F.lit("?"))
-    signed = calls.withColumn("_signature", F.concat_ws("\u0001", F.col("type").cast("string"), "name", unknown))
-    found = _dispatch(signed.select("_signature", "type", "name", "argc").distinct(), methods, supers, ["_signature"])
+    signed = _signed(calls, scope)
+    found = _dispatch(signed.select("_signature", *scope, "type", "name", "argc").distinct(), methods, supers, scope)
     return signed.select(*keys, "_signature").join(found, "_signature").drop("_signature")
 
 
-def _dispatch(calls: DataFrame, methods: DataFrame, supers: DataFrame, keys: list[str]) -> DataFrame:
+def _signed(calls: DataFrame, scope: Sequence[str]) -> DataFrame:
+    unknown = F.coalesce(F.col("argc").cast("string"), F.lit("?"))
+    return calls.withColumn("_signature", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in (*scope, "type")], "name", unknown))
+
+
+def _dispatch(calls: DataFrame, methods: DataFrame, supers: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(_signature, method, pos, inherited) of distinct signatures. A signature meets the methods of its name along its line, so its groups are small."""
     fit = F.coalesce(_fits(F.col("argc")), F.lit(True))
-    own_line = calls.select(*keys, "type", "name", "argc", F.col("type").alias("owner"), F.lit(0).alias("depth")).unionByName(
-        calls.join(supers, "type").select(*keys, "type", "name", "argc", F.col("ancestor").alias("owner"), "depth"))
-    hits = own_line.join(methods, ["owner", "name"])
-    nearest = hits.groupBy(*keys).agg(F.min(F.struct("depth", "owner")).alias("_near"))
-    own = hits.join(nearest, keys).where(F.struct("depth", "owner") == F.col("_near")).withColumn("_fit", fit)
-    own = _prefer_exact(own, keys).select(*keys, "method", "abstract", "pos")
-    concrete = own.where("NOT abstract").select(*keys).distinct()
-    open_calls = calls.join(concrete, keys, "left_anti")
-    below = supers.selectExpr("ancestor AS type", "type AS owner")
-    down = open_calls.join(below, "type").join(methods, ["owner", "name"]).withColumn("_fit", fit)
-    impls = _prefer_exact(down, [*keys, "owner"]).where("NOT abstract").select(*keys, "method", "pos")
-    return (own.select(*keys, "method", "pos", F.lit(True).alias("inherited"))
-            .unionByName(impls.select(*keys, "method", "pos", F.lit(False).alias("inherited"))))
+    columns = ["_signature", *scope, "name", "argc"]
+    line = calls.select(*columns, F.col("type").alias("owner"), F.lit(0).alias("depth")).unionByName(
+        calls.join(supers, [*scope, "type"]).select(*columns, F.col("ancestor").alias("owner"), "depth"))
+    w = Window.partitionBy("_signature")
+    # the nearest owner, of its methods those that fit the argument count, or all when none does
+    near = (line.join(methods, [*scope, "owner", "name"]).withColumn("_near", F.min(F.struct("depth", "owner")).over(w)).where(F.struct("depth", "owner") == F.col("_near"))
+            .withColumn("_fit", fit).withColumn("_any", F.max("_fit").over(w)).where("_fit OR NOT _any"))
+    own = cut_lineage(near.select("_signature", "method", "abstract", "pos"))
+    open_calls = calls.join(own.where("NOT abstract").select("_signature"), "_signature", "left_anti")
+    below = supers.select(*scope, F.col("ancestor").alias("type"), F.col("type").alias("owner"))
+    down = open_calls.join(below, [*scope, "type"]).join(methods, [*scope, "owner", "name"]).withColumn("_fit", fit)
+    impls = down.withColumn("_any", F.max("_fit").over(Window.partitionBy("_signature", "owner"))).where("(_fit OR NOT _any) AND NOT abstract")
+    return (own.select("_signature", "method", "pos", F.lit(True).alias("inherited"))
+            .unionByName(impls.select("_signature", "method", "pos", F.lit(False).alias("inherited"))))
 
 
 def resolve_calls(chains: DataFrame, methods: DataFrame, supers: DataFrame, listeners: DataFrame | None = None,
-                  published: DataFrame | None = None, skip_owners: DataFrame | None = None) -> DataFrame:
-    """Call edges (caller, callee) from call chains, plus publisher -> listener edges.
+                  published: DataFrame | None = None, skip_owners: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """Call edges (scope, caller, callee) from call chains, plus publisher -> listener edges.
 
     chains(chain, caller, root_type, step, name, argc): step i + 1 resolves on the return type of step i.
-    methods also carry return_type; skip_owners(owner) lists data types that get no edges.
-    The loop runs once per step of the longest chain, a code-length bound.
+    methods also carry return_type; skip_owners(owner) lists data types that get no edges. With a `scope` all tables carry it, and names meet within it only.
+    The loop runs once per step of the longest chain, a code-length bound. Signatures are settled once: a step only works out those that no earlier step met.
     """
+    scope = list(scope)
+    methods, supers, chains = cut_lineage(methods), cut_lineage(supers), cut_lineage(chains.select(*scope, "chain", "caller", "root_type", "step", "name", "argc"))
     longest = chains.agg(F.max("step")).first()[0] or 0
-    state = chains.where("step = 1").select("chain", F.col("root_type").alias("type"))
-    edges = []
+    state = chains.where("step = 1").select(*scope, "chain", F.col("root_type").alias("type"))
+    edges, memo = [], None
     for step in range(1, longest + 1):
-        asked = chains.where(F.col("step") == step).join(state, "chain").select(F.col("chain").alias("call"), "caller", "type", "name", "argc")
-        hits = cut_lineage(virtual_dispatch(asked.select("call", "type", "name", "argc"), methods, supers)
-                           .join(asked.select("call", "caller"), "call"))
-        edges.append(hits.select("caller", F.col("method").alias("callee")))
+        asked = _signed(chains.where(F.col("step") == step).join(state, [*scope, "chain"]).select(*scope, "chain", "caller", "type", "name", "argc"), scope)
+        asked = cut_lineage(asked)
+        wanted = asked.select("_signature", *scope, "type", "name", "argc").distinct()
+        fresh = wanted if memo is None else wanted.join(memo.select("_signature"), "_signature", "left_anti")
+        settled = cut_lineage(_dispatch(fresh, methods, supers, scope))
+        memo = settled if memo is None else memo.unionByName(settled)
+        edges.append(asked.select(*scope, "caller", "_signature").distinct().join(memo, "_signature").select(*scope, "caller", F.col("method").alias("callee")))
+        if step == longest:
+            break
         # the chain goes on with the return type of the first candidate: inherited ones come first
-        first = hits.groupBy("call").agg(F.min_by("method", F.struct(~F.col("inherited"), "pos", "method")).alias("method"))
-        state = first.join(methods.select("method", "return_type"), "method").where("return_type IS NOT NULL").select(
-            F.col("call").alias("chain"), F.col("return_type").alias("type"))
-    out = reduce(DataFrame.unionByName, edges) if edges else chains.select("caller", F.col("caller").alias("callee")).where("false")
+        first = memo.groupBy("_signature").agg(F.min_by("method", F.struct(~F.col("inherited"), "pos", "method")).alias("method"))
+        known = methods.where("return_type IS NOT NULL").select(*scope, "method", F.col("return_type").alias("_returns"))
+        state = (asked.select(*scope, "chain", "_signature").join(first, "_signature").join(known, [*scope, "method"])
+                 .select(*scope, "chain", F.col("_returns").alias("type")))
+    out = reduce(DataFrame.unionByName, edges) if edges else chains.select(*scope, "caller", F.col("caller").alias("callee")).where("false")
     out = out.where("caller <> callee")
     if skip_owners is not None:
-        data = methods.join(skip_owners, "owner", "left_semi").select(F.col("method").alias("callee"))
-        out = out.join(data, "callee", "left_anti")
+        data = methods.join(skip_owners, [*scope, "owner"], "left_semi").select(*scope, F.col("method").alias("callee"))
+        out = out.join(data, [*scope, "callee"], "left_anti")
     if listeners is not None and published is not None:
-        events = published.join(listeners, "event_type").select(F.col("method").alias("caller"), F.col("listener").alias("callee"))
+        events = published.join(listeners, [*scope, "event_type"]).select(*scope, F.col("method").alias("caller"), F.col("listener").alias("callee"))
         out = out.unionByName(events.select(*out.columns))
-    return out.select("caller", "callee").distinct()
+    return out.select(*scope, "caller", "callee").distinct()
 
 
 def component_dependencies(types: DataFrame, fields: DataFrame, constructors: DataFrame, setters: DataFrame,

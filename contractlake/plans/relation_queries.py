@@ -160,7 +160,7 @@ def affected_apis(src: Source):
 @query("affected_rows", oracle(
     "SELECT 'order-' || o_orderkey AS api, 'caller' AS kind, 'cust-' || o_custkey AS name, 'mod-' || o_custkey AS module, CASE o_orderstatus WHEN 'F' THEN 'Routes requests to this API' ELSE 'Calls this API' END AS how, "
     "'GET /' || o_orderkey AS detail FROM orders WHERE o_orderkey % 100 = 0 UNION ALL "
-    "SELECT m.\"user\", 'shares', v.\"user\", '', 'Shares table ' || m.name, '' FROM USE m JOIN USE v ON m.name = v.name AND m.\"user\" <> v.\"user\" WHERE m.\"user\" IN (SELECT 'order-' || o_orderkey FROM orders WHERE o_orderkey % 100 = 0)"))
+    "SELECT m.\"user\", 'shares', v.\"user\", '', 'Shares table ' || m.name, '' FROM (SELECT USE.* FROM USE JOIN (" + _TARGET.format("t") + ") ON \"user\" = t) m JOIN USE v ON m.name = v.name AND m.\"user\" <> v.\"user\""))
 def affected_rows(src: Source):
     callers = src.sql("SELECT 'order-' || o_orderkey AS api, 'cust-' || o_custkey AS caller, 'mod-' || o_custkey AS caller_module, CASE o_orderstatus WHEN 'F' THEN 'gateway_route' ELSE 'service_call' END AS kind, "
                       "'GET /' || o_orderkey AS detail FROM orders")
@@ -225,18 +225,26 @@ def stored_change_severity(src: Source):
     return rows.select("dto", "field", "type", relations.stored_change_severity(F.col("type"), F.col("required")).alias("severity"))
 
 
-RELATIONS["GUSE"] = "SELECT DISTINCT 'part-' || l_partkey AS center, 'table' AS kind, 'sup-' || l_suppkey AS name, 'READ' AS operation FROM lineitem"
-RELATIONS["GNEAR"] = ("SELECT u.center, u.name, unnest(list_filter(t.first, lambda x: x <> u.center)[1:8]) AS other FROM GUSE u JOIN "
-                      "(SELECT name, list(center ORDER BY center)[1:9] AS first FROM GUSE GROUP BY name) t ON t.name = u.name")
+# parts of every tenth size have no route: of those the model's own lists are shown
+RELATIONS["GEND"] = "SELECT 'part-' || p_partkey AS center, 'GET /' || p_partkey AS label, p_size % 10 <> 0 AS has_route FROM part"
+RELATIONS["GUSE"] = ("SELECT DISTINCT 'part-' || l_partkey AS center, CASE l_linenumber % 4 WHEN 0 THEN 'cache' WHEN 1 THEN 'service' ELSE 'table' END AS kind, 'sup-' || l_suppkey AS name, "
+                     "CASE l_linenumber % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'http' ELSE 'READ' END AS operation, "
+                     "CASE l_linenumber % 4 WHEN 0 THEN 'redis' WHEN 1 THEN 'POST /pay/' || l_suppkey ELSE 'repo.find' || l_linenumber END AS detail FROM lineitem")
+RELATIONS["GDECL"] = ("SELECT DISTINCT 'part-' || l_partkey AS center, CASE l_returnflag WHEN 'A' THEN 'table' WHEN 'N' THEN 'topic' ELSE 'service' END AS kind, 'sup-' || l_suppkey AS name FROM lineitem")
+RELATIONS["GSHOW"] = ("SELECT u.* FROM GUSE u JOIN GEND e ON e.center = u.center AND e.has_route UNION ALL SELECT d.center, d.kind, d.name, "
+                      "CASE d.kind WHEN 'topic' THEN 'publish' WHEN 'service' THEN 'http' ELSE 'uses' END, '' FROM GDECL d JOIN GEND e ON e.center = d.center AND NOT e.has_route")
+RELATIONS["GTABLE"] = "SELECT DISTINCT center, name FROM GUSE WHERE kind = 'table'"
+RELATIONS["GNEAR"] = ("SELECT u.center, u.name, unnest(list_filter(t.first, lambda x: x <> u.center)[1:8]) AS other FROM GTABLE u JOIN "
+                      "(SELECT name, list(center ORDER BY center)[1:9] AS first FROM GTABLE GROUP BY name) t ON t.name = u.name")
 
 
 def _graph(src: Source):
-    use = src.sql("SELECT DISTINCT 'part-' || l_partkey AS center, 'table' AS kind, 'sup-' || l_suppkey AS name, 'READ' AS operation FROM lineitem")
-    near = relations.first_sharers(use.select("kind", "name", F.col("center").alias("user"))).withColumnRenamed("user", "center")
-    ends = src.sql("SELECT 'part-' || p_partkey AS center, 'GET /' || p_partkey AS label FROM part")
+    use = relation(src, "GUSE")
+    tables = use.where("kind = 'table'").select("kind", "name", F.col("center").alias("user")).distinct()
+    near = relations.first_sharers(tables).withColumnRenamed("user", "center")
     callers = src.sql("SELECT DISTINCT 'part-' || l_partkey AS center, 'cust-' || o_custkey AS caller, CASE WHEN o_orderstatus = 'F' THEN 'service_call' ELSE 'gateway_route' END AS kind, 'GET /' || l_partkey AS detail "
                       "FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-    return relations.impact_graph(ends, callers, use, near)
+    return relations.impact_graph(relation(src, "GEND"), callers, use, near, declared=relation(src, "GDECL"))
 
 
 RELATIONS["GCALL"] = ("SELECT DISTINCT 'part-' || l_partkey AS center, 'cust-' || o_custkey AS caller, CASE WHEN o_orderstatus = 'F' THEN 'service_call' ELSE 'gateway_route' END AS kind, 'GET /' || l_partkey AS detail "
@@ -246,13 +254,13 @@ RELATIONS["GCALL"] = ("SELECT DISTINCT 'part-' || l_partkey AS center, 'cust-' |
 @query("impact_graph_nodes", oracle(
     "SELECT 'part-' || p_partkey AS center, 'endpoint:GET /' || p_partkey AS id, 'GET /' || p_partkey AS label, 'endpoint' AS type FROM part UNION "
     "SELECT center, 'caller:' || caller, caller, max(CASE kind WHEN 'gateway_route' THEN 'gateway_route' ELSE '' END) || CASE WHEN max(kind) = 'service_call' AND min(kind) = 'service_call' THEN 'service_call' ELSE '' END FROM GCALL GROUP BY center, caller UNION "
-    "SELECT center, 'table:' || name, name, 'table' FROM GUSE UNION SELECT center, 'api:' || other, other, 'related_endpoint' FROM GNEAR"))
+    "SELECT center, kind || ':' || name, name, kind FROM GSHOW UNION SELECT center, 'table:' || name, name, 'table' FROM GNEAR UNION SELECT center, 'api:' || other, other, 'related_endpoint' FROM GNEAR"))
 def impact_graph_nodes(src: Source):
     return _graph(src)[0]
 
 
 @query("impact_graph", oracle(
     "SELECT center, 'caller:' || caller AS source, 'endpoint:GET /' || substr(center, 6) AS target, CASE kind WHEN 'service_call' THEN 'calls this API' ELSE 'routes to' END AS kind, detail FROM GCALL UNION ALL "
-    "SELECT center, 'endpoint:GET /' || substr(center, 6), 'table:' || name, 'read', '' FROM GUSE UNION ALL SELECT center, 'api:' || other, 'table:' || name, 'shares', '' FROM GNEAR"))
+    "SELECT center, 'endpoint:GET /' || substr(center, 6), kind || ':' || name, lower(operation), detail FROM GSHOW UNION ALL SELECT center, 'api:' || other, 'table:' || name, 'shares', '' FROM GNEAR"))
 def impact_graph(src: Source):
     return _graph(src)[1]
