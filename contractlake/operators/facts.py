@@ -109,16 +109,16 @@ def default_table(name: Column, store: Column) -> Column:
     return F.when(store.isin("mongodb", "redis", "elasticsearch", "couchbase"), decapitalized(name)).otherwise(snake_case(name))
 
 
-def entity_table(refs: DataFrame, entities: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds `table`: of the entity a name refers to (by entity or declared name), else the name itself.
+def entity_table(refs: DataFrame, entities: DataFrame, keys: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    """Adds `table`: of the entity a name refers to (by entity or declared name) within its `scope`, else the name itself.
 
     entities(name, declared_name, table, store, pos); a table left empty follows the naming rule.
     """
     table = first_non_empty("table", default_table(first_non_empty("declared_name", "name"), F.col("store")))
     names = F.array_distinct(F.filter(F.array("name", "declared_name"), lambda n: n.isNotNull()))
-    known = entities.select(F.explode(names).alias("ref"), table.alias("_table"), "pos")
-    one = known.groupBy("ref").agg(F.min_by("_table", F.struct("pos", "_table")).alias("_table"))
-    return refs.join(one, "ref", "left").withColumn("table", F.coalesce("_table", "ref")).drop("_table")
+    known = entities.select(*scope, F.explode(names).alias("ref"), table.alias("_table"), "pos")
+    one = known.groupBy(*scope, "ref").agg(F.min_by("_table", F.struct("pos", "_table")).alias("_table"))
+    return refs.join(one, [*scope, "ref"], "left").withColumn("table", F.coalesce("_table", "ref")).drop("_table")
 
 
 # ---------------------------------------------------------------- call facts

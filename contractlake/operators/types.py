@@ -19,8 +19,8 @@ from .closure import reachable
 NESTED, IMPORTED, SAME_PACKAGE, WILDCARD, SAME_MODULE, ANYWHERE = range(6)
 
 
-def _lookup(types: DataFrame) -> DataFrame:
-    """(key, type): each way a type can be found, reduced to the first type by position."""
+def _lookup(types: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope, key, type): each way a type can be found, reduced to the first type by position."""
     key = lambda kind, *parts: F.struct(F.concat(F.lit(f"{kind}:"), *parts).alias("key"))
     name, dot = F.col("name"), F.lit(".")
     keys = F.filter(F.array(
@@ -29,19 +29,23 @@ def _lookup(types: DataFrame) -> DataFrame:
         F.when(F.col("outer").isNull(), key("p", F.col("package"), dot, name)),
         key("m", F.col("module"), F.lit("/"), name),
         key("s", name)), lambda k: k.isNotNull())
-    rows = types.select("type", "pos", F.explode(keys).alias("k"))
-    return rows.groupBy(F.col("k.key").alias("key")).agg(F.min_by("type", F.struct("pos", "type")).alias("type"))
+    rows = types.select(*scope, "type", "pos", F.explode(keys).alias("k"))
+    return rows.groupBy(*scope, F.col("k.key").alias("key")).agg(F.min_by("type", F.struct("pos", "type")).alias("type"))
 
 
-def resolve_type(refs: DataFrame, contexts: DataFrame, types: DataFrame, imports: DataFrame, keys: Sequence[str] = ("ref",)) -> DataFrame:
+def resolve_type(refs: DataFrame, contexts: DataFrame, types: DataFrame, imports: DataFrame, keys: Sequence[str] = ("ref",),
+                 scope: Sequence[str] = ()) -> DataFrame:
     """Adds `resolved`: the type a simple or dotted name means, seen from its context.
 
+    With a `scope`, such as the repository, all tables carry it, and a name only means types of its own scope; `keys` then tell refs apart within a scope.
+
     refs(keys, name, context), contexts(context, package, module, scopes ARRAY nearest first, wildcards ARRAY), imports(context, name, qualified),
     types(type, name, package, outer, module, pos). Each reference lists the lookup keys it may mean with
     their rank, meets them in one equality join and keeps the best. Imports are a long table that is met by context and name.
     """
-    imported = imports.groupBy("context", F.col("name").alias("_simple")).agg(F.min("qualified").alias("_imported"))
-    r = (refs.join(contexts, "context", "left").withColumn("_simple", F.substring_index("name", ".", -1)).join(imported, ["context", "_simple"], "left"))
+    keys = [*dict.fromkeys([*scope, *keys])]
+    imported = imports.groupBy(*scope, "context", F.col("name").alias("_simple")).agg(F.min("qualified").alias("_imported"))
+    r = (refs.join(contexts, [*scope, "context"], "left").withColumn("_simple", F.substring_index("name", ".", -1)).join(imported, [*scope, "context", "_simple"], "left"))
     simple = F.col("_simple")
     entry = lambda rank, sub, key: F.struct(F.lit(rank).alias("rank"), sub.alias("sub"), key.alias("key"))
     zero = F.lit(0)
@@ -55,9 +59,9 @@ def resolve_type(refs: DataFrame, contexts: DataFrame, types: DataFrame, imports
         F.when(F.col("module").isNotNull(), entry(SAME_MODULE, zero, F.concat(F.lit("m:"), "module", F.lit("/"), simple))),
         entry(ANYWHERE, zero, F.concat(F.lit("s:"), simple)))
     asked = F.concat(F.filter(single, lambda k: k.isNotNull()), F.coalesce(nested, none), F.coalesce(wild, none))
-    rows = r.select(*keys, F.explode(asked).alias("a")).select(*keys, "a.*").join(_lookup(types), "key")
+    rows = r.select(*keys, F.explode(asked).alias("a")).select(*keys, "a.*").join(_lookup(types, scope), [*scope, "key"])
     best = rows.groupBy(*keys).agg(F.min_by("type", F.struct("rank", "sub")).alias("resolved"))
-    return refs.join(best, list(keys), "left")
+    return refs.join(best, keys, "left")
 
 
 def supertypes(parents: DataFrame, types: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
@@ -98,8 +102,9 @@ def owner_chain(types: DataFrame, supers: DataFrame, scopes: DataFrame) -> DataF
 def find_field(refs: DataFrame, fields: DataFrame, owners: DataFrame, keys: Sequence[str] = ("ref",), scope: Sequence[str] = ()) -> DataFrame:
     """First field of a name in the type, its ancestors, then the enclosing types. refs(keys, type, name), fields(owner, name, field_type).
 
-    With a `scope`, such as the repository, all tables carry it, and only names of one scope meet; `keys` then tell refs of several scopes apart.
+    With a `scope`, such as the repository, all tables carry it, and only names of one scope meet.
     """
+    keys = [*dict.fromkeys([*scope, *keys])]
     found = refs.join(owners, [*scope, "type"]).join(fields, [*scope, "owner", "name"])
     best = found.groupBy(*keys).agg(F.min_by(F.struct("owner", "field_type"), F.struct("scope_depth", "ancestor_depth", "owner")).alias("f"))
     return best.select(*keys, "f.owner", "f.field_type")
@@ -117,6 +122,7 @@ def virtual_dispatch(calls: DataFrame, methods: DataFrame, supers: DataFrame, ke
     abstract ones, concrete overrides of the subtypes join in. Each distinct (type, name, argc) is worked out once, so a hot base type is met once per
     signature, not once per call.
     """
+    keys = [*dict.fromkeys([*scope, *keys])]
     signed = _signed(calls, scope)
     found = _dispatch(signed.select("_signature", *scope, "type", "name", "argc").distinct(), methods, supers, scope)
     return signed.select(*keys, "_signature").join(found, "_signature").drop("_signature")

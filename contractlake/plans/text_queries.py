@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import qa, text
-from .bindings import RELATIONS, oracle
+from .bindings import RELATIONS, oracle, relation
 from .registry import Source, query
 
 RELATIONS["TOK"] = ("SELECT DISTINCT page_id, token FROM (SELECT page_id, unnest(regexp_extract_all(html, '/[a-zA-Z0-9/_\\-{}]+')) AS token FROM pages "
@@ -179,9 +179,30 @@ def search_score(src: Source):
     return text.score_queries(_apis(src), SEARCHES).select("p_partkey", "query", F.round("score", 4).alias("score"))
 
 
-@query("keyword_search", f"SELECT p_partkey, query, score FROM ({_SCORES}) WHERE keyword AND score >= 0.3")
+# the queries asked: every hundredth part gives one, against all parts
+RELATIONS["ASK"] = ("SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'List  all ' || p_name WHEN 1 THEN 'create ' || p_type || ' for ' || p_brand ELSE p_name || ' ' || p_type END AS query "
+                    "FROM part WHERE p_partkey % 100 = 0")
+_VALUES = ", ".join(f"('{w}', '{s}')" for w, others in text.SYNONYMS for s in others)
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_FOUND = (
+    f"WITH asked AS (SELECT query_id, trim(regexp_replace(lower(query), '\\s+', ' ', 'g')) AS q FROM ASK), syn(word, other) AS (VALUES {_VALUES}), "
+    "w AS (SELECT query_id, unnest(string_split(q, ' ')) AS word FROM asked), "
+    f"t AS (SELECT p_partkey, {_NAME} AS name, lower(p_brand) AS repo FROM part), "
+    f"m AS (SELECT w.query_id, t.p_partkey, count(*) AS hits, max(CASE WHEN length(word) >= 4 AND word NOT IN ({_STOP}) THEN 0.7::DOUBLE ELSE 0 END) AS best FROM w JOIN t ON contains(t.name, w.word) GROUP BY ALL), "
+    "o AS (SELECT DISTINCT w.query_id, t.p_partkey FROM w JOIN syn ON syn.word = w.word JOIN t ON contains(t.name, syn.other)), "
+    "s AS (SELECT a.query_id, t.p_partkey, t.name, a.q, coalesce(m.hits, 0) AS hits, "
+    "CASE WHEN NOT contains(a.q, t.repo) AND NOT contains(t.repo, a.q) THEN 0.9::DOUBLE ELSE 1 END * greatest(coalesce(m.best, 0), CASE WHEN o.query_id IS NULL THEN 0 ELSE 0.65::DOUBLE END, "
+    "least(0.6::DOUBLE, coalesce(m.hits, 0) * 0.15::DOUBLE), CASE WHEN contains(t.name, a.q) OR contains(a.q, t.name) THEN 0.8::DOUBLE ELSE 0 END) AS score, "
+    "EXISTS (SELECT 1 FROM w WHERE w.query_id = a.query_id AND contains(t.repo, w.word)) AS of_repo FROM asked a CROSS JOIN t LEFT JOIN m ON m.query_id = a.query_id AND m.p_partkey = t.p_partkey "
+    "LEFT JOIN o ON o.query_id = a.query_id AND o.p_partkey = t.p_partkey) "
+    "SELECT query_id, p_partkey, round(CASE WHEN name = q THEN 1 ELSE score END, 4) AS score FROM s WHERE (hits > 0 OR of_repo) AND CASE WHEN name = q THEN 1 ELSE score END >= 0.3")
+
+
+@query("keyword_search", oracle(_FOUND).replace("\nWITH asked AS", ", asked AS"))
 def keyword_search(src: Source):
-    return text.keyword_search(_apis(src), SEARCHES).select("p_partkey", "query", F.round("score", 4).alias("score"))
+    found = text.keyword_search(_apis(src), relation(src, "ASK"))
+    return found.select("query_id", "p_partkey", F.round("score", 4).alias("score"))
+
 
 
 @query("extract_route_decorators", (

@@ -214,3 +214,33 @@ def test_equal_names_in_two_repositories_stay_apart(spark):
     assert rows(impact.impacted_endpoints(reached, ends, refs, changed, ["repo"])) == [("r1", "e", "changed: c"), ("r2", "e", "changed model: T")]
     parents = spark.createDataFrame([("r1", "A", "B"), ("r2", "B", "C")], "repo string, type string, parent string")
     assert rows(types.subtypes(parents, scope=["repo"]), "repo", "type", "subtype") == [("r1", "B", "A"), ("r2", "C", "B")]
+
+
+def test_names_meet_within_their_repository(spark):
+    """Two repositories with the same type, field, method and entity names never see each other's."""
+    made = lambda rows_, schema: spark.createDataFrame(rows_, schema)
+    both = ("r1", "r2")
+    methods = made([(r, f"{r}.Base.run", "Base", "run", 0, False, r == "r1", 1, "Out") for r in both] + [("r1", "r1.Impl.run", "Impl", "run", 0, False, False, 2, "Out")]
+                   + [(r, f"{r}.Out.next", "Out", "next", 0, False, False, 3, None) for r in both],
+                   "repo string, method string, owner string, name string, n_params int, varargs boolean, abstract boolean, pos int, return_type string")
+    supers = made([("r1", "Impl", "Base", 1)], "repo string, type string, ancestor string, depth int")
+    calls = made([(r, "c", "Base", "run", 0) for r in both], "repo string, call string, type string, name string, argc int")
+    assert rows(types.virtual_dispatch(calls, methods, supers, scope=["repo"]), "repo", "call", "method", "inherited") == [
+        ("r1", "c", "r1.Base.run", True), ("r1", "c", "r1.Impl.run", False), ("r2", "c", "r2.Base.run", True)]
+    chains = made([(r, "x", "caller", "Base", k, name, 0) for r in both for k, name in ((1, "run"), (2, "next"))],
+                  "repo string, chain string, caller string, root_type string, step int, name string, argc int")
+    assert rows(types.resolve_calls(chains, methods, supers, scope=["repo"])) == [
+        ("r1", "caller", "r1.Base.run"), ("r1", "caller", "r1.Impl.run"), ("r1", "caller", "r1.Out.next"), ("r2", "caller", "r2.Base.run"), ("r2", "caller", "r2.Out.next")]
+
+    known = made([(r, f"{r}.pkg.Order", "Order", "pkg", None, "m", 1) for r in both], "repo string, type string, name string, package string, outer string, module string, pos int")
+    contexts = made([(r, "C", "pkg", "m", [], []) for r in both], "repo string, context string, package string, module string, scopes array<string>, wildcards array<string>")
+    refs = made([(r, 1, "Order", "C") for r in (*both, "r3")], "repo string, ref int, name string, context string")
+    imports = made([], "repo string, context string, name string, qualified string")
+    assert rows(types.resolve_type(refs, contexts, known, imports, scope=["repo"]), "repo", "resolved") == [("r1", "r1.pkg.Order"), ("r2", "r2.pkg.Order"), ("r3", None)]
+
+    owners = made([(r, "Order", "Order", 0, 0) for r in both], "repo string, type string, owner string, scope_depth int, ancestor_depth int")
+    fields_ = made([(r, "Order", "id", f"{r}Id") for r in both], "repo string, owner string, name string, field_type string")
+    wanted = made([(r, 1, "Order", "id") for r in both], "repo string, ref int, type string, name string")
+    assert rows(types.find_field(wanted, fields_, owners, scope=["repo"]), "repo", "field_type") == [("r1", "r1Id"), ("r2", "r2Id")]
+    entities = made([(r, "Order", None, f"{r}_orders", "jpa", 1) for r in both], "repo string, name string, declared_name string, table string, store string, pos int")
+    assert rows(facts.entity_table(made([(r, 1, "Order") for r in both], "repo string, id int, ref string"), entities, ["id"], ["repo"]), "repo", "table") == [("r1", "r1_orders"), ("r2", "r2_orders")]

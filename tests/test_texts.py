@@ -152,3 +152,30 @@ def test_neighbour_counts_by_all_pairs(spark, seed):
     stars = text.document_stars(frame, "doc", "content", "api", scope=["repo"])
     got = {(r["repo"], r["doc"], r["affected"], tuple(r["names"])) for r in text.neighbour_counts(stars, "doc", ["repo"]).collect() if r["affected"]}
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_search_with_a_table_of_queries(spark, seed):
+    """Scores, keyword rule and top-k of every query against the single-query score."""
+    rng = random.Random(seed)
+    words = ["get", "list", "users", "user", "create", "order", "to", "a", "branches", "api", "x", "payment", "the"]
+    apis = [(k, " ".join(rng.choices(words, k=rng.randint(1, 4))), rng.choice([None, "v1", "Users Api"]), rng.choice([None, "", "shop", "order", "user"])) for k in range(40)]
+    apis += [(100, None, None, "shop"), (101, "get", "users", None)]
+    asked = [(k, rng.choice([" ", "  "]).join(rng.choices(words, k=rng.randint(1, 4))).upper()) for k in range(12)] + [(50, ""), (51, None), (52, "get  users of the whole shop"), (53, "get users")]
+    frame = spark.createDataFrame(apis, "id long, api string, title string, repo string").repartition(2)
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    want = set()
+    for qid, q in asked:
+        plain = " ".join((q or "").lower().split())
+        if not plain:
+            continue
+        for r in text.score_queries(frame, [plain]).collect():
+            own, of = f"{r['api'] or ''} {r['title'] or ''}".lower(), (r["repo"] or "").lower()
+            if any(w in own or w in of for w in plain.split()) and r["score"] >= 0.3:
+                want.add((qid, r["id"], round(r["score"], 4)))
+    got = text.keyword_search(frame, queries)
+    assert {(r["query_id"], r["id"], round(r["score"], 4)) for r in got.collect()} == want and got.count() == len(want)
+    best = text.keyword_search(frame, queries, top=3).collect()
+    for qid in {q for q, _, _ in want}:
+        scores = sorted((x for q, _, x in want if q == qid), reverse=True)[:3]
+        assert sorted((round(r["score"], 4) for r in best if r["query_id"] == qid), reverse=True) == scores
