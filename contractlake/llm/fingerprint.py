@@ -6,6 +6,7 @@ or longer than the greatest. Cuts depend on nearby bytes only, so an insertion c
 
 A fingerprint is the set of a text's chunk digests, each with its length; the likeness of one to another is containment: the share of
 its distinct chunks, by length, that the other has too. Two empty fingerprints are alike (1), an empty and another are not (0).
+Texts of any length are read whole, a long one as a slice of its own. Only `doc_id` and `text` are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ Counts of n-grams of 1 to 3 lower-case code points cover every learned document.
 numbers for each text; its product with the matrix gives the log likelihoods.
 A null text or one without a letter is `und` with score 0. The score is the posterior probability of the predicted language.
 Languages that tie are settled by name. Rows with null text or language are not learned from; without any learned row all texts are `und`.
+Texts of any length are read whole, a long one as a slice of its own. Input columns that carry the name of a new column are replaced; all others are kept, whatever their names.
 """
 
 from __future__ import annotations

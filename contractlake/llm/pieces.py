@@ -12,6 +12,7 @@ the search runs on those parts. Each task works on a distinct part once.
 Scores: a model of merges has only the order of its pieces; their probability then falls with the rank (Zipf-Mandelbrot). Other
 models' scores are taken as they are. Spaces are written as U+2581, with one put before the text; a U+2581 of the text itself goes by
 bytes, so decoding gives back every text exactly. An empty or null text has no pieces.
+Texts of any length are read whole, a long one as a slice of its own. Input columns that carry the name of a new column are replaced; all others are kept, whatever their names.
 """
 
 from __future__ import annotations

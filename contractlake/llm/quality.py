@@ -6,6 +6,7 @@ half of sum_f ((sum_j v_jf x_j)^2 - sum_j v_jf^2 x_j^2).
 Inputs are hashed words (1 + log of the count, scaled to length 1 per text), and structure statistics and numeric metadata
 cut into bins at quantiles of the training rows. A null or empty text has no words and its own statistics, so it gets a score
 too; missing metadata is a bin of its own. Equal texts with equal metadata get equal scores; repeated rows are scored each.
+Texts of any length are read whole, a long one as a slice of its own. Input columns that carry the name of a new column are replaced; all others are kept, whatever their names.
 """
 
 from __future__ import annotations

@@ -21,6 +21,7 @@ A document's set holds its distinct runs of five words (a shorter text: one run
 A hash collision could miscount one run; with 48 bits that has a chance of about 1e-9 for a pair of sets of 500 runs.
 Null or empty texts and texts without words have the empty set and link with nothing; a null doc_id too, and its component is null. Repeated rows link
 through their equal sets. `docs` must be read from a table, so that a lost task sees the same rows again.
+Texts of any length are read whole, a long one as a slice of its own. Only `doc_id` and `text` are read, so other columns may have any name.
 """
 
 from __future__ import annotations

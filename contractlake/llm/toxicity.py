@@ -9,6 +9,7 @@ few telling words outweigh many chance ones; weights are fitted with a soft thre
 they are; 0/1 labels are refined: labelled texts are graded 1 to 3 by thirds of the share of their features that mark the label.
 
 A null or empty text has no features and gets the severity of the thresholds alone. Labels that are null don't count. Repeated rows are scored each.
+Texts of any length are read whole, a long one as a slice of its own. Input columns that carry the name of a new column are replaced; all others are kept, whatever their names.
 """
 
 from __future__ import annotations

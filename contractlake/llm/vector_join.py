@@ -10,6 +10,7 @@ the cosine of the candidates is worked out in double precision from the vectors
 Equal vectors are one class and are compared once; the class with all its rows counts as linked. A vector that is null, zero, or
 holds null or non-finite components links with nothing, and vectors of different lengths don't link. Rows of one id are one node.
 A null id gets no links and a null component.
+Only the id and the vector are read, so other columns may have any name.
 """
 
 from __future__ import annotations
