@@ -261,14 +261,15 @@ FACT_GROUPS = {
 
 
 def endpoint_facts(closure: DataFrame, facts: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Distinct facts of every method an endpoint reaches: (endpoint, grp, fields, depth), depth of the first sighting.
+    """Distinct facts of every method an endpoint reaches: (endpoint, grp, fields), with the depth of the first sighting if the closure has depths.
 
-    closure(origin, node, depth) with the handler itself at depth 0; facts(method, kind, fields).
+    closure(origin, node[, depth]) with the handler itself at depth 0; facts(method, kind, fields).
     Facts are reduced to distinct rows before they meet the closure.
     """
     grouped = facts.withColumn("grp", lookup(FACT_GROUPS, F.col("kind"), "other")).select("method", "grp", *fields).distinct()
-    rows = closure.select(F.col("origin").alias("endpoint"), F.col("node").alias("method"), "depth").join(grouped, "method")
-    return rows.groupBy("endpoint", "grp", *fields).agg(F.min("depth").alias("depth"))
+    depth = [c for c in closure.columns if c == "depth"]
+    rows = closure.select(F.col("origin").alias("endpoint"), F.col("node").alias("method"), *depth).join(grouped, "method")
+    return rows.groupBy("endpoint", "grp", *fields).agg(*[F.min(d).alias(d) for d in depth]) if depth else rows.drop("method").distinct()
 
 
 def endpoint_status_codes(declared: DataFrame, own: DataFrame, deeper: DataFrame, exceptions: DataFrame, validated: DataFrame, endpoints: DataFrame) -> DataFrame:

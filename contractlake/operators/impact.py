@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .closure import reachable
+from .closure import closure
 from .intervals import overlap_join
 
 
@@ -49,16 +49,16 @@ def repo_usage_reasons(facts: DataFrame, repositories: DataFrame, changed_types:
             .select(*scope, "method", reason.alias("reason")).distinct())
 
 
-def propagate_reasons(calls: DataFrame, reasons: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def propagate_reasons(calls: DataFrame, reasons: DataFrame, scope: Sequence[str] = (), handlers: DataFrame | None = None) -> DataFrame:
     """Reasons of changed methods carried to every direct or indirect caller: (scope, method, reason), distinct.
 
-    calls(scope, caller, callee), reasons(scope, method, reason). Kept long: a method's reasons are as many as
-    the changes below it, so they are never gathered into one row.
+    calls(scope, caller, callee), reasons(scope, method, reason), handlers(scope, method): only these methods are wanted. Kept long: a
+    method's reasons are as many as the changes below it, so they are never gathered into one row.
     """
     upward = calls.select(*scope, F.col("callee").alias("src"), F.col("caller").alias("dst"))
     seeds = reasons.select(*scope, F.col("reason").alias("origin"), F.col("method").alias("node"))
-    # a seed on a cycle is found again below depth 0
-    return reachable(upward, seeds, include_seeds=True, scope=scope).select(*scope, F.col("node").alias("method"), F.col("origin").alias("reason")).distinct()
+    targets = None if handlers is None else handlers.select(*scope, F.col("method").alias("node"))
+    return closure(upward, seeds, True, scope, targets).select(*scope, F.col("node").alias("method"), F.col("origin").alias("reason"))
 
 
 def impacted_endpoints(reached: DataFrame, endpoints: DataFrame, references: DataFrame, changed_types: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -90,7 +90,7 @@ def function_impact(routes: DataFrame, changed: DataFrame, scope: Sequence[str]
     """Callees by simple name that each changed function reaches: (scope, function, callee). routes(scope, function, calls ARRAY)."""
     edges = routes.select(*scope, F.col("function").alias("src"), F.explode(F.transform("calls", call_name)).alias("dst")).where("dst <> ''")
     seeds = changed.select(*scope, F.col("function").alias("origin"), F.col("function").alias("node"))
-    return reachable(edges, seeds, scope=scope).where("origin <> node").select(*scope, F.col("origin").alias("function"), F.col("node").alias("callee"))
+    return closure(edges, seeds, scope=scope).where("origin <> node").select(*scope, F.col("origin").alias("function"), F.col("node").alias("callee"))
 
 
 def displayable(listed: DataFrame, methods: DataFrame, keys: Sequence[str]) -> DataFrame:

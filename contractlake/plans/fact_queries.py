@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import facts, types
-from ..operators.closure import reachable
+from ..operators.closure import closure
 from .bindings import RELATIONS, oracle, relation
 from .registry import ORACLE, Source, query
 
@@ -348,9 +348,9 @@ _CLOSURE0 = ("SELECT origin, node FROM (WITH RECURSIVE r AS (SELECT origin, node
     f"FROM ({_CLOSURE0}) c JOIN lineitem ON l_partkey = c.node"))
 def endpoint_facts(src: Source):
     edges = relation(src, "G").selectExpr("caller AS src", "callee AS dst")
-    closed = reachable(edges, relation(src, "SEEDS"), include_seeds=True)
+    closed = closure(edges, relation(src, "SEEDS"), include_seeds=True)
     f = src.sql("SELECT l_partkey AS method, CASE l_linenumber WHEN 1 THEN 'database' WHEN 2 THEN 'cache' WHEN 3 THEN 'http' ELSE 'x' END AS kind, l_suppkey AS item FROM lineitem")
-    return facts.endpoint_facts(closed, f, ["item"]).drop("depth")
+    return facts.endpoint_facts(closed, f, ["item"])
 
 
 RELATIONS["ST"] = ("SELECT 'e' || l_partkey AS endpoint, CASE l_linenumber WHEN 1 THEN 200 WHEN 2 THEN 201 WHEN 3 THEN 404 WHEN 4 THEN 409 WHEN 5 THEN 500 WHEN 6 THEN 302 ELSE 422 END AS code, "

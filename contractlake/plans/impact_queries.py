@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import impact
-from ..operators.closure import call_tree, reachable
+from ..operators.closure import call_tree, closure
 from .bindings import RELATIONS, oracle, relation
 from .registry import Source, query
 
@@ -51,7 +51,7 @@ def _closure(seeds: str, up: bool = False) -> str:
 
 @query("reachable", _closure("SELECT * FROM SEEDS"))
 def reachable_methods(src: Source):
-    return reachable(_edges(src), relation(src, "SEEDS")).select("origin", "node")
+    return closure(_edges(src), relation(src, "SEEDS")).select("origin", "node")
 
 
 @query("call_tree", oracle(
@@ -68,9 +68,10 @@ _REASONS = "SELECT 'changed: ' || p_type AS origin, max(p_partkey) AS node FROM
 _UP = _closure(_REASONS, up=True)
 
 
-def _reached(src: Source):
+def _reached(src: Source, handlers=None):
+    # one start for each type with a part of that size: the changed methods are the input here
     reasons = src.sql(_REASONS).selectExpr("origin AS reason", "node AS method")
-    return impact.propagate_reasons(relation(src, "G"), reasons)
+    return impact.propagate_reasons(relation(src, "G"), reasons, handlers=handlers)
 
 
 @query("propagate_reasons", f"SELECT node AS method, origin AS reason FROM ({_UP}) UNION SELECT node, origin FROM ({_REASONS})")
@@ -96,7 +97,7 @@ _IMPACTED = (f"SELECT 'e' || method AS endpoint, reason FROM (SELECT node AS met
 
 def _impacted(src: Source):
     ends = src.sql("SELECT 'e' || p_partkey AS endpoint, p_partkey AS handler FROM part")
-    return impact.impacted_endpoints(_reached(src), ends, src.sql(_REF), src.sql(_CHANGED_TYPES))
+    return impact.impacted_endpoints(_reached(src, ends.selectExpr("handler AS method")), ends, src.sql(_REF), src.sql(_CHANGED_TYPES))
 
 
 @query("impacted_endpoints", _IMPACTED)
