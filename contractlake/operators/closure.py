@@ -122,10 +122,10 @@ def _spread(links: DataFrame, mask: int) -> tuple[DataFrame, str]:
     return labels, path
 
 
-def _strong(links: DataFrame) -> DataFrame:
+def _strong(links: DataFrame, path: str, size: int) -> DataFrame:
     """(id, comp) of the nodes that share a strongly connected component with others, and of some that don't.
 
-    links(s, d) between long ids, no loops. The largest name that reaches a node and the largest it reaches are the same for all
+    links(s, d) between long ids, no loops, `size` rows in a scratch table that is used up. The largest name that reaches a node and the largest it reaches are the same for all
     members of a component. Where both agree, the component is found and `comp` is that member's id. Links between nodes with
     different labels lie in no component and go; so does what was found. The rest goes on with other names. Every set of nodes with equal
     labels gives up at least one component a round.
@@ -133,9 +133,8 @@ def _strong(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     found, schema = scratch_path(spark, "components"), StructType([StructField("id", LongType()), StructField("comp", LongType())])
     spark.createDataFrame([], schema).write.parquet(f"{found}/round=0")
-    links, path, seen = _written(links, n=F.lit(1))
     number, mask = 0, 0
-    links, path, size = _trim(links, path, seen["n"])
+    links, path, size = _trim(links, path, size)
     while size:
         number += 1
         labels, labels_path = _spread(links, mask)
@@ -166,17 +165,18 @@ def condense(edges: DataFrame, scope: Sequence[str] = ()) -> tuple[DataFrame, Da
         pairs.select(*scope, F.explode(F.array("src", "dst")).alias("node")).distinct()
         .sortWithinPartitions(F.xxhash64(*keys)).withColumn("id", F.monotonically_increasing_id()))
     id_of = lambda column, name: numbered.select(*scope, F.col("node").alias(column), F.col("id").alias(name))
-    links, links_path = write_scratch(pairs.join(id_of("src", "s"), [*scope, "src"]).join(id_of("dst", "d"), [*scope, "dst"]).select("s", "d"))
-    strong = _strong(links.where("s <> d"))
+    every, every_path = write_scratch(pairs.join(id_of("src", "s"), [*scope, "src"]).join(id_of("dst", "d"), [*scope, "dst"]).select("s", "d"))
+    links, links_path, seen = _written(every.where("s <> d"), n=F.lit(1))
+    strong = _strong(links, links_path, seen["n"])
     size = strong.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", F.lit(True).alias("wide"))
-    loops = links.where("s = d").select(F.col("s").alias("id"), F.lit(True).alias("loop"))
-    named, named_path = write_scratch(numbered.join(strong, "id", "left").join(loops, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-    members = cut_lineage(named.join(size, "comp", "left").select(*keys, "comp", F.coalesce("wide", "loop", F.lit(False)).alias("cyclic")))
-    comp_of = lambda column, name: named.select(F.col("id").alias(column), F.col("comp").alias(name))
-    between = cut_lineage(links.join(comp_of("s", "src"), "s").join(comp_of("d", "dst"), "d").where("src <> dst").select("src", "dst").distinct())
-    for path in (pairs_path, numbered_path, links_path, named_path):
+    loops = every.where("s = d").select(F.col("s").alias("id"), F.lit(True).alias("loop"))
+    members = cut_lineage(numbered.join(strong.join(size, "comp"), "id", "left").join(loops, "id", "left")
+                          .select(*keys, "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("wide", "loop", F.lit(False)).alias("cyclic")))
+    comp_of = lambda column, name: members.select(F.col("id").alias(column), F.col("comp").alias(name))
+    between = cut_lineage(every.join(comp_of("s", "src"), "s").join(comp_of("d", "dst"), "d").where("src <> dst").select("src", "dst").distinct())
+    for path in (pairs_path, numbered_path, every_path):
         release(spark, path)
-    return members, between
+    return members.drop("id"), between
 
 
 def closure(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False, scope: Sequence[str] = (), targets: DataFrame | None = None) -> DataFrame:
