@@ -125,9 +125,10 @@ def _spread(links: DataFrame, mask: int) -> tuple[DataFrame, str]:
 def _strong(links: DataFrame, path: str, size: int) -> DataFrame:
     """(id, comp) of the nodes that share a strongly connected component with others, and of some that don't.
 
-    links(s, d) between long ids, no loops, `size` rows in a scratch table that is used up. The largest name that reaches a node and the largest it reaches are the same for all
-    members of a component. Where both agree, the component is found and `comp` is that member's id. Links between nodes with
-    different labels lie in no component and go; so does what was found. The rest goes on with other names. Every set of nodes with equal
+    links(s, d) between long ids, no loops, `size` rows in a scratch table that is used up. The largest name that reaches a node and the
+    largest it reaches are the same for all members of a component. Where both agree, the component is found and `comp` is that member's
+    id. Links between nodes with different labels lie in no component and go; so does what was found. The rest goes on with other names, which
+    other bits make the largest. Every set of nodes with equal
     labels gives up at least one component a round.
     """
     spark = links.sparkSession
