@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..session import cut_lineage
+from ..session import release, write_scratch
 from .arrays import slices
 
 
@@ -42,11 +42,11 @@ def components(links: DataFrame, src: str, dst: str) -> DataFrame:
 
     Rounds of two steps over a shrinking edge list: every node's greater neighbours move to its smallest
     neighbour, then every node's smaller neighbours do. Stars remain, with the smallest node as centre.
-    Each round is written as a table, so a lost executor costs one round; one count per round reaches the driver.
+    Each round is written as a table, so a lost executor costs one round, and the table of the round before goes; one count per round reaches the driver.
     """
     a, b = F.col("a"), F.col("b")
     edges = (links.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where(a > b).distinct())
-    edges = cut_lineage(edges)
+    edges, path = write_scratch(edges)
     size = edges.count()
     while size:
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
@@ -56,9 +56,11 @@ def components(links: DataFrame, src: str, dst: str) -> DataFrame:
         lows = down.groupBy("a").agg(F.min("b").alias("low"))
         small = (down.join(lows, "a").select(F.explode(F.array(F.struct(a.alias("a"), F.col("low").alias("b")), F.struct(b.alias("a"), F.col("low").alias("b")))).alias("e"))
                  .select("e.a", "e.b").where(a > b).distinct())
-        after = cut_lineage(small)
-        moved = after.join(edges, ["a", "b"], "left_anti").limit(1).count() + abs(after.count() - size)
-        edges, size = after, after.count()
+        after, written = write_scratch(small)
+        count = after.count()
+        moved = count != size or not after.join(edges, ["a", "b"], "left_anti").isEmpty()
+        release(links.sparkSession, path)
+        edges, path, size = after, written, count
         if not moved:
             break
     nodes = edges.select(a.alias("node"), b.alias("component"))

@@ -7,8 +7,12 @@ coordinates, as wide as the block's radius, brings vectors together by equality:
 of the neighbouring cells. Crowded cells are split into tiles. Within a tile, pairs that keep to the block's budget are candidates, and
 the cosine of the candidates is worked out in double precision from the vectors as given.
 
+No pair leaves its tile. A pair that several blocks find counts in the first block whose budget it keeps to. A tile sums the links of each of its vectors
+and joins its linked vectors to stars, so it gives as many rows as it has vectors, however many of them are near copies.
+
 Equal vectors are one class and are compared once; the class with all its rows counts as linked. A vector that is null, zero, or
-holds null or non-finite components links with nothing, and vectors of different lengths don't link. Rows of one id are one node.
+holds null or non-finite components links with nothing, and vectors of different lengths don't link. Rows of one id are one node; if they hold
+different vectors, it has the links of all of them.
 A null id gets no links and a null component.
 Only the id and the vector are read, so other columns may have any name.
 """
@@ -16,7 +20,7 @@ Only the id and the vector are read, so other columns may have any name.
 from __future__ import annotations
 
 import hashlib
-from itertools import product
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +53,44 @@ def budget(block: slice, size: int, cosine: float) -> float:
     return (2 - 2 * cosine) * (block.stop - block.start) / size + SLACK
 
 
+def _exact_squares(a: np.ndarray, b: np.ndarray) -> list[float]:
+    """Squared distance of two vectors in each block, from correctly rounded sums: the same in every task."""
+    size = len(a)
+    a, b = ([x / math.sqrt(math.fsum(y * y for y in v)) for x in v] for v in (a.tolist(), b.tolist()))
+    gap = [x - y for x, y in zip(a, b)]
+    turned = [math.fsum(x * y for x, y in zip(gap, column)) for column in rotation(size).T.tolist()]
+    return [math.fsum(x * x for x in turned[block]) for block in blocks(size)]
+
+
+def counted_here(own: int, left: np.ndarray, right: np.ndarray, turned_left: np.ndarray, turned_right: np.ndarray, cosine: float) -> np.ndarray:
+    """Whether `own` is the first block whose budget a pair keeps to, for pairs of vectors and of their turned unit vectors.
+
+    The bar lies half the slack below what the blocks search, so the first block does find the pair. Sums that come close to the bar are worked out again
+    by a rule that doesn't depend on the task.
+    """
+    size = left.shape[1]
+    gaps = (turned_left - turned_right) ** 2
+    bars = np.array([budget(block, size, cosine) - SLACK / 2 for block in blocks(size)[:own + 1]])
+    squares = np.column_stack([gaps[:, block].sum(axis=1) for block in blocks(size)[:own + 1]])
+    for k in np.flatnonzero((np.abs(squares - bars) < SLACK / 1000).any(axis=1)):
+        squares[k] = _exact_squares(left[k], right[k])[:own + 1]
+    keeps = squares <= bars
+    return keeps[:, own] & ~keeps[:, :own].any(axis=1)
+
+
+def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after the rows a and b are joined; the smallest row of each group is its root."""
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
@@ -109,7 +151,8 @@ def vector_classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[Da
 
 
 def links(reps: DataFrame, cosine: float, kind: str = "<f4", tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(a, b, n_a, n_b), a < b, of all pairs of reps(id, n, body) with that cosine or more; `reps` is read twice."""
+    """(id, m, root) of reps(id, n, body), a few rows for an id: the sum of m is the sum of n over all reps of that cosine or more, and the stars of id
+    and root connect what links connect. `reps` is read twice."""
     def count_cells(batches):
         for batch in batches:
             for size, part in _by_size(batch):
@@ -147,7 +190,8 @@ def links(reps: DataFrame, cosine: float, kind: str = "<f4", tile_rows: int = TI
         size = vectors.shape[1]
         block = blocks(size)[own]
         most = budget(block, size, cosine)
-        y = (_unit(vectors) @ rotation(size))[:, block]
+        turned = _unit(vectors) @ rotation(size)
+        y = turned[:, block]
         square = (y * y).sum(axis=1)
         length = np.linalg.norm(vectors, axis=1)
         # one product gives squared distances; single precision only sifts, with room for its error
@@ -158,7 +202,7 @@ def links(reps: DataFrame, cosine: float, kind: str = "<f4", tile_rows: int = TI
         third = y[:, 2] if y.shape[1] > 2 else np.zeros(len(y))
         left, right = (side[np.argsort(third[side])] for side in (np.flatnonzero(tile == low), np.flatnonzero(tile == high)))
         radius, order, far = np.sqrt(most) + SLACK, third[right], far[right].T
-        found = []
+        m, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for k in range(0, len(left), 128):
             i = left[k:k + 128]
             start, stop = np.searchsorted(order, third[i[0]] - radius), np.searchsorted(order, third[i[-1]] + radius, "right")
@@ -174,14 +218,17 @@ def links(reps: DataFrame, cosine: float, kind: str = "<f4", tile_rows: int = TI
                 for c in range(0, len(p), 4096):
                     a, b = p[c:c + 4096], q[c:c + 4096]
                     same = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (length[a] * length[b]) >= cosine
-                    found.append((a[same], b[same]))
-        p, q = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in (0, 1))
-        swap = ids[p] > ids[q]
-        p, q = np.where(swap, q, p), np.where(swap, p, q)
-        return pa.table({"a": ids[p], "b": ids[q], "n_a": n[p], "n_b": n[q]})
+                    a, b = a[same], b[same]
+                    mine = counted_here(own, vectors[a], vectors[b], turned[a], turned[b], cosine)
+                    a, b = a[mine], b[mine]
+                    np.add.at(m, a, n[b])
+                    np.add.at(m, b, n[a])
+                    root = hook(root, a, b)
+        linked = np.flatnonzero(m)
+        return pa.table({"id": ids[linked], "m": m[linked], "root": ids[root[linked]]})
 
     dealt = reps.select("id", "n", "body").mapInArrow(deal, "size long, b long, x long, y long, low long, high long, tile long, home boolean, id long, n long, body binary")
-    return dealt.groupBy("size", "b", "x", "y", "low", "high").applyInArrow(join, "a long, b long, n_a long, n_b long").distinct()
+    return dealt.groupBy("size", "b", "x", "y", "low", "high").applyInArrow(join, "id long, m long, root long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -190,10 +237,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     rows = cut_lineage(found)
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     reps = cut_lineage(rows.where("key is not null").dropDuplicates(["id", "key"]).join(classes, ["key", "id"]).select("key", "id", "n", "body"))
-    pairs = cut_lineage(links(reps, cosine, kind))
-    both = pairs.select(F.col("a").alias("id"), F.col("n_b").alias("m")).unionByName(pairs.select(F.col("b").alias("id"), F.col("n_a").alias("m")))
-    degrees = both.groupBy("id").agg(F.sum("m").alias("m"))
-    groups = components(pairs, "a", "b").withColumnRenamed("node", "id")
+    linked = cut_lineage(links(reps, cosine, kind))
+    degrees = linked.groupBy("id").agg(F.sum("m").alias("m"))
+    groups = components(linked, "id", "root").withColumnRenamed("node", "id")
     settled = cut_lineage(reps.select("key", "id", "n").join(degrees, "id", "left").join(groups, "id", "left")
                           .select("key", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
     return (rows.select("id", "key").join(settled, "key", "left")

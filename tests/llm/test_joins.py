@@ -68,6 +68,34 @@ def test_vectors_by_brute_force(spark, monkeypatch, size, cosine, tile):
         assert r["component_id"] == (root[i] if i is not None else None) and r["kept"] == (i == root[i] if i is not None else None)
 
 
+def test_tiles_give_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=16)
+    rows = [(i, 1, (centre + rng.normal(scale=0.02, size=16)).astype("<f4").tobytes()) for i in range(300)]
+    found = vector_join.links(spark.createDataFrame(rows, "id long, n long, body binary"), 0.95).collect()
+    assert {r["id"]: 0 for r in found}.keys() == set(range(300)) and len(found) <= 300 * 2 * 4  # a tile a block, or two where a cell ends within the group
+    for i in range(300):
+        assert sum(r["m"] for r in found if r["id"] == i) == 299
+
+
+def test_pairs_at_a_bar_count_once():
+    rng = np.random.default_rng(5)
+    size, cosine = 20, 0.95
+    turn, own = vector_join.rotation(size), vector_join.blocks(size)
+    for trial in range(200):
+        gap = np.zeros(size)
+        for block in own:  # every block at its bar, give or take some last digits
+            part = rng.normal(size=block.stop - block.start)
+            bar = vector_join.budget(block, size, cosine) - vector_join.SLACK / 2
+            gap[block] = part / np.linalg.norm(part) * np.sqrt(bar) * (1 + rng.integers(-3, 4) * 1e-16)
+        middle = np.linalg.qr(np.column_stack([gap, rng.normal(size=size)]))[0][:, 1] * np.sqrt(1 - gap @ gap / 4)
+        pair = np.stack([middle + gap / 2, middle - gap / 2]) @ turn.T
+        noise = rng.integers(-5, 6, (len(own), 2, size)) * 1e-17
+        counted = sum(int(vector_join.counted_here(b, pair[:1], pair[1:], pair[:1] @ turn + noise[b, 0], pair[1:] @ turn + noise[b, 1], cosine)[0]) for b in range(len(own)))
+        keeps = [x <= vector_join.budget(block, size, cosine) - vector_join.SLACK / 2 for x, block in zip(vector_join._exact_squares(*pair), own)]
+        assert counted == any(keeps)
+
+
 def test_no_vectors(spark):
     assert vector_join.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
