@@ -24,14 +24,28 @@ def _changes(df: DataFrame, keys: Sequence[str], kind: str, severity: str, item:
                      item.cast("string").alias("item"), detail.alias("detail"))
 
 
-def _exploded(df: DataFrame, keys: Sequence[str], candidates: Sequence[tuple[Column, Column, Column, Column, Column]]) -> DataFrame:
-    """Emit zero or more changes per paired row in one pass over the pairing."""
-    made = [F.when(cond, F.struct(kind.alias("type"), severity.alias("severity"), item.cast("string").alias("item"), detail.alias("detail")))
-            for cond, kind, severity, item, detail in candidates]
-    rows = F.explode(F.filter(F.array(*made), lambda c: c.isNotNull())).alias("c")
+Candidate = tuple[Column, Column, Column, Column, Column]
+
+
+def _made(candidate: Candidate) -> Column:
+    cond, kind, severity, item, detail = candidate
+    return F.when(cond, F.struct(kind.alias("type"), severity.alias("severity"), item.cast("string").alias("item"), detail.alias("detail")))
+
+
+def _emitted(df: DataFrame, keys: Sequence[str], made: Column) -> DataFrame:
+    rows = F.explode(F.filter(made, lambda c: c.isNotNull())).alias("c")
     return df.select(*keys, rows).select(*keys, "c.*")
 
 
+def _exploded(df: DataFrame, keys: Sequence[str], candidates: Sequence[Candidate]) -> DataFrame:
+    """Emit zero or more changes per paired row in one pass over the pairing."""
+    return _emitted(df, keys, F.array(*[_made(c) for c in candidates]))
+
+
+def _side(name: str):
+    return lambda c: F.col(f"{name}.{c}")
+
+
 # ---------------------------------------------------------------- endpoint
 
 def pair_routes(base: DataFrame, head: DataFrame, keys: Sequence[str] = KEYS,
@@ -80,13 +94,15 @@ def param_changes(base: DataFrame, head: DataFrame, both: DataFrame | None = Non
     """PARAM_ADDED, PARAM_TYPE_CHANGED, PARAM_NOW_REQUIRED, PARAM_REMOVED from one pairing."""
     is_param = F.col("loc").isNull() | ~F.col("loc").isin(*NOT_PARAMETERS)
     pairs = pair_items(base.where(is_param), head.where(is_param), [*keys, "loc", "name"], ["type", "required"], pos)
-    pairs = within(pairs, both, keys)
-    b, h = lambda c: F.col(f"base.{c}"), lambda c: F.col(f"head.{c}")
+    return _exploded(within(pairs, both, keys), keys, _param_candidates(F.col("loc"), F.col("name"), _side("base"), _side("head")))
+
+
+def _param_candidates(loc: Column, name: Column, b, h) -> list[Candidate]:
     kept = F.col("in_base") & F.col("in_head")
-    where = F.concat(shown("loc"), F.lit(" parameter `"), F.col("name"), F.lit("`"))
-    item = F.concat(F.coalesce(F.col("loc"), F.lit("")), F.lit(":"), F.col("name"))
+    where = F.concat(shown(loc), F.lit(" parameter `"), name, F.lit("`"))
+    item = F.concat(F.coalesce(loc, F.lit("")), F.lit(":"), name)
     now = is_true(h("required"))
-    return _exploded(pairs, keys, [
+    return [
         (~F.col("in_base"), F.lit("PARAM_ADDED"), F.when(now, "breaking").otherwise("additive"), item,
          F.concat(where, F.lit(" ("), shown(h("type")), F.lit(")"), F.when(now, " is required").otherwise(" (optional)"))),
         (kept & ~b("type").eqNullSafe(h("type")), F.lit("PARAM_TYPE_CHANGED"), F.lit("breaking"), item,
@@ -94,8 +110,8 @@ def param_changes(base: DataFrame, head: DataFrame, both: DataFrame | None = Non
         (kept & now & ~is_true(b("required")), F.lit("PARAM_NOW_REQUIRED"), F.lit("breaking"), item,
          F.concat(where, F.lit(" became required"))),
         (~F.col("in_head"), F.lit("PARAM_REMOVED"),
-         F.when(F.col("loc") == "path", "breaking").otherwise("minor"), item, F.concat(where, F.lit(" removed"))),
-    ])
+         F.when(loc == "path", "breaking").otherwise("minor"), item, F.concat(where, F.lit(" removed"))),
+    ]
 
 
 # ---------------------------------------------------------------- request and response fields
@@ -125,52 +141,66 @@ def request_changes(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def request_field_changes(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Added, removed and retyped request fields."""
-    b, h = lambda c: F.col(f"base.{c}"), lambda c: F.col(f"head.{c}")
-    name = F.concat(F.lit("`"), F.col("path"), F.lit("`"))
+    return _exploded(pairs, keys, _request_candidates(F.col("path"), _side("base"), _side("head")))
+
+
+def _request_candidates(path: Column, b, h) -> list[Candidate]:
+    name = F.concat(F.lit("`"), path, F.lit("`"))
     now = is_true(h("required"))
     kept = F.col("in_base") & F.col("in_head")
-    return _exploded(pairs, keys, [
-        (~F.col("in_base"), F.lit("REQUEST_FIELD_ADDED"), F.when(now, "breaking").otherwise("additive"), F.col("path"),
+    return [
+        (~F.col("in_base"), F.lit("REQUEST_FIELD_ADDED"), F.when(now, "breaking").otherwise("additive"), path,
          F.concat(name, F.lit(" ("), shown(h("type")), F.lit(")"), F.when(now, " is required").otherwise(" (optional)"))),
-        (kept & ~b("type").eqNullSafe(h("type")), F.lit("REQUEST_FIELD_TYPE_CHANGED"), F.lit("breaking"), F.col("path"),
+        (kept & ~b("type").eqNullSafe(h("type")), F.lit("REQUEST_FIELD_TYPE_CHANGED"), F.lit("breaking"), path,
          F.concat(name, F.lit(": "), shown(b("type")), F.lit(" → "), shown(h("type")))),
-        (~F.col("in_head"), F.lit("REQUEST_FIELD_REMOVED"), F.lit("minor"), F.col("path"),
+        (~F.col("in_head"), F.lit("REQUEST_FIELD_REMOVED"), F.lit("minor"), path,
          F.concat(name, F.lit(" is no longer read"))),
-    ])
+    ]
 
 
 def validation_changes(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """VALIDATION_ADDED / CHANGED / REMOVED on fields that exist on both sides."""
     pairs = pairs.where("in_base AND in_head AND base.rules_json <> head.rules_json")
+    return _emitted(pairs, keys, _rule_changes(F.col("path"), F.col("base.rules_json"), F.col("head.rules_json")))
+
+
+def _rule_changes(path: Column, base: Column, head: Column) -> Column:
+    """Changes of a field's rules, given as sorted JSON; equal rules leave nulls."""
     as_map = lambda c: F.from_json(c, "map<string,string>")
-    rows = pairs.select(*keys, "path", F.explode(_rule_delta(as_map(F.col("base.rules_json")), as_map(F.col("head.rules_json")))).alias("r"))
-    rule, old, new = F.col("r.key"), F.col("r.value.old"), F.col("r.value.new")
-    name = F.concat(F.lit("`"), F.col("path"), F.lit("`"))
-    item = F.concat(F.col("path"), F.lit(":"), rule)
-    return _exploded(rows, keys, [
+    return F.flatten(F.transform(_rule_delta(as_map(base), as_map(head)), lambda r: F.array(*[
+        _made(c) for c in _rule_candidates(path, r["key"], r["value"]["old"], r["value"]["new"])])))
+
+
+def _rule_candidates(path: Column, rule: Column, old: Column, new: Column) -> list[Candidate]:
+    name = F.concat(F.lit("`"), path, F.lit("`"))
+    item = F.concat(path, F.lit(":"), rule)
+    return [
         (old.isNull(), F.lit("VALIDATION_ADDED"), F.lit("breaking"), item,
          F.concat(name, F.lit(" now validated: "), rule, F.lit("="), new)),
         (old.isNotNull() & new.isNotNull() & (old != new), F.lit("VALIDATION_CHANGED"), F.lit("breaking"), item,
          F.concat(name, F.lit(" "), rule, F.lit(": "), old, F.lit(" → "), new)),
         (new.isNull(), F.lit("VALIDATION_REMOVED"), F.lit("minor"), item,
          F.concat(name, F.lit(" no longer validated: "), rule)),
-    ])
+    ]
 
 
 def response_field_changes(base: DataFrame, head: DataFrame, both: DataFrame | None = None,
                            keys: Sequence[str] = KEYS) -> DataFrame:
     """Removed and retyped response fields break clients; added ones never do."""
     pairs = within(pair_items(base, head, [*keys, "path"], ["type"]), both, keys)
-    bt, ht = F.col("base.type"), F.col("head.type")
-    name = F.concat(F.lit("`"), F.col("path"), F.lit("`"))
-    return _exploded(pairs, keys, [
-        (~F.col("in_head"), F.lit("RESPONSE_FIELD_REMOVED"), F.lit("breaking"), F.col("path"),
+    return _exploded(pairs, keys, _response_candidates(F.col("path"), F.col("base.type"), F.col("head.type")))
+
+
+def _response_candidates(path: Column, bt: Column, ht: Column) -> list[Candidate]:
+    name = F.concat(F.lit("`"), path, F.lit("`"))
+    return [
+        (~F.col("in_head"), F.lit("RESPONSE_FIELD_REMOVED"), F.lit("breaking"), path,
          F.concat(name, F.lit(" is no longer returned"))),
         (F.col("in_base") & F.col("in_head") & ~bt.eqNullSafe(ht), F.lit("RESPONSE_FIELD_TYPE_CHANGED"), F.lit("breaking"),
-         F.col("path"), F.concat(name, F.lit(": "), shown(bt), F.lit(" → "), shown(ht))),
-        (~F.col("in_base"), F.lit("RESPONSE_FIELD_ADDED"), F.lit("additive"), F.col("path"),
+         path, F.concat(name, F.lit(": "), shown(bt), F.lit(" → "), shown(ht))),
+        (~F.col("in_base"), F.lit("RESPONSE_FIELD_ADDED"), F.lit("additive"), path,
          F.concat(name, F.lit(" ("), shown(ht), F.lit(")"))),
-    ])
+    ]
 
 
 # ---------------------------------------------------------------- status codes and access
@@ -183,11 +213,14 @@ def status_changes(base: DataFrame, head: DataFrame, both: DataFrame | None = No
 
 
 def error_status_changes(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    code = F.col("code").cast("string")
-    return _exploded(pairs.where("code >= 400"), keys, [
+    return _exploded(pairs.where("code >= 400"), keys, _error_candidates(F.col("code").cast("string")))
+
+
+def _error_candidates(code: Column) -> list[Candidate]:
+    return [
         (~F.col("in_base"), F.lit("ERROR_STATUS_ADDED"), F.lit("minor"), code, F.concat(F.lit("may now return "), code)),
         (~F.col("in_head"), F.lit("ERROR_STATUS_REMOVED"), F.lit("additive"), code, F.concat(F.lit("no longer returns "), code)),
-    ])
+    ]
 
 
 def success_status_changes(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -284,31 +317,97 @@ def model_field_changes(base: DataFrame, head: DataFrame, keys: Sequence[str] =
 
 # ---------------------------------------------------------------- everything
 
-def unscoped_changes(base: dict[str, DataFrame], head: dict[str, DataFrame], pairs: DataFrame,
-                     keys: Sequence[str] = KEYS, pos: str | None = None) -> DataFrame:
-    """Changes of all families, not yet limited to endpoints present on both sides."""
-    parts = [route_changes(pairs, keys)]
-    have = lambda name: name in base and name in head
+# Columns every family is told in: two parts of an item's name and up to three values.
+ITEM_COLUMNS = ("family", "n1", "n2", "v1", "v2", "v3")
+
+
+def _items(side: dict[str, DataFrame], other: dict[str, DataFrame], keys: Sequence[str], pos: str | None) -> DataFrame | None:
+    """Rows of all families of a snapshot that both sides have, in ITEM_COLUMNS.
+
+    Success codes and access rules count as a whole per endpoint, so they are one item each.
+    """
+    nil, no = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    text = lambda c: F.col(c).cast("string")
+    flag = lambda c: F.col(c).cast("boolean")
+    have = lambda name: name in side and name in other
+    parts = []
+
+    def add(df, family, n1=nil, n2=nil, v1=nil, v2=no, v3=nil):
+        parts.append(df.select(*keys, *[c.alias(n) for n, c in zip(ITEM_COLUMNS, (F.lit(family), n1, n2, v1, v2, v3))]))
+
     if have("params"):
-        parts.append(param_changes(base["params"], head["params"], None, keys, pos))
+        params = side["params"].where(F.col("loc").isNull() | ~F.col("loc").isin(*NOT_PARAMETERS))
+        if pos:
+            params = keep_first_per_key(params.select(*keys, "loc", "name", "type", "required", pos), [*keys, "loc", "name"], [pos], last=True)
+        add(params, "param", text("loc"), text("name"), text("type"), flag("required"))
     if have("request_fields"):
-        parts.append(request_changes(pair_fields(base["request_fields"], head["request_fields"], None, keys), keys))
+        add(_rules_json(side["request_fields"]), "request", text("path"), v1=text("type"), v2=flag("required"), v3=F.col("rules_json"))
     if have("response_fields"):
-        parts.append(response_field_changes(base["response_fields"], head["response_fields"], None, keys))
+        add(side["response_fields"], "response", text("path"), v1=text("type"))
     if have("statuses"):
-        parts.append(status_changes(base["statuses"], head["statuses"], None, keys))
+        codes = side["statuses"]
+        add(codes.where("code >= 400"), "error", text("code"))
+        # a set of status codes below 300 is bounded by the HTTP code space
+        success = codes.where("code < 300 AND code <> 0").groupBy(*keys).agg(F.array_sort(F.collect_set("code")).alias("codes"))
+        add(success, "success", v1=F.concat(F.lit("["), F.array_join(F.col("codes").cast("array<string>"), ", "), F.lit("]")))
     if have("security"):
-        parts.append(security_changes(base["security"], head["security"], None, keys).drop("old", "new"))
-    return reduce(DataFrame.unionByName, parts)
+        rules = F.struct(F.coalesce("annotations", F.array().cast("array<string>")).alias("annotations"), "access", "roles")
+        prints = security_fingerprint(side["security"], keys).withColumn("print", F.to_json(rules))
+        add(prints.where("size(annotations) > 0 OR access IS NOT NULL OR roles IS NOT NULL"), "access", v1=F.col("print"))
+    if have("downstream"):
+        add(side["downstream"], "downstream", text("grp"), text("item"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def unscoped_changes(base: dict[str, DataFrame], head: dict[str, DataFrame], pairs: DataFrame,
+                     keys: Sequence[str] = KEYS, pos: str | None = None) -> DataFrame:
+    """Changes of all families, not yet limited to endpoints present on both sides.
+
+    The items of all families are one long table a side, so everything equal cancels in a single map-combined aggregate, whatever the number of
+    families; what differs is paired once and judged in one pass. Downstream items have severity `delta`, their group as item and their name as detail.
+    """
+    base_items, head_items = _items(base, head, keys, pos), _items(head, base, keys, pos)
+    routes = route_changes(pairs, keys)
+    if base_items is None:
+        return routes
+    differ = pair_items(base_items, head_items, [*keys, *ITEM_COLUMNS[:3]], ITEM_COLUMNS[3:])
+    n1, n2, none = F.col("n1"), F.col("n2"), F.lit("")
+    names = {"type": "v1", "required": "v2"}
+    b, h = (lambda c, side=side: F.col(f"{side}.{names[c]}") for side in ("base", "head"))
+    kept = F.col("in_base") & F.col("in_head")
+    both = F.array(*[F.when(kept, x) for x in (F.col("base.v1"), F.col("head.v1"))])
+    of = lambda candidates: F.array(*[_made(c) for c in candidates])
+    rules = F.when(kept & (F.col("base.v3") != F.col("head.v3")), _rule_changes(n1, F.col("base.v3"), F.col("head.v3")))
+    request = of(_request_candidates(n1, b, h))
+    families = {
+        "param": of(_param_candidates(n1, n2, b, h)),
+        "request": F.when(rules.isNull(), request).otherwise(F.concat(request, rules)),
+        "response": of(_response_candidates(n1, b("type"), h("type"))),
+        "error": of(_error_candidates(n1)),
+        "success": of([(kept, F.lit("SUCCESS_STATUS_CHANGED"), F.lit("breaking"), none, F.array_join(both, " → "))]),
+        "access": of([(F.lit(True), F.lit("SECURITY_CHANGED"), F.lit("breaking"), none, F.lit("access rules changed"))]),
+        "downstream": of([(F.lit(True), F.when(F.col("in_head"), "DOWNSTREAM_ADDED").otherwise("DOWNSTREAM_REMOVED"), F.lit("delta"), n1, n2)]),
+    }
+    made = None
+    for family, changes in families.items():
+        made = F.when(F.col("family") == family, changes) if made is None else made.when(F.col("family") == family, changes)
+    return routes.unionByName(_emitted(differ, keys, made))
+
+
+def delta_of(changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The rows of `downstream_delta` among `unscoped_changes`."""
+    return changes.where("severity = 'delta'").select(
+        *keys, F.col("item").alias("grp"), F.col("detail").alias("item"), F.when(F.col("type") == "DOWNSTREAM_ADDED", "added").otherwise("removed").alias("change"))
 
 
 def contract_changes(base: dict[str, DataFrame], head: dict[str, DataFrame], keys: Sequence[str] = KEYS,
-                     pos: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
+                     pos: str | None = None, pairs: DataFrame | None = None, downstream: bool = False) -> DataFrame:
     """All changes of endpoints present on both sides: one semi join after the union.
 
     `base` and `head` map routes, params, request_fields, response_fields, statuses, security
-    to their tables; missing parts are skipped.
+    to their tables; missing parts are skipped. `downstream` adds the rows that `delta_of` reads.
     """
     pairs = pairs if pairs is not None else pair_routes(base["routes"], head["routes"], keys)
     both = pairs.where("in_base AND in_head").select(*keys)
-    return within(unscoped_changes(base, head, pairs, keys, pos), both, keys)
+    found = unscoped_changes({k: v for k, v in base.items() if k != "downstream"} if not downstream else base, head, pairs, keys, pos)
+    return within(found, both, keys)

@@ -44,7 +44,7 @@ def verdict_of(breaking: Column, minor: Column, delta: Column) -> Column:
 
 def _marks(changes: DataFrame, delta: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     count = lambda name: F.when(F.col("severity") == name, 1).otherwise(0).alias(name)
-    out = changes.select(*keys, count("breaking"), count("minor"), count("additive"), F.lit(0).alias("delta"))
+    out = changes.select(*keys, count("breaking"), count("minor"), count("additive"), count("delta"))
     if delta is not None:
         zero = [F.lit(0).alias(c) for c in ("breaking", "minor", "additive")]
         out = out.unionByName(delta.select(*keys, *zero, F.lit(1).alias("delta")))
@@ -62,15 +62,13 @@ def _endpoint_states(base: dict[str, DataFrame], head: dict[str, DataFrame], key
                      complete: bool, pos: str | None) -> DataFrame:
     """Every endpoint of either snapshot with status, counts and verdict.
 
-    Changes of all families are counted per endpoint first (integers, combined map-side); the counts
+    Changes of all families are found in one aggregate and counted per endpoint (integers, combined map-side); the counts
     then meet the paired endpoints, which are already clustered the same way. No family is joined
     with the endpoints that exist on both sides.
     """
     pairs = diff.pair_routes(base["routes"], head["routes"], keys)
-    changes = diff.unscoped_changes(base, head, pairs, keys, pos)
-    delta = diff.downstream_delta(base["downstream"], head["downstream"], keys=keys) if "downstream" in base else None
     sums = ("breaking", "minor", "additive", "delta")
-    counts = _marks(changes, delta, keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    counts = _marks(diff.unscoped_changes(base, head, pairs, keys, pos), None, keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
     status = F.when(~F.col("in_base"), "added").when(~F.col("in_head"), "removed").otherwise("changed")
     known = pairs.select(*keys, status.alias("status"), F.coalesce("head.method", "base.method").alias("method"),
                          F.coalesce("head.path", "base.path").alias("path")).join(counts, list(keys), "left")

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .registry import Source, with_relations
 
 API = "'part-' || l_partkey"
@@ -113,13 +112,10 @@ def access(src: Source, side: str) -> DataFrame:
 
 
 def snapshot(src: Source, side: str) -> dict[str, DataFrame]:
-    """Everything `compare_snapshots` reads, keyed by `api`.
-
-    Each family that comes from order lines is worked out and written once; the comparison reads it several times.
-    """
-    params, f = cut_lineage(relation(src, f"P_{side}")), cut_lineage(relation(src, f"F_{side}"))
+    """Everything `compare_snapshots` reads, keyed by `api`. The comparison reads each family once."""
+    params = relation(src, f"P_{side}")
     return {
-        "routes": relation(src, f"R_{side}"), "params": params, "request_fields": with_rules(f),
+        "routes": relation(src, f"R_{side}"), "params": params, "request_fields": fields(src, side),
         "response_fields": params.selectExpr("api", "'r' || substr(name, 2, 9) AS path", "type"),
         "statuses": relation(src, f"S_{side}"), "security": access(src, side), "downstream": relation(src, f"D_{side}"),
     }

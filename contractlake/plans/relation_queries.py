@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diff, relations, verdict
+from ..session import cut_lineage
 from . import verdict_queries  # noqa: F401 - the composed texts read its registered SQL
 from .bindings import RELATIONS, oracle, relation, snapshot
 from .registry import ORACLE, Source, query
@@ -193,11 +194,9 @@ def endpoint_impact(src: Source):
 
 def _impact(src: Source):
     base, head = snapshot(src, "base"), snapshot(src, "head")
-    changes = diff.contract_changes(base, head, K)
-    both = verdict.on_both_sides(base["routes"], head["routes"], K)
-    delta = diff.downstream_delta(base["downstream"], head["downstream"], both, K)
-    return relations.endpoint_impact(verdict.endpoint_verdict(changes, delta, K), verdict.recommendation_inputs(changes, K),
-                                     relation(src, "CALLERS"), relation(src, "SHARE"), delta)
+    found = cut_lineage(diff.contract_changes(base, head, K, downstream=True))
+    return relations.endpoint_impact(verdict.endpoint_verdict(found, None, K), verdict.recommendation_inputs(found.where("severity <> 'delta'"), K),
+                                     relation(src, "CALLERS"), relation(src, "SHARE"), diff.delta_of(found, K))
 
 
 _NO_NAME = "CAST(NULL AS VARCHAR) AS name"

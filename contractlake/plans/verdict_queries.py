@@ -51,10 +51,7 @@ def compare_snapshots(src: Source):
 @query("endpoint_verdict", f"SELECT api, breaking, minor, additive, delta, {_VERDICT} FROM ({_COUNTS})")
 def endpoint_verdict(src: Source):
     from ..operators import diff
-    base, head = _both_sides(src)
-    changes = diff.contract_changes(base, head, K)
-    both = verdict.on_both_sides(base["routes"], head["routes"], K)
-    return verdict.endpoint_verdict(changes, diff.downstream_delta(base["downstream"], head["downstream"], both, K), K)
+    return verdict.endpoint_verdict(diff.contract_changes(*_both_sides(src), K, downstream=True), None, K)
 
 
 @query("compare_changes", f"{_changes_sql()} UNION ALL {_changes_sql(('endpoint_added', 'endpoint_removed'))}")
