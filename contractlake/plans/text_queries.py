@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import qa, text
-from .bindings import RELATIONS, oracle, relation
-from .registry import Source, query
+from .bindings import RELATIONS, oracle
+from .registry import Source, query, with_relations
 
 RELATIONS["TOK"] = ("SELECT DISTINCT page_id, token FROM (SELECT page_id, unnest(regexp_extract_all(html, '/[a-zA-Z0-9/_\\-{}]+')) AS token FROM pages "
                     "UNION ALL SELECT page_id, unnest(regexp_extract_all(html, 'GET|POST|PUT|DELETE|PATCH')) FROM pages)")
@@ -180,8 +180,8 @@ def search_score(src: Source):
 
 
 # the queries asked: every hundredth part gives one, against all parts
-RELATIONS["ASK"] = ("SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'List  all ' || p_name WHEN 1 THEN 'create ' || p_type || ' for ' || p_brand ELSE p_name || ' ' || p_type END AS query "
-                    "FROM part WHERE p_partkey % 100 = 0")
+_ASKED = ("SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'List  all ' || p_name WHEN 1 THEN 'create ' || p_type || ' for ' || p_brand ELSE p_name || ' ' || p_type END AS query "
+          "FROM part WHERE p_partkey % 100 = 0")
 _VALUES = ", ".join(f"('{w}', '{s}')" for w, others in text.SYNONYMS for s in others)
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _FOUND = (
@@ -198,9 +198,9 @@ _FOUND = (
     "SELECT query_id, p_partkey, round(CASE WHEN name = q THEN 1 ELSE score END, 4) AS score FROM s WHERE (hits > 0 OR of_repo) AND CASE WHEN name = q THEN 1 ELSE score END >= 0.3")
 
 
-@query("keyword_search", oracle(_FOUND).replace("\nWITH asked AS", ", asked AS"))
+@query("keyword_search", with_relations({"ASK": _ASKED}, _FOUND).replace("\nWITH asked AS", ", asked AS"))
 def keyword_search(src: Source):
-    found = text.keyword_search(_apis(src), relation(src, "ASK"))
+    found = text.keyword_search(_apis(src), src.sql(_ASKED))
     return found.select("query_id", "p_partkey", F.round("score", 4).alias("score"))
 
 
