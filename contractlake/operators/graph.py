@@ -155,9 +155,9 @@ def build_graph(model: dict[str, DataFrame], scope: Sequence[str] = ()) -> tuple
         edge(model["scheduled"], F.lit("infra:scheduler"), component_id, "triggers", c("handler"))
 
     all_nodes = keep_first_per_key(reduce(DataFrame.unionByName, nodes), [*scope, "id"], ["_order", "name", "module", "host"]).drop("_order")
-    raw = reduce(DataFrame.unionByName, edges).where("src <> dst").distinct().withColumn("pos", F.lit(0))
+    # repeated edges vanish when their details are merged; nodes and edges are read apart, so neither is worked out for the other
+    raw = reduce(DataFrame.unionByName, edges).where("src <> dst").withColumn("pos", F.lit(0))
     if have("components") is not None:
-        raw = cut_lineage(raw)
         # a component that calls its own module leaves a loop on the module
         raw = raw.unionByName(_module_edges(raw, model["components"], scope))
     return all_nodes, first_details(raw, [*scope, "src", "dst", "kind"], DETAILS_BUILD)

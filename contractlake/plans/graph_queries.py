@@ -215,12 +215,18 @@ RELATIONS["INJ"] = ("SELECT DISTINCT CAST(l_suppkey AS VARCHAR(20)) AS component
 RELATIONS["DS"] = ("SELECT 'region-' || r_regionkey AS module, 'default' AS profile, 'postgresql' AS type, 'db-' || lower(r_name) AS host, 'main' AS database FROM region WHERE r_name < 'B' OR r_name > 'E'")
 
 
+def _injections(src: Source):
+    # the rows of INJ; both sides are distinct before they meet, so their pairs are
+    return src.sql("SELECT CAST(l_suppkey AS VARCHAR(20)) AS component, CAST(s_suppkey AS VARCHAR(20)) AS target, 'f' || l_linenumber AS field "
+                   "FROM (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem) JOIN (SELECT DISTINCT s_suppkey, s_nationkey FROM supplier) ON s_nationkey = l_linenumber")
+
+
 def _model(src: Source):
     facts = relation(src, "FACTS").withColumn("names", F.array("item")).withColumn("target_service", F.lit(None).cast("string"))
     return {
         "modules": src.sql("SELECT 'region-' || r_regionkey AS path, r_name AS name, CAST(NULL AS STRING) AS app_name, false AS aggregator FROM region"),
         "components": relation(src, "SUP").selectExpr("CAST(s_suppkey AS STRING) AS id", "s_name AS name", "'service' AS stereotype", "'service' AS layer", "module"),
-        "injections": relation(src, "INJ"), "datastores": relation(src, "DS"), "facts": facts,
+        "injections": _injections(src), "datastores": relation(src, "DS"), "facts": facts,
     }
 
 
