@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,15 +21,13 @@ def classify_library(group: Column, artifact: Column, catalog: Sequence[tuple] =
 
     Needles with a separator match anywhere in group:artifact, single words the start of a name part.
     """
-    key = F.lower(F.concat(F.coalesce(group, F.lit("")), F.lit(":"), F.coalesce(artifact, F.lit(""))))
-    tokens = F.split(F.lower(F.coalesce(artifact, F.lit(""))), "[-.:_]")
-    entries = rule_array(catalog, ["needle", "category", "technology"])
-
-    def hit(r):
-        anywhere = r["needle"].rlike("[-:.]")
-        return F.when(anywhere, key.contains(r["needle"])).otherwise(F.exists(tokens, lambda t: t.startswith(r["needle"])))
-
-    return first_match(entries, hit)
+    name = F.lower(F.coalesce(artifact, F.lit("")))
+    key = F.concat(F.lower(F.coalesce(group, F.lit(""))), F.lit(":"), name)
+    # every name part with one mark before it, so that the start of a part is a plain search
+    parts = F.concat(F.lit("-"), F.translate(name, ".:_", "---"))
+    # plain searches, all in one expression: its texts are lower-cased once a row, and the first entry that hits has the least number
+    found = [F.when(key.contains(needle) if re.search("[-:.]", needle) else parts.contains(f"-{needle}"), i) for i, (needle, _, _) in enumerate(catalog)]
+    return F.get(rule_array(catalog, ["needle", "category", "technology"]), F.least(*found, F.lit(None).cast("int")))
 
 
 def classify_stereotype(df: DataFrame) -> DataFrame:
@@ -450,9 +449,11 @@ def module_of_file(files: DataFrame, modules: DataFrame, path: str = "path", sco
     parts = F.split(path, "/")
     dirs = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     keys = [c for c in files.columns]
-    rows = files.withColumn("_dir", F.explode(dirs)).join(modules.where("dir <> ''").select(*scope, F.col("dir").alias("_dir")).distinct(), [*scope, "_dir"])
+    # compressed tables look small to the optimizer: with these hints it sends neither the paths nor their modules through the driver
+    known = modules.where("dir <> ''").select(*scope, F.col("dir").alias("_dir")).distinct()
+    rows = files.select(*scope, path).distinct().withColumn("_dir", F.explode(dirs)).join(known.hint("merge"), [*scope, "_dir"])
     best = rows.groupBy(*scope, path).agg(F.max_by("_dir", F.length("_dir")).alias("module"))
-    return files.join(best, [*scope, path], "left").select(*keys, F.coalesce("module", F.lit("")).alias("module"))
+    return files.join(best.hint("merge"), [*scope, path], "left").select(*keys, F.coalesce("module", F.lit("")).alias("module"))
 
 
 def listener_topology(annotations: DataFrame) -> DataFrame:

@@ -205,8 +205,8 @@ _ARTIFACT = ("CASE p_type WHEN 'ECONOMY' THEN 'spring-boot-starter-' || CASE WHE
 @query("classify_library", f"SELECT p_partkey, coalesce({_library_sql()}, 'none') AS library FROM (SELECT p_partkey, p_brand AS b, {_ARTIFACT} AS a FROM part)")
 def classify_library(src: Source):
     hit = facts.classify_library(F.concat(F.lit("org."), "p_brand"), F.expr(_ARTIFACT))
-    text = F.concat_ws("|", hit["category"], hit["technology"])
-    return src.table("part").select("p_partkey", F.when(hit.isNotNull(), text).otherwise("none").alias("library"))
+    text = F.concat_ws("|", "hit.category", "hit.technology")
+    return src.table("part").select("p_partkey", hit.alias("hit")).select("p_partkey", F.when(F.col("hit").isNotNull(), text).otherwise("none").alias("library"))
 
 
 _METHOD = ("CASE p_type WHEN 'ECONOMY' THEN 'saveAll' || p_size WHEN 'LARGE' THEN 'deleteBy' || p_size WHEN 'PROMO' THEN 'findBy' || p_size WHEN 'SMALL' THEN 'expire' || p_size "
