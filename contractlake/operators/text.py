@@ -231,47 +231,50 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(*[F.transform(at, lambda i: F.substr(text, i, F.lit(n))) for n in range(1, GRAM + 1)])))
 
 
-def _terms(queries: DataFrame, key: str, query: str) -> DataFrame:
-    """(key, term, kind, times): the words of each query, the synonyms of its words, and the whole query; `times` counts a repeated word."""
-    plain = F.array_join(F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != ""), " ")
-    rows = queries.select(key, plain.alias("_q")).where("_q <> ''")
-    words = rows.select(key, F.explode(F.split("_q", " ")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("times"))
+def _terms(asked: DataFrame) -> DataFrame:
+    """(_q, term, kind, times): the words of each distinct query, the synonyms of its words, and the whole query; `times` counts a repeated word."""
+    words = asked.select("_q", F.explode(F.split("_q", " ")).alias("term")).groupBy("_q", "term").agg(F.count("*").alias("times"))
     pairs = F.create_map(*[x for w, others in SYNONYMS for x in (F.lit(w), F.array(*[F.lit(o) for o in others]))])
-    synonyms = words.select(key, F.explode(pairs[F.col("term")]).alias("term")).distinct()
-    return (words.select(key, "term", F.lit("word").alias("kind"), "times").unionByName(synonyms.select(key, "term", F.lit("synonym").alias("kind"), F.lit(0).cast("long").alias("times")))
-            .unionByName(rows.select(key, F.col("_q").alias("term"), F.lit("query").alias("kind"), F.lit(0).cast("long").alias("times"))))
+    synonyms = words.select("_q", F.explode(pairs[F.col("term")]).alias("term")).distinct()
+    never = F.lit(0).cast("long").alias("times")
+    return (words.select("_q", "term", F.lit("word").alias("kind"), "times").unionByName(synonyms.select("_q", "term", F.lit("synonym").alias("kind"), never))
+            .unionByName(asked.select("_q", F.col("_q").alias("term"), F.lit("query").alias("kind"), never)))
 
 
 def keyword_search(apis: DataFrame, queries: DataFrame, key: str = "query_id", query: str = "query", api: str = "api", title: str = "title", repo: str = "repo",
                    top: int | None = None) -> DataFrame:
     """(key, columns of apis, score) of the APIs with a query word in name, title or repository and enough confidence, for a table of queries (key, query).
 
-    Scores are those of `search_score`. An index of the APIs' short substrings meets the distinct terms of all queries by their first characters; only texts that share
-    them are looked at. With `top`, only each query's best APIs, ties by name. Queries without words find nothing.
+    Scores are those of `search_score`. An index of the short substrings of the distinct texts meets the distinct terms of all queries by their first characters; only texts
+    that share them are looked at. Distinct texts are scored for distinct queries; each found pair then meets the APIs and the keys behind it in the last join, which makes
+    the rows of the result and nothing else. With `top`, only each query's best APIs, ties by name. Queries without words find nothing.
     """
-    terms = cut_lineage(_terms(queries, key, query))
+    plain = F.array_join(F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != ""), " ")
+    asked = cut_lineage(queries.select(key, plain.alias("_q")).where("_q <> ''").distinct())
+    terms = cut_lineage(_terms(asked.select("_q").distinct()))
     text = F.lower(api_text(F.col(api), F.col(title)))
     texts = cut_lineage(apis.withColumns({"_id": F.monotonically_increasing_id(), "_text": text, "_repo": F.lower(F.coalesce(repo, F.lit("")))}))
-    index = texts.select("_id", "_text", F.explode(_grams(F.col("_text"))).alias("_gram"))
-    asked = terms.select("term").distinct().withColumn("_gram", F.left("term", F.lit(GRAM)))
-    held = index.join(asked, "_gram").where(F.contains("_text", "term")).select("_id", "term")
-    found = held.join(terms, "term").select(key, "_id", "kind", "term", "times")
+    kinds = cut_lineage(texts.groupBy("_text", "_repo").agg(F.min("_id").alias("_class")))
+    names = kinds.select("_text").distinct()
+    index = names.select("_text", F.explode(_grams(F.col("_text"))).alias("_gram"))
+    wanted = terms.select("term").distinct().withColumn("_gram", F.left("term", F.lit(GRAM)))
+    held = index.join(wanted, "_gram").where(F.contains("_text", "term")).select("_text", "term")
+    found = held.join(terms, "term").select("_q", "_text", "kind", "term", "times")
     # the other way round: a query that holds the whole text
-    whole = terms.where("kind = 'query'").select(key, F.col("term").alias("_q"), F.explode(_grams(F.col("term"))).alias("_gram"))
-    within = (texts.where("_text <> ''").select("_id", "_text", F.left("_text", F.lit(GRAM)).alias("_gram")).join(whole, "_gram").where(F.contains("_q", "_text"))
-              .select(key, "_id", F.lit("query").alias("kind"), F.col("_q").alias("term"), F.lit(0).cast("long").alias("times")))
+    whole = terms.where("kind = 'query'").select("_q", F.explode(_grams(F.col("_q"))).alias("_gram"))
+    within = (names.where("_text <> ''").select("_text", F.left("_text", F.lit(GRAM)).alias("_gram")).join(whole, "_gram").where(F.contains("_q", "_text"))
+              .select("_q", "_text", F.lit("query").alias("kind"), F.col("_q").alias("term"), F.lit(0).cast("long").alias("times")))
     weight = (F.when(F.col("kind") == "query", 0.8).when(F.col("kind") == "synonym", 0.65)
               .when((F.char_length("term") >= 4) & ~F.col("term").isin(*STOP_WORDS), 0.7).otherwise(0.0))
-    sums = found.unionByName(within).groupBy(key, "_id").agg(F.max(weight).alias("_best"), F.sum("times").alias("_hits"))
-    wordy = terms.where("kind = 'word'").groupBy(key).agg(F.collect_set("term").alias("_words"))
-    asked_for = terms.where("kind = 'query'").select(key, F.col("term").alias("_q"))
-    rows = sums.join(texts, "_id").join(asked_for, key).join(wordy, key)
+    sums = found.unionByName(within).groupBy("_q", "_text").agg(F.max(weight).alias("_best"), F.sum("times").alias("_hits"))
     q, own = F.col("_q"), F.col("_repo")
     best = F.greatest("_best", F.least(F.lit(0.6), F.col("_hits") * F.lit(0.15)))
     foreign = (own != "") & ~F.contains(q, own) & ~F.contains(own, q)
     score = F.when(F.col("_text") == q, 1.0).otherwise(F.least(F.lit(1.0), F.when(foreign, best * F.lit(0.9)).otherwise(best)))
-    keyword = (F.col("_hits") > 0) | F.exists("_words", lambda w: F.contains(own, w))
-    rows = rows.withColumn("score", score).where(keyword & (F.col("score") >= MIN_CONFIDENCE))
+    keyword = (F.col("_hits") > 0) | F.exists(F.split("_q", " "), lambda w: F.contains(own, w))
+    scored = sums.join(kinds, "_text").withColumn("score", score).where(keyword & (F.col("score") >= MIN_CONFIDENCE)).select("_q", "_class", "score")
+    members = texts.join(kinds, ["_text", "_repo"]).select("_class", "_id", "_text", *apis.columns)
+    rows = scored.join(asked, "_q").select(key, "_class", "score").join(members.hint("merge"), "_class")
     if top is not None:
         rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "_text", "_id"))
         rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= top)

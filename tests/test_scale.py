@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from contractlake.functions import rules
-from contractlake.operators import facts
+from contractlake.operators import facts, text
 from tests.conftest import rows
 
 
@@ -35,3 +35,13 @@ def test_classify_library_is_compiled_and_takes_the_first_entry(spark):
     assert rows(found) == sorted(((g, a, first(g, a)) for g, a in names), key=repr)
     # a function called for every entry of the catalogue is interpreted, row by row
     assert "lambda" not in plan(found)
+
+
+def test_keyword_search_scores_equal_texts_once_and_returns_all_rows(spark):
+    # every text and query 300 times: the pairs that are scored must not grow with the copies
+    apis = spark.range(300).selectExpr("id", "explode(array('red ring', 'blue bolt')) AS api").selectExpr("id", "api", "'x' AS title", "'shop' AS repo")
+    queries = spark.range(300).selectExpr("id AS query_id", "'Red  RING' AS query")
+    found = text.keyword_search(apis, queries)
+    assert found.count() == 300 * 300 and rows(found.select("api", "score").distinct()) == [("red ring", 0.8 * 0.9)]
+    # pairs meet the rows behind a text by its number, not by the text of every API
+    assert re.search(r"Join \[_class", plan(found))
