@@ -45,3 +45,17 @@ def test_keyword_search_scores_equal_texts_once_and_returns_all_rows(spark):
     assert found.count() == 300 * 300 and rows(found.select("api", "score").distinct()) == [("red ring", 0.8 * 0.9)]
     # pairs meet the rows behind a text by its number, not by the text of every API
     assert re.search(r"Join \[_class", plan(found))
+
+
+def test_related_documents_by_classes_equal_all_pairs(spark):
+    import random
+    rng = random.Random(5)
+    docs = [(i, t) for i in range(60) for t in {f"/t{rng.randrange(9)}" for _ in range(4)} | {f"/r{rng.randrange(40)}"}] + [(60, "/alone"), (61, "/t1"), (61, "/t1")]
+    have = {}
+    for i, t in docs:
+        have.setdefault(i, set()).add(t)
+    want = sorted((a, b, sorted(have[a] & have[b])[:3]) for a in have if a % 10 == 0 for b in have if a != b and have[a] & have[b])
+    tokens = spark.createDataFrame(docs, "doc long, token string")
+    for hub in (0, 5, 1000):
+        found = text.related_documents(tokens, spark.range(0, 70, 10).toDF("doc"), "doc", hub=hub or 1)
+        assert sorted(tuple(r) for r in found.select("target", "neighbour", "token").collect()) == want
