@@ -32,7 +32,9 @@ def _children(fields_json: Column, prefix: Column) -> Column:
 def _nested(json: Column) -> Column:
     """Field map below a field: of its schema, or of the items of an array schema."""
     is_array = F.get_json_object(json, "$.schema.type") == "array"
-    return F.when(is_array, F.get_json_object(json, "$.schema.items.fields")).otherwise(F.get_json_object(json, "$.schema.fields"))
+    below = F.when(is_array, F.get_json_object(json, "$.schema.items.fields")).otherwise(F.get_json_object(json, "$.schema.fields"))
+    # leaves, most of all fields, are not parsed for a schema; its name may be written with escapes
+    return F.when(json.contains('"schema"') | json.contains("\\u"), below)
 
 
 def _flat_fields(fields_json: Column) -> Column:
@@ -45,11 +47,13 @@ def _flat_fields(fields_json: Column) -> Column:
 
 
 def flatten_schema(df: DataFrame, keys: Sequence[str], fields: str = "fields") -> DataFrame:
-    """Field map JSON as rows: keys, path, type, rules MAP, required. One row-wise expression, no shuffle.
+    """Field map JSON as rows: keys, path, type, rules MAP, required. One row-wise expression over rows dealt out by their keys.
 
     `map` values are not descended, arrays one level.
     """
-    rows = df.where(F.col(fields).isNotNull()).select(*keys, F.explode(_flat_fields(F.col(fields))).alias("f"))
+    # reading JSON is dear and its table may lie in one small file, which is one task
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.where(F.col(fields).isNotNull()).repartition(tasks, *keys).select(*keys, F.explode(_flat_fields(F.col(fields))).alias("f"))
     rules = F.coalesce(F.from_json(F.get_json_object("f.json", "$.validation"), "map<string,string>"), F.create_map().cast("map<string,string>"))
     required = ~F.coalesce(F.try_element_at("rules", F.lit("required")), F.lit("false")).isin("false", "0", "", "null")
     return (rows.select(*keys, "f.path", F.get_json_object("f.json", "$.type").alias("type"), rules.alias("rules")).withColumn("required", required))

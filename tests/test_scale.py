@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from contractlake.functions import rules
-from contractlake.operators import facts, text
+from contractlake.operators import config, facts, normalize, text, types
 from tests.conftest import rows
 
 
@@ -59,3 +59,38 @@ def test_related_documents_by_classes_equal_all_pairs(spark):
     for hub in (0, 5, 1000):
         found = text.related_documents(tokens, spark.range(0, 70, 10).toDF("doc"), "doc", hub=hub or 1)
         assert sorted(tuple(r) for r in found.select("target", "neighbour", "token").collect()) == want
+
+
+def dealt_out_first(df):
+    """Whether the rows are shuffled before the first aggregate sorts them, not after it."""
+    text = plan(df)
+    return text.index("partial_min_by") < text.index("Exchange")
+
+
+CONFIG = "module string, profile string, key string, value string"
+
+
+def test_config_rows_are_dealt_out_before_they_are_sorted(spark):
+    data = [("m", "default", "shop.url", "http://a"), ("m", "dev", "shop.url", "ftp://b"), ("m", "dev", "x.url", "https://u:p@h"), ("m", "default", "eureka.u", "http://e"),
+            ("n", "default", "spring.redis.host", "r"), ("n", "default", "z", None)]
+    rows_ = spark.createDataFrame(data, CONFIG)
+    urls, infra = config.external_urls(rows_), config.derive_infrastructure(rows_)
+    assert rows(urls) == [("m", "shop.url", "http://a"), ("m", "x.url", "https://u:****@h")]
+    assert rows(infra, "module", "redis_host") == [("n", "r")]
+    assert dealt_out_first(urls) and dealt_out_first(infra)
+
+
+def test_flatten_schema_is_dealt_out_and_reads_escaped_names(spark):
+    plain = '{"a":{"type":"T","schema":{"type":"object","fields":{"b":{"type":"U"}}}},"c":{"type":"V"}}'
+    df = spark.createDataFrame([(1, plain), (2, plain.replace("schema", "sch\\u0065ma"))], "id long, fields string")
+    found = normalize.flatten_schema(df, ["id"])
+    assert rows(found, "id", "path", "type") == [(i, p, t) for i in (1, 2) for p, t in (("a", "T"), ("a.b", "U"), ("c", "V"))]
+    assert "REPARTITION" in plan(found)
+
+
+def test_effective_fields_are_dealt_out_by_type(spark):
+    fields = spark.createDataFrame([(1, "f", "A"), (2, "f", "B"), (1, "g", "C")], "owner long, name string, field_type string")
+    supers = spark.createDataFrame([(3, 2, 1), (3, 1, 2), (2, 1, 1)], "type long, ancestor long, depth int")
+    found = types.effective_fields(fields, supers)
+    assert rows(found) == [(1, "f", "A"), (1, "g", "C"), (2, "f", "B"), (2, "g", "C"), (3, "f", "B"), (3, "g", "C")]
+    assert dealt_out_first(found)
