@@ -241,7 +241,8 @@ def effective_fields(fields: DataFrame, supers: DataFrame) -> DataFrame:
     """Own and inherited fields per type; the nearest owner overrides. fields(owner, name, ...)."""
     values = [c for c in fields.columns if c not in ("owner", "name")]
     own = fields.withColumn("type", F.col("owner")).withColumn("_depth", F.lit(0))
-    inherited = supers.select("type", F.col("ancestor").alias("owner"), F.col("depth").alias("_depth")).join(fields, "owner")
-    rows = own.unionByName(inherited.select(*own.columns))
+    inherited = supers.select("type", F.col("ancestor").alias("owner"), F.col("depth").alias("_depth")).join(fields.hint("merge"), "owner")
+    # a type meets its owners in different tasks, so combining there would sort and keep every row: they are dealt out by type first
+    rows = own.unionByName(inherited.select(*own.columns)).repartition("type", "name")
     best = rows.groupBy("type", "name").agg(F.min_by(F.struct("owner", *values), F.struct("_depth", "owner")).alias("f"))
     return best.select("type", "name", *[F.col(f"f.{v}").alias(v) for v in values])
