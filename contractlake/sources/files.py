@@ -66,8 +66,10 @@ def changed_files(committed: DataFrame, working: DataFrame, tracked: DataFrame,
     wanted = F.lit(False)
     for e in extensions:
         wanted = wanted | F.col("file").endswith(e)
-    changed = committed.select(*keys, "file").unionByName(working.select(*keys, "file")).join(has_parent, list(keys), "left_semi")
-    whole = tracked.select(*keys, "file").join(has_parent, list(keys), "left_anti")
+    # repositories may be many: with the hint their list is not sent to every task
+    parents = has_parent.select(*keys).hint("merge")
+    changed = committed.select(*keys, "file").unionByName(working.select(*keys, "file")).join(parents, list(keys), "left_semi")
+    whole = tracked.select(*keys, "file").join(parents, list(keys), "left_anti")
     return changed.unionByName(whole).where(wanted).distinct()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from contractlake.functions import rules
 from contractlake.operators import config, facts, normalize, text, types
+from contractlake.sources import files
 from tests.conftest import rows
 
 
@@ -94,3 +95,10 @@ def test_effective_fields_are_dealt_out_by_type(spark):
     found = types.effective_fields(fields, supers)
     assert rows(found) == [(1, "f", "A"), (1, "g", "C"), (2, "f", "B"), (2, "g", "C"), (3, "f", "B"), (3, "g", "C")]
     assert dealt_out_first(found)
+
+
+def test_changed_files_send_no_repositories_to_every_task(spark):
+    files_ = spark.createDataFrame([(1, "a.java"), (2, "b.java"), (2, "c.md")], "repo long, file string")
+    found = files.changed_files(files_.where("repo = 1"), files_.where("false"), files_, spark.createDataFrame([(1,)], "repo long"), [".java"])
+    assert rows(found) == [(1, "a.java"), (2, "b.java")]
+    assert "BroadcastExchange" not in plan(found)
