@@ -125,7 +125,7 @@ def virtual_dispatch(calls: DataFrame, methods: DataFrame, supers: DataFrame, ke
     keys = [*dict.fromkeys([*scope, *keys])]
     signed = _signed(calls, scope)
     found = _dispatch(signed.select("_signature", *scope, "type", "name", "argc").distinct(), methods, supers, scope)
-    return signed.select(*keys, "_signature").join(found, "_signature").drop("_signature")
+    return signed.select(*keys, "_signature").join(found, "_signature").drop("_signature", "alone")
 
 
 def _signed(calls: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -133,8 +133,21 @@ def _signed(calls: DataFrame, scope: Sequence[str]) -> DataFrame:
     return calls.withColumn("_signature", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in (*scope, "type")], "name", unknown))
 
 
+def _overloads(methods: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, owner, name): the concrete methods of that name, and what tells whether any of the name, abstract or not, fits an argument count."""
+    count = F.col("n_params").cast("long")
+    # the overloads of one name in one type are few; an unknown count fits every call, unknown varargs count as varargs
+    return methods.repartition(*scope, "owner").groupBy(*scope, "owner", "name").agg(
+        F.collect_set(count).alias("_counts"), F.bool_or(count.isNull()).alias("_unknown"), F.min(F.when(F.coalesce("varargs", F.lit(True)), count - 1)).alias("_least"),
+        F.collect_list(F.when(~F.col("abstract"), F.struct("method", "pos", "n_params", "varargs"))).alias("_concrete"))
+
+
 def _dispatch(calls: DataFrame, methods: DataFrame, supers: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """(_signature, method, pos, inherited) of distinct signatures. A signature meets the methods of its name along its line, so its groups are small."""
+    """(_signature, method, pos, inherited, alone) of distinct signatures; `alone` marks overrides of signatures that nobody above has a method for.
+
+    A signature meets the methods of its name along its line, so its groups are small. Downwards a type meets each subtype once, with all its open
+    signatures, and a subtype's overloads are judged within that row: the pairs of signatures and overrides are made last and not shuffled.
+    """
     fit = F.coalesce(_fits(F.col("argc")), F.lit(True))
     columns = ["_signature", *scope, "name", "argc"]
     line = calls.select(*columns, F.col("type").alias("owner"), F.lit(0).alias("depth")).unionByName(
@@ -144,12 +157,21 @@ def _dispatch(calls: DataFrame, methods: DataFrame, supers: DataFrame, scope: Se
     near = (line.join(methods, [*scope, "owner", "name"]).withColumn("_near", F.min(F.struct("depth", "owner")).over(w)).where(F.struct("depth", "owner") == F.col("_near"))
             .withColumn("_fit", fit).withColumn("_any", F.max("_fit").over(w)).where("_fit OR NOT _any"))
     own = cut_lineage(near.select("_signature", "method", "abstract", "pos"))
-    open_calls = calls.join(own.where("NOT abstract").select("_signature"), "_signature", "left_anti")
+    settled = own.groupBy("_signature").agg(F.bool_or(F.coalesce(~F.col("abstract"), F.lit(False))).alias("_concrete"))
+    open_calls = calls.join(settled, "_signature", "left").where("NOT coalesce(_concrete, false)").withColumn("alone", F.col("_concrete").isNull())
+    # what is open of a type: name -> argument counts. The counts are plain numbers, as the map goes along to every subtype
+    counts = F.transform(F.collect_list(F.struct("argc")), lambda a: a["argc"])
+    opened = (open_calls.where("name IS NOT NULL").groupBy(*scope, "type", "alone", "name").agg(counts.alias("_asked"))
+              .groupBy(*scope, "type", "alone").agg(F.map_from_entries(F.collect_list(F.struct("name", "_asked"))).alias("_names")))
     below = supers.select(*scope, F.col("ancestor").alias("type"), F.col("type").alias("owner"))
-    down = open_calls.join(below, [*scope, "type"]).join(methods, [*scope, "owner", "name"]).withColumn("_fit", fit)
-    impls = down.withColumn("_any", F.max("_fit").over(Window.partitionBy("_signature", "owner"))).where("(_fit OR NOT _any) AND NOT abstract")
-    return (own.select("_signature", "method", "pos", F.lit(True).alias("inherited"))
-            .unionByName(impls.select("_signature", "method", "pos", F.lit(False).alias("inherited"))))
+    down = opened.join(below.hint("merge"), [*scope, "type"]).join(_overloads(methods, scope).hint("merge"), [*scope, "owner"])
+    down = down.select(*scope, "type", "name", "alone", "_counts", "_unknown", "_least", "_concrete", F.explode(F.try_element_at("_names", F.col("name"))).alias("argc"))
+    argc = F.col("argc").cast("long")
+    some = argc.isNull() | F.col("_unknown") | F.coalesce(F.array_contains("_counts", argc), F.lit(False)) | F.coalesce(argc >= F.col("_least"), F.lit(False))
+    down = down.select(*scope, "type", "name", "argc", "alone", some.alias("_any"), F.explode("_concrete").alias("_m"))
+    impls = down.select(*scope, "type", "name", "argc", "alone", "_any", "_m.*").where(fit | ~F.col("_any"))
+    return (own.select("_signature", "method", "pos", F.lit(True).alias("inherited"), F.lit(False).alias("alone"))
+            .unionByName(_signed(impls, scope).select("_signature", "method", "pos", F.lit(False).alias("inherited"), "alone")))
 
 
 def resolve_calls(chains: DataFrame, methods: DataFrame, supers: DataFrame, listeners: DataFrame | None = None,
@@ -164,23 +186,28 @@ def resolve_calls(chains: DataFrame, methods: DataFrame, supers: DataFrame, list
     methods, supers, chains = cut_lineage(methods), cut_lineage(supers), cut_lineage(chains.select(*scope, "chain", "caller", "root_type", "step", "name", "argc"))
     longest = chains.agg(F.max("step")).first()[0] or 0
     state = chains.where("step = 1").select(*scope, "chain", F.col("root_type").alias("type"))
-    edges, memo = [], None
+    asks, known, memo = [], None, None
+    returns = methods.where("return_type IS NOT NULL").select(*scope, "method", F.col("return_type").alias("_returns"))
     for step in range(1, longest + 1):
         asked = _signed(chains.where(F.col("step") == step).join(state, [*scope, "chain"]).select(*scope, "chain", "caller", "type", "name", "argc"), scope)
         asked = cut_lineage(asked)
         wanted = asked.select("_signature", *scope, "type", "name", "argc").distinct()
-        fresh = wanted if memo is None else wanted.join(memo.select("_signature"), "_signature", "left_anti")
+        fresh = wanted if known is None else wanted.join(known, "_signature", "left_anti")
         settled = cut_lineage(_dispatch(fresh, methods, supers, scope))
         memo = settled if memo is None else memo.unionByName(settled)
-        edges.append(asked.select(*scope, "caller", "_signature").distinct().join(memo, "_signature").select(*scope, "caller", F.col("method").alias("callee")))
+        known = wanted.select("_signature") if known is None else known.unionByName(wanted.select("_signature"))
+        asks.append(asked.select(*scope, "caller", "_signature"))
         if step == longest:
             break
-        # the chain goes on with the return type of the first candidate: inherited ones come first
-        first = memo.groupBy("_signature").agg(F.min_by("method", F.struct(~F.col("inherited"), "pos", "method")).alias("method"))
-        known = methods.where("return_type IS NOT NULL").select(*scope, "method", F.col("return_type").alias("_returns"))
-        state = (asked.select(*scope, "chain", "_signature").join(first, "_signature").join(known, [*scope, "method"])
+        # the chain goes on with the return type of the first candidate: inherited ones come first, so overrides count only where there is none
+        first = memo.where("inherited OR alone").groupBy("_signature").agg(F.min_by("method", F.struct(~F.col("inherited"), "pos", "method")).alias("method"))
+        state = (asked.select(*scope, "chain", "_signature").join(first, "_signature").join(returns, [*scope, "method"])
                  .select(*scope, "chain", F.col("_returns").alias("type")))
-    out = reduce(DataFrame.unionByName, edges) if edges else chains.select(*scope, "caller", F.col("caller").alias("callee")).where("false")
+    if asks:
+        # what the steps ask meets the settled signatures once
+        out = reduce(DataFrame.unionByName, asks).distinct().join(memo.hint("merge"), "_signature").select(*scope, "caller", F.col("method").alias("callee"))
+    else:
+        out = chains.select(*scope, "caller", F.col("caller").alias("callee")).where("false")
     out = out.where("caller <> callee")
     if skip_owners is not None:
         data = methods.join(skip_owners, [*scope, "owner"], "left_semi").select(*scope, F.col("method").alias("callee"))

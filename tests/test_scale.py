@@ -102,3 +102,37 @@ def test_changed_files_send_no_repositories_to_every_task(spark):
     found = files.changed_files(files_.where("repo = 1"), files_.where("false"), files_, spark.createDataFrame([(1,)], "repo long"), [".java"])
     assert rows(found) == [(1, "a.java"), (2, "b.java")]
     assert "BroadcastExchange" not in plan(found)
+
+
+def test_dispatch_judges_overrides_where_they_lie_and_shuffles_no_pairs(spark):
+    import itertools
+    import random
+    rng = random.Random(3)
+    parent = {t: t // 2 for t in range(1, 24)}
+    line = lambda t: [t] if t not in parent else [t, *line(parent[t])]
+    supers = [(t, a, d) for t in range(24) for d, a in enumerate(line(t)) if d]
+    made = [(t, n, k, rng.choice([True, False, None]), rng.random() < 0.7) for t, n in itertools.product(range(24), "ab") for k in rng.sample([0, 1, 2, None], rng.randrange(3))]
+    methods = [(f"{t}.{n}{i}", t, n, k, v, a, i) for i, (t, n, k, v, a) in enumerate(made)]
+    calls = [(f"{t}{n}{k}", t, n, k) for t, n, k in itertools.product(range(12), "abc", (0, 1, 2, None))]
+
+    def fits(m, argc):
+        n, var = m[3], m[4] is not False
+        return argc is None or n is None or n == argc or (var and argc >= n - 1)
+
+    def chosen(owner, name, argc):
+        own = [m for m in methods if m[1] == owner and m[2] == name]
+        return [m for m in own if fits(m, argc)] or own
+
+    want = []
+    for call, t, n, k in calls:
+        near = next((c for o in line(t) if (c := chosen(o, n, k))), [])
+        want += [(call, m[0], True) for m in near]
+        if all(m[5] for m in near):
+            want += [(call, m[0], False) for s, a, _ in supers if a == t for m in chosen(s, n, k) if not m[5]]
+    c = spark.createDataFrame(calls, "call string, type long, name string, argc int")
+    m = spark.createDataFrame(methods, "method string, owner long, name string, n_params int, varargs boolean, abstract boolean, pos int")
+    s = spark.createDataFrame(supers, "type long, ancestor long, depth int")
+    found = types.virtual_dispatch(c, m, s)
+    assert found.columns == ["call", "method", "pos", "inherited"] and rows(found, "call", "method", "inherited") == sorted(want, key=repr)
+    # a window over signatures and overrides would sort every pair of them
+    assert "Window" not in plan(found)
