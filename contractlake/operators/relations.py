@@ -290,20 +290,24 @@ def impact_graph(endpoints: DataFrame, callers: DataFrame, usage: DataFrame, sha
         usage = usage.unionByName(declared.join(routed, [*scope, "center"], "left_anti").select(*scope, "center", "kind", "name", operation.alias("operation"), F.lit("").alias("detail")))
     c = F.col
     center = F.concat(F.lit("endpoint:"), "label")
-    own = endpoints.select(*scope, "center", center.alias("id"), "label", F.lit("endpoint").alias("type"), F.lit(0).alias("_o"))
     ids = endpoints.select(*scope, "center", center.alias("_id"))
-    call = callers.select(*scope, "center", F.concat(F.lit("caller:"), "caller").alias("id"), c("caller").alias("label"), c("kind").alias("type"),
-                          F.lit(1).alias("_o"), "detail")
-    res = usage.select(*scope, "center", F.concat("kind", F.lit(":"), "name").alias("id"), c("name").alias("label"), c("kind").alias("type"),
-                       F.lit(2).alias("_o"), "operation", "detail")
-    near = shared.select(*scope, "center", F.concat("kind", F.lit(":"), "name").alias("resource"), c("name"), c("kind"),
-                         F.explode("also_used_by").alias("other"))
-    shared_nodes = near.select(*scope, "center", c("resource").alias("id"), c("name").alias("label"), c("kind").alias("type"), F.lit(3).alias("_o")).distinct()
-    sharers = near.select(*scope, "center", F.concat(F.lit("api:"), "other").alias("id"), F.substring_index("other", " (", 1).alias("label"),
-                          F.lit("related_endpoint").alias("type"), F.lit(4).alias("_o")).distinct()
-    parts = [own, call.drop("detail"), res.drop("operation", "detail"), shared_nodes, sharers]
-    nodes = (reduce(DataFrame.unionByName, parts).groupBy(*scope, "center", "id")
-             .agg(F.min_by(F.struct("label", "type"), F.struct("_o", "label", "type")).alias("_n")).select(*scope, "center", "id", "_n.label", "_n.type"))
+    call = callers.select(*scope, "center", F.concat(F.lit("caller:"), "caller").alias("id"), c("kind").alias("type"), "detail")
+    res = usage.select(*scope, "center", F.concat("kind", F.lit(":"), "name").alias("id"), "operation", "detail")
+    near = shared.select(*scope, "center", F.concat("kind", F.lit(":"), "name").alias("resource"), F.explode("also_used_by").alias("other"))
+
+    def part(df: DataFrame, order: int, node_id: Column, label: Column | None = None, kind: Column | None = None) -> DataFrame:
+        return df.select(*scope, "center", node_id.alias("id"), F.lit(order).alias("_o"), *[(F.lit(None).cast("string") if x is None else x).alias(n) for n, x in (("label", label), ("type", kind))])
+
+    resource = F.concat("kind", F.lit(":"), "name")
+    parts = [part(endpoints, 0, center, c("label"), F.lit("endpoint")), part(callers, 1, F.concat(F.lit("caller:"), "caller"), c("caller"), c("kind")),
+             part(usage, 2, resource, c("name"), c("kind")), part(shared.where(F.size("also_used_by") > 0), 3, resource, c("name"), c("kind")),
+             part(near, 4, F.concat(F.lit("api:"), "other"))]
+    # few nodes are told twice, so combining would sort and keep nearly all rows before they travel: they are dealt out as they are. What a sharer shows is read from its id
+    dealt = reduce(DataFrame.unionByName, parts).repartition(*scope, "center", "id")
+    best = dealt.groupBy(*scope, "center", "id").agg(F.min(F.struct("_o", "label", "type")).alias("_n"))
+    sharer = c("_n._o") == 4
+    nodes = best.select(*scope, "center", "id", F.when(sharer, F.substring_index(F.expr("substring(id, 5)"), " (", 1)).otherwise(c("_n.label")).alias("label"),
+                        F.when(sharer, F.lit("related_endpoint")).otherwise(c("_n.type")).alias("type"))
     into = F.when(c("type") == "service_call", "calls this API").otherwise("routes to")
     links = [
         call.join(ids, [*scope, "center"]).select(*scope, "center", c("id").alias("source"), c("_id").alias("target"), into.alias("kind"), "detail"),

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from contractlake.functions import rules
-from contractlake.operators import config, facts, normalize, text, types
+from contractlake.operators import config, facts, normalize, relations, text, types
 from contractlake.sources import files
 from tests.conftest import rows
 
@@ -136,3 +136,17 @@ def test_dispatch_judges_overrides_where_they_lie_and_shuffles_no_pairs(spark):
     assert found.columns == ["call", "method", "pos", "inherited"] and rows(found, "call", "method", "inherited") == sorted(want, key=repr)
     # a window over signatures and overrides would sort every pair of them
     assert "Window" not in plan(found)
+
+
+def test_impact_graph_nodes_are_dealt_out_before_they_are_sorted(spark):
+    ends = spark.createDataFrame([(1, "GET /a", True), (2, "GET /b", False)], "center long, label string, has_route boolean")
+    callers = spark.createDataFrame([(1, "x", "service_call", "d"), (1, "x", "gateway_route", "d"), (2, None, "service_call", "d")], "center long, caller string, kind string, detail string")
+    use = spark.createDataFrame([(1, "table", "t", "READ", "r"), (1, "api", "o (H.m)", "READ", "r"), (2, "table", "t", "READ", "r")], "center long, kind string, name string, operation string, detail string")
+    shared = spark.createDataFrame([(1, "table", "t", ["o (H.m)", "p (q) (r)"]), (1, "table", "u", ["p (q) (r)"]), (2, "table", "t", [])], "center long, kind string, name string, also_used_by array<string>")
+    nodes = relations.impact_graph(ends, callers, use, shared)[0]
+    # a resource is told before a sharer of the same id
+    assert rows(nodes, "center", "id", "label", "type") == sorted([
+        (1, "endpoint:GET /a", "GET /a", "endpoint"), (2, "endpoint:GET /b", "GET /b", "endpoint"), (1, "caller:x", "x", "gateway_route"), (2, None, None, "service_call"),
+        (1, "table:t", "t", "table"), (1, "table:u", "u", "table"), (1, "api:o (H.m)", "o (H.m)", "api"), (1, "api:p (q) (r)", "p", "related_endpoint")], key=repr)
+    found = plan(nodes)
+    assert "REPARTITION" in found and found.index("min(struct") < found.index("REPARTITION") and "min_by" not in found
