@@ -7,8 +7,10 @@ so a batch reads and writes only the keys that arrive, however long the history
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -210,49 +212,74 @@ def _window_starts(rows: DataFrame, pos: str, seconds: str, limit: int) -> DataF
     return state.where(F.size("_start") > 0).select("_line", "_chunk", "_start")
 
 
+# hits of an account that are gathered before they go to the state store, and rows of a frame that goes out
+GATHERED, FRAME = 1_000_000, 10_000
+
+
 class _Limiter(StatefulProcessor):
-    """Hits wait by the minute until the watermark has passed it; the last admitted ones are kept for a minute."""
+    """Hits wait by the minute until the watermark has passed it; the last admitted ones are kept for a minute.
+
+    A minute's hits lie in numbered parts, so neither a batch nor an account is held whole; what is judged goes out in frames, minute by minute.
+    """
 
-    def __init__(self, limit: int, key: str, ts: str):
-        self.limit, self.key, self.ts = limit, key, ts
+    def __init__(self, limit: int):
+        self.limit = limit
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "minute long", "hits array<long>")
+        self.waiting = handle.getMapState("waiting", "minute long, part long", "hits array<long>")
+        self.parts = handle.getValueState("parts", "part long")
         self.admitted = handle.getValueState("admitted", "hits array<long>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new: dict[int, list[int]] = {}
-        for row in rows:
-            if row["_closing"] or row["_us"] is None:
-                continue
-            new.setdefault(row["_us"] // 60_000_000, []).append(row["_us"])
-        for minute, hits in new.items():
-            if self.waiting.containsKey((minute,)):
-                hits = [*self.waiting.getValue((minute,))[0], *hits]
-            else:
-                self.handle.registerTimer((minute + 1) * 60_000)
-            self.waiting.updateValue((minute,), (hits,))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, array] = {}
+        held = 0
+        for frame in rows:
+            hits = np.sort(frame["us"].to_numpy(dtype="int64")[~frame["skip"].to_numpy(dtype=bool)])
+            minutes, starts = np.unique(hits // 60_000_000, return_index=True)
+            for minute, some in zip(minutes.tolist(), np.split(hits, starts[1:])):
+                new.setdefault(minute, array("q")).frombytes(some.tobytes())
+            held += len(hits)
+            if held >= GATHERED:
+                self._store(new)
+                new, held = {}, 0
+        self._store(new)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def _store(self, new: dict[int, array]) -> None:
+        if not new:
+            return
+        part = self.parts.get()[0] + 1 if self.parts.exists() else 0
+        for minute, hits in new.items():
+            self.handle.registerTimer((minute + 1) * 60_000)
+            self.waiting.updateValue((minute, part), (hits.tolist(),))
+        self.parts.update((part,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        ripe = sorted(m for (m,) in self.waiting.keys() if (m + 1) * 60_000 <= mark)
+        ripe: dict[int, list[int]] = {}
+        for minute, part in self.waiting.keys():
+            if (minute + 1) * 60_000 <= mark:
+                ripe.setdefault(minute, []).append(part)
         admitted = list(self.admitted.get()[0]) if self.admitted.exists() else []
-        for minute in ripe:
-            hits = sorted(self.waiting.getValue((minute,))[0])
-            self.waiting.removeKey((minute,))
+        for minute in sorted(ripe):
+            hits = []
+            for part in ripe[minute]:
+                hits += self.waiting.getValue((minute, part))[0]
+                self.waiting.removeKey((minute, part))
+            hits.sort()
             seconds = [t / 1e6 for t in admitted]
             found = waits([t / 1e6 for t in hits], self.limit, seconds)
             admitted = (admitted + [t for t, w in zip(hits, found) if not w])[-self.limit:]
-            for us, wait in zip(hits, found):
-                yield Row(**{self.key: key[0], "_us": us, "wait": wait})
+            for k in range(0, len(hits), FRAME):
+                yield pd.DataFrame({"account": pd.Series([key[0]] * len(hits[k:k + FRAME]), dtype=object), "us": hits[k:k + FRAME], "wait": found[k:k + FRAME]})
         if ripe:
             # once a minute has passed after the last admitted hit, nothing of it counts any more
             self.admitted.update((admitted,))
             self.handle.registerTimer(admitted[-1] // 1000 + 120_000)
         elif admitted and admitted[-1] // 1000 + 60_000 <= mark and not any(True for _ in self.waiting.keys()):
             self.admitted.clear()
+            self.parts.clear()
 
     def close(self) -> None:
         pass
@@ -269,11 +296,13 @@ def stream_rate_audit(hits: DataFrame, key: str, ts: str, limit: int, delay: str
     mark = F.lit(False) if closing is None else F.coalesce(F.col(closing), F.lit(False))
     if limit <= 0:
         return hits.where(~mark & F.col(ts).isNotNull()).select(key, ts, F.lit(0).alias("wait"))
-    kind = hits.schema[key].dataType.simpleString()
-    # closing rows go on to the operator: a filter would be pushed below the watermark
-    timed = hits.withWatermark(ts, delay).select(key, ts, F.unix_micros(ts).alias("_us"), mark.alias("_closing"))
-    found = timed.groupBy(key).transformWithState(_Limiter(limit, key, ts), f"`{key}` {kind}, _us long, wait int", "Append", "EventTime")
-    return found.select(key, F.timestamp_micros("_us").alias(ts), "wait")
+    kind = hits.schema[key].dataType
+    # closing rows go on to the operator: a filter would be pushed below the watermark. Frames turn columns with nulls into floats, so the account goes as text
+    skip = (mark | F.col(ts).isNull()).alias("skip")
+    timed = hits.withWatermark(ts, delay).select(F.col(key).cast("string").alias("account"), F.col(ts).alias("ts"), F.coalesce(F.unix_micros(ts), F.lit(0)).alias("us"), skip)
+    # frames go out one by one; rows would be gathered until all timers of a task are through
+    found = timed.groupBy("account").transformWithStateInPandas(_Limiter(limit), "account string, us long, wait int", "Append", "EventTime")
+    return found.select(F.col("account").cast(kind).alias(key), F.timestamp_micros("us").alias(ts), "wait")
 
 
 def closing_row(spark: SparkSession, folder: str, hits: DataFrame, key: str, ts: str, closing: str, seconds: float = 720) -> DataFrame:

@@ -64,6 +64,57 @@ def test_streamed_limits_equal_batch(spark, tmp_path):
     assert out == rows(uploads.rate_audit(frame, ["key"], "pos", "at", 3).select("key", (F.col("at") * 1000).cast("long"), "wait"))
 
 
+class _State:
+    """State of one key, as a processor sees it."""
+
+    def __init__(self):
+        self.held, self.value, self.timers = {}, None, set()
+
+    getMapState = getValueState = lambda self, *_: _State()
+    registerTimer = lambda self, at: self.timers.add(at)
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    keys = lambda self: list(self.held)
+    getValue = lambda self, k: self.held[k]
+    removeKey = lambda self, k: self.held.pop(k)
+    updateValue = lambda self, k, v: self.held.update({k: v})
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Mark:
+    getCurrentWatermarkInMs = lambda self: 10**12
+
+
+def test_limits_hold_neither_a_batch_nor_its_decisions(monkeypatch):
+    monkeypatch.setattr(uploads, "GATHERED", 50)
+    monkeypatch.setattr(uploads, "FRAME", 20)
+    rnd = random.Random(4)
+    hits = [rnd.randrange(300) * 1_000_000 for _ in range(1000)]
+    frames = (uploads.pd.DataFrame({"us": hits[k:k + 10], "skip": [False] * len(hits[k:k + 10])}) for k in range(0, 1000, 10))
+    limiter, handle = uploads._Limiter(7), _State()
+    limiter.init(handle)
+    assert list(limiter.handleInputRows(("a",), frames, None)) == []
+    # what was gathered went to the store in parts, before the batch was through
+    assert max(len(v[0]) for v in limiter.waiting.held.values()) <= 50 and handle.timers == {m * 60_000 for m in range(1, 6)}
+    out = list(limiter.handleExpiredTimer(("a",), _Mark(), None))
+    assert max(map(len, out)) <= 20 and not limiter.waiting.held
+    times = sorted(hits)
+    assert [(u, w) for f in out for u, w in zip(f["us"], f["wait"])] == list(zip(times, uploads.waits([t / 1e6 for t in times], 7, [])))
+
+
+def test_streamed_limits_take_numbered_accounts(spark, tmp_path):
+    frame = spark.createDataFrame([(k, n) for k in (7, 2**60 + 1) for n in range(100, 103)], "key long, s long").select("key", F.timestamp_seconds("s").alias("ts"), F.lit(False).alias("closing"))
+    frame.unionByName(spark.createDataFrame([(None, 820, True)], "key long, s long, closing boolean").select("key", F.timestamp_seconds("s").alias("ts"), "closing")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    out = uploads.run_available(uploads.stream_rate_audit(stream, "key", "ts", 2, closing="closing"), str(tmp_path / "run"))
+    assert rows(out.select("key", F.unix_seconds("ts"), "wait")) == sorted(((k, n, 59 if n == 102 else 0) for k in (7, 2**60 + 1) for n in range(100, 103)), key=repr)
+
+
 def test_duplicates_count_once(spark, tmp_path):
     data = [("2024-01-01 00:00:00", '{"a":1,"b":2}'), ("2024-01-01 00:01:00", '{"b":2,"a":1}'), ("2024-01-01 00:02:00", '{"a":2}')]
     spark.createDataFrame(data, "ts string, payload string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
