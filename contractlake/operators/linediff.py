@@ -126,6 +126,9 @@ def line_edits(pairs: DataFrame, keys: Sequence[str], old: str = "old", new: str
                  .select("pair", F.when(F.col("r").isNull(), "add").otherwise("change").alias("status"), "left_line", "right_line", F.col("right_line").alias("idx")))
     kept = same.select("pair", F.lit("same").alias("status"), F.col("left").alias("left_line"), F.col("right").alias("right_line"), F.col("right").alias("idx"))
     edits = kept.unionByName(new_lines).unionByName(left_over)
-    left, right = (texts.where(F.col("side") == k).select("pair", F.col("line").alias(f"{n}_line"), F.col("text").alias(f"{n}_text")) for k, n in enumerate(("left", "right")))
-    return (edits.join(left, ["pair", "left_line"], "left").join(right, ["pair", "right_line"], "left").join(held.select("pair", *keys), "pair")
-            .select(*keys, "idx", "status", "left_line", "left_text", "right_line", "right_text"))
+    # a pair's texts are one row, so its edits may be: texts meet them once, whole, and are cut into lines where they are shown
+    listed = edits.groupBy("pair").agg(F.collect_list(F.struct("idx", "status", "left_line", "right_line")).alias("_edits"))
+    cut = held.join(listed.hint("merge"), "pair").select(*keys, "_edits", *[F.split(c, "\n", -1).alias(c) for c in ("_old", "_new")])
+    at = lambda c, n: F.get(c, (F.col(f"_e.{n}") - 1).cast("int"))
+    return (cut.select(*keys, "_old", "_new", F.explode("_edits").alias("_e"))
+            .select(*keys, "_e.idx", "_e.status", "_e.left_line", at("_old", "left_line").alias("left_text"), "_e.right_line", at("_new", "right_line").alias("right_text")))

@@ -59,9 +59,10 @@ def previous_values(df: DataFrame, keys: Sequence[str], pos: str, values: Sequen
             .withColumn("_lag", F.lag(payload).over(in_chunk(keys, pos))))
     lasts = rows.groupBy(*keys, "_chunk").agg(F.max_by(payload, F.col(pos)).alias("_last"))
     edges = lasts.withColumn("_carry", F.lag("_last").over(over_chunks(keys)))
-    return (attach(rows, edges, keys, ["_carry"])
-            .withColumn("previous", F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag")))
-            .drop("_carry", "_lag", "_rn", "_chunk"))
+    # only the first row of a chunk looks back into another, so the others do not travel again
+    first = attach(rows.where("_rn = 1").drop("_lag", "_rn"), edges, keys, ["_carry"]).withColumnRenamed("_carry", "previous")
+    rest = rows.where("_rn > 1").drop("_rn").withColumnRenamed("_lag", "previous")
+    return rest.drop("_chunk").unionByName(first.drop("_chunk"))
 
 
 def nearest_marks(df: DataFrame, keys: Sequence[str], pos: str, mark: Column, size: int = CHUNK) -> DataFrame:

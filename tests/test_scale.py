@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from contractlake.functions import rules
-from contractlake.operators import config, facts, normalize, relations, text, types
+from contractlake.operators import config, facts, linediff, normalize, ordered, relations, text, types
 from contractlake.sources import files
 from tests.conftest import rows
 
@@ -150,3 +150,21 @@ def test_impact_graph_nodes_are_dealt_out_before_they_are_sorted(spark):
         (1, "table:t", "t", "table"), (1, "table:u", "u", "table"), (1, "api:o (H.m)", "o (H.m)", "api"), (1, "api:p (q) (r)", "p", "related_endpoint")], key=repr)
     found = plan(nodes)
     assert "REPARTITION" in found and found.index("min(struct") < found.index("REPARTITION") and "min_by" not in found
+
+
+def test_line_edits_show_texts_without_dealing_out_their_lines(spark):
+    pairs = spark.createDataFrame([(1, "a\nb\nc", "a\nx\ny\nc"), (2, None, "n"), (3, "o\n", None), (4, None, None)], "id long, old string, new string")
+    found = linediff.line_edits(pairs, ["id"])
+    assert rows(found, "id", "idx", "status", "left_line", "left_text", "right_line", "right_text") == sorted([
+        (1, 1, "same", 1, "a", 1, "a"), (1, 2, "change", 2, "b", 2, "x"), (1, 3, "add", None, None, 3, "y"), (1, 4, "same", 3, "c", 4, "c"),
+        (2, 1, "add", None, None, 1, "n"), (3, 1, "remove", 1, "o", None, None), (3, 2, "remove", 2, "", None, None)], key=repr)
+    assert "posexplode" not in plan(found)
+
+
+def test_previous_values_move_only_the_first_rows_of_chunks_again(spark):
+    data = [(k, p, f"{k}{p}") for k in "ab" for p in (1, 2, 4, 5, 9)] + [(None, 3, "n3"), (None, 4, None)]
+    found = ordered.previous_values(spark.createDataFrame(data, "k string, p long, v string"), ["k"], "p", ["p", "v"], 3).select("k", "p", "v", "previous.*")
+    want = [(k, p, v, *next(((q, w) for j, q, w in sorted(data, key=lambda r: -r[1]) if j == k and q < p), (None, None))) for k, p, v in data]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    # the rows that have their previous one in the chunk are united with those that were joined
+    assert "Union" in plan(found)
