@@ -25,11 +25,14 @@ def _changes(df: DataFrame, keys: Sequence[str], kind: str, severity: str, item:
 
 
 Candidate = tuple[Column, Column, Column, Column, Column]
+# Columns a change is told in. Who only counts changes asks for their severity: texts of items and details are not made then.
+TOLD = ("type", "severity", "item", "detail")
 
 
-def _made(candidate: Candidate) -> Column:
+def _made(candidate: Candidate, told: Sequence[str] = TOLD) -> Column:
     cond, kind, severity, item, detail = candidate
-    return F.when(cond, F.struct(kind.alias("type"), severity.alias("severity"), item.cast("string").alias("item"), detail.alias("detail")))
+    columns = {"type": kind, "severity": severity, "item": item.cast("string"), "detail": detail}
+    return F.when(cond, F.struct(*[columns[c].alias(c) for c in told]))
 
 
 def _emitted(df: DataFrame, keys: Sequence[str], made: Column) -> DataFrame:
@@ -37,9 +40,9 @@ def _emitted(df: DataFrame, keys: Sequence[str], made: Column) -> DataFrame:
     return df.select(*keys, rows).select(*keys, "c.*")
 
 
-def _exploded(df: DataFrame, keys: Sequence[str], candidates: Sequence[Candidate]) -> DataFrame:
+def _exploded(df: DataFrame, keys: Sequence[str], candidates: Sequence[Candidate], told: Sequence[str] = TOLD) -> DataFrame:
     """Emit zero or more changes per paired row in one pass over the pairing."""
-    return _emitted(df, keys, F.array(*[_made(c) for c in candidates]))
+    return _emitted(df, keys, F.array(*[_made(c, told) for c in candidates]))
 
 
 def _side(name: str):
@@ -53,7 +56,7 @@ def pair_routes(base: DataFrame, head: DataFrame, keys: Sequence[str] = KEYS,
     return pair_items(base, head, keys, values, keep_equal=True)
 
 
-def route_changes(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def route_changes(pairs: DataFrame, keys: Sequence[str] = KEYS, told: Sequence[str] = TOLD) -> DataFrame:
     """ENDPOINT_CHANGED, REQUEST_BODY_CHANGED and RESPONSE_TYPE_CHANGED of paired routes."""
     both = pairs.where("in_base AND in_head")
     b, h = lambda c: F.col(f"base.{c}"), lambda c: F.col(f"head.{c}")
@@ -68,7 +71,7 @@ def route_changes(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
          F.concat(F.lit("request body "), arrow("body_type"))),
         (differ("response_type") & (non_empty(b("response_type")).isNotNull() | non_empty(h("response_type")).isNotNull()),
          F.lit("RESPONSE_TYPE_CHANGED"), F.lit("breaking"), none, arrow("response_type")),
-    ])
+    ], told)
 
 
 def endpoint_presence(pairs: DataFrame, keys: Sequence[str] = KEYS, complete: bool = True) -> DataFrame:
@@ -164,11 +167,11 @@ def validation_changes(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
     return _emitted(pairs, keys, _rule_changes(F.col("path"), F.col("base.rules_json"), F.col("head.rules_json")))
 
 
-def _rule_changes(path: Column, base: Column, head: Column) -> Column:
+def _rule_changes(path: Column, base: Column, head: Column, told: Sequence[str] = TOLD) -> Column:
     """Changes of a field's rules, given as sorted JSON; equal rules leave nulls."""
     as_map = lambda c: F.from_json(c, "map<string,string>")
     return F.flatten(F.transform(_rule_delta(as_map(base), as_map(head)), lambda r: F.array(*[
-        _made(c) for c in _rule_candidates(path, r["key"], r["value"]["old"], r["value"]["new"])])))
+        _made(c, told) for c in _rule_candidates(path, r["key"], r["value"]["old"], r["value"]["new"])])))
 
 
 def _rule_candidates(path: Column, rule: Column, old: Column, new: Column) -> list[Candidate]:
@@ -360,14 +363,14 @@ def _items(side: dict[str, DataFrame], other: dict[str, DataFrame], keys: Sequen
 
 
 def unscoped_changes(base: dict[str, DataFrame], head: dict[str, DataFrame], pairs: DataFrame,
-                     keys: Sequence[str] = KEYS, pos: str | None = None) -> DataFrame:
-    """Changes of all families, not yet limited to endpoints present on both sides.
+                     keys: Sequence[str] = KEYS, pos: str | None = None, told: Sequence[str] = TOLD) -> DataFrame:
+    """Changes of all families, not yet limited to endpoints present on both sides, in the columns `told`.
 
-    The items of all families are one long table a side, so everything equal cancels in a single map-combined aggregate, whatever the number of
+    The items of all families are one long table a side, so everything equal cancels in a single aggregate, whatever the number of
     families; what differs is paired once and judged in one pass. Downstream items have severity `delta`, their group as item and their name as detail.
     """
     base_items, head_items = _items(base, head, keys, pos), _items(head, base, keys, pos)
-    routes = route_changes(pairs, keys)
+    routes = route_changes(pairs, keys, told)
     if base_items is None:
         return routes
     differ = pair_items(base_items, head_items, [*keys, *ITEM_COLUMNS[:3]], ITEM_COLUMNS[3:])
@@ -376,8 +379,8 @@ def unscoped_changes(base: dict[str, DataFrame], head: dict[str, DataFrame], pai
     b, h = (lambda c, side=side: F.col(f"{side}.{names[c]}") for side in ("base", "head"))
     kept = F.col("in_base") & F.col("in_head")
     both = F.array(*[F.when(kept, x) for x in (F.col("base.v1"), F.col("head.v1"))])
-    of = lambda candidates: F.array(*[_made(c) for c in candidates])
-    rules = F.when(kept & (F.col("base.v3") != F.col("head.v3")), _rule_changes(n1, F.col("base.v3"), F.col("head.v3")))
+    of = lambda candidates: F.array(*[_made(c, told) for c in candidates])
+    rules = F.when(kept & (F.col("base.v3") != F.col("head.v3")), _rule_changes(n1, F.col("base.v3"), F.col("head.v3"), told))
     request = of(_request_candidates(n1, b, h))
     families = {
         "param": of(_param_candidates(n1, n2, b, h)),
@@ -401,13 +404,13 @@ def delta_of(changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def contract_changes(base: dict[str, DataFrame], head: dict[str, DataFrame], keys: Sequence[str] = KEYS,
-                     pos: str | None = None, pairs: DataFrame | None = None, downstream: bool = False) -> DataFrame:
-    """All changes of endpoints present on both sides: one semi join after the union.
+                     pos: str | None = None, pairs: DataFrame | None = None, downstream: bool = False, told: Sequence[str] = TOLD) -> DataFrame:
+    """All changes of endpoints present on both sides, in the columns `told`: one semi join after the union.
 
     `base` and `head` map routes, params, request_fields, response_fields, statuses, security
     to their tables; missing parts are skipped. `downstream` adds the rows that `delta_of` reads.
     """
     pairs = pairs if pairs is not None else pair_routes(base["routes"], head["routes"], keys)
     both = pairs.where("in_base AND in_head").select(*keys)
-    found = unscoped_changes({k: v for k, v in base.items() if k != "downstream"} if not downstream else base, head, pairs, keys, pos)
+    found = unscoped_changes({k: v for k, v in base.items() if k != "downstream"} if not downstream else base, head, pairs, keys, pos, told)
     return within(found, both, keys)

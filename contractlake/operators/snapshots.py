@@ -1,9 +1,9 @@
 """Snapshot pairing: the primitive under every contract diff.
 
-Both sides are tagged and united, never joined. The first aggregate groups whole items, so what
-is equal on both sides cancels out map-side with plain flags as buffers (a hash aggregate); only
-real differences travel on to be paired by key. Grouping treats NULL keys as equal and spreads a
-hot endpoint over all its items. A full outer join would shuffle and sort both sides whole.
+Both sides are tagged and united, never joined. Items are dealt out once by their whole key; there the
+first aggregate groups whole items with plain flags as buffers (a hash aggregate), so what is equal on
+both sides cancels out, and only real differences are sorted to be paired. Grouping treats NULL keys as
+equal and spreads a hot endpoint over all its items. A full outer join would sort both sides whole.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from ..functions.core import keep_first_per_key
 
 
-def _flagged(base: DataFrame, head: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct rows over `cols` with integer flags for the sides that hold them."""
+def _flagged(base: DataFrame, head: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Distinct rows over `cols` with integer flags for the sides that hold them, dealt out by the columns `by`, if any."""
     side = lambda df, b, h: df.select(*cols, F.lit(b).alias("_b"), F.lit(h).alias("_h"))
     both = side(base, 1, 0).unionByName(side(head, 0, 1))
+    both = both.repartition(*by) if by else both
     return both.groupBy(*cols).agg(F.max("_b").alias("_b"), F.max("_h").alias("_h"))
 
 
@@ -38,7 +39,7 @@ def pair_items(base: DataFrame, head: DataFrame, keys: Sequence[str], values: Se
     if pos:
         last = lambda df: keep_first_per_key(df.select(*keys, *values, pos), keys, [pos], last=True)
         base, head = last(base), last(head)
-    rows = _flagged(base, head, [*keys, *values])
+    rows = _flagged(base, head, [*keys, *values], keys)
     if not keep_equal:
         rows = rows.where("_b + _h = 1")
     payload = F.struct(F.lit(1).alias("_set"), *[F.col(v) for v in values])

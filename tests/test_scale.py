@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from contractlake.functions import rules
-from contractlake.operators import config, facts, linediff, normalize, ordered, relations, text, types
+from contractlake.operators import config, diff, facts, linediff, normalize, ordered, relations, snapshots, text, types, verdict
 from contractlake.sources import files
 from tests.conftest import rows
 
@@ -168,3 +168,34 @@ def test_previous_values_move_only_the_first_rows_of_chunks_again(spark):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
     # the rows that have their previous one in the chunk are united with those that were joined
     assert "Union" in plan(found)
+
+
+def test_items_are_dealt_out_once_to_cancel_and_pair(spark):
+    base = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (None, "a", "x"), (2, "a", None)], "k long, n string, v string")
+    head = spark.createDataFrame([(1, "a", "y"), (1, "b", "x"), (None, "a", "x"), (2, "b", None)], "k long, n string, v string")
+    found = snapshots.pair_items(base, head, ["k", "n"], ["v"])
+    assert rows(found, "k", "n", "in_base", "in_head", "base.v", "head.v") == sorted([
+        (1, "a", True, True, "x", "y"), (2, "a", True, False, None, None), (2, "b", False, True, None, None)], key=repr)
+    assert len(re.findall(r"Exchange hash", plan(found))) == 1
+
+
+def test_counting_changes_makes_no_texts(spark):
+    side = lambda v: {"routes": spark.createDataFrame([("a", "GET", "/a", None, None)], "api string, method string, path string, body_type string, response_type string"),
+                      "request_fields": spark.createDataFrame([("a", "f", v, True, {"min": v})], "api string, path string, type string, required boolean, rules map<string,string>"),
+                      "downstream": spark.createDataFrame([("a", "databases", v)], "api string, grp string, item string")}
+    slim = diff.contract_changes(side("1"), side("2"), ["api"], downstream=True, told=("severity",))
+    assert rows(slim) == [("a", "breaking"), ("a", "breaking"), ("a", "delta"), ("a", "delta")]
+    assert "now validated" in plan(diff.contract_changes(side("1"), side("2"), ["api"])) and "now validated" not in plan(slim)
+    assert "now validated" not in plan(verdict.compare_snapshots(side("1"), side("2"), ["api"]))
+
+
+def test_comparison_lines_work_out_changes_once(spark):
+    side = lambda v: {"routes": spark.createDataFrame([("a", "GET", "/a", None, None), (f"only{v}", "GET", "/b", None, None)], "api string, method string, path string, body_type string, response_type string"),
+                      "params": spark.createDataFrame([("a", "query", "p", v, False), ("only1", "query", "p", v, False)], "api string, loc string, name string, type string, required boolean"),
+                      "downstream": spark.createDataFrame([("a", "databases", v)], "api string, grp string, item string")}
+    found = verdict.comparison_lines(side("1"), side("2"), ["api"])
+    assert rows(found, "api", "section", "line") == sorted([
+        ("a", 0, "🔴 GET /a  (a, changed)"), ("a", 1, "    breaking  query parameter p: 1 → 2"), ("a", 2, "    new dep   databases: 2"), ("a", 2, "    dropped   databases: 1"),
+        ("only1", 0, "🔴 GET /b  (only1, removed)"), ("only1", 1, "    breaking  GET /b"), ("only2", 0, "✅ GET /b  (only2, added)"), ("only2", 1, "    additive  GET /b")], key=repr)
+    # headers, changes and deltas read the written table; nothing compares parameters again
+    assert "FileScan parquet" in plan(found) and "parameter `" not in plan(found)
