@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.core import first_match, first_non_empty, non_empty, rule_array
+from ..session import cut_lineage
 from .graph import lookup
 from .relations import ant_regex, match_patterns
 
@@ -263,12 +264,20 @@ def endpoint_facts(closure: DataFrame, facts: DataFrame, fields: Sequence[str])
     """Distinct facts of every method an endpoint reaches: (endpoint, grp, fields), with the depth of the first sighting if the closure has depths.
 
     closure(origin, node[, depth]) with the handler itself at depth 0; facts(method, kind, fields).
-    Facts are reduced to distinct rows before they meet the closure.
+    Facts are reduced to distinct rows before they meet the closure. Methods that the same endpoints reach (at the same depths) form a class, told by a count and
+    two sums of hashes: the facts of a class are reduced once, and only then met by its endpoints, read from one of its methods.
     """
     grouped = facts.withColumn("grp", lookup(FACT_GROUPS, F.col("kind"), "other")).select("method", "grp", *fields).distinct()
     depth = [c for c in closure.columns if c == "depth"]
-    rows = closure.select(F.col("origin").alias("endpoint"), F.col("node").alias("method"), *depth).join(grouped, "method")
-    return rows.groupBy("endpoint", "grp", *fields).agg(*[F.min(d).alias(d) for d in depth]) if depth else rows.drop("method").distinct()
+    seen = closure.select(F.col("origin").alias("endpoint"), F.col("node").alias("method"), *depth).distinct()
+    mark = lambda salt: F.sum(F.xxhash64("endpoint", *depth, F.lit(salt)).cast("decimal(38,0)")).alias(f"_h{salt}")
+    classes = seen.where("method IS NOT NULL").groupBy("method").agg(F.count(F.lit(1)).alias("_n"), mark(1), mark(2))
+    first = classes.groupBy("_n", "_h1", "_h2").agg(F.min("method").alias("_class"))
+    of = cut_lineage(classes.join(first, ["_n", "_h1", "_h2"]).select("method", "_class"))
+    own = grouped.join(of.hint("merge"), "method").select("_class", "grp", *fields).distinct()
+    ends = seen.join(of.select(F.col("_class").alias("method")).distinct(), "method", "left_semi").withColumnRenamed("method", "_class")
+    rows = own.join(ends, "_class").drop("_class").select("endpoint", "grp", *fields, *depth)
+    return rows.groupBy("endpoint", "grp", *fields).agg(*[F.min(d).alias(d) for d in depth]) if depth else rows.distinct()
 
 
 def endpoint_status_codes(declared: DataFrame, own: DataFrame, deeper: DataFrame, exceptions: DataFrame, validated: DataFrame, endpoints: DataFrame) -> DataFrame:

@@ -199,3 +199,19 @@ def test_comparison_lines_work_out_changes_once(spark):
         ("only1", 0, "🔴 GET /b  (only1, removed)"), ("only1", 1, "    breaking  GET /b"), ("only2", 0, "✅ GET /b  (only2, added)"), ("only2", 1, "    additive  GET /b")], key=repr)
     # headers, changes and deltas read the written table; nothing compares parameters again
     assert "FileScan parquet" in plan(found) and "parameter `" not in plan(found)
+
+
+def test_endpoint_facts_reduce_the_facts_of_a_class_once(spark):
+    import random
+    rng = random.Random(8)
+    closed = [(o, n, rng.randrange(3)) for o in "abcd" for n in range(40) if rng.random() < 0.3 or n < 20] + [(None, 3, 0), ("a", None, 0)]
+    seen = [(rng.randrange(45), rng.choice(["database", "cache", "x"]), i) for i in list(range(6)) * 60]
+    grp = {"database": "databases", "cache": "caches", "x": "other"}
+    c, f = spark.createDataFrame(closed, "origin string, node long, depth int"), spark.createDataFrame(seen, "method long, kind string, item int")
+    met = [(o, grp[k], i, d) for o, n, d in closed for m, k, i in seen if m == n]
+    assert rows(facts.endpoint_facts(c.drop("depth"), f, ["item"])) == sorted({r[:3] for r in met}, key=repr)
+    nearest = {r[:3]: min(d for *q, d in met if tuple(q) == r[:3]) for r in met}
+    found = facts.endpoint_facts(c, f, ["item"])
+    assert rows(found) == sorted(((*k, d) for k, d in nearest.items()), key=repr)
+    # endpoints meet the facts of classes, not those of every method
+    assert re.search(r"Join \[_class", plan(found))
