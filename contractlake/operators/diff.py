@@ -27,6 +27,8 @@ def _changes(df: DataFrame, keys: Sequence[str], kind: str, severity: str, item:
 Candidate = tuple[Column, Column, Column, Column, Column]
 # Columns a change is told in. Who only counts changes asks for their severity: texts of items and details are not made then.
 TOLD = ("type", "severity", "item", "detail")
+# Who counts changes by type and also reads downstream items: only those are named, by group and name.
+TOLD_DELTA = ("type", "severity", "grp", "name")
 
 
 def _made(candidate: Candidate, told: Sequence[str] = TOLD) -> Column:
@@ -36,8 +38,21 @@ def _made(candidate: Candidate, told: Sequence[str] = TOLD) -> Column:
 
 
 def _emitted(df: DataFrame, keys: Sequence[str], made: Column) -> DataFrame:
-    rows = F.explode(F.filter(made, lambda c: c.isNotNull())).alias("c")
-    return df.select(*keys, rows).select(*keys, "c.*")
+    # nulls are dropped after they were exploded: a filter of the array is interpreted, and with it all that makes the array
+    return df.select(*keys, F.explode(made).alias("c")).where("c IS NOT NULL").select(*keys, "c.*")
+
+
+def _first(df: DataFrame, keys: Sequence[str], candidates: Sequence[Candidate], told: Sequence[str]) -> DataFrame:
+    """Of each row the first change that applies; rows without one go."""
+    def pick(i: int) -> Column:
+        out = F
+        for candidate in candidates:
+            out = out.when(candidate[0], candidate[i])
+        return out
+
+    columns = {c: pick(i) for i, c in enumerate(TOLD, 1)}
+    found = df.where(reduce(Column.__or__, [c[0] for c in candidates]))
+    return found.select(*keys, *[columns[c].alias(c) if c in columns else F.col(c) for c in told])
 
 
 def _exploded(df: DataFrame, keys: Sequence[str], candidates: Sequence[Candidate], told: Sequence[str] = TOLD) -> DataFrame:
@@ -128,7 +143,7 @@ def _rule_delta(b: Column, h: Column) -> Column:
 
 def _rules_json(df: DataFrame) -> DataFrame:
     # maps cannot be aggregated or compared, so the pairing carries them as sorted JSON
-    rules = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("rules", F.create_map().cast("map<string,string>"))))))
+    rules = F.to_json(F.map_from_entries(F.sort_array(F.map_entries(F.coalesce("rules", F.create_map().cast("map<string,string>"))))))
     return df.withColumn("rules_json", rules)
 
 
@@ -322,10 +337,12 @@ def model_field_changes(base: DataFrame, head: DataFrame, keys: Sequence[str] =
 
 # Columns every family is told in: two parts of an item's name and up to three values.
 ITEM_COLUMNS = ("family", "n1", "n2", "v1", "v2", "v3")
+# Families whose items are names without values: one that only one side has is a change as it is and needs no pairing.
+NAMED = ("error", "downstream")
 
 
-def _items(side: dict[str, DataFrame], other: dict[str, DataFrame], keys: Sequence[str], pos: str | None) -> DataFrame | None:
-    """Rows of all families of a snapshot that both sides have, in ITEM_COLUMNS.
+def _items(side: dict[str, DataFrame], other: dict[str, DataFrame], keys: Sequence[str], pos: str | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of all families of a snapshot that both sides have: items with values in ITEM_COLUMNS, and the families of NAMED in their names alone.
 
     Success codes and access rules count as a whole per endpoint, so they are one item each.
     """
@@ -333,10 +350,11 @@ def _items(side: dict[str, DataFrame], other: dict[str, DataFrame], keys: Sequen
     text = lambda c: F.col(c).cast("string")
     flag = lambda c: F.col(c).cast("boolean")
     have = lambda name: name in side and name in other
-    parts = []
+    parts, named = [], []
 
     def add(df, family, n1=nil, n2=nil, v1=nil, v2=no, v3=nil):
-        parts.append(df.select(*keys, *[c.alias(n) for n, c in zip(ITEM_COLUMNS, (F.lit(family), n1, n2, v1, v2, v3))]))
+        columns = [c.alias(n) for n, c in zip(ITEM_COLUMNS, (F.lit(family), n1, n2, v1, v2, v3))]
+        (named if family in NAMED else parts).append(df.select(*keys, *(columns[:3] if family in NAMED else columns)))
 
     if have("params"):
         params = side["params"].where(F.col("loc").isNull() | ~F.col("loc").isin(*NOT_PARAMETERS))
@@ -359,48 +377,57 @@ def _items(side: dict[str, DataFrame], other: dict[str, DataFrame], keys: Sequen
         add(prints.where("size(annotations) > 0 OR access IS NOT NULL OR roles IS NOT NULL"), "access", v1=F.col("print"))
     if have("downstream"):
         add(side["downstream"], "downstream", text("grp"), text("item"))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    return tuple(reduce(DataFrame.unionByName, p) if p else None for p in (parts, named))
 
 
 def unscoped_changes(base: dict[str, DataFrame], head: dict[str, DataFrame], pairs: DataFrame,
                      keys: Sequence[str] = KEYS, pos: str | None = None, told: Sequence[str] = TOLD) -> DataFrame:
     """Changes of all families, not yet limited to endpoints present on both sides, in the columns `told`.
 
-    The items of all families are one long table a side, so everything equal cancels in a single aggregate, whatever the number of
-    families; what differs is paired once and judged in one pass. Downstream items have severity `delta`, their group as item and their name as detail.
+    The items of all families with values are one long table a side, so everything equal cancels in a single aggregate, whatever the number of
+    families; what differs is paired once and judged in one pass. Items that are names alone are another such table: what does not cancel there is a
+    change. Downstream items have severity `delta`, their group as item and their name as detail; `grp` and `name` tell the same for them alone.
     """
-    base_items, head_items = _items(base, head, keys, pos), _items(head, base, keys, pos)
-    routes = route_changes(pairs, keys, told)
-    if base_items is None:
-        return routes
-    differ = pair_items(base_items, head_items, [*keys, *ITEM_COLUMNS[:3]], ITEM_COLUMNS[3:])
-    n1, n2, none = F.col("n1"), F.col("n2"), F.lit("")
-    names = {"type": "v1", "required": "v2"}
-    b, h = (lambda c, side=side: F.col(f"{side}.{names[c]}") for side in ("base", "head"))
-    kept = F.col("in_base") & F.col("in_head")
-    both = F.array(*[F.when(kept, x) for x in (F.col("base.v1"), F.col("head.v1"))])
-    of = lambda candidates: F.array(*[_made(c, told) for c in candidates])
-    rules = F.when(kept & (F.col("base.v3") != F.col("head.v3")), _rule_changes(n1, F.col("base.v3"), F.col("head.v3"), told))
-    request = of(_request_candidates(n1, b, h))
-    families = {
-        "param": of(_param_candidates(n1, n2, b, h)),
-        "request": F.when(rules.isNull(), request).otherwise(F.concat(request, rules)),
-        "response": of(_response_candidates(n1, b("type"), h("type"))),
-        "error": of(_error_candidates(n1)),
-        "success": of([(kept, F.lit("SUCCESS_STATUS_CHANGED"), F.lit("breaking"), none, F.array_join(both, " → "))]),
-        "access": of([(F.lit(True), F.lit("SECURITY_CHANGED"), F.lit("breaking"), none, F.lit("access rules changed"))]),
-        "downstream": of([(F.lit(True), F.when(F.col("in_head"), "DOWNSTREAM_ADDED").otherwise("DOWNSTREAM_REMOVED"), F.lit("delta"), n1, n2)]),
-    }
-    made = None
-    for family, changes in families.items():
-        made = F.when(F.col("family") == family, changes) if made is None else made.when(F.col("family") == family, changes)
-    return routes.unionByName(_emitted(differ, keys, made))
+    (base_items, base_named), (head_items, head_named) = _items(base, head, keys, pos), _items(head, base, keys, pos)
+    told_all = [c for c in told if c in TOLD]
+    n1, n2, none, nil = F.col("n1"), F.col("n2"), F.lit(""), F.lit(None).cast("string")
+    whole = lambda df: df.select(*keys, *[c if c in told_all else nil.alias(c) for c in told])
+    found = [whole(route_changes(pairs, keys, told_all))]
+    if base_items is not None:
+        differ = pair_items(base_items, head_items, [*keys, *ITEM_COLUMNS[:3]], ITEM_COLUMNS[3:])
+        names = {"type": "v1", "required": "v2"}
+        b, h = (lambda c, side=side: F.col(f"{side}.{names[c]}") for side in ("base", "head"))
+        kept = F.col("in_base") & F.col("in_head")
+        both = F.array(*[F.when(kept, x) for x in (F.col("base.v1"), F.col("head.v1"))])
+        of = lambda candidates: F.array(*[_made(c, told_all) for c in candidates])
+        rules = F.when(kept & (F.col("base.v3") != F.col("head.v3")), _rule_changes(n1, F.col("base.v3"), F.col("head.v3"), told_all))
+        request = of(_request_candidates(n1, b, h))
+        families = {
+            "param": of(_param_candidates(n1, n2, b, h)),
+            "request": F.when(rules.isNull(), request).otherwise(F.concat(request, rules)),
+            "response": of(_response_candidates(n1, b("type"), h("type"))),
+            "success": of([(kept, F.lit("SUCCESS_STATUS_CHANGED"), F.lit("breaking"), none, F.array_join(both, " → "))]),
+            "access": of([(F.lit(True), F.lit("SECURITY_CHANGED"), F.lit("breaking"), none, F.lit("access rules changed"))]),
+        }
+        made = None
+        for family, changes in families.items():
+            made = F.when(F.col("family") == family, changes) if made is None else made.when(F.col("family") == family, changes)
+        found.append(whole(_emitted(differ, keys, made)))
+    if base_named is not None:
+        names = ITEM_COLUMNS[:3]
+        alone = pair_keys(base_named, head_named, [*keys, *names], dealt=True).where("NOT (in_base AND in_head)")
+        delta = F.col("family") == "downstream"
+        alone = alone.withColumns({"grp": F.when(delta, n1), "name": F.when(delta, n2)})
+        found.append(_first(alone, keys, [
+            (delta, F.when(F.col("in_head"), "DOWNSTREAM_ADDED").otherwise("DOWNSTREAM_REMOVED"), F.lit("delta"), n1, n2), *_error_candidates(n1)], told))
+    return reduce(DataFrame.unionByName, found)
 
 
 def delta_of(changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The rows of `downstream_delta` among `unscoped_changes`."""
+    """The rows of `downstream_delta` among `unscoped_changes`, told in TOLD or TOLD_DELTA."""
+    group, name = ("grp", "name") if "grp" in changes.columns else ("item", "detail")
     return changes.where("severity = 'delta'").select(
-        *keys, F.col("item").alias("grp"), F.col("detail").alias("item"), F.when(F.col("type") == "DOWNSTREAM_ADDED", "added").otherwise("removed").alias("change"))
+        *keys, F.col(group).alias("grp"), F.col(name).alias("item"), F.when(F.col("type") == "DOWNSTREAM_ADDED", "added").otherwise("removed").alias("change"))
 
 
 def contract_changes(base: dict[str, DataFrame], head: dict[str, DataFrame], keys: Sequence[str] = KEYS,

@@ -24,9 +24,9 @@ def _flagged(base: DataFrame, head: DataFrame, cols: Sequence[str], by: Sequence
     return both.groupBy(*cols).agg(F.max("_b").alias("_b"), F.max("_h").alias("_h"))
 
 
-def pair_keys(base: DataFrame, head: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key of either side with in_base and in_head."""
-    return _flagged(base, head, keys).select(*keys, (F.col("_b") == 1).alias("in_base"), (F.col("_h") == 1).alias("in_head"))
+def pair_keys(base: DataFrame, head: DataFrame, keys: Sequence[str], dealt: bool = False) -> DataFrame:
+    """One row per key of either side with in_base and in_head. `dealt` moves the rows as they are, for sides without repeated keys."""
+    return _flagged(base, head, keys, keys if dealt else ()).select(*keys, (F.col("_b") == 1).alias("in_base"), (F.col("_h") == 1).alias("in_head"))
 
 
 def pair_items(base: DataFrame, head: DataFrame, keys: Sequence[str], values: Sequence[str],
@@ -43,8 +43,9 @@ def pair_items(base: DataFrame, head: DataFrame, keys: Sequence[str], values: Se
     if not keep_equal:
         rows = rows.where("_b + _h = 1")
     payload = F.struct(F.lit(1).alias("_set"), *[F.col(v) for v in values])
-    paired = rows.groupBy(*keys).agg(F.max(F.when(F.col("_b") == 1, payload)).alias("base"), F.max(F.when(F.col("_h") == 1, payload)).alias("head"))
-    return (paired.withColumn("in_base", F.col("base").isNotNull()).withColumn("in_head", F.col("head").isNotNull()))
+    # rows are sorted by a number first: keys often begin alike, and comparing their texts costs more than the sort
+    paired = rows.groupBy(F.xxhash64(*keys).alias("_k"), *keys).agg(F.max(F.when(F.col("_b") == 1, payload)).alias("base"), F.max(F.when(F.col("_h") == 1, payload)).alias("head"))
+    return (paired.drop("_k").withColumn("in_base", F.col("base").isNotNull()).withColumn("in_head", F.col("head").isNotNull()))
 
 
 def on_both_sides(base_routes: DataFrame, head_routes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -53,4 +54,5 @@ def on_both_sides(base_routes: DataFrame, head_routes: DataFrame, keys: Sequence
 
 
 def within(df: DataFrame, scope: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    return df if scope is None else df.join(scope, list(keys), "left_semi")
+    # a task holds its share of the scope's keys; the long side is not sorted
+    return df if scope is None else df.join(scope.hint("shuffle_hash"), list(keys), "left_semi")

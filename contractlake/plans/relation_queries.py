@@ -194,7 +194,7 @@ def endpoint_impact(src: Source):
 
 def _impact(src: Source):
     base, head = snapshot(src, "base"), snapshot(src, "head")
-    found = cut_lineage(diff.contract_changes(base, head, K, downstream=True))
+    found = cut_lineage(diff.contract_changes(base, head, K, downstream=True, told=diff.TOLD_DELTA))
     return relations.endpoint_impact(verdict.endpoint_verdict(found, None, K), verdict.recommendation_inputs(found.where("severity <> 'delta'"), K),
                                      relation(src, "CALLERS"), relation(src, "SHARE"), diff.delta_of(found, K))
 

@@ -215,3 +215,20 @@ def test_endpoint_facts_reduce_the_facts_of_a_class_once(spark):
     assert rows(found) == sorted(((*k, d) for k, d in nearest.items()), key=repr)
     # endpoints meet the facts of classes, not those of every method
     assert re.search(r"Join \[_class", plan(found))
+
+
+def test_items_that_are_names_are_not_paired_and_only_downstream_is_named(spark):
+    side = lambda codes, items: {"routes": spark.createDataFrame([("a", "GET", "/a", None, None)], "api string, method string, path string, body_type string, response_type string"),
+                                 "statuses": spark.createDataFrame([("a", c) for c in codes], "api string, code int"),
+                                 "downstream": spark.createDataFrame([("a", *i) for i in items], "api string, grp string, item string")}
+    base, head = side([400, 404, 404], [("caches", "x"), (None, "y"), ("caches", None)]), side([404, 500], [("caches", "x"), ("caches", "z"), ("caches", None), ("caches", "z")])
+    whole = diff.contract_changes(base, head, ["api"], downstream=True)
+    assert rows(whole) == sorted([
+        ("a", "ERROR_STATUS_REMOVED", "additive", "400", "no longer returns 400"), ("a", "ERROR_STATUS_ADDED", "minor", "500", "may now return 500"),
+        ("a", "DOWNSTREAM_REMOVED", "delta", None, "y"), ("a", "DOWNSTREAM_ADDED", "delta", "caches", "z")], key=repr)
+    slim = diff.contract_changes(base, head, ["api"], downstream=True, told=diff.TOLD_DELTA)
+    assert rows(slim, "type", "grp", "name") == sorted([
+        ("ERROR_STATUS_REMOVED", None, None), ("ERROR_STATUS_ADDED", None, None), ("DOWNSTREAM_REMOVED", None, "y"), ("DOWNSTREAM_ADDED", "caches", "z")], key=repr)
+    assert rows(diff.delta_of(slim, ["api"])) == rows(diff.delta_of(whole, ["api"])) == [("a", "caches", "z", "added"), ("a", None, "y", "removed")]
+    # no text of a code is made, and the changes are not sorted to meet the endpoints of both sides
+    assert "may now return" not in plan(slim) and "ShuffledHashJoin" in plan(slim) and "SortMergeJoin" not in plan(slim)
