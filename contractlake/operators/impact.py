@@ -68,7 +68,8 @@ def impacted_endpoints(reached: DataFrame, endpoints: DataFrame, references: Dat
     """
     by_call = reached.join(endpoints.select(*scope, "endpoint", F.col("handler").alias("method")), [*scope, "method"]).select(*scope, "endpoint", "reason")
     short = F.substring_index("type", ".", -1)
-    by_model = (references.join(changed_types, [*scope, "type"], "left_semi")
+    # written, so that the real size of what changed decides whether references meet it where they are read, before they are made distinct
+    by_model = (references.join(cut_lineage(changed_types.select(*scope, "type")), [*scope, "type"], "left_semi")
                 .select(*scope, "endpoint", F.concat(F.lit("changed model: "), short).alias("reason")))
     return by_call.unionByName(by_model).distinct()
 
@@ -76,8 +77,10 @@ def impacted_endpoints(reached: DataFrame, endpoints: DataFrame, references: Dat
 def endpoint_model_changes(impacted: DataFrame, references: DataFrame, model_changes: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Field changes of the model types an impacted endpoint refers to, each once."""
     ends = impacted.select(*scope, "endpoint").distinct()
-    return (references.select(*scope, "endpoint", F.col("type").alias("dto")).join(ends, [*scope, "endpoint"], "left_semi")
-            .join(model_changes.withColumnRenamed("type", "change"), [*scope, "dto"]).distinct())
+    changes = cut_lineage(model_changes.withColumnRenamed("type", "change"))
+    # changed types are few beside the references: those to other types go first, and only the rest meets the endpoints
+    told = references.select(*scope, "endpoint", F.col("type").alias("dto")).join(changes.select(*scope, "dto"), [*scope, "dto"], "left_semi")
+    return told.join(ends, [*scope, "endpoint"], "left_semi").join(changes, [*scope, "dto"]).distinct()
 
 
 def changed_functions(routes: DataFrame, changed_files: DataFrame, extension: str = ".py", scope: Sequence[str] = ()) -> DataFrame:

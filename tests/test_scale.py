@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from contractlake.functions import rules
-from contractlake.operators import config, diff, facts, linediff, normalize, ordered, relations, snapshots, text, types, verdict
+from contractlake.operators import config, diff, facts, impact, linediff, normalize, ordered, relations, snapshots, text, types, verdict
 from contractlake.sources import files
 from tests.conftest import rows
 
@@ -232,3 +232,14 @@ def test_items_that_are_names_are_not_paired_and_only_downstream_is_named(spark)
     assert rows(diff.delta_of(slim, ["api"])) == rows(diff.delta_of(whole, ["api"])) == [("a", "caches", "z", "added"), ("a", None, "y", "removed")]
     # no text of a code is made, and the changes are not sorted to meet the endpoints of both sides
     assert "may now return" not in plan(slim) and "ShuffledHashJoin" in plan(slim) and "SortMergeJoin" not in plan(slim)
+
+
+def test_model_changes_drop_references_to_other_types_before_they_are_made_distinct(spark):
+    refs = spark.createDataFrame([("e1", "t1"), ("e1", "t1"), ("e1", "t2"), ("e2", "t1"), ("e3", "t1"), (None, "t1"), ("e1", None)], "endpoint string, type string").distinct()
+    changes = spark.createDataFrame([("t1", "f", "TYPE_CHANGED"), ("t1", "f", "TYPE_CHANGED"), ("t1", "g", "FIELD_REMOVED"), ("t9", "f", "TYPE_CHANGED"), (None, "f", "TYPE_CHANGED")], "dto string, field string, type string")
+    hit = spark.createDataFrame([("e1", "r"), ("e1", "s"), ("e2", "r"), (None, "r")], "endpoint string, reason string")
+    found = impact.endpoint_model_changes(hit, refs, changes)
+    assert found.columns == ["dto", "endpoint", "field", "change"]
+    assert rows(found, "endpoint", "dto", "field", "change") == [(e, "t1", *c) for e in ("e1", "e2") for c in (("f", "TYPE_CHANGED"), ("g", "FIELD_REMOVED"))]
+    # the types that changed are met under the aggregate that makes the references distinct
+    assert re.search(r"keys=\[endpoint#\d+, type#\d+\][^\n]*\n[ :|+-]*BroadcastHashJoin \[type#\d+\], \[dto#\d+\], LeftSemi", plan(found))
