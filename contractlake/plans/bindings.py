@@ -86,6 +86,46 @@ RELATIONS: dict[str, str] = {
 }
 
 
+# What both snapshots say of a part, by its lines, by its taxes and by its codes. Lines are read once for each; the relations P, F and S of both
+# sides are columns and rows of these: what a side leaves out it leaves out by whole groups, or under a condition inside the aggregate.
+_SIDES = {"base": "true", "head": "l_discount < 0.09"}
+_OF_LINES = "SELECT l_partkey, l_linenumber, " + ", ".join(
+    f"min(CASE WHEN {seen} THEN {TAX} END) AS {side}_tax, bool_and(CASE WHEN {seen} THEN l_returnflag <> 'A' END) AS {side}_required"
+    for side, seen in _SIDES.items()) + " FROM lineitem GROUP BY l_partkey, l_linenumber"
+_OF_TAXES = f"SELECT l_partkey, {TAX} AS tax, " + ", ".join(
+    f"min(CASE WHEN {seen} THEN CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END END) AS {side}_status, bool_and(CASE WHEN {seen} THEN l_returnflag = 'R' END) AS {side}_required, "
+    f"CAST(min(CASE WHEN {seen} THEN l_quantity END) AS INT) AS {side}_min" for side, seen in _SIDES.items()) + f" FROM lineitem GROUP BY l_partkey, {TAX}"
+_OF_CODES = (f"SELECT l_partkey, {CODE} AS code, bool_or(l_linestatus = 'F') AS in_base, bool_or(l_linestatus = 'O') AS in_head FROM lineitem "
+             f"WHERE l_linestatus IN ('F', 'O') GROUP BY l_partkey, {CODE}")
+
+
+def side_params(src: Source, side: str) -> DataFrame:
+    """P relation of a side."""
+    lines = "l_linenumber <> 5" if side == "base" else "l_linenumber NOT IN (3, 6)"
+    return src.written(_OF_LINES).where(lines).selectExpr(
+        f"{API} AS api", f"{LOC} AS loc", "'p' || l_linenumber AS name", f"'T' || {side}_tax AS type", f"{side}_required AS required")
+
+
+def side_fields(src: Source, side: str) -> DataFrame:
+    """F relation of a side with its rules as a map."""
+    gone, pattern = ("4", "6") if side == "base" else ("7", "5")
+    return with_rules(src.written(_OF_TAXES).where(f"tax <> {gone}").selectExpr(
+        f"{API} AS api", "'f' || tax AS path", f"'S' || {side}_status AS type", f"{side}_required AS required", f"CAST({side}_min AS STRING) AS rule_min",
+        f"CASE WHEN tax = {pattern} THEN '[a-z]+' END AS rule_pattern"))
+
+
+def side_statuses(src: Source, side: str) -> DataFrame:
+    """S relation of a side."""
+    return src.written(_OF_CODES).where(f"in_{side}").selectExpr(f"{API} AS api", "code")
+
+
+def side_downstream(src: Source, side: str) -> DataFrame:
+    """D relation of a side; numbers are made distinct, and texts of what is left."""
+    status = "F" if side == "base" else "O"
+    return src.sql(f"SELECT {API} AS api, grp, 'sys-' || l_suppkey AS item FROM (SELECT DISTINCT l_partkey, CASE l_returnflag WHEN 'A' THEN 'databases' WHEN 'N' THEN 'caches' "
+                   f"ELSE 'external_apis' END AS grp, l_suppkey FROM lineitem WHERE l_linestatus = '{status}')")
+
+
 def relation(src: Source, name: str) -> DataFrame:
     return src.sql(with_relations(RELATIONS, f"SELECT * FROM {name}"))
 
@@ -113,9 +153,9 @@ def access(src: Source, side: str) -> DataFrame:
 
 def snapshot(src: Source, side: str) -> dict[str, DataFrame]:
     """Everything `compare_snapshots` reads, keyed by `api`. The comparison reads each family once."""
-    params = relation(src, f"P_{side}")
+    params = side_params(src, side)
     return {
-        "routes": relation(src, f"R_{side}"), "params": params, "request_fields": fields(src, side),
+        "routes": relation(src, f"R_{side}"), "params": params, "request_fields": side_fields(src, side),
         "response_fields": params.selectExpr("api", "'r' || substr(name, 2, 9) AS path", "type"),
-        "statuses": relation(src, f"S_{side}"), "security": access(src, side), "downstream": relation(src, f"D_{side}"),
+        "statuses": side_statuses(src, side), "security": access(src, side), "downstream": side_downstream(src, side),
     }

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..session import cut_lineage
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -22,6 +24,7 @@ class Source:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._written: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.folder}/{name}.parquet"
@@ -29,6 +32,12 @@ class Source:
             SCHEMAS[path] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(SCHEMAS[path]).parquet(path)
 
+    def written(self, text: str) -> DataFrame:
+        """What the text selects, worked out and written once for this query, however often it is read."""
+        if text not in self._written:
+            self._written[text] = cut_lineage(self.sql(text))
+        return self._written[text]
+
     def sql(self, text: str) -> DataFrame:
         for name in TABLES:
             if re.search(rf"\b{name}\b", text):

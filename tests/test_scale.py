@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from contractlake.functions import rules
 from contractlake.operators import config, diff, facts, impact, linediff, normalize, ordered, relations, snapshots, text, types, verdict
+from contractlake.plans import bindings
+from contractlake.plans.registry import Source
 from contractlake.sources import files
-from tests.conftest import rows
+from tests.conftest import DATA, rows
 
 
 def plan(df):
@@ -243,3 +245,16 @@ def test_model_changes_drop_references_to_other_types_before_they_are_made_disti
     assert rows(found, "endpoint", "dto", "field", "change") == [(e, "t1", *c) for e in ("e1", "e2") for c in (("f", "TYPE_CHANGED"), ("g", "FIELD_REMOVED"))]
     # the types that changed are met under the aggregate that makes the references distinct
     assert re.search(r"keys=\[endpoint#\d+, type#\d+\][^\n]*\n[ :|+-]*BroadcastHashJoin \[type#\d+\], \[dto#\d+\], LeftSemi", plan(found))
+
+
+def test_snapshots_read_lines_once_for_both_sides(spark):
+    src = Source(spark, DATA)
+    for side in ("base", "head"):
+        found = bindings.snapshot(src, side)
+        want = {"params": bindings.relation(src, f"P_{side}"), "request_fields": bindings.fields(src, side), "response_fields": bindings.relation(src, f"O_{side}"),
+                "statuses": bindings.relation(src, f"S_{side}"), "downstream": bindings.relation(src, f"D_{side}")}
+        for name, df in want.items():
+            assert found[name].schema.simpleString() == df.schema.simpleString() and rows(found[name]) == rows(df), name
+            assert ("lineitem.parquet" in plan(found[name])) == (name == "downstream"), name
+    # one written table for lines, taxes and codes each
+    assert len(src._written) == 3
