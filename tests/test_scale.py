@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from contractlake.functions import rules
 from contractlake.operators import config, diff, facts, impact, linediff, normalize, ordered, relations, snapshots, text, types, verdict
 from contractlake.plans import bindings
+from contractlake.plans.catalog import ORACLE, QUERIES
 from contractlake.plans.registry import Source
 from contractlake.sources import files
 from tests.conftest import DATA, rows
@@ -64,6 +65,16 @@ def test_related_documents_by_classes_equal_all_pairs(spark):
         assert sorted(tuple(r) for r in found.select("target", "neighbour", "token").collect()) == want
 
 
+def test_related_documents_are_asked_for_every_page(spark):
+    src = Source(spark, DATA)
+    have = {}
+    for page, token in text.extract_endpoints(src.table("pages"), ["page_id"], "html").collect():
+        have.setdefault(page, set()).add(token)
+    want = sorted((a, b, ",".join(sorted(have[a] & have[b])[:3])) for a in have for b in have if a != b and have[a] & have[b])
+    assert rows(QUERIES["related_documents"](spark, DATA), "target", "neighbour", "token") == sorted(want, key=repr)
+    assert {a for a, *_ in want} == set(have) and "%" not in ORACLE["related_documents"]
+
+
 def dealt_out_first(df):
     """Whether the rows are shuffled before the first aggregate sorts them, not after it."""
     text = plan(df)
