@@ -64,6 +64,19 @@ def first_details(edges: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
     return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda d: d["detail"]).alias("details"))
 
 
+def named_details(rows: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
+    """Distinct non-empty details of each key by name, at most `cap`: what `first_details` gives when all positions are equal.
+
+    One sort finds equal details side by side and lists them, so nothing is kept in a hash table or dealt out twice; rows that lie with their key stay there.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.col("detail").asc_nulls_last())
+    told = rows.select(*keys, non_empty("detail").alias("detail"))
+    told = told.select("*", F.row_number().over(w).alias("_n"), F.dense_rank().over(w).alias("_rank"), F.lag("detail").over(w).alias("_before"))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = told.where((F.col("_rank") <= cap) & ((F.col("_n") == 1) | (F.col("_before") != F.col("detail")))).withColumn("details", F.collect_list("detail").over(whole))
+    return listed.where("_n = 1").select(*keys, "details")
+
+
 def merge_edges(edges: DataFrame, scope: Sequence[str] = (), cap: int = DETAILS_BUILD) -> DataFrame:
     """One edge per (src, dst, kind) without self loops."""
     return first_details(edges.where("src <> dst"), [*scope, "src", "dst", "kind"], cap)
@@ -98,9 +111,10 @@ def build_graph(model: dict[str, DataFrame], scope: Sequence[str] = ()) -> tuple
             *scope, node_id.alias("id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"),
             *[attrs.get(n, blank).cast("string").alias(n) for n in names], F.lit(order).alias("_order")))
 
-    def edge(df: DataFrame, src: Column, dst: Column, kind: Column | str, detail: Column = blank) -> None:
+    def edge(df: DataFrame, src: Column, dst: Column, kind: Column | str, detail: Column = blank) -> DataFrame:
         edges.append(df.select(*scope, src.alias("src"), dst.alias("dst"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"),
                                detail.cast("string").alias("detail")))
+        return edges[-1]
 
     module_id = F.concat(F.lit("module:"), F.col("module"))
     component_id = F.concat(F.lit("component:"), F.col("component"))
@@ -113,7 +127,10 @@ def build_graph(model: dict[str, DataFrame], scope: Sequence[str] = ()) -> tuple
         node(comps, 1, component_id, "component", name=c("name"), stereotype=c("stereotype"), layer=c("layer"), module=c("module"))
         edge(comps, module_id, component_id, "contains")
     if have("injections") is not None:
-        edge(model["injections"], component_id, F.concat(F.lit("component:"), "target"), "injects", c("field"))
+        # no other rule has a component injected, and a pair is seldom told twice: pairs are merged apart, under their short names
+        pairs = model["injections"].where("component <> target").select(*scope, "component", "target", c("field").cast("string").alias("detail"))
+        injected = named_details(pairs, [*scope, "component", "target"], DETAILS_BUILD).select(
+            *scope, component_id.alias("src"), F.concat(F.lit("component:"), "target").alias("dst"), F.lit("injects").alias("kind"), "details")
     if have("calls") is not None:
         edge(model["calls"], F.concat(F.lit("component:"), "caller"), F.concat(F.lit("component:"), "callee"), "calls", c("label"))
 
@@ -143,8 +160,7 @@ def build_graph(model: dict[str, DataFrame], scope: Sequence[str] = ()) -> tuple
         to = F.when(c("target_module").isNotNull(), F.concat(F.lit("module:"), "target_module")).otherwise(F.concat(F.lit("external:"), "target"))
         node(routes.where("target_module IS NULL"), 2, F.concat(F.lit("external:"), "target"), "external_service", name=c("target"))
         edge(routes, module_id, to, "routes", c("predicates"))
-    if have("facts") is not None:
-        _fact_rules(model, scope, node, edge)
+    served = _fact_rules(model, scope, node, edge) if have("facts") is not None else None
     if have("listeners") is not None:
         rows = model["listeners"].where(c("technology") != "spring-event").withColumn("destination", F.explode_outer("destinations"))
         bid = F.concat(F.lit("broker:"), "technology")
@@ -156,11 +172,12 @@ def build_graph(model: dict[str, DataFrame], scope: Sequence[str] = ()) -> tuple
 
     all_nodes = keep_first_per_key(reduce(DataFrame.unionByName, nodes), [*scope, "id"], ["_order", "name", "module", "host"]).drop("_order")
     # repeated edges vanish when their details are merged; nodes and edges are read apart, so neither is worked out for the other
-    raw = reduce(DataFrame.unionByName, edges).where("src <> dst").withColumn("pos", F.lit(0))
-    if have("components") is not None:
+    raw = [e.where("src <> dst") for e in edges]
+    if have("components") is not None and served is not None:
         # a component that calls its own module leaves a loop on the module
-        raw = raw.unionByName(_module_edges(raw, model["components"], scope))
-    return all_nodes, first_details(raw, [*scope, "src", "dst", "kind"], DETAILS_BUILD)
+        raw.append(_module_edges(served.where("src <> dst"), model["components"], scope))
+    merged = [named_details(reduce(DataFrame.unionByName, raw).distinct(), [*scope, "src", "dst", "kind"], DETAILS_BUILD)] if raw else []
+    return all_nodes, reduce(DataFrame.unionByName, merged + ([injected] if have("injections") is not None else []))
 
 
 def _configured_stores(model: dict[str, DataFrame], scope: Sequence[str]) -> DataFrame:
@@ -176,7 +193,8 @@ def _configured_stores(model: dict[str, DataFrame], scope: Sequence[str]) -> Dat
     return out
 
 
-def _fact_rules(model: dict[str, DataFrame], scope: Sequence[str], node, edge) -> None:
+def _fact_rules(model: dict[str, DataFrame], scope: Sequence[str], node, edge) -> DataFrame:
+    """Adds nodes and edges of facts. Returns those of services that are called: the only rule that leads from components to modules."""
     c = F.col
     facts = model["facts"]
     src = F.when(c("component").isNotNull(), F.concat(F.lit("component:"), "component")).otherwise(F.concat(F.lit("module:"), "module"))
@@ -212,21 +230,22 @@ def _fact_rules(model: dict[str, DataFrame], scope: Sequence[str], node, edge) -
     http = facts.where("kind = 'http'").withColumn("_target", first_non_empty("target_service", "host", F.lit("unresolved")))
     ext = F.concat(F.lit("external:"), "_target")
     node(http.where("target_module IS NULL"), 3, ext, "external_service", name=c("_target"))
-    edge(http, src, F.when(c("target_module").isNotNull(), F.concat(F.lit("module:"), "target_module")).otherwise(ext), "http",
-         F.concat_ws(" ", non_empty("http_method"), non_empty("url")))
+    served = edge(http, src, F.when(c("target_module").isNotNull(), F.concat(F.lit("module:"), "target_module")).otherwise(ext), "http",
+                  F.concat_ws(" ", non_empty("http_method"), non_empty("url")))
 
     other = facts.where("kind IN ('email', 'storage', 'search')").withColumn("name_", names)
     oid = F.concat("kind", F.lit(":"), "technology")
     node(other, 3, oid, c("kind"), technology=c("technology"))
     edge(other, src, oid, operation, c("name_"))
+    return served
 
 
-def _module_edges(raw: DataFrame, components: DataFrame, scope: Sequence[str]) -> DataFrame:
+def _module_edges(served: DataFrame, components: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Component edges onto modules, repeated from the owning module where it has no such edge itself."""
     owners = components.select(*scope, F.concat(F.lit("component:"), "id").alias("src"), F.concat(F.lit("module:"), "module").alias("_owner"))
-    outward = raw.where(~F.col("kind").isin(*STRUCTURAL_KINDS) & F.col("src").startswith("component:") & F.col("dst").startswith("module:"))
-    lifted = outward.join(owners, [*scope, "src"]).select(*scope, F.col("_owner").alias("src"), "dst", "kind", "detail", "pos")
-    direct = raw.where(F.col("src").startswith("module:")).select(*scope, "src", "dst", "kind").distinct()
+    outward = served.where(F.col("src").startswith("component:") & F.col("dst").startswith("module:"))
+    lifted = outward.join(owners, [*scope, "src"]).select(*scope, F.col("_owner").alias("src"), "dst", "kind", "detail")
+    direct = served.where(F.col("src").startswith("module:")).select(*scope, "src", "dst", "kind").distinct()
     return lifted.join(direct, [*scope, "src", "dst", "kind"], "left_anti")
 
 

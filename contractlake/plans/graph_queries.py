@@ -216,9 +216,12 @@ RELATIONS["DS"] = ("SELECT 'region-' || r_regionkey AS module, 'default' AS prof
 
 
 def _injections(src: Source):
-    # the rows of INJ; both sides are distinct before they meet, so their pairs are
-    return src.sql("SELECT CAST(l_suppkey AS VARCHAR(20)) AS component, CAST(s_suppkey AS VARCHAR(20)) AS target, 'f' || l_linenumber AS field "
-                   "FROM (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem) JOIN (SELECT DISTINCT s_suppkey, s_nationkey FROM supplier) ON s_nationkey = l_linenumber")
+    # the rows of INJ; both sides are distinct before they meet, so their pairs are. There are few line numbers, so that pairs dealt out by them would be few tasks:
+    # they are made where their component lies, from all targets, which are the square root of the pairs
+    holders = src.sql("SELECT DISTINCT CAST(l_suppkey AS VARCHAR(20)) AS component, l_linenumber FROM lineitem")
+    targets = src.sql("SELECT DISTINCT CAST(s_suppkey AS VARCHAR(20)) AS target, s_nationkey FROM supplier")
+    dealt = holders.repartition(int(src.spark.conf.get("spark.sql.shuffle.partitions")), "component")
+    return dealt.join(F.broadcast(targets), F.col("s_nationkey") == F.col("l_linenumber")).select("component", "target", F.expr("'f' || l_linenumber").alias("field"))
 
 
 def _model(src: Source):
