@@ -275,6 +275,10 @@ def stored_change_severity(kind: Column, required: Column) -> Column:
     return F.when(kind.isin(*BREAKING_MODEL_TYPES) | F.coalesce(required, F.lit(False)), "breaking").otherwise("minor")
 
 
+# shares of an endpoint's callers
+SPREAD = 64
+
+
 def impact_graph(endpoints: DataFrame, callers: DataFrame, usage: DataFrame, shared: DataFrame, scope: Sequence[str] = (),
                  declared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) around each endpoint: callers in, resources out, up to eight sharers per resource.
@@ -284,10 +288,11 @@ def impact_graph(endpoints: DataFrame, callers: DataFrame, usage: DataFrame, sha
     declares(center, kind, name) instead, without details. shared(center, kind, name, also_used_by).
     """
     routed = endpoints.where("has_route").select(*scope, "center") if "has_route" in endpoints.columns else endpoints.select(*scope, "center")
-    usage = usage.join(routed, [*scope, "center"], "left_semi").select(*scope, "center", "kind", "name", "operation", F.coalesce("detail", F.lit("")).alias("detail"))
+    used = [usage.join(routed, [*scope, "center"], "left_semi").select(*scope, "center", "kind", "name", "operation", F.coalesce("detail", F.lit("")).alias("detail"))]
     if declared is not None:
         operation = F.when(F.col("kind") == "topic", "publish").when(F.col("kind") == "service", "http").otherwise("uses")
-        usage = usage.unionByName(declared.join(routed, [*scope, "center"], "left_anti").select(*scope, "center", "kind", "name", operation.alias("operation"), F.lit("").alias("detail")))
+        used.append(declared.join(routed, [*scope, "center"], "left_anti").select(*scope, "center", "kind", "name", operation.alias("operation"), F.lit("").alias("detail")))
+    usage = reduce(DataFrame.unionByName, used)
     c = F.col
     center = F.concat(F.lit("endpoint:"), "label")
     ids = endpoints.select(*scope, "center", center.alias("_id"))
@@ -295,19 +300,35 @@ def impact_graph(endpoints: DataFrame, callers: DataFrame, usage: DataFrame, sha
     res = usage.select(*scope, "center", F.concat("kind", F.lit(":"), "name").alias("id"), "operation", "detail")
     near = shared.select(*scope, "center", F.concat("kind", F.lit(":"), "name").alias("resource"), F.explode("also_used_by").alias("other"))
 
-    def part(df: DataFrame, order: int, node_id: Column, label: Column | None = None, kind: Column | None = None) -> DataFrame:
-        return df.select(*scope, "center", node_id.alias("id"), F.lit(order).alias("_o"), *[(F.lit(None).cast("string") if x is None else x).alias(n) for n, x in (("label", label), ("type", kind))])
-
-    resource = F.concat("kind", F.lit(":"), "name")
-    parts = [part(endpoints, 0, center, c("label"), F.lit("endpoint")), part(callers, 1, F.concat(F.lit("caller:"), "caller"), c("caller"), c("kind")),
-             part(usage, 2, resource, c("name"), c("kind")), part(shared.where(F.size("also_used_by") > 0), 3, resource, c("name"), c("kind")),
-             part(near, 4, F.concat(F.lit("api:"), "other"))]
-    # few nodes are told twice, so combining would sort and keep nearly all rows before they travel: they are dealt out as they are. What a sharer shows is read from its id
-    dealt = reduce(DataFrame.unionByName, parts).repartition(*scope, "center", "id")
-    best = dealt.groupBy(*scope, "center", "id").agg(F.min(F.struct("_o", "label", "type")).alias("_n"))
-    sharer = c("_n._o") == 4
-    nodes = best.select(*scope, "center", "id", F.when(sharer, F.substring_index(F.expr("substring(id, 5)"), " (", 1)).otherwise(c("_n.label")).alias("label"),
-                        F.when(sharer, F.lit("related_endpoint")).otherwise(c("_n.type")).alias("type"))
+    # rows travel once and narrow: a kind and a name, the sharers of a resource as one list. Ids, labels and sharers' nodes are made where the rows of an endpoint meet;
+    # only its callers, which can be many, are spread
+    def spread(node_id: Column) -> Column:
+        return F.when(node_id.startswith("caller:"), F.pmod(F.xxhash64(node_id), F.lit(SPREAD)).cast("short")).otherwise(F.lit(0).cast("short")).alias("_part")
+
+    def part(df: DataFrame, order: int, kind: Column, name: Column, node_id: Column) -> DataFrame:
+        return df.select(*scope, "center", kind.alias("kind"), name.alias("name")).select(
+            *scope, "center", spread(node_id), F.lit(order).cast("byte").alias("_o"), "kind", "name", F.lit(None).cast("array<string>").alias("_others"))
+
+    resource, caller = F.concat("kind", F.lit(":"), "name"), F.concat(F.lit("caller:"), "name")
+    seen = shared.where(F.size("also_used_by") > 0).select(*scope, "center", "kind", "name", "also_used_by", spread(resource))
+    row = lambda at, order, kind, name, others: F.struct(at.alias("_part"), F.lit(order).cast("byte").alias("_o"), kind.alias("kind"), name.alias("name"), others.alias("_others"))
+    none, home = F.lit(None).cast("string"), F.lit(0).cast("short")
+    both = F.array(row(c("_part"), 3, c("kind"), c("name"), c("also_used_by")))
+    apart = F.array(row(c("_part"), 3, c("kind"), c("name"), F.lit(None).cast("array<string>")), row(home, 4, none, none, c("also_used_by")))
+    parts = [part(endpoints, 0, F.lit("endpoint"), c("label"), F.concat(F.lit("endpoint:"), "name")), part(callers, 1, c("kind"), c("caller"), caller),
+             # already dealt out by their endpoint, to tell which have a route: operations and details need not come that far
+             *[part(u.select(*scope, "center", "kind", "name").distinct(), 2, c("kind"), c("name"), resource) for u in used], seen.select(*scope, "center", F.inline(F.when(c("_part") == 0, both).otherwise(apart)))]
+    dealt = reduce(DataFrame.unionByName, parts).repartition(*scope, "center", "_part")
+    # the endpoint, then callers, resources and sharers: of an id the first is shown
+    own = F.struct(F.when(c("_o") == 1, caller).otherwise(resource).alias("id"), "_o", c("name").alias("label"), c("kind").alias("type"))
+    sharer = F.transform(F.coalesce("_others", F.array().cast("array<string>")), lambda x: F.struct(
+        F.concat(F.lit("api:"), x).alias("id"), F.lit(4).cast("byte").alias("_o"), none.alias("label"), none.alias("type")))
+    told = dealt.select(*scope, "center", "_part", F.inline(F.when(c("_o") == 4, sharer).when(c("_others").isNull(), F.array(own)).otherwise(F.concat(F.array(own), sharer))))
+    best = told.groupBy(*scope, "center", "_part", "id").agg(F.min(F.struct("_o", "label", "type")).alias("_n"))
+    shares = c("_n._o") == 4
+    # what a sharer shows is read from its id
+    nodes = best.select(*scope, "center", "id", F.when(shares, F.substring_index(F.expr("substring(id, 5)"), " (", 1)).otherwise(c("_n.label")).alias("label"),
+                        F.when(shares, F.lit("related_endpoint")).otherwise(c("_n.type")).alias("type"))
     into = F.when(c("type") == "service_call", "calls this API").otherwise("routes to")
     links = [
         call.join(ids, [*scope, "center"]).select(*scope, "center", c("id").alias("source"), c("_id").alias("target"), into.alias("kind"), "detail"),

@@ -237,13 +237,25 @@ RELATIONS["GNEAR"] = ("SELECT u.center, u.name, unnest(list_filter(t.first, lamb
                       "(SELECT name, list(center ORDER BY center)[1:9] AS first FROM GTABLE GROUP BY name) t ON t.name = u.name")
 
 
+def _of_centers(src: Source, code: str, *columns: str):
+    """Distinct rows of a part, a supplier's number and a code of its lines, told as columns. They are dealt out by the part as they are and made distinct there, so that the endpoints
+    meet them without another shuffle."""
+    told = src.sql(f"SELECT 'part-' || l_partkey AS center, l_suppkey, {code} AS code FROM lineitem").repartition("center").distinct()
+    return told.selectExpr("center", *columns)
+
+
 def _graph(src: Source):
-    use = relation(src, "GUSE")
-    tables = use.where("kind = 'table'").select("kind", "name", F.col("center").alias("user")).distinct()
+    # the rows of GUSE and GDECL; line numbers that are told alike have one code
+    use = _of_centers(src, "CASE WHEN l_linenumber % 4 IN (0, 1) THEN l_linenumber % 4 ELSE l_linenumber END",
+                      "CASE code % 4 WHEN 0 THEN 'cache' WHEN 1 THEN 'service' ELSE 'table' END AS kind", "'sup-' || l_suppkey AS name", "CASE code % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'http' ELSE 'READ' END AS operation",
+                      "CASE code % 4 WHEN 0 THEN 'redis' WHEN 1 THEN 'POST /pay/' || l_suppkey ELSE 'repo.find' || code END AS detail")
+    declared = _of_centers(src, "CASE l_returnflag WHEN 'A' THEN 'table' WHEN 'N' THEN 'topic' ELSE 'service' END", "code AS kind", "'sup-' || l_suppkey AS name")
+    tables = relation(src, "GUSE").where("kind = 'table'").select("kind", "name", F.col("center").alias("user")).distinct()
     near = relations.first_sharers(tables).withColumnRenamed("user", "center")
-    callers = src.sql("SELECT DISTINCT 'part-' || l_partkey AS center, 'cust-' || o_custkey AS caller, CASE WHEN o_orderstatus = 'F' THEN 'service_call' ELSE 'gateway_route' END AS kind, 'GET /' || l_partkey AS detail "
-                      "FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-    return relations.impact_graph(relation(src, "GEND"), callers, use, near, declared=relation(src, "GDECL"))
+    # the rows of GCALL: numbers are made distinct, and texts of what is left
+    callers = src.sql("SELECT 'part-' || l_partkey AS center, 'cust-' || o_custkey AS caller, CASE WHEN called THEN 'service_call' ELSE 'gateway_route' END AS kind, 'GET /' || l_partkey AS detail "
+                      "FROM (SELECT DISTINCT l_partkey, o_custkey, o_orderstatus <=> 'F' AS called FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+    return relations.impact_graph(relation(src, "GEND"), callers, use, near, declared=declared)
 
 
 RELATIONS["GCALL"] = ("SELECT DISTINCT 'part-' || l_partkey AS center, 'cust-' || o_custkey AS caller, CASE WHEN o_orderstatus = 'F' THEN 'service_call' ELSE 'gateway_route' END AS kind, 'GET /' || l_partkey AS detail "

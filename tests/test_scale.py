@@ -165,6 +165,54 @@ def test_impact_graph_nodes_are_dealt_out_before_they_are_sorted(spark):
     assert "REPARTITION" in found and found.index("min(struct") < found.index("REPARTITION") and "min_by" not in found
 
 
+def test_impact_graph_nodes_deal_out_sharers_as_lists(spark):
+    import random
+    rng = random.Random(4)
+    kinds = ["table", "caller", "api", "endpoint", "caller:x"]
+    ends = [(e, f"GET /{e}", e % 3 > 0) for e in range(6)] + [(None, "n", True)]
+    callers = [(e, rng.choice(["a", "b", "x:c", None]), rng.choice(["service_call", "gateway_route"]), "d") for e in range(6) for _ in range(4)]
+    use = [(e, rng.choice(kinds), rng.choice("abc"), "READ", rng.choice(["r", "s"])) for e in range(6) for _ in range(8)]
+    declared = [(e, rng.choice(kinds), rng.choice(["a", "b", "GET /3"])) for e in range(6) for _ in range(5)]
+    shared = [(e, rng.choice(kinds), rng.choice("abc"), rng.sample(["a", "b (H.m)", "c", "d"], rng.randrange(4))) for e in range(6) for _ in range(6)] + [(1, "table", "t", None)]
+    routed = {e for e, _, r in ends if r and e is not None}
+    told = [(e, f"endpoint:{n}", 0, n, "endpoint") for e, n, _ in ends] + [(e, None if n is None else f"caller:{n}", 1, n, k) for e, n, k, _ in callers]
+    told += [(e, f"{k}:{n}", 2, n, k) for e, k, n in [u[:3] for u in use if u[0] in routed] + [d for d in declared if d[0] not in routed]]
+    told += [(e, f"{k}:{n}", 3, n, k) for e, k, n, o in shared if o] + [(e, f"api:{x}", 4, x.split(" (")[0], "related_endpoint") for e, _, _, o in shared for x in o or []]
+    best = {}
+    for e, i, *rest in told:
+        best[e, i] = min(best.get((e, i), rest), rest, key=lambda r: (r[0], r[1] or "", r[2]))
+    made = spark.createDataFrame
+    nodes = relations.impact_graph(
+        made(ends, "center long, label string, has_route boolean"), made(callers, "center long, caller string, kind string, detail string"),
+        made(use, "center long, kind string, name string, operation string, detail string"), made(shared, "center long, kind string, name string, also_used_by array<string>"),
+        declared=made(declared, "center long, kind string, name string"))[0]
+    assert rows(nodes, "center", "id", "label", "type") == sorted(((e, i, label, kind) for (e, i), (_, label, kind) in best.items()), key=repr)
+    # sharers' nodes are made behind the shuffle; only callers are spread, by their id
+    found = plan(nodes)
+    assert found.index("Generate") < found.index("REPARTITION") and "_others" in found and "_part" in found
+
+
+def test_endpoints_meet_what_they_use_where_it_is_made_distinct(spark):
+    from contractlake.plans import relation_queries
+    seen = {}
+    kept, relations.impact_graph = relations.impact_graph, lambda ends, callers, usage, near, declared: seen.update(GCALL=callers, GUSE=usage, GDECL=declared)
+    try:
+        relation_queries._graph(Source(spark, DATA))
+    finally:
+        relations.impact_graph = kept
+    for name, df in seen.items():
+        assert rows(df) == rows(bindings.relation(Source(spark, DATA), name)), name
+    # as on large tables, whatever their size here
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {name: plan(seen[name].join(spark.range(9).selectExpr("'part-' || id AS center"), "center", "left_semi")) for name in ("GUSE", "GDECL")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    # one shuffle of the rows, one of the endpoints
+    assert {name: text_.count("Exchange hashpartitioning") for name, text_ in found.items()} == {"GUSE": 2, "GDECL": 2}
+
+
 def test_line_edits_show_texts_without_dealing_out_their_lines(spark):
     pairs = spark.createDataFrame([(1, "a\nb\nc", "a\nx\ny\nc"), (2, None, "n"), (3, "o\n", None), (4, None, None)], "id long, old string, new string")
     found = linediff.line_edits(pairs, ["id"])
