@@ -2,9 +2,10 @@
 
 Unit vectors with cosine c or more are at a squared distance of 2 - 2c at most. A fixed orthogonal rotation spreads the coordinates;
 they are split into blocks of a few dimensions, and the budget in proportion to their sizes. Two linked vectors must keep to
-the budget in at least one block, so the union of the blocks' range joins holds every link. In each block a grid over the first two
-coordinates, as wide as the block's radius, brings vectors together by equality: a vector stays at home in its cell and visits half
-of the neighbouring cells. Crowded cells are split into tiles. Within a tile, pairs that keep to the block's budget are candidates, and
+the budget in at least one block, so the union of the blocks' range joins holds every link. The vectors are dealt into chunks, and two chunks meet in a tile, which
+does the range joins of all blocks: a vector travels once for each chunk, however many blocks and cells it has. In each block a grid over the first two
+coordinates, as wide as the block's radius, brings vectors together by equality: a vector stays at home in its cell and visits the neighbouring cells
+(half of them where a chunk meets itself). Pairs that keep to the block's budget are candidates, and
 the cosine of the candidates is worked out in double precision from the vectors as given.
 
 No pair leaves its tile. A pair that several blocks find counts in the first block whose budget it keeps to. A tile sums the links of each of its vectors
@@ -32,11 +33,14 @@ from ..session import cut_lineage
 from .frames import components
 
 BLOCK = 8
-TILE_ROWS = 8192
+# rows of a chunk at most, about; and from how many on vectors are dealt into more of them, so that more tasks share the tiles
+TILE_ROWS = 65536
+SHARED_ROWS, SHARES = 1024, 8
 SLACK = 1e-9
 SIFT = 1e-5
-# Forward half of the neighbouring cells; the vector itself is at home in (0, 0).
+# Forward half of the neighbouring cells, and all of them; the vector itself is at home in (0, 0).
 _VISITS = ((0, 1), (1, -1), (1, 0), (1, 1))
+_ALL_VISITS = (*_VISITS, *((-x, -y) for x, y in _VISITS))
 
 
 def rotation(size: int) -> np.ndarray:
@@ -69,7 +73,8 @@ def counted_here(own: int, left: np.ndarray, right: np.ndarray, turned_left: np.
     by a rule that doesn't depend on the task.
     """
     size = left.shape[1]
-    gaps = (turned_left - turned_right) ** 2
+    upto = blocks(size)[own].stop
+    gaps = (turned_left[:, :upto] - turned_right[:, :upto]) ** 2
     bars = np.array([budget(block, size, cosine) - SLACK / 2 for block in blocks(size)[:own + 1]])
     squares = np.column_stack([gaps[:, block].sum(axis=1) for block in blocks(size)[:own + 1]])
     for k in np.flatnonzero((np.abs(squares - bars) < SLACK / 1000).any(axis=1)):
@@ -95,27 +100,60 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _cells(vectors: np.ndarray, cosine: float):
-    """For each block: its number, and (row, cell x, cell y, at home) of every entry."""
-    size = vectors.shape[1]
-    turned = _unit(vectors) @ rotation(size)
-    for b, block in enumerate(blocks(size)):
-        radius = np.sqrt(budget(block, size, cosine))
-        plane = turned[:, block][:, :2]
-        plane = plane if plane.shape[1] == 2 else np.column_stack([plane, np.zeros(len(plane))])
-        home = np.floor(plane / radius).astype(np.int64)
-        rows = np.arange(len(vectors))
-        yield b, rows, home[:, 0], home[:, 1], np.ones(len(rows), bool)
-        inside = plane - home * radius
-        for dx, dy in _VISITS:
-            far_x = (radius - inside[:, 0]) if dx else 0.0
-            far_y = {1: radius - inside[:, 1], 0: 0.0, -1: inside[:, 1]}[dy]
-            near = np.flatnonzero(far_x ** 2 + far_y ** 2 <= radius ** 2 + SLACK)
-            yield b, near, home[near, 0] + dx, home[near, 1] + dy, np.zeros(len(near), bool)
+def _cells(y: np.ndarray, radius: float, visits: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, cell and whether at home of every entry: each row in its cell and in those of `visits` that reach within the radius of it. A cell is one number."""
+    plane = y[:, :2] if y.shape[1] > 1 else np.column_stack([y, np.zeros(len(y))])
+    home = np.floor(plane / radius).astype(np.int64)
+    inside = plane - home * radius
+    far = [{1: radius - inside[:, k], 0: 0.0, -1: inside[:, k]} for k in (0, 1)]
+    rows, cells = [np.arange(len(y))], [home]
+    for dx, dy in visits:
+        near = np.flatnonzero(far[0][dx] ** 2 + far[1][dy] ** 2 <= radius ** 2 + SLACK)
+        rows.append(near)
+        cells.append(home[near] + (dx, dy))
+    at, cell = np.concatenate(rows), np.concatenate(cells)
+    return at, (cell[:, 0] << 21) + cell[:, 1], np.arange(len(at)) < len(y)
+
+
+def _join_block(own: int, left: np.ndarray, right: np.ndarray, turned: np.ndarray, cosine: float, same: bool):
+    """Pairs of a row of `left` and one of `right` that may keep to a block's budget, in lots; each pair once, also if both are the same chunk."""
+    block = blocks(turned.shape[1])[own]
+    most = budget(block, turned.shape[1], cosine)
+    radius = np.sqrt(most)
+    y = turned[:, block]
+    third = y[:, 2] if y.shape[1] > 2 else np.zeros(len(y))
+    _, own_cell, _ = _cells(y[left], radius, ())
+    order = np.lexsort((third[left], own_cell))
+    left, own_cell = left[order], own_cell[order]
+    at, cell, home = _cells(y[right], radius, _VISITS if same else _ALL_VISITS)
+    # both sides by cells, and in a cell in order of the third coordinate, so that only rows within the radius of it are multiplied
+    order = np.lexsort((third[right[at]], cell))
+    right, cell, home = right[at[order]], cell[order], home[order]
+    # one product gives squared distances; single precision only sifts, with room for its error
+    square, ones = (y * y).sum(axis=1), np.ones(len(y))
+    near = np.column_stack([-2 * y, square, ones]).astype(np.float32)[left]
+    far = np.column_stack([y, ones, square]).astype(np.float32)[right]
+    low, height, wide, bar = third[left], third[right], radius + SLACK, np.float32(most + SIFT)
+    cells, begins = np.unique(own_cell, return_index=True)
+    ends = np.append(begins[1:], len(left))
+    starts, stops = np.searchsorted(cell, cells), np.searchsorted(cell, cells, "right")
+    for k in np.flatnonzero(stops - starts > same):  # in its own chunk a row meets itself
+        for first in range(begins[k], ends[k], 128):
+            last = min(first + 128, ends[k])
+            start = starts[k] + np.searchsorted(height[starts[k]:stops[k]], low[first] - wide)
+            stop = starts[k] + np.searchsorted(height[starts[k]:stops[k]], low[last - 1] + wide, "right")
+            for lot in range(start, stop, 4096):
+                upto = min(lot + 4096, stop)
+                p, q = np.divmod(np.flatnonzero(near[first:last] @ far[lot:upto].T <= bar), upto - lot)
+                if len(p):
+                    p, q, at_home = left[first + p], right[lot + q], home[lot + q]
+                    once = (p < q) | ~at_home if same else slice(None)
+                    yield p[once], q[once]
 
 
 def _matrix(bodies: pa.Array, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(bodies.to_pylist()), kind).reshape(len(bodies), -1).astype(np.float64)
+    offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset:bodies.offset + len(bodies) + 1]
+    return np.frombuffer(bodies.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(kind).reshape(len(bodies), -1).astype(np.float64)
 
 
 def _by_size(batch: pa.RecordBatch):
@@ -153,91 +191,59 @@ def vector_classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[Da
 def links(reps: DataFrame, cosine: float, kind: str = "<f4", tile_rows: int = TILE_ROWS) -> DataFrame:
     """(id, m, root) of reps(id, n, body), a few rows for an id: the sum of m is the sum of n over all reps of that cosine or more, and the stars of id
     and root connect what links connect. `reps` is read twice."""
-    def count_cells(batches):
-        for batch in batches:
-            for size, part in _by_size(batch):
-                for b, _, x, y, _ in _cells(_matrix(part.column("body"), kind), cosine):
-                    cells, counts = np.unique(np.column_stack([x, y]), axis=0, return_counts=True) if len(x) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-                    n = len(counts)
-                    yield pa.RecordBatch.from_arrays([pa.array([size] * n, pa.int64()), pa.array([b] * n, pa.int64()), pa.array(cells[:, 0]), pa.array(cells[:, 1]), pa.array(counts)],
-                                                     names=["size", "b", "x", "y", "n"])
-
-    # the unit ball has a fixed number of cells in each block, so this table doesn't grow with the vectors
-    counted = reps.select("body").mapInArrow(count_cells, "size long, b long, x long, y long, n long").groupBy("size", "b", "x", "y").agg(F.sum("n").alias("n"))
-    tiles = {(r["size"], r["b"], r["x"], r["y"]): -(-r["n"] // tile_rows) for r in counted.where(F.col("n") > tile_rows).collect()}
-    sent = reps.sparkSession.sparkContext.broadcast(tiles)
+    sizes = reps.groupBy(F.length("body").alias("bytes")).agg(F.count("*").alias("n"))
+    # vectors of a length with fewer rows are one chunk, so this doesn't grow with the number of lengths
+    counted = sizes.where(F.col("n") > min(tile_rows, SHARED_ROWS)).collect()
+    chunks = {r["bytes"]: max(-(-r["n"] // tile_rows), min(SHARES, -(-r["n"] // SHARED_ROWS))) for r in counted}
+    sent = reps.sparkSession.sparkContext.broadcast(chunks)
 
     def deal(batches):
         for batch in batches:
             for size, part in _by_size(batch):
-                ids = part.column("id").to_numpy()
-                for b, rows, x, y, home in _cells(_matrix(part.column("body"), kind), cosine):
-                    split = np.array([sent.value.get((size, b, i, j), 1) for i, j in zip(x.tolist(), y.tolist())], np.int64)
-                    tile = (ids[rows] * 0x9E3779B1 >> 7) % split if len(rows) else rows
-                    for k in range(int(split.max()) if len(split) else 0):
-                        at = np.flatnonzero(split > k)
-                        low, high = np.minimum(tile[at], k), np.maximum(tile[at], k)
-                        n = len(at)
-                        columns = [pa.array([size] * n, pa.int64()), pa.array([b] * n, pa.int64()), pa.array(x[at]), pa.array(y[at]), pa.array(low), pa.array(high), pa.array(tile[at]), pa.array(home[at])]
-                        yield pa.RecordBatch.from_arrays(columns + [part.column(c).take(pa.array(rows[at])) for c in ("id", "n", "body")],
-                                                         names=["size", "b", "x", "y", "low", "high", "tile", "home", "id", "n", "body"])
+                split = sent.value.get(size, 1)
+                chunk = (part.column("id").to_numpy() * 0x9E3779B1 >> 7) % split
+                for k in range(split):
+                    columns = [np.full(part.num_rows, size), np.minimum(chunk, k), np.maximum(chunk, k), chunk <= k]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [part.column(c) for c in ("id", "n", "body")],
+                                                     names=["size", "low", "high", "is_low", "id", "n", "body"])
 
     def join(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        vectors = _matrix(table.column("body").combine_chunks(), kind)
-        ids, n, home, tile = (table.column(c).to_numpy() for c in ("id", "n", "home", "tile"))
-        own, low, high = (table.column(c)[0].as_py() for c in ("b", "low", "high"))
-        size = vectors.shape[1]
-        block = blocks(size)[own]
-        most = budget(block, size, cosine)
-        turned = _unit(vectors) @ rotation(size)
-        y = turned[:, block]
-        square = (y * y).sum(axis=1)
+        vectors = _matrix(table.column("body").chunk(0), kind)
+        ids, n, is_low = (table.column(c).to_numpy() for c in ("id", "n", "is_low"))
+        same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+        turned = _unit(vectors) @ rotation(vectors.shape[1])
         length = np.linalg.norm(vectors, axis=1)
-        # one product gives squared distances; single precision only sifts, with room for its error
-        ones = np.ones(len(y))
-        near = np.column_stack([-2 * y, square, ones]).astype(np.float32)
-        far = np.column_stack([y, ones, square]).astype(np.float32)
-        # both sides in order of the third coordinate, so that only rows within the radius of it are multiplied
-        third = y[:, 2] if y.shape[1] > 2 else np.zeros(len(y))
-        left, right = (side[np.argsort(third[side])] for side in (np.flatnonzero(tile == low), np.flatnonzero(tile == high)))
-        radius, order, far = np.sqrt(most) + SLACK, third[right], far[right].T
+        left = np.flatnonzero(is_low)
+        right = left if same else np.flatnonzero(~is_low)
         m, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for k in range(0, len(left), 128):
-            i = left[k:k + 128]
-            start, stop = np.searchsorted(order, third[i[0]] - radius), np.searchsorted(order, third[i[-1]] + radius, "right")
-            for at in range(start, stop, 4096):
-                to = min(at + 4096, stop)
-                close = (near[i] @ far[:, at:to]) <= np.float32(most + SIFT)
-                p, q = np.divmod(np.flatnonzero(close), to - at)
-                p, q = i[p], right[at + q]
-                some = (home[p] | home[q]) & (ids[p] != ids[q])
-                if low == high:
-                    some &= p < q
+        for own in range(len(blocks(vectors.shape[1]))):
+            for p, q in _join_block(own, left, right, turned, cosine, same):
+                some = ids[p] != ids[q]
                 p, q = p[some], q[some]
                 for c in range(0, len(p), 4096):
                     a, b = p[c:c + 4096], q[c:c + 4096]
-                    same = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (length[a] * length[b]) >= cosine
-                    a, b = a[same], b[same]
                     mine = counted_here(own, vectors[a], vectors[b], turned[a], turned[b], cosine)
                     a, b = a[mine], b[mine]
+                    linked = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (length[a] * length[b]) >= cosine
+                    a, b = a[linked], b[linked]
                     np.add.at(m, a, n[b])
                     np.add.at(m, b, n[a])
                     root = hook(root, a, b)
         linked = np.flatnonzero(m)
         return pa.table({"id": ids[linked], "m": m[linked], "root": ids[root[linked]]})
 
-    dealt = reps.select("id", "n", "body").mapInArrow(deal, "size long, b long, x long, y long, low long, high long, tile long, home boolean, id long, n long, body binary")
-    return dealt.groupBy("size", "b", "x", "y", "low", "high").applyInArrow(join, "id long, m long, root long")
+    dealt = reps.select("id", "n", "body").mapInArrow(deal, "size long, low long, high long, is_low boolean, id long, n long, body binary")
+    return dealt.groupBy("size", "low", "high").applyInArrow(join, "id long, m long, root long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     found, kind = vector_classes(vectors, id_col, vector_col)
-    rows = cut_lineage(found)
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    reps = cut_lineage(rows.where("key is not null").dropDuplicates(["id", "key"]).join(classes, ["key", "id"]).select("key", "id", "n", "body"))
-    linked = cut_lineage(links(reps, cosine, kind))
+    # the vectors themselves are kept once, one for each class
+    rows = cut_lineage(found.select("id", "key"))
+    reps = cut_lineage(found.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("body").alias("body")))
+    linked = cut_lineage(links(reps, cosine, kind, TILE_ROWS))
     degrees = linked.groupBy("id").agg(F.sum("m").alias("m"))
     groups = components(linked, "id", "root").withColumnRenamed("node", "id")
     settled = cut_lineage(reps.select("key", "id", "n").join(degrees, "id", "left").join(groups, "id", "left")
