@@ -2,8 +2,8 @@
 
 Unit vectors with cosine c or more are at a squared distance of 2 - 2c at most. A fixed orthogonal rotation spreads the coordinates;
 they are split into blocks of a few dimensions, and the budget in proportion to their sizes. Two linked vectors must keep to
-the budget in at least one block, so the union of the blocks' range joins holds every link. The vectors are dealt into chunks, and two chunks meet in a tile, which
-does the range joins of all blocks: a vector travels once for each chunk, however many blocks and cells it has. In each block a grid over the first two
+the budget in at least one block, so the union of the blocks' range joins holds every link. The vectors are dealt into chunks, each written as one row; two
+chunks meet in a tile, which reads them where they lie and does the range joins of all blocks: a vector travels once, however many blocks, cells and chunks there are. In each block a grid over the first two
 coordinates, as wide as the block's radius, brings vectors together by equality: a vector stays at home in its cell and visits the neighbouring cells
 (half of them where a chunk meets itself). Pairs that keep to the block's budget are candidates, and
 the cosine of the candidates is worked out in double precision from the vectors as given.
@@ -151,11 +151,6 @@ def _join_block(own: int, left: np.ndarray, right: np.ndarray, turned: np.ndarra
                     yield p[once], q[once]
 
 
-def _matrix(bodies: pa.Array, kind: str) -> np.ndarray:
-    offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset:bodies.offset + len(bodies) + 1]
-    return np.frombuffer(bodies.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(kind).reshape(len(bodies), -1).astype(np.float64)
-
-
 def _by_size(batch: pa.RecordBatch):
     """Parts of a batch whose vectors have one length."""
     sizes = np.array([len(x) for x in batch.column("body").to_pylist()])
@@ -200,22 +195,22 @@ def links(reps: DataFrame, cosine: float, kind: str = "<f4", tile_rows: int = TI
     def deal(batches):
         for batch in batches:
             for size, part in _by_size(batch):
-                split = sent.value.get(size, 1)
-                chunk = (part.column("id").to_numpy() * 0x9E3779B1 >> 7) % split
-                for k in range(split):
-                    columns = [np.full(part.num_rows, size), np.minimum(chunk, k), np.maximum(chunk, k), chunk <= k]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [part.column(c) for c in ("id", "n", "body")],
-                                                     names=["size", "low", "high", "is_low", "id", "n", "body"])
-
-    def join(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        vectors = _matrix(table.column("body").chunk(0), kind)
-        ids, n, is_low = (table.column(c).to_numpy() for c in ("id", "n", "is_low"))
-        same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+                chunk = (part.column("id").to_numpy() * 0x9E3779B1 >> 7) % sent.value.get(size, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, size)), pa.array(chunk)] + [part.column(c) for c in ("id", "n", "body")], names=["size", "chunk", "id", "n", "body"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        numbers = [table.column(c).to_numpy().tobytes() for c in ("id", "n")]
+        return pa.table({"size": table.column("size")[:1], "chunk": table.column("chunk")[:1], "ids": pa.array([numbers[0]], pa.binary()), "counts": pa.array([numbers[1]], pa.binary()),
+                         "bodies": pa.array([b"".join(table.column("body").to_pylist())], pa.binary())})
+
+    def tile(ids: np.ndarray, n: np.ndarray, bodies: np.ndarray, upto: int) -> pa.RecordBatch:
+        """The first `upto` rows are one chunk, the others the second; if there are no others, a chunk meets itself."""
+        vectors = bodies.view(kind).reshape(len(ids), -1).astype(np.float64)
+        same = upto == len(ids)
         turned = _unit(vectors) @ rotation(vectors.shape[1])
         length = np.linalg.norm(vectors, axis=1)
-        left = np.flatnonzero(is_low)
-        right = left if same else np.flatnonzero(~is_low)
+        left = np.arange(upto)
+        right = left if same else np.arange(upto, len(ids))
         m, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for own in range(len(blocks(vectors.shape[1]))):
             for p, q in _join_block(own, left, right, turned, cosine, same):
@@ -231,10 +226,24 @@ def links(reps: DataFrame, cosine: float, kind: str = "<f4", tile_rows: int = TI
                     np.add.at(m, b, n[a])
                     root = hook(root, a, b)
         linked = np.flatnonzero(m)
-        return pa.table({"id": ids[linked], "m": m[linked], "root": ids[root[linked]]})
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[linked], m[linked], ids[root[linked]])], names=["id", "m", "root"])
 
-    dealt = reps.select("id", "n", "body").mapInArrow(deal, "size long, low long, high long, is_low boolean, id long, n long, body binary")
-    return dealt.groupBy("size", "low", "high").applyInArrow(join, "id long, m long, root long")
+    def join(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sides = ("", "2") if batch.column("ids2")[k].is_valid else ("",)
+                ids, n, bodies = (np.concatenate([np.frombuffer(batch.column(c + side)[k].as_buffer(), kind_) for side in sides])
+                                  for c, kind_ in (("ids", np.int64), ("counts", np.int64), ("bodies", np.uint8)))
+                yield tile(ids, n, bodies, len(batch.column("ids")[k].as_buffer()) // 8)
+
+    dealt = reps.select("id", "n", "body").mapInArrow(deal, "size long, chunk long, id long, n long, body binary")
+    # a file for nearly every chunk, so that nearly every tile is a task
+    packed = cut_lineage(dealt.repartition(max(1, 4 * sum(chunks.values())), "size", "chunk").groupBy("size", "chunk").applyInArrow(pack, "size long, chunk long, ids binary, counts binary, bodies binary"))
+    other = packed.select(*[F.col(c).alias(c + "2") for c in packed.columns]).hint("shuffle_replicate_nl")
+    # equal lengths are told without an equality, by which Spark would shuffle the chunks
+    met = packed.join(other, (F.col("size") <= F.col("size2")) & (F.col("size") >= F.col("size2")) & (F.col("chunk") <= F.col("chunk2")))
+    tiles = met.select("ids", "counts", "bodies", *[F.when(F.col("chunk") < F.col("chunk2"), F.col(c)).alias(c) for c in ("ids2", "counts2", "bodies2")])
+    return tiles.mapInArrow(join, "id long, m long, root long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
