@@ -34,7 +34,7 @@ from .frames import components
 
 BLOCK = 8
 # rows of a chunk at most, about; and from how many on vectors are dealt into more of them, so that more tasks share the tiles
-TILE_ROWS = 65536
+TILE_ROWS = 32768
 SHARED_ROWS, SHARES = 1024, 8
 SLACK = 1e-9
 SIFT = 1e-5
